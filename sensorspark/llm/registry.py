@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, fingerprints, quality, url_filters
 from .near_dedup import near_duplicates
 
 
@@ -11,13 +12,29 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(_t(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_t(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_t(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op5_near_dedup": op5_near_dedup}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_decontamination, op5_near_dedup, op6_url_filters)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_decontamination": decontaminate.SQL, "op6_url_filters": url_filters.sql()}
