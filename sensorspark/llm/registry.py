@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, quality, url_filters
+from . import decontaminate, fingerprints, quality, suffix_dedup, url_filters
 from .near_dedup import near_duplicates
 
 
@@ -32,8 +32,12 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_t(spark, sf_dir, "pages"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_decontamination, op5_near_dedup, op6_url_filters)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_decontamination, op5_near_dedup, op6_url_filters, op7_suffix_dedup)}
 
 
 def oracle_sql() -> dict:

@@ -23,3 +23,20 @@ def near_duplicates(docs, percent=85):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def repeats(docs, length=100):
+    import hashlib
+
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - length + 1):
+            w = b[j : j + length]
+            if w in seen:
+                gone[j : j + length] = b"\1" * length
+            seen.add(w)
+        runs = sum(1 for j in range(len(b)) if gone[j] and not (j and gone[j - 1]))
+        out[i] = (len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+    return out
