@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, K = 10, 8
@@ -120,6 +120,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_share: float = 0.0) ->
     """docs without the rows of whose words more than max_share are hit; all columns of docs."""
     marks = _results(docs.select("doc_id", "text"), _item_windows(items, "item_id", "text")).where(F.col("n_hit") > max_share * F.col("n_words"))
     marks = marks.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    marks = small(cut(marks), BROADCAST_ROWS)
     key = F.xxhash64("text", F.length("text"))
     return docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]) & (key == marks["_key"]), "left_anti")
 

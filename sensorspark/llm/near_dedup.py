@@ -190,6 +190,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id; of rows that repeat a doc_id one stays. All columns of docs."""
+    found = cut(near_duplicates(docs, percent=percent))
+    gone = cut(found.where("NOT kept").select("doc_id").distinct())
+    repeated = cut(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    docs = docs.join(small(gone, SMALL), "doc_id", "left_anti")
+    if repeated.count():
+        once = docs.join(small(repeated, SMALL), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+        docs = docs.join(small(repeated, SMALL), "doc_id", "left_anti").unionByName(once)
+    return docs
+
+
 def _shingles(batches):
     for b in batches:
         for lo in range(0, b.num_rows, 256):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, quality, suffix_dedup, url_filters
+from . import decontaminate, fingerprints, html_extract, mixing, quality, suffix_dedup, token_files, url_filters, warc
 from .near_dedup import near_duplicates
 
 
@@ -20,6 +21,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_t(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -36,9 +41,29 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_t(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_t(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived records, without the blocks themselves: their lengths and digests."""
+    records = warc.derive(warc.responses(_t(spark, sf_dir, "pages")))
+    return records.select(F.col("source_id").cast("long").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "source_payload_digest", "content_length", "block_digest", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_t(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op4_decontamination, op5_near_dedup, op6_url_filters, op7_suffix_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_mixing, op4_decontamination, op5_near_dedup, op6_url_filters, op7_suffix_dedup, op8_token_files, op9_warc, op10_html_extraction, pipeline)}
 
 
 def oracle_sql() -> dict:
-    return {"op4_decontamination": decontaminate.SQL, "op6_url_filters": url_filters.sql()}
+    return {"op3_mixing": mixing.sql(), "op4_decontamination": decontaminate.SQL, "op6_url_filters": url_filters.sql()}
