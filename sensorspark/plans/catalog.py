@@ -1,11 +1,13 @@
-"""Registry of the engine's queries and their SQL twins."""
+"""All of the engine's queries and their SQL twins."""
 
 from __future__ import annotations
 
+from . import alignment, registry, scalars  # noqa: F401  (modules register their queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.ORACLES)
