@@ -101,7 +101,7 @@ def write(records: DataFrame, path: str) -> None:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """warc_type, record_id, refers_to, target_uri, block_digest and block of every record under path."""
     # a record may hold two line breaks itself, so files are cut where a version line follows
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     one = raw.select(F.explode(F.split("value", r"\r\n\r\n(?=WARC/1\.1\r\nWARC-Type: |\z)")).alias("r")).where("r <> ''")
     head, block = F.regexp_extract("r", r"(?s)^(.*?\r\n)\r\n", 1), F.regexp_replace("r", r"(?s)^.*?\r\n\r\n", "")
     field = lambda k: F.regexp_extract(head, rf"(?m)^{k}: ([^\r\n]*)", 1)

@@ -40,3 +40,26 @@ def repeats(docs, length=100):
         runs = sum(1 for j in range(len(b)) if gone[j] and not (j and gone[j - 1]))
         out[i] = (len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
     return out
+
+
+def contamination(docs, items, window=10):
+    """Per doc: n_words, n_hit, and the ids of items with occurring windows."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    of = lambda t: word.findall((t or "").translate(low))
+    windows = {}
+    for i, t in items:
+        w = of(t)
+        n = min(window, len(w))
+        for s in range(len(w) - n + 1) if n else ():
+            windows.setdefault(n, {}).setdefault(tuple(w[s : s + n]), set()).add(i)
+    out = []
+    for d, t in docs:
+        w, hit, who = of(t), set(), set()
+        for n, known in windows.items():
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in known:
+                    hit |= set(range(s, s + n))
+                    who |= known[tuple(w[s : s + n])]
+        out.append((d, len(w), len(hit), sorted(str(x) for x in who if x is not None)))
+    return out
