@@ -35,10 +35,15 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     wide, like = [np.zeros((0, WIDE), np.uint32)], [np.zeros((0, LANES), np.int16)]
     for _, data, offsets in chunks(texts):
         n, raw = len(offsets) - 1, data.tobytes()
+        if not raw:
+            wide.append(np.zeros((n, WIDE), np.uint32))
+            like.append(np.zeros((n, LANES), np.int16))
+            continue
         breaks = np.flatnonzero(data == 10)
         length = np.diff(offsets)
         # paragraphs start at texts that aren't empty and after newlines
-        starts = np.unique(np.concatenate((offsets[:-1][length > 0], breaks + 1))) if len(data) else np.zeros(0, np.int64)
+        starts = np.unique(np.concatenate((offsets[:-1][length > 0], breaks + 1)))
+        starts = starts[starts < len(data)]
         row = np.searchsorted(offsets, starts, side="right") - 1
         ends = np.append(starts[1:], len(data)) - np.isin(np.append(starts[1:], len(data)) - 1, breaks)
         # a newline at the end of a text is followed by an empty paragraph, which has no byte to start at
