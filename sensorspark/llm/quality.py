@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = texts.join(F.broadcast(seen), "doc_id").select("doc_id", "y", "text").mapInArrow(measure, "doc_id long, y int, x array<double>").toArrow()
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("y").to_pylist(), got.column("x").to_pylist(), strict=True))
-    return Trees().fit(np.array([r[2] for r in rows]).reshape(len(rows), -1), np.array([r[1] for r in rows], dtype=float))
+    return Trees().fit(np.array([r[2] for r in rows]).reshape(len(rows), N_KINDS + 13), np.array([r[1] for r in rows], dtype=float))
 
 
 def fold(doc_id, folds: int = 5):
