@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, alignment, registry, scalars  # noqa: F401  (modules register their queries)
+from . import aggregates, alignment, rasters, registry, scalars, smoothing  # noqa: F401  (modules register their queries)
 
 
 def queries() -> dict:
