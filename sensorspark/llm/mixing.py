@@ -49,8 +49,8 @@ def tempered(cells: DataFrame, margin: str, power: float = TEMPER) -> DataFrame:
     """value, share: the observed shares, flattened."""
     sums = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").cast("double").alias("t"))
     scaled = sums.select("value", F.pow("t", F.lit(power)).alias("p"))
-    total = F.broadcast(scaled.agg(F.sum("p").alias("total")))  # one row
-    return scaled.join(total).select("value", F.try_divide("p", "total").alias("share"))
+    total = scaled.agg(F.sum("p")).first()[0]  # one number
+    return scaled.select("value", F.try_divide("p", F.lit(total)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
