@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, alignment, analysis, rasters, registry, scalars, scans, smoothing, streams  # noqa: F401  (modules register their queries)
+from . import aggregates, alignment, analysis, rasters, registry, scalars, scans, sinks, smoothing, streams  # noqa: F401  (modules register their queries)
 
 
 def queries() -> dict:
