@@ -11,12 +11,16 @@ from .registry import query
 
 c = F.col
 R6 = lambda x: F.round(x, 6)
-day = F.to_date("ts").alias("d")
+
+
+def day():
+    return F.to_date("ts").alias("d")
+
 
 
 @query("A01_sum_with_min_count", "SELECT sensor, CAST(ts AS DATE) AS d, count(value) AS n, CASE WHEN count(value) >= 3 THEN round(sum(value), 6) END AS total FROM (SELECT sensor, ts, CASE WHEN abs(value + 9999) < 1 THEN NULL ELSE value END AS value FROM dirty) GROUP BY 1, 2", "dirty")
 def _(v):
-    return t.replace_sentinels(v.dirty).groupBy("sensor", day).agg(F.count("value").alias("n"), F.when(F.count("value") >= 3, R6(F.sum("value"))).alias("total"))
+    return t.replace_sentinels(v.dirty).groupBy("sensor", day()).agg(F.count("value").alias("n"), F.when(F.count("value") >= 3, R6(F.sum("value"))).alias("total"))
 
 
 @query(
@@ -38,27 +42,27 @@ def _(v):
 def _(v):
     med = lambda x: F.percentile(x, F.lit(0.5))
     h = F.hour("ts")
-    g = v.obs.groupBy("sensor", day).agg(med(F.when(t.in_hours(h, 1, 5), c("value"))).alias("pre"), med(F.when(t.in_hours(h, 12, 16), c("value"))).alias("aft"), med("value").alias("med"))
+    g = v.obs.groupBy("sensor", day()).agg(med(F.when(t.in_hours(h, 1, 5), c("value"))).alias("pre"), med(F.when(t.in_hours(h, 12, 16), c("value"))).alias("aft"), med("value").alias("med"))
     return g.select("sensor", "d", R6("pre").alias("predawn"), R6("aft").alias("afternoon"), R6(c("aft") - c("pre")).alias("amplitude"), R6("med").alias("daily"))
 
 
 @query("A04_window_stats", "SELECT d, coalesce(mm, 0) AS mm, coalesce(rh, 0) AS rh, coalesce(mm, 0) < 1 AND coalesce(rh, 0) < 99 AS ok FROM (SELECT CAST(ts AS DATE) AS d, round(sum(mm), 6) AS mm FROM rain WHERE hour(ts) BETWEEN 6 AND 17 GROUP BY 1) FULL JOIN (SELECT CAST(ts AS DATE) AS d, round(max(rh), 6) AS rh FROM humid WHERE hour(ts) BETWEEN 6 AND 17 GROUP BY 1) USING (d)", "rain humid")
 def _(v):
     noon = F.hour("ts").between(6, 17)
-    a = v.rain.where(noon).groupBy(day).agg(R6(F.sum("mm")).alias("mm"))
-    b = v.humid.where(noon).groupBy(day).agg(R6(F.max("rh")).alias("rh"))
+    a = v.rain.where(noon).groupBy(day()).agg(R6(F.sum("mm")).alias("mm"))
+    b = v.humid.where(noon).groupBy(day()).agg(R6(F.max("rh")).alias("rh"))
     j = a.join(b, "d", "full").select("d", F.coalesce("mm", F.lit(0.0)).alias("mm"), F.coalesce("rh", F.lit(0.0)).alias("rh"))
     return j.withColumn("ok", (c("mm") < 1) & (c("rh") < 99))
 
 
 @query("A05_daily_window_mean", "SELECT stream, CAST(ts AS DATE) AS d, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM obs WHERE hour(ts) >= 10 AND hour(ts) < 14 GROUP BY 1, 2", "obs")
 def _(v):
-    return v.obs.where(t.in_hours(F.hour("ts"), 10, 14)).groupBy("stream", day).agg(R6(F.avg("value")).alias("mean"), R6(F.stddev_samp("value")).alias("std"))
+    return v.obs.where(t.in_hours(F.hour("ts"), 10, 14)).groupBy("stream", day()).agg(R6(F.avg("value")).alias("mean"), R6(F.stddev_samp("value")).alias("std"))
 
 
 @query("A06_ensemble_percentile", "SELECT d, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS std FROM (SELECT CAST(ts AS DATE) AS d, stream, quantile_cont(value, 0.9) AS p FROM obs GROUP BY 1, 2) GROUP BY 1", "obs")
 def _(v):
-    p = v.obs.groupBy(day, "stream").agg(F.percentile("value", F.lit(0.9)).alias("p"))
+    p = v.obs.groupBy(day(), "stream").agg(F.percentile("value", F.lit(0.9)).alias("p"))
     return p.groupBy("d").agg(R6(F.avg("p")).alias("mean"), R6(F.stddev_samp("p")).alias("std"))
 
 
@@ -138,7 +142,7 @@ def _(v):
 
 @query("A19_amplitude", "SELECT sensor, fortnight, round(quantile_cont(amp, 0.5), 6) AS amp FROM (SELECT sensor, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 14 AS fortnight, CAST(ts AS DATE) AS d, CASE WHEN count(*) >= 4 THEN max(value) - min(value) END AS amp FROM obs GROUP BY 1, 2, 3) WHERE amp IS NOT NULL GROUP BY 1, 2", "obs")
 def _(v):
-    a = v.obs.groupBy("sensor", day).agg(F.when(F.count("*") >= 4, F.max("value") - F.min("value")).alias("amp")).where("amp IS NOT NULL")
+    a = v.obs.groupBy("sensor", day()).agg(F.when(F.count("*") >= 4, F.max("value") - F.min("value")).alias("amp")).where("amp IS NOT NULL")
     fortnight = F.floor(F.datediff("d", F.lit("2024-01-01")) / 14).alias("fortnight")
     return a.groupBy("sensor", fortnight).agg(R6(F.percentile("amp", F.lit(0.5))).alias("amp"))
 
@@ -149,7 +153,7 @@ def _(v):
     "obs",
 )
 def _(v):
-    h = v.obs.where(F.hour("ts") % 4 == 0).groupBy(day, F.hour("ts").alias("h")).agg(F.avg("value").alias("m"))
+    h = v.obs.where(F.hour("ts") % 4 == 0).groupBy(day(), F.hour("ts").alias("h")).agg(F.avg("value").alias("m"))
     a, b = h.select("d", c("h").alias("h1"), c("m").alias("m1")), h.select("d", c("h").alias("h2"), c("m").alias("m2"))
     g = a.join(b, "d").where("h1 < h2").groupBy("h1", "h2").agg(F.count("*").alias("n"), R6(F.percentile(c("m2") - c("m1"), F.lit(0.5))).alias("med"))
     return g.where("n >= 10")
@@ -163,7 +167,7 @@ def _(v):
 
 @query("A22_dominant_key", "SELECT d, orbit FROM (SELECT CAST(ts AS DATE) AS d, orbit, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY count(*) DESC, orbit) AS k FROM scenes GROUP BY 1, 2) WHERE k = 1", "scenes")
 def _(v):
-    n = v.scenes.groupBy(day, "orbit").agg(F.count("*").alias("n"))
+    n = v.scenes.groupBy(day(), "orbit").agg(F.count("*").alias("n"))
     return n.groupBy("d").agg(F.min_by("orbit", F.struct(-c("n"), "orbit")).alias("orbit"))
 
 
