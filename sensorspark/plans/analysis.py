@@ -17,7 +17,7 @@ Y95 = "y AS (SELECT variable, d, value FROM panel WHERE year(d) = 1995)"
 SIGMA = "sg AS (SELECT variable, CASE WHEN stddev_pop(dv) > 0 THEN stddev_pop(dv) / sqrt(2) ELSE 1 END AS sigma FROM (SELECT variable, value - lag(value) OVER (PARTITION BY variable ORDER BY d) AS dv FROM y) GROUP BY 1)"
 DIRECTIONS = [("1-URGENT", "decrease"), ("2-HIGH", "increase"), ("3-MEDIUM", "auto"), ("4-NOT SPECIFIED", "increase"), ("5-LOW", "decrease")]
 PEARSON = lambda x, y: f"covar_samp({x}, {y}) / nullif(stddev_samp({x}) * stddev_samp({y}), 0)"
-CURVES = f"lc AS (SELECT a.variable AS x, b.variable AS y, CAST(l AS INT) AS lag, count(*) AS n, {PEARSON('a.value', 'b.value')} AS r FROM panel a, range(-10, 11) l(l), panel b WHERE a.variable < b.variable AND b.d = a.d + CAST(l AS INT) GROUP BY 1, 2, 3)"
+CURVES = f"lc AS (SELECT a.variable AS x, b.variable AS y, CAST(l AS INT) AS lag, count(*) AS n, {PEARSON('a.value', 'b.value')} AS r FROM panel a, range(-10, 11) l(l), panel b WHERE a.variable < b.variable AND b.d = a.d + CAST(l AS INT) GROUP BY 1, 2, 3 HAVING count(*) >= 30)"
 BEST = "bl AS (SELECT x, y, arg_max(lag, struct_pack(a := abs(r), b := -lag)) AS lag, arg_max(r, struct_pack(a := abs(r), b := -lag)) AS r FROM lc GROUP BY 1, 2)"
 
 
