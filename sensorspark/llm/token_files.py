@@ -5,7 +5,7 @@ them skips files, stripes and row groups by their statistics and Bloom filters,
 shard (file), seq (place in it), doc_id, n_tokens and ids with the end id.
 
 Encoding is the tokenizers library's. Its pattern never joins a space or a newline to what stands before, so a text without two blanks in a
-row falls into words that can be encoded by themselves; each worker keeps the words it has met (up to MAX_WORDS, then it begins anew). Other texts are
+row falls into words that can be encoded by themselves; each worker keeps the words it has met (up to MAX_WORDS and MAX_CORES, then it begins anew). Other texts are
 encoded as they are. Strings of special tokens count as ordinary text.
 
 Defined results: null and empty texts are the end id alone. A null doc_id comes first; repeated ids follow each other in the order of their texts, one row
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import fresh_path, shuffle_partitions
 
 END = 0
-MAX_WORDS = 400_000
+MAX_WORDS, MAX_CORES = 900_000, 700_000
+#: Marks that may end a word. The pattern parts them from a letter or digit before, so a word's end is encoded once for all words.
+MARKS = ".,;:!?*#$%&|()[]{}<>+=@^~/_-\""
 BATCH_BYTES = 2 << 20
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20)}
 COLUMNS = "shard int, seq long, doc_id long, n_tokens int, ids array<int>"
@@ -38,26 +41,45 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet by its rule: bytes that print stand for themselves, the others for the characters from 256 on, in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Texts to little-endian int32 ids."""
+    """Texts to little-endian ids, of two bytes where the vocabulary allows (see kind)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<i4"
         self.newline = self.library.encode("\n", add_special_tokens=False).ids
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.space = np.array(self.library.encode(" ", add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        self.spaced: dict[str, bytes] = {"": self.space}
+        self.bare: dict[str, bytes] = {"": b""}
+        self.spaced_made: list[str] = []
+        self.bare_made: list[str] = []
+        self.ends: dict[str, bytes] = {"": b""}
+        self.letters = _byte_letters()
         self.blanks = re.compile(r"\s\s|[^\S \n]")
-        self.end_line = np.array(self.newline, dtype="<i4").tobytes()
+        self.end_line = np.array(self.newline, dtype=self.kind).tobytes()
 
     def _learn(self, cache: dict, words: set, before: str) -> None:
         """Encodes new words together, each on a line of its own."""
-        words = [w for w in words if w]
+        merge, code = self.library.model.tokenize, "H" if self.kind == "<u2" else "i"
+        for w in words:  # a word of letters is one piece of the pattern: only its merges are left
+            if w.isalpha():
+                piece = before + w
+                piece = piece.replace(" ", self.letters[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                cache[w] = array(code, [t.id for t in merge(piece)]).tobytes()
+        words = [w for w in words if w and not w.isalpha()]
         for lo in range(0, len(words), 5000):
             some = words[lo : lo + 5000]
-            ids = np.array(self.library.encode("\n".join(before + w for w in some), add_special_tokens=False).ids, dtype="<i4")
+            ids = np.array(self.library.encode("\n".join(before + w for w in some), add_special_tokens=False).ids, dtype=self.kind)
             ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
             if len(ends) != len(some):  # a newline's id within a word: never with a byte-level vocabulary
                 raise ValueError("words can't be told apart")
@@ -66,30 +88,64 @@ class Encoder:
                 cache[w] = ids[begin:end].tobytes()
                 begin = end + 1
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _meet(self, known: dict, made: list, new: set, before: str) -> None:
+        """Adds new words: what stands before a word's last marks is encoded, and the marks; both are met again and again."""
+        parted, whole, tails = [], set(), set()
+        for w in new:
+            core = w.rstrip(MARKS)
+            n = len(core)
+            if n == len(w) or not n or not core[-1].isalnum():
+                whole.add(w)
+            else:
+                tail = w[n:]
+                parted.append((w, core, tail))
+                tails.add(tail)
+                if core not in known:
+                    whole.add(core)
+        self._learn(known, whole, before)
+        self._learn(self.ends, tails - self.ends.keys(), "")
+        ends = self.ends
+        for w, core, tail in parted:
+            known[w] = known[core] + ends[tail]
+        made += [w for w, _, _ in parted]
+
+    def _forget(self) -> None:
+        """Keeps a worker's memory bounded: words with marks go first, for they are put together again from what stays."""
         if len(self.spaced) + len(self.bare) > MAX_WORDS:
-            self.spaced, self.bare = {}, {}
-        out: list[bytes | None] = [None] * len(texts)
-        split, spaced, bare = {}, set(), set()
-        for i, text in enumerate(texts):
-            if not self.blanks.search(text) and text:
-                lines = [line.split(" ") for line in text.split("\n")]
-                split[i] = lines
-                for line in lines:
-                    bare.add(line[0])
-                    spaced.update(line[1:])
-        self.spaced.setdefault("", np.array(self.library.encode(" ", add_special_tokens=False).ids, dtype="<i4").tobytes())
-        self.bare.setdefault("", b"")
-        self._learn(self.spaced, spaced - self.spaced.keys(), " ")
-        self._learn(self.bare, bare - self.bare.keys(), "")
+            for known, made in ((self.spaced, self.spaced_made), (self.bare, self.bare_made)):
+                for w in made:
+                    known.pop(w, None)
+                made.clear()
+        if len(self.spaced) + len(self.bare) > MAX_CORES or len(self.ends) > MAX_CORES:
+            self.spaced, self.bare, self.ends = {"": self.space}, {"": b""}, {"": b""}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self._forget()
+        double = lambda t: "  " in t or "\n\n" in t or " \n" in t or "\n " in t
+        split = {i: [line.split(" ") for line in t.split("\n")] for i, t in enumerate(texts) if t and not double(t)}
+        new_spaced, new_bare = self._new(split)
+        if (every := "x".join(new_spaced | new_bare)).split() != [every] and every:  # other blanks than spaces and newlines
+            split = {i: x for i, x in split.items() if not self.blanks.search(texts[i])}
+            new_spaced, new_bare = self._new(split)
+        self._meet(self.spaced, self.spaced_made, new_spaced, " ")
+        self._meet(self.bare, self.bare_made, new_bare, "")
         s, b = self.spaced.__getitem__, self.bare.__getitem__
+        out: list[bytes | None] = [None] * len(texts)
         for i, lines in split.items():
             out[i] = self.end_line.join([b(line[0]) + b"".join(map(s, line[1:])) for line in lines])
         rest = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(rest, self.library.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype="<i4").tobytes()
+            out[i] = np.array(e.ids, dtype=self.kind).tobytes()
         return out
 
+    def _new(self, split: dict) -> tuple[set, set]:
+        spaced, bare = set(), set()
+        for lines in split.values():
+            for line in lines:
+                bare.add(line[0])
+                spaced.update(line[1:])
+        return spaced - self.spaced.keys(), bare - self.bare.keys()
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -98,7 +154,8 @@ def _encode(path: str):
     def run(batches):
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
-        encoder, shard, seq, end = _ENCODERS[path], TaskContext.get().partitionId(), 0, np.array([END], dtype="<i4").tobytes()
+        encoder, shard, seq = _ENCODERS[path], TaskContext.get().partitionId(), 0
+        end = np.array([END], dtype=encoder.kind).tobytes()
         for b in batches:
             lo, texts = 0, [t or "" for t in b.column(1).to_pylist()]
             while lo < len(texts):
@@ -107,8 +164,9 @@ def _encode(path: str):
                     size += len(texts[hi])
                     hi += 1
                 blobs = [x + end for x in encoder.encode(texts[lo:hi])]
-                n = np.array([len(x) // 4 for x in blobs], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), dtype="<i4")))
+                width = np.dtype(encoder.kind).itemsize
+                n = np.array([len(x) // width for x in blobs], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), dtype=encoder.kind).astype(np.int32)))
                 m = hi - lo
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard, np.int32)), pa.array(np.arange(seq, seq + m)), b.column(0).slice(lo, m), pa.array(n), ids], names=["shard", "seq", "doc_id", "n_tokens", "ids"])
                 seq, lo = seq + m, hi

@@ -18,10 +18,11 @@ def reference():
 
 def test_words_encode_as_whole_texts_do(spark, tiny, monkeypatch):
     monkeypatch.setattr(t, "MAX_WORDS", 50)
+    monkeypatch.setattr(t, "MAX_CORES", 80)
     texts = [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()] + [x or "" for x in ODD]
     encoder, want = t.Encoder(t.vocabulary()), reference().encode_batch(texts, add_special_tokens=False)
     got = [x for i in range(0, len(texts), 17) for x in encoder.encode(texts[i : i + 17])]
-    assert got == [np.array(e.ids, dtype="<i4").tobytes() for e in want]
+    assert got == [np.array(e.ids, dtype=encoder.kind).tobytes() for e in want]
 
 
 def brute(docs):
