@@ -4,12 +4,13 @@ How it works, and why nothing is lost:
 
 1. Every text becomes its set of distinct 5-word shingles (64-bit hashes) and a signature of 64 MinHash values
    of 16 bits. Documents with equal sets form a class; only the class's smallest id goes on.
-2. The first 32 values are split into 8 chunks of 4. Two signatures that differ in at most 15 of the 32 values differ
-   in at most 1 value in some chunk (pigeonhole), so they agree on 3 values of it: each chunk is indexed under its
-   4 leave-one-out keys (the allowed chunk errors, enumerated). At a likeness of 0.85 a pair stays within 15 errors but for
-   about 3 in a million.
+2. The first values are split into chunks. Each chunk is indexed under its leave-one-out keys (the allowed chunk errors,
+   enumerated), so a pair meets if it differs in at most 1 value in some chunk. At 0.85 there are 8 chunks of 4: at most 15
+   errors of 32 are always within (pigeonhole).
 3. Members of a key are compared by the whole signature in bounded blocks, and only a spanning forest of the pairs
-   within 25 errors of 64 leaves a task: at most one edge for each member, however large the group is.
+   within a number of errors of 64 leaves a task (25 at 0.85): at most one edge for each member, however large the group is.
+   Chunks and errors follow from the percentage asked for (layout): a pair that is just alike enough is lost by the index,
+   and by the errors, in at most 1 of a million cases each. A percentage that 64 values can't serve is an error.
 4. Components of those edges are clusters; every true link lies inside one. Each cluster's full shingle sets are compared in
    bounded blocks of members, exactly, and again a spanning forest of the confirmed links leaves each task. Their components
    are the result.
@@ -23,6 +24,8 @@ repeats with other texts stands for all of them. A null doc_id never links: its
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, chunks, components, cut, mix, prefix_hashes, small, span_hashes, words
 
 SHINGLE = 5
-VALUES, INDEXED, CHUNK = 64, 32, 4
-MAX_ERRORS = 25  # of VALUES, within a cluster; the index guarantees 15 of INDEXED
+VALUES, LEAST_CHUNKS = 64, 8
+MISS = 1e-6  # share of the pairs just alike enough that the index, and the bound of errors, may lose
 SMALL = 1_000_000  # rows of ids (16 bytes each) or signatures (136 bytes each) up to which a counted table is broadcast
 BLOCK = 512  # members of a key or a cluster that meet in one task, at most two blocks at a time
 
@@ -84,21 +87,42 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), as_long(one), as_long(two), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set1", "set2", "sig"])
 
 
-def _keys(batches):
-    """Leave-one-out keys of each chunk of the signature."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 4096):
-            part = b.slice(lo, 4096)
-            sig = np.stack([np.frombuffer(x, dtype=np.uint16)[:INDEXED] for x in part.column(1).to_pylist()]).astype(np.uint64)
-            keys = []
-            for c in range(0, INDEXED, CHUNK):
-                for skip in range(CHUNK):
-                    key = np.full(len(sig), c * CHUNK + skip + 1, dtype=np.uint64)
-                    for i in range(CHUNK):
-                        if i != skip:
-                            key = (key << np.uint64(16)) ^ sig[:, c + i] ^ (key >> np.uint64(48))
-                    keys.append(mix(key * np.uint64(0x2545F4914F6CDD1D) + np.uint64(c * CHUNK + skip)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(part.column(0).to_numpy(), len(keys)))], names=["key", "doc_id"])
+def layout(percent: int) -> tuple[int, int, int]:
+    """Chunks of the index, values of a chunk, and errors of VALUES within which a pair is a candidate."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is {percent}")
+    p = percent / 100
+    tail, errors = 1 - p**VALUES, 0
+    while tail > MISS:
+        errors += 1
+        tail = sum(comb(VALUES, i) * (1 - p) ** i * p ** (VALUES - i) for i in range(errors + 1, VALUES + 1))
+    for size in (4, 3):  # keys of fewer than two values would be shared by chance
+        miss = 1 - p**size - size * (1 - p) * p ** (size - 1)  # of a chunk: two errors or more
+        for n in range(LEAST_CHUNKS, VALUES // size + 1):
+            if miss**n <= MISS:
+                return n, size, errors
+    raise ValueError(f"{VALUES} values can't find pairs that share {percent} %")
+
+
+def _keys(chunks_: int, chunk: int):
+    def run(batches):
+        """Leave-one-out keys of each chunk of the signature."""
+        indexed = chunks_ * chunk
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                sig = np.stack([np.frombuffer(x, dtype=np.uint16)[:indexed] for x in part.column(1).to_pylist()]).astype(np.uint64)
+                keys = []
+                for c in range(0, indexed, chunk):
+                    for skip in range(chunk):
+                        key = np.full(len(sig), c * chunk + skip + 1, dtype=np.uint64)
+                        for i in range(chunk):
+                            if i != skip:
+                                key = (key << np.uint64(16)) ^ sig[:, c + i] ^ (key >> np.uint64(48))
+                        keys.append(mix(key * np.uint64(0x2545F4914F6CDD1D) + np.uint64(c * chunk + skip)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(part.column(0).to_numpy(), len(keys)))], names=["key", "doc_id"])
+
+    return run
 
 
 def _forest(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
@@ -122,13 +146,16 @@ def _edges(edges) -> pa.Table:
     return pa.table({"a": a[:, 0], "b": a[:, 1]})
 
 
-def _near_signatures(t: pa.Table) -> pa.Table:
-    ids = t.column("doc_id").to_numpy()
-    sig = np.stack([np.frombuffer(x, dtype=np.uint16) for x in t.column("sig").to_pylist()])
-    near = np.zeros((len(ids), len(ids)), dtype=bool)
-    for i in range(len(ids)):
-        near[i] = (sig != sig[i]).sum(axis=1) <= MAX_ERRORS
-    return _edges(_forest(ids, near))
+def _near_signatures(errors: int):
+    def run(t: pa.Table) -> pa.Table:
+        ids = t.column("doc_id").to_numpy()
+        sig = np.stack([np.frombuffer(x, dtype=np.uint16) for x in t.column("sig").to_pylist()])
+        near = np.zeros((len(ids), len(ids)), dtype=bool)
+        for i in range(len(ids)):
+            near[i] = (sig != sig[i]).sum(axis=1) <= errors
+        return _edges(_forest(ids, near))
+
+    return run
 
 
 def _linked(percent: int):
@@ -168,6 +195,7 @@ def _in_blocks(members: DataFrame, group: str, size: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept. percent: of the union that two sets must share."""
+    n, size, errors = layout(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(docs.mapInArrow(_sign, SIGNED))
     light = signed.select("doc_id", "n_shingles", "set1", "set2")
@@ -175,10 +203,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"))
     # an id may have several texts; it then stands for all of them
     reps = cut(some.select("doc_id", "set1", "set2", "sig").join(classes, ["set1", "set2"]).where("doc_id = rep").select("doc_id", "sig").distinct())
-    keys = reps.mapInArrow(_keys, "key long, doc_id long")
+    keys = reps.mapInArrow(_keys(n, size), "key long, doc_id long")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = _in_blocks(keys.join(shared, "key"), "key", "size").join(small(reps, SMALL), "doc_id")
-    near = met.select("key", "x", "y", "doc_id", "sig").groupBy("key", "x", "y").applyInArrow(_near_signatures, "a long, b long").distinct()
+    near = met.select("key", "x", "y", "doc_id", "sig").groupBy("key", "x", "y").applyInArrow(_near_signatures(errors), "a long, b long").distinct()
     clusters = cut(components(near).withColumnsRenamed({"node": "doc_id", "label": "cluster"}))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     sets = docs.join(small(clusters, SMALL), "doc_id").select("doc_id", "cluster", "text").mapInArrow(_shingles, "doc_id long, cluster long, shingles binary")

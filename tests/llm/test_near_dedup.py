@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from sensorspark.llm import near_dedup
 
 from . import brute
@@ -44,3 +46,29 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.near_duplicates(df).collect())
     assert got == [(-1, -1, True), (2, 2, True), (3, 2, False), (3, 2, False), (3, 2, False), (5, 2, False)]
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def shared(r, n, m, start):
+    """Texts of n + m shingles each, the first n of them in both."""
+    words = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    base = words(n + 4)
+    return [(start + i, " ".join(base + words(m))) for i in range(2)]
+
+
+def test_the_index_follows_the_percentage(spark):
+    r = random.Random(8)
+    for percent, n, m in ((80, 81, 9), (50, 60, 28)):  # likenesses of 0.82 and 0.52
+        docs = [d for i in range(150) for d in shared(r, n, m, 2 * i)]
+        df = spark.createDataFrame([(*d, 1, "k", 2) for d in docs], SCHEMA)
+        got = rows(near_dedup.near_duplicates(df, percent=percent))
+        assert got == brute.near_duplicates(docs, percent) and sum(not k for _, _, k in got.values()) == 150
+    assert near_dedup.layout(85) == (8, 4, 25)
+    for percent in (0, 30, 101):
+        with pytest.raises(ValueError):
+            near_dedup.near_duplicates(df, percent=percent)
+
+
+def test_near_copies_from_80_per_cent_leave_one(spark):
+    docs = [d for i in range(20) for d in shared(random.Random(i), 81, 9, 2 * i)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df, percent=80).collect()) == list(range(0, 40, 2))
