@@ -1,6 +1,6 @@
 """A training corpus from raw documents: quality, near-dedup, decontamination, mixing, token files.
 
-Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns; the last returns, from the files it wrote, each
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their columns (mixing adds weight, which the token files keep); the last returns, from the files it wrote, each
 document's place and checksum. Stages are written as Parquet in between.
 """
 
@@ -38,8 +38,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the tempered shares of sources, languages and topics."""
-    return mixing.sample(docs)
+    """Documents sampled to the tempered shares of sources, languages and topics; weight says how often each counts."""
+    return mixing.weighted(docs)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,19 +73,36 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     return cells
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, source, lang, topic, n_tokens, probability, weight, kept. docs needs source, lang and tokens and topic columns or text."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(F.col(m).cast("string"), F.lit("?")).alias(m) for m in MARGINS[:2]], topic(F.col("text")).alias("topic"), tokens(F.col("text")).alias("n_tokens"))
-    cells = cut(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+def _drawn(docs: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """Rows of _id, _source, _lang, text and other columns with _topic, _n, _p, _w and _kept, unrounded."""
+    cell = [f"_{m}" for m in MARGINS]
+    docs = docs.withColumns({"_topic": topic(F.col("text")), "_n": tokens(F.col("text"))})
+    cells = cut(docs.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_n").alias("tokens")))
     fitted = rake(cells, targets or {m: tempered(cells, m) for m in MARGINS})
-    factors = fitted.select(*MARGINS, F.coalesce(F.try_divide("fitted", "tokens"), F.lit(1.0)).alias("r"))
-    drawn = docs.join(factors, list(MARGINS), "left").withColumn("probability", F.least(F.lit(1.0), F.col("r")))
-    u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|" + SEED))), 1, 13), 16, 10).cast("double") / float(16**13)
-    return drawn.select("doc_id", *MARGINS, "n_tokens", F.round("probability", 6).alias("probability"), F.round(F.coalesce(F.try_divide("r", "probability"), F.lit(0.0)), 6).alias("weight"), (u < F.col("probability")).alias("kept"))
+    factors = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.coalesce(F.try_divide("fitted", "tokens"), F.lit(1.0)).alias("_r"))
+    drawn = docs.join(factors, cell, "left").withColumn("_p", F.least(F.lit(1.0), F.col("_r")))
+    u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit("|" + SEED))), 1, 13), 16, 10).cast("double") / float(16**13)
+    return drawn.withColumns({"_w": F.coalesce(F.try_divide("_r", "_p"), F.lit(0.0)), "_kept": u < F.col("_p")})
+
+
+def _values() -> dict[str, Column]:
+    return {f"_{m}": F.coalesce(F.col(m).cast("string"), F.lit("?")) for m in MARGINS[:2]}
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id") -> DataFrame:
+    """One row for each row of docs: doc_id, source, lang, topic, n_tokens, probability, weight, kept. docs needs source, lang and text."""
+    drawn = _drawn(docs.select(F.col(id_col).alias("_id"), *[v.alias(k) for k, v in _values().items()], "text"), targets)
+    return drawn.select(F.col("_id").alias("doc_id"), *[F.col(f"_{m}").alias(m) for m in MARGINS], F.col("_n").alias("n_tokens"), F.round("_p", 6).alias("probability"), F.round("_w", 6).alias("weight"), F.col("_kept").alias("kept"))
+
+
+def weighted(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the default mixture keeps; all their columns, and weight: how often a row's tokens count, so that the targets hold."""
+    drawn = _drawn(docs.withColumns({"_id": F.col("doc_id"), **_values()}), None)
+    return drawn.where("_kept").select(*[c for c in docs.columns if c != "weight"], F.col("_w").alias("weight"))
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the default mixture keeps; all their columns."""
+    """The rows of docs that the default mixture keeps; all their columns. Without the weights of weighted() they don't have the targets' shares."""
     drawn = mix(docs).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
     drawn = small(cut(drawn), SMALL)
     return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]), "left_anti")

@@ -2,7 +2,7 @@
 
 Documents are dealt out by ranges of doc_id and sorted, so files, stripes and rows are in ascending order; a reader that asks for ids or a range of
 them skips files, stripes and row groups by their statistics and Bloom filters, and stripes are read in parallel. A row holds its
-shard (file), seq (place in it), doc_id, n_tokens and ids with the end id.
+shard (file), seq (place in it), doc_id, n_tokens and ids with the end id; and weight, how often a reader counts it, where the documents have one.
 
 Encoding is the tokenizers library's. Its pattern never joins a space or a newline to what stands before, so a text without two blanks in a
 row falls into words that can be encoded by themselves; each worker keeps the words it has met (up to MAX_WORDS and MAX_CORES, then it begins anew). Other texts are
@@ -32,6 +32,7 @@ MAX_WORDS, MAX_CORES = 900_000, 700_000
 MARKS = ".,;:!?*#$%&|()[]{}<>+=@^~/_-\""
 BATCH_BYTES = 2 << 20
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20)}
+WEIGHT = ", weight double"  # of docs that have one, at the end of a row
 COLUMNS = "shard int, seq long, doc_id long, n_tokens int, ids array<int>"
 
 
@@ -168,7 +169,8 @@ def _encode(path: str):
                 n = np.array([len(x) // width for x in blobs], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), dtype=encoder.kind).astype(np.int32)))
                 m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard, np.int32)), pa.array(np.arange(seq, seq + m)), b.column(0).slice(lo, m), pa.array(n), ids], names=["shard", "seq", "doc_id", "n_tokens", "ids"])
+                more = [x.slice(lo, m) for x in b.columns[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard, np.int32)), pa.array(np.arange(seq, seq + m)), b.column(0).slice(lo, m), pa.array(n), ids, *more], names=["shard", "seq", "doc_id", "n_tokens", "ids", "weight"][: 5 + len(more)])
                 seq, lo = seq + m, hi
 
     return run
@@ -176,13 +178,14 @@ def _encode(path: str):
 
 def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text and writes ORC files under path, in ascending doc_id."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    weighted = "weight" in docs.columns
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col("weight").cast("double")] if weighted else []))
     dealt = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", F.length("text")).sortWithinPartitions("doc_id", F.length("text"), "text")
-    dealt.mapInArrow(_encode(vocabulary_path or vocabulary()), COLUMNS).write.options(**OPTIONS).orc(path)
+    dealt.mapInArrow(_encode(vocabulary_path or vocabulary()), COLUMNS + WEIGHT * weighted).write.options(**OPTIONS).orc(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COLUMNS).orc(path)
+def read(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
+    return spark.read.schema(COLUMNS + WEIGHT * weighted).orc(path)
 
 
 def _sums(batches):

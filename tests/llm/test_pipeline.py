@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from sensorspark.llm import mixing, near_dedup
+from sensorspark.llm import mixing, near_dedup, token_files
 
 from . import brute
 from .test_token_files import brute as token_rows
@@ -29,3 +31,21 @@ def test_repeated_rows_leave_one(spark):
     t = "a b c d e f g"
     df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (3, None), (3, None)], "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in near_dedup.drop_near_duplicates(df).collect()) == [0, 1, 3]
+
+
+def test_the_mixing_stage_has_the_raked_shares(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "").cache()
+    given = docs.withColumns({"topic": mixing.topic(F.col("text")), "n": mixing.tokens(F.col("text"))}).cache()
+    made = out.withColumns({"topic": mixing.topic(F.col("text")), "n": mixing.tokens(F.col("text"))})
+    for m in mixing.MARGINS:
+        want = {r[0]: r.n**mixing.TEMPER for r in given.groupBy(m).agg(F.sum("n").alias("n")).collect()}
+        rows = made.groupBy(m).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("w")).collect()
+        all_w, all_n, all_t = sum(r.w for r in rows), sum(r.n for r in rows), sum(want.values())
+        for r in rows:
+            print(m, r[0], f"target {want[r[0]] / all_t:.4f} weighted {r.w / all_w:.4f} unweighted {r.n / all_n:.4f}")
+            assert abs(r.w / all_w - want[r[0]] / all_t) < 0.01
+    path = f"file://{tmp_path}/x.orc"
+    some = out.orderBy("doc_id").limit(50).cache()
+    token_files.write(some, path)
+    assert sorted((r.doc_id, r.weight) for r in token_files.read(spark, path, weighted=True).collect()) == sorted((r.doc_id, r.weight) for r in some.collect())
