@@ -2,13 +2,14 @@
 
 1. Each host's page with the smallest (page_id, html) is its pivot.
 2. Every page's tree of blocks is aligned with its pivot's by simple tree matching: the largest set of pairs of nodes with
-   equal labels that keeps order and ancestry. For each pivot node, sums over all pages of the host say how often it matched, how often its text was the
-   pivot's (constant nodes are template) and how many characters varied (slots).
-3. The wrapper of a host is its content slot (the deepest node that holds most of the varying text outside marked surroundings, an article or main element if
-   there is one) and its constant nodes. Every page is aligned again, and the text in its slot is its content.
+   equal labels that keeps order and ancestry. For each pivot node, sums over the distinct pages of the host say how often it matched, how often its text was the
+   pivot's (constant nodes are template) and how many characters varied (slots; text in nodes that the pivot lacks counts at their matched ancestor).
+3. The wrapper of a host is its content slot (the deepest node that holds all the varying text outside marked surroundings, an article or main element if
+   it does) and its constant nodes. Every page is aligned again, and the text in its slot is its content, without template nodes whose text is the
+   pivot's on this page too. A page of which nothing would be left keeps them.
 
-Sums are combined before they are shuffled, so a host may hold any share of the pages. Pages never leave the task that reads them:
-pivots and wrappers of at most BROADCAST_HOSTS hosts (counted) are broadcast, more are joined by shuffle.
+A row of numbers a distinct page is shuffled, by host and page, and sums are combined before they are, so a host may hold any share of the pages. Pages never leave the
+task that reads them: pivots and wrappers of at most BROADCAST_HOSTS hosts (counted) are broadcast, more are joined by shuffle.
 
 What standard markup calls surroundings (nav, header, footer, aside, form ... and class, id or role names such as ad, menu, comments, sidebar,
 notice) is never content. Constant nodes inside an article stay: copies of one page may make up a host. A page
@@ -33,7 +34,7 @@ from .html_blocks import blocks
 
 BROADCAST_HOSTS = 5_000
 LEAST_PAGES = 5  # of a host, before a constant node is template
-CONSTANT, MOST = 0.6, 0.6
+CONSTANT = 0.6
 
 
 def _children(labels: tuple) -> list[list[int]]:
@@ -107,25 +108,42 @@ def _skeletons(batches):
 
 
 def _measure(batches):
-    """host, node, label, parent, pages, same, varied: sums over a batch."""
+    """host, page (a hash), seen: for each pivot node -1, or twice the characters that varied and 1 if its text was the pivot's."""
     for b in batches:
-        sums: dict[tuple, list[int]] = {}
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
-            for host, html, skeleton in zip(*[c.to_pylist() for c in part.columns], strict=True):
+            hosts, hashes, rows = part.column(0), [], []
+            for html, skeleton in zip(*[c.to_pylist() for c in part.columns[1:]], strict=True):
                 found, nodes = blocks(html or "")
                 pivot, theirs = _pivot(skeleton)
                 to = align(tuple((p, t) for p, t, _ in nodes), pivot)
                 mine, length = _texts(found, len(nodes)), [0] * len(nodes)
                 for node, text in found:
                     length[node] += len(text)
-                for i, (_, _, aside) in enumerate(nodes):
+                seen, near = [-1] * len(pivot), list(to)
+                for i, (p, _, aside) in enumerate(nodes):
                     if (j := to[i]) >= 0:
-                        s = sums.setdefault((host, j), [0, 0, 0])
-                        s[0] += 1
                         same = mine[i] == theirs[j]
-                        s[1] += same
-                        s[2] += 0 if same or aside else length[i]
+                        seen[j] = same + (0 if same or aside else 2 * length[i])
+                    else:
+                        near[i] = near[p]
+                        seen[near[i]] += 0 if aside else 2 * length[i]
+                hashes.append(hashlib.blake2b((html or "").encode(), digest_size=16).digest())
+                rows.append(seen)
+            yield pa.RecordBatch.from_arrays([hosts, pa.array(hashes, pa.binary()), pa.array(rows, pa.list_(pa.int32()))], names=["host", "page", "seen"])
+
+
+def _add(batches):
+    """host, node, pages, same, varied: sums over a batch."""
+    for b in batches:
+        sums: dict[tuple, list[int]] = {}
+        for host, seen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for j, x in enumerate(seen):
+                if x >= 0:
+                    s = sums.setdefault((host, j), [0, 0, 0])
+                    s[0] += 1
+                    s[1] += x & 1
+                    s[2] += x >> 1
         keys = list(sums)
         cols = [[k[0] for k in keys], [k[1] for k in keys], *[[sums[k][c] for k in keys] for c in range(3)]]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=["host", "node", "pages", "same", "varied"])
@@ -145,24 +163,27 @@ def wrapper(tree: tuple, sums: list) -> tuple[int, frozenset]:
     while whole[slot]:
         if tree[slot][1].split(" ")[0] in ("article", "main"):
             return slot, template
-        down = [k for k in kids[slot] if kids[k] and whole[k] >= MOST * whole[slot]]
+        down = [k for k in kids[slot] if kids[k] and whole[k] == whole[slot]]
         if not down:
             break
         slot = down[0]
     return (slot if whole[slot] else -1), template
 
 
-def content(html: str, tree: tuple | None, slot: int, template: frozenset) -> str:
+def content(html: str, tree: tuple | None, slot: int, template: dict) -> str:
     found, nodes = blocks(html)
     inside = [False] * len(nodes)
     articles = [False] * len(nodes)
     to = align(tuple((p, t) for p, t, _ in nodes), tree) if tree else (-1,) * len(nodes)
+    mine = _texts(found, len(nodes)) if template else []
     for i, (p, label, _) in enumerate(nodes):
         articles[i] = label.split(" ")[0] in ("article", "main") or (p >= 0 and articles[p])
         inside[i] = (slot >= 0 and to[i] == slot) or (p >= 0 and inside[p])
     if not any(inside[node] and not nodes[node][2] for node, _ in found):
         inside = articles if any(articles) else [True] * len(nodes)
-    return "\n".join(t for node, t in found if inside[node] and not nodes[node][2] and (articles[node] or to[node] not in template))
+    held = [(node, t) for node, t in found if inside[node] and not nodes[node][2]]
+    own = [t for node, t in held if articles[node] or to[node] not in template or template[to[node]] != mine[node]]
+    return "\n".join(own or [t for _, t in held])
 
 
 def _extract(batches):
@@ -171,23 +192,23 @@ def _extract(batches):
             part = b.slice(lo, 256)
             texts = []
             for html, made in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                texts.append(content(html or "", *(_wrapper(made) if made else (None, -1, frozenset()))))
+                texts.append(content(html or "", *(_wrapper(made) if made else (None, -1, {}))))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 @lru_cache(BROADCAST_HOSTS)
 def _wrapper(made: str) -> tuple:
     tree, slot, template = json.loads(made)
-    return tuple((p, t) for p, t in tree), slot, frozenset(template)
+    return tuple((p, t) for p, t in tree), slot, dict(template)
 
 
 def _induce(batches):
     for b in batches:
         out = []
         for skeleton, sums in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            tree = _pivot(skeleton)[0]
+            tree, texts = _pivot(skeleton)
             slot, template = wrapper(tree, [(s["node"], s["pages"], s["same"], s["varied"]) for s in sums])
-            out.append(json.dumps([tree, slot, sorted(template)]))
+            out.append(json.dumps([tree, slot, [(i, texts[i]) for i in sorted(template)]]))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["host", "wrapper"])
 
 
@@ -197,7 +218,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     pivots = cut(pivots.mapInArrow(_skeletons, "host string, skeleton string"))
     few = pivots.count() <= BROADCAST_HOSTS
     met = pages.join(F.broadcast(pivots) if few else pivots, "host").select("host", "html", "skeleton")
-    sums = met.mapInArrow(_measure, "host string, node int, pages long, same long, varied long").groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "varied")])
+    seen = met.mapInArrow(_measure, "host string, page binary, seen array<int>").groupBy("host", "page").agg(F.first("seen").alias("seen"))
+    sums = seen.select("host", "seen").mapInArrow(_add, "host string, node int, pages long, same long, varied long").groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "varied")])
     sums = sums.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same", "varied"))).alias("sums"))  # as many as the pivot has nodes
     return pivots.join(sums, "host").select("host", "skeleton", "sums").mapInArrow(_induce, "host string, wrapper string")
 

@@ -29,6 +29,25 @@ def test_a_wrapper_finds_the_slot_of_pages_without_article(spark):
     assert got == {i: f"n{i}\nStory n{i} tells & tells\nand more n{i}" for i in range(9)}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<body><div class=top><p>House</p></div><div class=content><p>Story {0}</p></div></body>"
+    for others in (3, 6):
+        pages = [(i, f"http://a.com/{i}", page.format("same" if i < 9 else f"of {i}")) for i in range(9 + others)]
+        got = extract(spark, pages)
+        assert all(("Story same" if i < 9 else f"Story of {i}") in got[i].split("\n") for i in got)
+    close = "<body><div class=content><p>Story</p></div><div class=at><p>{0}</p></div></body>"  # distinct, but of one text but for a few
+    got = extract(spark, [(i, f"http://a.com/{i}", close.format(i).replace("Story", "Story" if i < 8 else f"Other {i}")) for i in range(10)])
+    assert got[8].startswith("Other 8") and got[9].startswith("Other 9") and all(got.values())
+
+
+def test_a_second_container_is_content(spark):
+    page = "<body><div class=x1><p>House</p></div><div class=part><p>{0} first first first first</p></div>{1}</body>"
+    second = "<div class=rest><p>{0} second second</p></div>"
+    for first in (0, 3):  # the pivot may lack the second part
+        got = extract(spark, [(i, f"http://a.com/{i}", page.format(f"n{i}", second.format(f"m{i}") if i >= first else "")) for i in range(9)])
+        assert got == {i: f"n{i} first first first first" + (f"\nm{i} second second" if i >= first else "") for i in range(9)}
+
+
 def test_edge_cases(spark):
     page = "<article><header>H</header><h1>T</h1><p>a<br>b &lt;c&gt; &#233;<div class=ad>x</div><script>var a='<p>no</p>'</script><p>z</article><aside>s</aside>"
     got = extract(spark, [(1, None, None), (2, "u", ""), (3, "http://b.com", page), (4, "http://b.com", page), (5, "http://c.com/", "plain text, <p unclosed"), (6, "http://d.com", "<p>" + "w " * 200_000), (None, "http://b.com", page)])
