@@ -1,12 +1,13 @@
 """Token ids as ORC files: integer run-length encoding, row indexes and Bloom filters on document ids.
 
 Documents are dealt out by ranges of doc_id and sorted, so files, stripes and rows are in ascending order; a reader that asks for ids or a range of
-them skips files, stripes and row groups by their statistics and Bloom filters, and stripes are read in parallel. A row holds its
+them (see lookup) skips files, stripes and row groups by their statistics and Bloom filters, and stripes are read in parallel. A row holds its
 shard (file), seq (place in it), doc_id, n_tokens and ids with the end id; and weight, how often a reader counts it, where the documents have one.
 
-Encoding is the tokenizers library's. Its pattern never joins a space or a newline to what stands before, so a text without two blanks in a
-row falls into words that can be encoded by themselves; each worker keeps the words it has met (up to MAX_WORDS and MAX_CORES, then it begins anew). Other texts are
-encoded as they are. Strings of special tokens count as ordinary text.
+Ids are those of the library's encode(text, add_special_tokens=False), special tokens' strings included. Words come again and again, so each worker keeps
+the ids of the words it has met, in arrays of at most TABLE_BYTES. Texts are cut to words only where the vocabulary's file says that words can be encoded by
+themselves (no normaliser, byte-level pieces by the usual pattern, plain merges), and never if they hold an added token's string or unusual white space:
+other texts and other vocabularies are encoded whole.
 
 Defined results: null and empty texts are the end id alone. A null doc_id comes first; repeated ids follow each other in the order of their texts, one row
 each. An empty table gives no rows. Extra columns are ignored.
@@ -14,9 +15,10 @@ each. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shuffle_partitions
+from .common import chunks, fresh_path, prefix_hashes, shuffle_partitions, span_hashes
 
 END = 0
-MAX_WORDS, MAX_CORES = 900_000, 700_000
-#: Marks that may end a word. The pattern parts them from a letter or digit before, so a word's end is encoded once for all words.
-MARKS = ".,;:!?*#$%&|()[]{}<>+=@^~/_-\""
-BATCH_BYTES = 2 << 20
+TABLE_BYTES = 64 << 20  # of a worker's known words; beyond it the worker begins anew
+WORD_BYTES = 48  # longer pieces aren't kept
+BATCH_BYTES = 3 << 20
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000", "orc.stripe.size": str(16 << 20)}
 WEIGHT = ", weight double"  # of docs that have one, at the end of a row
 COLUMNS = "shard int, seq long, doc_id long, n_tokens int, ids array<int>"
@@ -42,110 +43,196 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[int, str]:
+def _flags(*parts) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    for p in parts:
+        out[list(p)] = True
+    return out
+
+
+_BLANK = _flags(range(9, 14), [32])
+_ALNUM = _flags(range(48, 58), range(65, 91), range(97, 123))
+_DIGIT = _flags(range(48, 58))
+_LETTER = _ALNUM & ~_DIGIT
+_MARK = _flags(range(33, 127)) & ~_ALNUM & ~_flags(b"'")
+_ACCENTED = _flags(range(0x80, 0xC0)) & ~_flags([0x97, 0xB7])  # second bytes after C3: letters but for the two signs
+_ODD_LEAD = _flags(range(28, 32), [0xC2, 0xE1, 0xE2, 0xE3])
+#: White space beyond ASCII, and four separators that not every matcher takes for it.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _spelling() -> np.ndarray:
     """The byte-level alphabet by its rule: bytes that print stand for themselves, the others for the characters from 256 on, in order."""
     prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in prints]
-    return {b: chr(256 + i) for i, b in enumerate(rest)}
+    rest = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in prints)}
+    return np.array([rest.get(b, b) for b in range(256)], dtype="<u2")
+
+
+_SPELLING = _spelling()
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each run, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Words:
+    """Known words and their ids: flat arrays, found by hash (open addressing) and compared by bytes."""
+
+    def __init__(self):
+        self.hash, self.slots = np.zeros(0, np.uint64), np.full(1 << 16, -1, np.int32)
+        self.data, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.int32)
+        self.at, self.size, self.first, self.n = (np.zeros(0, np.int32) for _ in range(4))  # bytes from, how many; ids from, how many
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values())
+
+    def find(self, h: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entries of words given by hash and bytes, or -1."""
+        out, left = np.full(len(h), -1, np.int32), np.arange(len(h))
+        mask = np.uint64(len(self.slots) - 1)
+        slot = h & mask
+        while len(left):
+            entry = self.slots[slot]
+            hit = (entry >= 0) & (self.hash[entry] == h[left]) if len(self.hash) else np.zeros(len(left), bool)
+            out[left[hit]] = entry[hit]
+            on = (entry >= 0) & ~hit
+            left, slot = left[on], (slot[on] + np.uint64(1)) & mask
+        met = np.flatnonzero(out >= 0)
+        entry = out[met]
+        met, entry, wrong = met[same := self.size[entry] == size[met]], entry[same], met[~same]
+        unlike = self.data[_ragged(self.at[entry], self.size[entry])] != data[_ragged(at[met], size[met])]
+        if unlike.any():
+            wrong = np.append(wrong, met[np.unique(np.repeat(np.arange(len(met)), size[met])[unlike])])
+        out[wrong] = -1
+        return out
+
+    def add(self, h: np.ndarray, data: np.ndarray, size: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """New words: hashes, their bytes in a row and how many each, their ids in a row and how many each."""
+        old = len(self.hash)
+        self.at = np.append(self.at, (len(self.data) + np.cumsum(size) - size).astype(np.int32))
+        self.first = np.append(self.first, (len(self.ids) + np.cumsum(n) - n).astype(np.int32))
+        self.hash, self.data, self.ids = np.append(self.hash, h), np.append(self.data, data), np.append(self.ids, ids.astype(np.int32))
+        self.size, self.n = np.append(self.size, size.astype(np.int32)), np.append(self.n, n.astype(np.int32))
+        if 2 * len(self.hash) > len(self.slots):
+            self.slots, old = np.full(1 << int(4 * len(self.hash) - 1).bit_length(), -1, np.int32), 0
+        mask = np.uint64(len(self.slots) - 1)
+        left = np.arange(old, len(self.hash), dtype=np.int32)
+        slot = self.hash[left] & mask
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]  # of several for a slot one stays
+            on = self.slots[slot] != left
+            left, slot = left[on], (slot[on] + np.uint64(1)) & mask
 
 
 class Encoder:
-    """Texts to little-endian ids, of two bytes where the vocabulary allows (see kind)."""
+    """Texts to ids, as the library's encode gives them."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<i4"
-        self.newline = self.library.encode("\n", add_special_tokens=False).ids
-        self.space = np.array(self.library.encode(" ", add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        self.spaced: dict[str, bytes] = {"": self.space}
-        self.bare: dict[str, bytes] = {"": b""}
-        self.spaced_made: list[str] = []
-        self.bare_made: list[str] = []
-        self.ends: dict[str, bytes] = {"": b""}
-        self.letters = _byte_letters()
-        self.blanks = re.compile(r"\s\s|[^\S \n]")
-        self.end_line = np.array(self.newline, dtype=self.kind).tobytes()
-
-    def _learn(self, cache: dict, words: set, before: str) -> None:
-        """Encodes new words together, each on a line of its own."""
-        merge, code = self.library.model.tokenize, "H" if self.kind == "<u2" else "i"
-        for w in words:  # a word of letters is one piece of the pattern: only its merges are left
-            if w.isalpha():
-                piece = before + w
-                piece = piece.replace(" ", self.letters[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                cache[w] = array(code, [t.id for t in merge(piece)]).tobytes()
-        words = [w for w in words if w and not w.isalpha()]
-        for lo in range(0, len(words), 5000):
-            some = words[lo : lo + 5000]
-            ids = np.array(self.library.encode("\n".join(before + w for w in some), add_special_tokens=False).ids, dtype=self.kind)
-            ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
-            if len(ends) != len(some):  # a newline's id within a word: never with a byte-level vocabulary
-                raise ValueError("words can't be told apart")
-            begin = 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                cache[w] = ids[begin:end].tobytes()
-                begin = end + 1
-
-    def _meet(self, known: dict, made: list, new: set, before: str) -> None:
-        """Adds new words: what stands before a word's last marks is encoded, and the marks; both are met again and again."""
-        parted, whole, tails = [], set(), set()
-        for w in new:
-            core = w.rstrip(MARKS)
-            n = len(core)
-            if n == len(w) or not n or not core[-1].isalnum():
-                whole.add(w)
-            else:
-                tail = w[n:]
-                parted.append((w, core, tail))
-                tails.add(tail)
-                if core not in known:
-                    whole.add(core)
-        self._learn(known, whole, before)
-        self._learn(self.ends, tails - self.ends.keys(), "")
-        ends = self.ends
-        for w, core, tail in parted:
-            known[w] = known[core] + ends[tail]
-        made += [w for w, _, _ in parted]
-
-    def _forget(self) -> None:
-        """Keeps a worker's memory bounded: words with marks go first, for they are put together again from what stays."""
-        if len(self.spaced) + len(self.bare) > MAX_WORDS:
-            for known, made in ((self.spaced, self.spaced_made), (self.bare, self.bare_made)):
-                for w in made:
-                    known.pop(w, None)
-                made.clear()
-        if len(self.spaced) + len(self.bare) > MAX_CORES or len(self.ends) > MAX_CORES:
-            self.spaced, self.bare, self.ends = {"": self.space}, {"": b""}, {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self._forget()
-        double = lambda t: "  " in t or "\n\n" in t or " \n" in t or "\n " in t
-        split = {i: [line.split(" ") for line in t.split("\n")] for i, t in enumerate(texts) if t and not double(t)}
-        new_spaced, new_bare = self._new(split)
-        if (every := "x".join(new_spaced | new_bare)).split() != [every] and every:  # other blanks than spaces and newlines
-            split = {i: x for i, x in split.items() if not self.blanks.search(texts[i])}
-            new_spaced, new_bare = self._new(split)
-        self._meet(self.spaced, self.spaced_made, new_spaced, " ")
-        self._meet(self.bare, self.bare_made, new_bare, "")
-        s, b = self.spaced.__getitem__, self.bare.__getitem__
-        out: list[bytes | None] = [None] * len(texts)
-        for i, lines in split.items():
-            out[i] = self.end_line.join([b(line[0]) + b"".join(map(s, line[1:])) for line in lines])
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.library.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype=self.kind).tobytes()
-        return out
-
-    def _new(self, split: dict) -> tuple[set, set]:
-        spaced, bare = set(), set()
-        for lines in split.values():
-            for line in lines:
-                bare.add(line[0])
-                spaced.update(line[1:])
-        return spaced - self.spaced.keys(), bare - self.bare.keys()
+        self.library.no_truncation()
+        self.library.no_padding()
+        spec = json.loads(self.library.to_str())
+        pieces, model = spec["pre_tokenizer"] or {}, spec["model"]
+        unusual = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback", "fuse_unk")
+        #: Whether words can be encoded by themselves.
+        self.by_words = spec["normalizer"] is None and pieces.get("type") == "ByteLevel" and not pieces.get("add_prefix_space") and pieces.get("use_regex", True) and model["type"] == "BPE" and not any(model.get(k) for k in unusual)
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.words = Words()
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts can't be cut."""
+        whole = np.zeros(len(offsets) - 1, dtype=bool)
+        if not self.by_words:
+            return ~whole
+        raw = data.tobytes()
+        found = [m.start() for t in self.added for m in re.finditer(re.escape(t), raw)]
+        for i in np.unique(np.searchsorted(offsets, np.flatnonzero(_ODD_LEAD[data]), side="right") - 1):
+            if _ODD.search(raw[offsets[i] : offsets[i + 1]].decode(errors="replace")):
+                whole[i] = True
+        whole[np.searchsorted(offsets, found, side="right") - 1] = True
+        return whole
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where words begin, and the end.
+
+        White space before a word is cut off but for its last character, and that too unless it is a space, which belongs to the word: so does the
+        pattern. Marks are cut from a letter or digit before them.
+        """
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        blank, solid = _BLANK[data], _ALNUM[data]
+        solid[1:] |= _ACCENTED[data[1:]] & (data[:-1] == 0xC3)
+        stop = np.append(~blank[1:], False)  # a word follows, in the same text
+        stop[offsets[1:-1] - 1] = False
+        before, now = blank[:-1], blank[1:]
+        cut[1:-1] = (now & (~before | stop[1:])) | (before & ~now & (data[:-1] != 32)) | (_MARK[data[1:]] & solid[:-1])
+        whole = self._whole(data, offsets)
+        for lo, hi in zip(offsets[:-1][whole].tolist(), offsets[1:][whole].tolist(), strict=True):
+            cut[lo:hi] = False
+        cut[offsets] = True
+        return np.flatnonzero(cut)
+
+    def _learn(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row, given in a row, and how many each has."""
+        ends = np.cumsum(size)
+        begin = ends - size
+        letter = _LETTER[data]
+        letter[:-1] |= (data[:-1] == 0xC3) & _ACCENTED[data[1:]]
+        letter[1:] |= _ACCENTED[data[1:]] & (data[:-1] == 0xC3)
+        one = np.zeros(len(size), dtype=bool)  # one piece of the pattern, perhaps after a space: only its merges are left
+        for kind in (letter, _DIGIT[data], _MARK[data]):
+            other = ~kind
+            other[begin[data[begin] == 32]] = False
+            count = np.append(0, np.cumsum(other))
+            one |= count[ends] == count[begin]
+        one &= self.by_words
+        spelled, model, out = _SPELLING[data].tobytes().decode("utf-16-le"), self.library.model.tokenize, [[]] * len(size)
+        for i, lo, hi in zip(np.flatnonzero(one).tolist(), begin[one].tolist(), ends[one].tolist(), strict=True):
+            out[i] = [t.id for t in model(spelled[lo:hi])]
+        rest, raw = np.flatnonzero(~one), data.tobytes()
+        texts = [raw[lo:hi].decode(errors="replace") for lo, hi in zip(begin[rest].tolist(), ends[rest].tolist(), strict=True)]
+        for i, e in zip(rest.tolist(), self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return np.fromiter((x for ids in out for x in ids), dtype=np.int32), np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of consecutive texts in a row, each with the end id, and how many each has."""
+        texts = len(offsets) - 1
+        at = self._cuts(data, offsets) if len(data) else np.zeros(1, np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
+        values, which = coded.dictionary, coded.indices.to_numpy()
+        ends = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1] if len(values) else np.zeros(1, np.int64)
+        spelled = np.frombuffer(values.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        size = np.diff(ends)
+        h = span_hashes(prefix_hashes(spelled), ends[:-1], ends[1:])
+        if self.words.nbytes() > TABLE_BYTES:
+            self.words = Words()
+        known = self.words
+        entry = known.find(h, spelled, ends[:-1], size)
+        new = np.flatnonzero(entry < 0)
+        told = spelled[_ragged(ends[new], size[new])]
+        ids, n = self._learn(told, size[new])
+        first, count = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
+        old = entry >= 0
+        first[old], count[old] = known.first[entry[old]], known.n[entry[old]]
+        first[new], count[new] = len(known.ids) + np.cumsum(n) - n, n
+        flat, per = np.append(known.ids, ids), count[which]
+        out = flat[_ragged(first[which], per)]
+        kept = np.flatnonzero(size[new] <= WORD_BYTES)
+        if len(kept):
+            begin = np.cumsum(n) - n
+            known.add(h[new[kept]], spelled[_ragged(ends[new[kept]], size[new[kept]])], size[new[kept]], ids[_ragged(begin[kept], n[kept])], n[kept])
+        total = np.append(0, np.cumsum(per))[np.searchsorted(at, offsets)]
+        length = np.diff(total)
+        done = np.full(len(out) + texts, END, dtype=np.int32)
+        done[np.arange(len(out)) + np.repeat(np.arange(texts), length)] = out
+        return done, length + 1
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -154,24 +241,17 @@ _ENCODERS: dict[str, Encoder] = {}
 def _encode(path: str):
     def run(batches):
         if path not in _ENCODERS:
+            _ENCODERS.clear()
             _ENCODERS[path] = Encoder(path)
         encoder, shard, seq = _ENCODERS[path], TaskContext.get().partitionId(), 0
-        end = np.array([END], dtype=encoder.kind).tobytes()
         for b in batches:
-            lo, texts = 0, [t or "" for t in b.column(1).to_pylist()]
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= BATCH_BYTES):
-                    size += len(texts[hi])
-                    hi += 1
-                blobs = [x + end for x in encoder.encode(texts[lo:hi])]
-                width = np.dtype(encoder.kind).itemsize
-                n = np.array([len(x) // width for x in blobs], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), dtype=encoder.kind).astype(np.int32)))
-                m = hi - lo
+            for lo, data, offsets in chunks(b.column(1), BATCH_BYTES):
+                ids, n = encoder.encode(data, offsets)
+                m = len(n)
+                rows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))
                 more = [x.slice(lo, m) for x in b.columns[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard, np.int32)), pa.array(np.arange(seq, seq + m)), b.column(0).slice(lo, m), pa.array(n), ids, *more], names=["shard", "seq", "doc_id", "n_tokens", "ids", "weight"][: 5 + len(more)])
-                seq, lo = seq + m, hi
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard, np.int32)), pa.array(np.arange(seq, seq + m)), b.column(0).slice(lo, m), pa.array(n.astype(np.int32)), rows, *more], names=["shard", "seq", "doc_id", "n_tokens", "ids", "weight"][: 5 + len(more)])
+                seq += m
 
     return run
 
@@ -188,6 +268,11 @@ def read(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
     return spark.read.schema(COLUMNS + WEIGHT * weighted).orc(path)
 
 
+def lookup(spark: SparkSession, path: str, doc_ids: list[int], weighted: bool = False) -> DataFrame:
+    """The rows of a few documents; stripes and row groups that can't hold them are skipped."""
+    return read(spark, path, weighted).where(F.col("doc_id").isin(doc_ids))
+
+
 def _sums(batches):
     for b in batches:
         ids = b.column(4)
