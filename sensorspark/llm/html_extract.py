@@ -1,19 +1,25 @@
 """HTML extraction by wrapper induction: same-host pages are aligned by simple tree matching.
 
-1. Each host's page with the smallest (page_id, html) is its pivot.
-2. Every page's tree of blocks is aligned with its pivot's by simple tree matching: the largest set of pairs of nodes with
-   equal labels that keeps order and ancestry. For each pivot node, sums over the distinct pages of the host say how often it matched, how often its text was the
-   pivot's (constant nodes are template) and how many characters varied (slots; text in nodes that the pivot lacks counts at their matched ancestor).
-3. The wrapper of a host is its content slot (the deepest node that holds all the varying text outside marked surroundings, an article or main element if
-   it does) and its constant nodes. Every page is aligned again, and the text in its slot is its content, without template nodes whose text is the
-   pivot's on this page too. A page of which nothing would be left keeps them.
-
-A row of numbers a distinct page is shuffled, by host and page, and sums are combined before they are, so a host may hold any share of the pages. Pages never leave the
-task that reads them: pivots and wrappers of at most BROADCAST_HOSTS hosts (counted) are broadcast, more are joined by shuffle.
-
-What standard markup calls surroundings (nav, header, footer, aside, form ... and class, id or role names such as ad, menu, comments, sidebar,
-notice) is never content. Constant nodes inside an article stay: copies of one page may make up a host. A page
-without a matched slot falls back to its own article or main element, else to all its unmarked blocks.
+1. Pages of a host that have the same upper tree are a layout. The smallest page of each of a host's PIVOTS most frequent layouts is a pivot.
+2. Every page's tree of blocks is aligned with its host's pivots by simple tree matching (the largest set of pairs of nodes with equal labels that
+   keeps order and ancestry) and counts for the one it fits best. For each pivot node, sums say on how many pages it was met,
+   on how many its text was the pivot's, and how many characters varied (text in nodes that the pivot lacks counts at their matched ancestor).
+   Pages that share their smallest shingle hash count once: copies and most near copies.
+3. The wrapper gives each pivot node a part: constant nodes (met on at least LEAST_PAGES pages, the pivot's text on at least CONSTANT of
+   them) are template; varying ones are slots. The content slot holds the varying text: the article or main elements if at least half
+   of it is theirs, else the deepest node that has all of it. A slot whose class, id or role names surroundings (a whole name, or its last word) is left out:
+   whether text varies can't tell an advert from an article.
+4. Every page is aligned again; its content is the text of nodes in the content slot, less template nodes whose text is the pivot's on this
+   page too, unless nothing would be left. A page without text in the slot falls back to its own article or main elements, else to all of its text.
+
+Elements that the HTML standard defines as surroundings or as not shown (nav, header, footer, aside, form ..., script, style) are never content.
+
+Pages never move: only skeletons (labels, text hashes) of pivots and rows of numbers are shuffled, combined before they are. Pivots and wrappers are
+broadcast while they measure at most BROADCAST_BYTES. Beyond it, those of hosts with at least a HOT-th of all pages are (so fewer than HOT hosts), and
+pages of other hosts, none of which has more, meet theirs by a shuffle.
+
+Work is bounded on any markup: parsing is linear, trees are at most DEPTH deep and about WIDTH wide a node, and pages for which the matching would
+compare more than PAIRS pairs of nodes are aligned by path (parent, label, place among equals) instead.
 
 Defined results: a null or empty html gives an empty text; a url without a host is of the host ''. Repeated rows get a row each. A null
 page_id is kept. Extra columns are ignored.
@@ -23,36 +29,81 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 from .html_blocks import blocks
+from .near_dedup import shingle_sets
+
+PIVOTS = 3  # of a host
+LEAST_PAGES = 3  # on which a node is met before it can be template; hosts with fewer distinct pages have slots only
+CONSTANT = 0.9
+PAIRS = 100_000
+BROADCAST_BYTES, HOT = 64 << 20, 1000
+UPPER = 3  # levels of the tree that tell layouts apart
+
+#: Names of surroundings, by which a varying slot is left out.
+NAMED = frozenset("ad ads advert adverts advertisement advertising sponsored banner menu nav navbar navigation breadcrumb breadcrumbs sidebar comment comments replies respond notice notices cookies consent alert popup modal header masthead footer copyright complementary contentinfo".split())
+_SPLIT = re.compile(r"[^a-z0-9]+")
 
-BROADCAST_HOSTS = 5_000
-LEAST_PAGES = 5  # of a host, before a constant node is template
-CONSTANT = 0.6
 
+def named(label: str) -> bool:
+    """Whether one of a label's names is, or ends with, a name of surroundings."""
+    tag, *names = label.split(" ")
+    return tag not in ("html", "body", "article", "main") and any(_SPLIT.split(n)[-1] in NAMED for n in names)
 
-def _children(labels: tuple) -> list[list[int]]:
-    kids: list[list[int]] = [[] for _ in labels]
-    for i, (parent, _) in enumerate(labels):
+
+def _is_article(label: str) -> bool:
+    return label.split(" ", 1)[0] in ("article", "main")
+
+
+def _children(tree: tuple) -> list[list[int]]:
+    kids: list[list[int]] = [[] for _ in tree]
+    for i, (parent, _) in enumerate(tree):
         if parent >= 0:
             kids[parent].append(i)
     return kids
 
 
-@lru_cache(20_000)
+def _levels(tree: tuple) -> Counter:
+    """Nodes by depth and label."""
+    depth, out = [], Counter()
+    for parent, label in tree:
+        depth.append(depth[parent] + 1 if parent >= 0 else 0)
+        out[depth[-1], label] += 1
+    return out
+
+
+def by_path(page: tuple, pivot: tuple) -> tuple[int, ...]:
+    """Nodes of equal label and equal place among those of their label, under matched parents."""
+    seen, at = Counter(), {}
+    for j, (parent, label) in enumerate(pivot):
+        at[parent, label, seen[parent, label]] = j
+        seen[parent, label] += 1
+    out, seen = [], Counter()
+    for parent, label in page:
+        above = out[parent] if parent >= 0 else -1
+        out.append(at.get((above, label, seen[parent, label]), -1) if parent < 0 or above >= 0 else -1)
+        seen[parent, label] += 1
+    return tuple(out)
+
+
 def align(page: tuple, pivot: tuple) -> tuple[int, ...]:
     """Simple tree matching of two trees ((parent, label), ...): the pivot's node for each node of the page, or -1."""
+    other = _levels(pivot)
+    if sum(n * other[k] for k, n in _levels(page).items()) > PAIRS:
+        return by_path(page, pivot)
     a, b = _children(page), _children(pivot)
     memo: dict[tuple[int, int], tuple[int, list]] = {}
 
     def size(i: int, j: int) -> int:
-        """Pairs in the largest matching of two subtrees whose roots match."""
+        """Pairs in the largest matching of two subtrees whose roots match; as deep as the trees are."""
         if (i, j) not in memo:
             x, y = a[i], b[j]
             best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -64,26 +115,39 @@ def align(page: tuple, pivot: tuple) -> tuple[int, ...]:
             memo[i, j] = (best[-1][-1] + 1, [best, pair])
         return memo[i, j][0]
 
-    out = [-1] * len(page)
-
-    def trace(i: int, j: int) -> None:
+    size(0, 0)
+    out, todo = [-1] * len(page), [(0, 0)]
+    while todo:
+        i, j = todo.pop()
         out[i] = j
         best, pair = memo[i, j][1]
         p, q = len(a[i]), len(b[j])
         while p and q:
             if pair[p - 1][q - 1] and best[p][q] == best[p - 1][q - 1] + pair[p - 1][q - 1]:
                 p, q = p - 1, q - 1
-                trace(a[i][p], b[j][q])
+                todo.append((a[i][p], b[j][q]))
             elif best[p][q] == best[p - 1][q]:
                 p -= 1
             else:
                 q -= 1
-
-    size(0, 0)
-    trace(0, 0)
     return tuple(out)
 
 
+_align = lru_cache(4096)(align)
+
+
+def _matched(nodes: list, pivots: list[tuple]) -> tuple[int, tuple[int, ...]]:
+    """The pivot that fits best, and its node for each of the page's nodes."""
+    tree = tuple((p, t) for p, t, _ in nodes)
+    best = (-1.0, -1, ())
+    for k, pivot in enumerate(pivots):
+        to = _align(tree, pivot) if len(tree) < 500 else align(tree, pivot)
+        fit = sum(x >= 0 for x in to) / (len(tree) + len(pivot))
+        if fit > best[0]:
+            best = (fit, k, to)
+    return best[1], best[2]
+
+
 def _texts(found: list[tuple[int, str]], n: int) -> list[str]:
     """A short hash of each node's own text."""
     own: list[list[str]] = [[] for _ in range(n)]
@@ -92,35 +156,48 @@ def _texts(found: list[tuple[int, str]], n: int) -> list[str]:
     return [hashlib.blake2b("\n".join(t).encode(), digest_size=6).hexdigest() if t else "" for t in own]
 
 
-@lru_cache(BROADCAST_HOSTS)
-def _pivot(skeleton: str) -> tuple[tuple, list[str]]:
-    tree, texts = json.loads(skeleton)
-    return tuple((p, t) for p, t in tree), texts
+def _lengths(found: list[tuple[int, str]], n: int) -> list[int]:
+    out = [0] * n
+    for node, text in found:
+        out[node] += len(text)
+    return out
 
 
-def _skeletons(batches):
+def _layouts(batches):
+    """host, layout, page_id, skeleton: a page's tree, with each node's surroundings mark, text hash and length."""
     for b in batches:
-        out = []
-        for html in b.column(1).to_pylist():
+        rows = []
+        for html in b.column(2).to_pylist():
             found, nodes = blocks(html or "")
-            out.append(json.dumps([[(p, t) for p, t, _ in nodes], _texts(found, len(nodes))]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["host", "skeleton"])
+            depth, upper = [], []
+            for p, label, aside in nodes:
+                depth.append(depth[p] + 1 if p >= 0 else 0)
+                if depth[-1] <= UPPER and not aside:
+                    upper.append((depth[-1], label))
+            layout = hashlib.blake2b(repr(upper).encode(), digest_size=8).hexdigest()
+            rows.append((layout, json.dumps([list(map(list, nodes)), _texts(found, len(nodes)), _lengths(found, len(nodes))])))
+        layouts, skeletons = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(layouts, pa.string()), b.column(0), pa.array(skeletons, pa.string())], names=["host", "layout", "page_id", "skeleton"])
+
+
+@lru_cache(2000)
+def _pivot(skeleton: str) -> tuple:
+    nodes, texts, lengths = json.loads(skeleton)
+    return tuple((p, t) for p, t, _ in nodes), [a for *_, a in nodes], texts, lengths
 
 
 def _measure(batches):
-    """host, page (a hash), seen: for each pivot node -1, or twice the characters that varied and 1 if its text was the pivot's."""
+    """host, pivot, page (its smallest shingle hash), seen: for each pivot node -1, or twice the characters that varied and 1 if its text was the pivot's."""
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
-            hosts, hashes, rows = part.column(0), [], []
-            for html, skeleton in zip(*[c.to_pylist() for c in part.columns[1:]], strict=True):
+            which, rows, prose = [], [], []
+            for html, skeletons in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 found, nodes = blocks(html or "")
-                pivot, theirs = _pivot(skeleton)
-                to = align(tuple((p, t) for p, t, _ in nodes), pivot)
-                mine, length = _texts(found, len(nodes)), [0] * len(nodes)
-                for node, text in found:
-                    length[node] += len(text)
-                seen, near = [-1] * len(pivot), list(to)
+                k, to = _matched(nodes, [_pivot(s)[0] for s in skeletons])
+                _, _, theirs, _ = _pivot(skeletons[k])
+                mine, length = _texts(found, len(nodes)), _lengths(found, len(nodes))
+                seen, near = [-1] * len(theirs), list(to)
                 for i, (p, _, aside) in enumerate(nodes):
                     if (j := to[i]) >= 0:
                         same = mine[i] == theirs[j]
@@ -128,108 +205,160 @@ def _measure(batches):
                     else:
                         near[i] = near[p]
                         seen[near[i]] += 0 if aside else 2 * length[i]
-                hashes.append(hashlib.blake2b((html or "").encode(), digest_size=16).digest())
+                which.append(k)
                 rows.append(seen)
-            yield pa.RecordBatch.from_arrays([hosts, pa.array(hashes, pa.binary()), pa.array(rows, pa.list_(pa.int32()))], names=["host", "page", "seen"])
+                prose.append(" ".join(t for node, t in found if not nodes[node][2]))
+            keys = [int(s[0]) >> 1 if len(s) else 0 for s in shingle_sets(pa.array(prose, pa.string()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(which, pa.int32()), pa.array(keys, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=["host", "pivot", "page", "seen"])
 
 
 def _add(batches):
-    """host, node, pages, same, varied: sums over a batch."""
+    """host, pivot, node, pages, same, varied: sums over a batch."""
     for b in batches:
         sums: dict[tuple, list[int]] = {}
-        for host, seen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for host, pivot, seen in zip(*[c.to_pylist() for c in b.columns], strict=True):
             for j, x in enumerate(seen):
                 if x >= 0:
-                    s = sums.setdefault((host, j), [0, 0, 0])
+                    s = sums.setdefault((host, pivot, j), [0, 0, 0])
                     s[0] += 1
                     s[1] += x & 1
                     s[2] += x >> 1
         keys = list(sums)
-        cols = [[k[0] for k in keys], [k[1] for k in keys], *[[sums[k][c] for k in keys] for c in range(3)]]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=["host", "node", "pages", "same", "varied"])
+        kinds = [("host", pa.string()), ("pivot", pa.int32()), ("node", pa.int32())]
+        columns = [pa.array([k[c] for k in keys], kind) for c, (_, kind) in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([sums[k][c] for k in keys], pa.int64()) for c in range(3)]], names=["host", "pivot", "node", "pages", "same", "varied"])
+
 
+CONTENT, TEMPLATE, OUTSIDE = 2, 1, 0
 
-def wrapper(tree: tuple, sums: list) -> tuple[int, frozenset]:
-    """The content slot (a pivot node, or -1) and the template nodes, from (node, pages, same, varied)."""
-    kids = _children(tree)
-    pages, same, varied = [0] * len(tree), [0] * len(tree), [0] * len(tree)
+
+def wrapper(tree: tuple, asides: list[bool], lengths: list[int], sums: list) -> list[int]:
+    """The part of each pivot node, from its tree, surroundings, text lengths and sums (node, pages, same, varied)."""
+    n, kids = len(tree), _children(tree)
+    pages, same, varied = [0] * n, [0] * n, [0] * n
     for node, p, s, v in sums:
         pages[node], same[node], varied[node] = p, s, v
-    whole = list(varied)
-    for i in range(len(tree) - 1, 0, -1):
+    out = list(asides)
+    for i, (parent, label) in enumerate(tree):
+        out[i] = out[i] or named(label) or (parent >= 0 and out[parent])
+    constant = [pages[i] >= LEAST_PAGES and same[i] >= CONSTANT * pages[i] for i in range(n)]
+    # few pages, or pages that are all alike, don't show what varies: then the pivot's own text counts
+    mass = [0 if out[i] else varied[i] for i in range(n)]
+    if pages[0] < LEAST_PAGES or not any(mass):
+        mass = [0 if out[i] or constant[i] else lengths[i] for i in range(n)]
+    whole = list(mass)
+    for i in range(n - 1, 0, -1):
         whole[tree[i][0]] += whole[i]
-    template = frozenset(i for i in range(len(tree)) if pages[i] >= LEAST_PAGES and same[i] >= CONSTANT * pages[i])
-    slot = 0
-    while whole[slot]:
-        if tree[slot][1].split(" ")[0] in ("article", "main"):
-            return slot, template
-        down = [k for k in kids[slot] if kids[k] and whole[k] == whole[slot]]
-        if not down:
-            break
-        slot = down[0]
-    return (slot if whole[slot] else -1), template
-
-
-def content(html: str, tree: tuple | None, slot: int, template: dict) -> str:
+    articles = [False] * n
+    outermost = []
+    for i, (parent, label) in enumerate(tree):
+        above = parent >= 0 and articles[parent]
+        articles[i] = above or (_is_article(label) and not out[i])
+        if articles[i] and not above:
+            outermost.append(i)
+    if outermost and 2 * sum(whole[i] for i in outermost) >= whole[0]:
+        slots = set(outermost)
+    else:
+        slot = 0
+        while down := [k for k in kids[slot] if kids[k] and whole[k] == whole[slot] > 0]:
+            slot = down[0]
+        slots = {slot}
+    part, inside = [OUTSIDE] * n, [False] * n
+    for i, (parent, _) in enumerate(tree):
+        inside[i] = i in slots or (parent >= 0 and inside[parent])
+        if inside[i] and not out[i]:
+            part[i] = TEMPLATE if constant[i] else CONTENT
+    return part
+
+
+def content(html: str, wrappers: list | None) -> str:
+    """A page's main text by its host's wrappers (tree, part and text hash of each node); without any, all text outside standard surroundings."""
     found, nodes = blocks(html)
-    inside = [False] * len(nodes)
+    shown = [(node, t) for node, t in found if not nodes[node][2]]
+    if not wrappers:
+        return "\n".join(t for _, t in shown)
+    k, to = _matched(nodes, [w[0] for w in wrappers])
+    _, parts, theirs = wrappers[k]
+    mine, mark, lost = _texts(found, len(nodes)), [OUTSIDE] * len(nodes), [False] * len(nodes)
     articles = [False] * len(nodes)
-    to = align(tuple((p, t) for p, t, _ in nodes), tree) if tree else (-1,) * len(nodes)
-    mine = _texts(found, len(nodes)) if template else []
     for i, (p, label, _) in enumerate(nodes):
-        articles[i] = label.split(" ")[0] in ("article", "main") or (p >= 0 and articles[p])
-        inside[i] = (slot >= 0 and to[i] == slot) or (p >= 0 and inside[p])
-    if not any(inside[node] and not nodes[node][2] for node, _ in found):
-        inside = articles if any(articles) else [True] * len(nodes)
-    held = [(node, t) for node, t in found if inside[node] and not nodes[node][2]]
-    own = [t for node, t in held if articles[node] or to[node] not in template or template[to[node]] != mine[node]]
-    return "\n".join(own or [t for _, t in held])
+        articles[i] = _is_article(label) or (p >= 0 and articles[p])
+        lost[i] = named(label) or (p >= 0 and lost[p])
+        if to[i] >= 0:
+            mark[i] = parts[to[i]]
+            if mark[i] == TEMPLATE and mine[i] != theirs[to[i]]:
+                mark[i] = CONTENT
+        else:
+            mark[i] = OUTSIDE if lost[i] else (CONTENT if mark[p] else OUTSIDE)
+    held = [(node, t) for node, t in shown if mark[node]]
+    if not held:
+        unnamed = [(node, t) for node, t in shown if not lost[node]]
+        return "\n".join(t for node, t in unnamed if articles[node]) or "\n".join(t for _, t in unnamed)
+    return "\n".join([t for node, t in held if mark[node] == CONTENT] or [t for _, t in held])
+
+
+@lru_cache(2000)
+def _wrapper(made: str) -> tuple:
+    nodes, parts, texts = json.loads(made)
+    return tuple((p, t) for p, t in nodes), parts, texts
 
 
 def _extract(batches):
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
-            texts = []
-            for html, made in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                texts.append(content(html or "", *(_wrapper(made) if made else (None, -1, {}))))
+            texts = [content(html or "", [_wrapper(w) for w in made or []]) for html, made in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-@lru_cache(BROADCAST_HOSTS)
-def _wrapper(made: str) -> tuple:
-    tree, slot, template = json.loads(made)
-    return tuple((p, t) for p, t in tree), slot, dict(template)
-
-
 def _induce(batches):
     for b in batches:
         out = []
-        for skeleton, sums in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            tree, texts = _pivot(skeleton)
-            slot, template = wrapper(tree, [(s["node"], s["pages"], s["same"], s["varied"]) for s in sums])
-            out.append(json.dumps([tree, slot, [(i, texts[i]) for i in sorted(template)]]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["host", "wrapper"])
+        for skeleton, sums in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            tree, asides, texts, lengths = _pivot(skeleton)
+            parts = wrapper(tree, asides, lengths, [(s["node"], s["pages"], s["same"], s["varied"]) for s in sums or []])
+            out.append(json.dumps([tree, parts, texts]))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["host", "pivot", "wrapper"])
+
+
+def _met(pages: DataFrame, of_hosts: DataFrame, column: str) -> DataFrame:
+    """pages with the array that of_hosts (host, n, column; n pages) holds for their host; no pages are shuffled unless that table is too large to broadcast."""
+    measured = of_hosts.agg(F.sum(F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))).alias("bytes"), F.sum("n").alias("n")).first()
+    light = of_hosts.select("host", column)
+    if (measured.bytes or 0) <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(light), "host", "left")
+    hot = F.broadcast(of_hosts.where(F.col("n") * HOT >= measured.n).select("host", column))
+    cold = of_hosts.where(F.col("n") * HOT < measured.n).select("host", column)
+    rest = pages.join(hot.select("host"), "host", "left_anti")
+    return pages.join(hot, "host").unionByName(rest.join(cold, "host", "left"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper: from page_id, host, html."""
-    pivots = pages.groupBy("host").agg(F.min_by("html", F.struct("page_id", "html")).alias("html"))
-    pivots = cut(pivots.mapInArrow(_skeletons, "host string, skeleton string"))
-    few = pivots.count() <= BROADCAST_HOSTS
-    met = pages.join(F.broadcast(pivots) if few else pivots, "host").select("host", "html", "skeleton")
-    seen = met.mapInArrow(_measure, "host string, page binary, seen array<int>").groupBy("host", "page").agg(F.first("seen").alias("seen"))
-    sums = seen.select("host", "seen").mapInArrow(_add, "host string, node int, pages long, same long, varied long").groupBy("host", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "varied")])
-    sums = sums.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same", "varied"))).alias("sums"))  # as many as the pivot has nodes
-    return pivots.join(sums, "host").select("host", "skeleton", "sums").mapInArrow(_induce, "host string, wrapper string")
+    """host, n, wrappers: from page_id, host, html."""
+    kind = dict(pages.dtypes)["page_id"]
+    layouts = pages.select("page_id", "host", "html").mapInArrow(_layouts, f"host string, layout string, page_id {kind}, skeleton string")
+    layouts = layouts.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min_by("skeleton", F.struct("page_id", "skeleton")).alias("skeleton"))
+    layouts = cut(layouts)
+    counts = layouts.groupBy("host").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("host").orderBy(F.desc("n"), "layout")
+    few = layouts.withColumn("pivot", F.row_number().over(order) - 1).where(F.col("pivot") < PIVOTS)
+    few = cut(few.select("host", "pivot", "skeleton"))
+    arrays = few.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pivot", "skeleton"))).alias("all"))  # at most PIVOTS
+    arrays = cut(arrays.join(counts, "host").select("host", "n", F.col("all.skeleton").alias("skeletons")))
+    met = _met(pages.select("host", "html"), arrays, "skeletons").select("host", "html", "skeletons")
+    seen = met.mapInArrow(_measure, "host string, pivot int, page long, seen array<int>").groupBy("host", "pivot", "page").agg(F.min("seen").alias("seen"))
+    sums = seen.select("host", "pivot", "seen").mapInArrow(_add, "host string, pivot int, node int, pages long, same long, varied long")
+    sums = sums.groupBy("host", "pivot", "node").agg(*[F.sum(c).alias(c) for c in ("pages", "same", "varied")])
+    sums = sums.groupBy("host", "pivot").agg(F.sort_array(F.collect_list(F.struct("node", "pages", "same", "varied"))).alias("sums"))  # as many as the pivot has nodes
+    made = few.join(sums, ["host", "pivot"], "left").select("host", "pivot", "skeleton", "sums").mapInArrow(_induce, "host string, pivot int, wrapper string")
+    made = made.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pivot", "wrapper"))).alias("all"))
+    return made.join(counts, "host").select("host", "n", F.col("all.wrapper").alias("wrappers"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    made = cut(wrappers(pages.select("page_id", "host", "html")))
-    few = made.count() <= BROADCAST_HOSTS
-    met = pages.join(F.broadcast(made) if few else made, "host", "left").select("page_id", "url", "html", "wrapper")
+    met = _met(pages, cut(wrappers(pages)), "wrappers").select("page_id", "url", "html", "wrappers")
     kind = dict(met.dtypes)["page_id"]
     return met.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

@@ -112,3 +112,63 @@ def test_warc_edge_cases(spark):
     assert len(rows) == 8 and all("\r\nb" not in r.record.split("\r\n\r\n")[0] for r in rows)
     assert warc.derive(warc.responses(df.limit(0))).count() == 0
     assert blocks("")[0] == []
+
+
+def test_the_wrapper_decides_on_most_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert sum(html_extract.content(r.html, None) != got[r.page_id] for r in rows) > 0.9 * len(rows)
+
+
+def test_slots_decide_inside_articles(spark):
+    page = "<body><article><h1>{0}</h1><div class=tools><p>Print this story</p></div><p>Story {0} of {0}</p><div class='related-work'><p>As {0} had said</p></div><div class='top-ad'><p>Buy {0}</p></div><p>x <math>2+2</math> <svg>{0}</svg> y</p></article></body>"
+    got = extract(spark, [(i, "http://a.com/1", page.format(f"n{i}")) for i in range(9)])
+    assert got == {i: f"n{i}\nStory n{i} of n{i}\nAs n{i} had said\nx 2+2 n{i} y" for i in range(9)}
+
+
+def test_layouts_of_a_host_have_wrappers_of_their_own(spark):
+    one = "<body><div class=a><p>House</p></div><div class=b><p>Story {0}</p></div></body>"
+    two = "<body><section><p>House</p><ul><li>About us</ul></section><div class=c><h2>{0}</h2><p>Tale {0}</p></div></body>"
+    got = extract(spark, [(i, "http://a.com", (one if i % 2 else two).format(f"n{i}")) for i in range(12)])
+    assert got == {i: f"Story n{i}" if i % 2 else f"n{i}\nTale n{i}" for i in range(12)}
+
+
+def test_near_copies_of_a_story_are_no_template(spark):
+    page = "<body><div class=top><p>House</p></div><div class=content><h1>{0}</h1><p>{1}</p></div></body>"
+    story = " ".join(f"w{i}" for i in range(300))
+    pages = [(i, f"http://a.com/{i}", page.format("Same head", story + f" end{i}") if i < 20 else page.format(f"Head {i}", f"Other story {i} " * 9)) for i in range(24)]
+    got = extract(spark, pages)
+    assert all(got[i] == f"Same head\n{story} end{i}" for i in range(20)) and got[21].startswith("Head 21\nOther")
+
+
+def test_hostile_markup_ends_soon(spark):
+    import time
+
+    began = time.time()
+    pages = [
+        "<a" * 100_000, "<a '" * 100_000, ('<a ">" ' * 50_000) + '"', "<!--" * 50_000, "<title>" * 50_000, "</" * 50_000, "<" * 100_000,
+        "<div>" * 10_000 + "deep" + "</div>" * 10_000, "<blockquote>" * 10_000 + "<li>x" * 10_000, "<div>" * 5_000 + "</p>" * 50_000,
+        "".join(f"<h2>{i}</h2><p>{i}</p>" for i in range(5_000)), "".join(f"<div id=x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}>{i}</div>" for i in range(5_000)),
+        ("<div>" + "<ul><li>a</ul><p>b</p>" * 30 + "</div><h2>c</h2>") * 300,
+    ]
+    got = extract(spark, [(10 * k + i, f"http://h{k}.com", p + f"<p>n{i}") for k, p in enumerate(pages) for i in range(3)])
+    assert time.time() - began < 60 and len(got) == 3 * len(pages)
+    assert got[70] == "n0"  # what all pages of the host have is template
+    assert plain_text(pages[7]) == "deep" and plain_text(pages[10]).startswith("0\n0\n1\n1\n") and len(plain_text(pages[11]).split("\n")) == 5000
+    assert blocks("a < b <3 &lt; <p x='1>2'>c")[0] == [(0, "a < b <3 <"), (1, "c")]
+
+
+def test_matching_by_path_agrees_on_equal_trees():
+    tree = [(-1, "")]
+    for i in range(60):
+        tree.append((0, "a" if i % 2 else "b"))
+        tree += [(len(tree) - 1, "c")] * 2
+    assert html_extract.by_path(tuple(tree), tuple(tree)) == tuple(range(len(tree)))
+
+
+def test_wrappers_too_large_to_broadcast(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = sorted(map(tuple, html_extract.main_text(pages).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(html_extract, "HOT", 20)
+    assert sorted(map(tuple, html_extract.main_text(pages).collect())) == want
