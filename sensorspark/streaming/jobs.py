@@ -6,9 +6,11 @@ output, so a rerun goes on where the last one ended.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -60,49 +62,97 @@ def in_interval(scenes: DataFrame, weather: DataFrame, hours: int = 12, late: st
     return s.join(w, F.expr(f"slot = weather_slot AND weather_ts > scene_ts - INTERVAL {hours} HOURS AND weather_ts <= scene_ts")).drop("slot", "weather_slot")
 
 
-def lockout(df: DataFrame, hours: float = 12.0, wet: float = 60.0) -> DataFrame:
-    """dry for each row: nothing above wet came in the hours before it, per stream. The last wet time is the state."""
-    span = pd.Timedelta(hours=hours)
+def _in_order(df: DataFrame, schema: str, judge: Callable, start: tuple, kinds: str, late: str) -> DataFrame:
+    """Rows of each stream judged in the order of (ts, event_id), however they arrive within the watermark.
+
+    Rows wait in the group's state until the watermark has passed them; then judge(key, rows, memory) -> (result, memory) sees them in order.
+    Rows older than the watermark are dropped, as windowed aggregates drop them: their successors have been judged. The state holds the waiting
+    rows (one watermark's delay of them) and the memory; a timer on the oldest waiting row releases it if nothing more comes.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        rows = pd.concat(list(parts), ignore_index=True).sort_values(["ts", "event_id"])
-        wet_at = rows["ts"].where(rows["value"] > wet).ffill()
+        *memory, ts, ids, values = state.get if state.exists else (*start, [], [], [])
+        closed = state.getCurrentWatermarkMs()
+        waiting = pd.DataFrame({"ts": np.array(ts, np.int64), "event_id": np.array(ids, np.int64), "value": np.array(values, np.float64)})
+        new = [p[["ts", "event_id", "value"]] for p in parts] if not state.hasTimedOut else []
+        rows = pd.concat([waiting, *[p[p["ts"] > 1000 * closed] for p in new]], ignore_index=True)
+        done = rows["ts"] <= 1000 * closed
+        ready, waiting = rows[done].sort_values(["ts", "event_id"], ignore_index=True), rows[~done]
+        if len(ready):
+            out, memory = judge(key, ready, tuple(memory))
+            yield out
+        state.update((*memory, waiting["ts"].tolist(), waiting["event_id"].tolist(), waiting["value"].tolist()))
+        if len(waiting):  # a timer goes off when the watermark is beyond it
+            state.setTimeoutTimestamp(max(-(-int(waiting["ts"].min()) // 1000) - 1, closed))
+
+    state = f"{kinds}, ts array<long>, ids array<long>, vals array<double>"
+    timed = df.withWatermark("ts", late).select("stream", "event_id", "value", F.unix_micros("ts").alias("us"), "ts").withColumnsRenamed({"ts": "_at", "us": "ts"})
+    return timed.groupBy("stream").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def lockout(df: DataFrame, hours: float = 12.0, wet: float = 60.0, late: str = "1 hour") -> DataFrame:
+    """dry for each row: nothing above wet came in the hours before it, per stream. The last wet time is the state; rows the watermark hasn't passed yet are withheld."""
+    span = int(hours * 3_600_000_000)
+
+    def judge(key: tuple, rows: pd.DataFrame, memory: tuple) -> tuple[pd.DataFrame, tuple]:
+        (last,) = memory
+        wet_at = rows["ts"].where(rows["value"] > wet)
+        wet_at = wet_at.groupby(rows["ts"]).transform("max").ffill()  # rows of one time see each other
         if last is not None:
             wet_at = wet_at.fillna(last)
         dry = ~((rows["ts"] - wet_at) <= span)
-        if wet_at.notna().any():
-            state.update((wet_at.dropna().max().to_pydatetime(),))
-        yield pd.DataFrame({"stream": key[0], "event_id": rows["event_id"], "dry": dry})
-
-    return df.groupBy("stream").applyInPandasWithState(step, "stream string, event_id long, dry boolean", "last timestamp", "append", GroupStateTimeout.NoTimeout)
-
-
-def departures(df: DataFrame, limit: float, calm: float) -> DataFrame:
-    """Alerts by stream: 'onset' when a value reaches limit, 'recovery' at the second of two values in a row under calm."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        away, quiet = state.get if state.exists else (False, 0)
-        out = []
-        for row in pd.concat(list(parts), ignore_index=True).sort_values(["ts", "event_id"]).itertuples():
-            if not away and row.value >= limit:
-                away, quiet = True, 0
-                out.append((key[0], row.event_id, "onset"))
-            elif away:
-                quiet = quiet + 1 if row.value <= calm else 0
-                if quiet == 2:
-                    away = False
-                    out.append((key[0], row.event_id, "recovery"))
-        state.update((bool(away), int(quiet)))
-        yield pd.DataFrame(out, columns=["stream", "event_id", "alert"])
-
-    return df.groupBy("stream").applyInPandasWithState(step, "stream string, event_id long, alert string", "away boolean, quiet int", "append", GroupStateTimeout.NoTimeout)
-
-
-def upsert(df: DataFrame, path: str, by: list[str]) -> None:
-    """Each micro-batch replaces the partitions that it has."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/panel")
+        last = int(wet_at.iloc[-1]) if wet_at.notna().iloc[-1] else None
+        return pd.DataFrame({"stream": key[0], "event_id": rows["event_id"], "dry": dry}), (last,)
+
+    return _in_order(df, "stream string, event_id long, dry boolean", judge, (None,), "last long", late)
+
+
+def departures(df: DataFrame, limit: float, calm: float, late: str = "1 hour") -> DataFrame:
+    """Alerts by stream: 'onset' when a value reaches limit, 'recovery' at the second of two values in a row under calm (less than limit); order and delay as in lockout."""
+    if calm >= limit:
+        raise ValueError("calm must be below limit")
+
+    def judge(key: tuple, rows: pd.DataFrame, memory: tuple) -> tuple[pd.DataFrame, tuple]:
+        away, before = memory
+        v, ids, at, out = rows["value"].to_numpy(), rows["event_id"].to_numpy(), 0, []
+        quiet = v <= calm
+        # an onset's value isn't calm, so two calm values in a row lie both before or both after it
+        high, low = np.flatnonzero(v >= limit), np.flatnonzero(quiet & np.append(before, quiet[:-1]))
+        while True:  # from one alert to the next
+            marks = low if away else high
+            k = np.searchsorted(marks, at)
+            if k == len(marks):
+                break
+            out.append((key[0], int(ids[marks[k]]), "recovery" if away else "onset"))
+            at, away = int(marks[k]) + 1, not away
+        return pd.DataFrame(out, columns=["stream", "event_id", "alert"]), (bool(away), bool(quiet[-1]))
+
+    return _in_order(df, "stream string, event_id long, alert string", judge, (False, False), "away boolean, calm boolean", late)
+
+
+def upsert(df: DataFrame, path: str, by: list[str], keys: list[str]) -> None:
+    """A table of by and keys that each micro-batch's rows enter: new keys are added, known ones replaced, other rows of the same partitions stay.
+
+    Only the partitions a batch touches are read, merged and replaced. A batch that is run again after a failure writes the same rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, panel = batch.sparkSession, f"{path}/panel"
+        batch = batch.persist()
+        try:
+            try:
+                known = spark.read.schema(batch.schema).parquet(panel)
+            except AnalysisException:  # the first batch finds no table
+                known = None
+            merged = batch
+            if known is not None:
+                touched = known.join(batch.select(*by).distinct(), by, "left_semi")
+                merged = batch.unionByName(touched.join(batch.select(*by, *keys), [*by, *keys], "left_anti"))
+            # written aside first: a partition can't be replaced while it is read
+            aside = f"{path}/merged/{number}"
+            merged.write.mode("overwrite").parquet(aside)
+            spark.read.schema(batch.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(panel)
+        finally:
+            batch.unpersist()
 
     df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
