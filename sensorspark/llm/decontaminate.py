@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-Every run of K words is a fingerprint candidate; in each stretch of W = WINDOW - K + 1 runs the one with the smallest order hash (of its first and last
-word, which is cheap; ties are all kept) is kept and hashed whole. Two
-texts that share WINDOW words share such a stretch, so they keep the same run at the same place in it: no shared window
+Every run of K words is hashed; in each stretch of W = WINDOW - K + 1 runs the one with the smallest hash is kept. Of equals, documents keep the one
+whose place is smallest modulo W, so repetitive text is thinned to a W-th too, and items all. Two
+texts that share WINDOW words share such a stretch, so what the document keeps of it the item keeps at the same place: no shared window
 is missed. Kept runs of items and documents are joined by hash; each hit is extended to the WINDOW-word windows around it, which are
-compared word by word. An item of fewer words than WINDOW is one window of its own length, whose hash is looked up among all runs of that length.
+compared word by word in the join. An item of fewer words than WINDOW is one window of its own length, whose hash is looked up among all runs of that length.
+Which items a confirmed window belongs to is joined last, so a phrase that many items share is met once.
 
-Document runs are never shuffled while the items' side has at most BROADCAST_ROWS rows (counted); beyond that Spark joins by shuffle.
+Document runs are never shuffled while the items' windows measure at most BROADCAST_BYTES; beyond that Spark joins by shuffle.
 
 Defined results: words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z only. Null and empty texts have no words and no
 hits; items without words have no windows; an item whose id is null marks words but is neither counted nor listed. Rows that repeat a
@@ -26,7 +27,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same class without a negation, after lower-casing: Java's matcher is eight times faster on it.
 FAST_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 WINDOW, K = 10, 6
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+SMALL_ROWS = 1_000_000  # of an id and a hash, 16 bytes each, up to which a counted table is broadcast
 
 
 def word_array(text: Column) -> Column:
@@ -42,20 +44,29 @@ def _run(at: str, length: int) -> Column:
     return F.xxhash64(*[F.get(F.col("h"), F.expr(f"{at} + {i}")) for i in range(length)])
 
 
-def _kept() -> Column:
-    """Whether the run at p has the smallest order hash in some stretch of W runs that lies within the text."""
+def _kept(ties: bool) -> Column:
+    """Whether the run at p has the smallest hash in some stretch of W runs that lies within the text; of equals all have, or the one at the smallest p modulo W."""
     w = WINDOW - K + 1
-    order = lambda j: F.get(F.col("h"), F.expr(f"p + {j}")).bitwiseXOR(F.get(F.col("h"), F.expr(f"p + {j + K - 1}")))
+    whole = F.get(F.col("h"), F.expr(f"p + {K - 1}")).isNotNull()
 
     def side(step: int) -> Column:
-        """How many runs on one side, at most W - 1, exist and aren't smaller."""
-        stop = lambda j: ~F.coalesce(order(step * j) >= order(0), F.lit(False))
+        """How many runs on one side, at most W - 1, exist and leave this one the smallest."""
+
+        def stop(j: int) -> Column:
+            at = f"p + {step * j}"
+            there = F.get(F.col("h"), F.expr(at if step < 0 else f"{at} + {K - 1}")).isNotNull()
+            other, own = _run(at, K), _run("p", K)
+            smaller = other < own
+            if not ties:
+                smaller = smaller | ((other == own) & F.expr(f"pmod({at}, {w}) < pmod(p, {w})"))
+            return ~there | smaller
+
         out = F.when(stop(1), 0)
         for j in range(2, w):
             out = out.when(stop(j), j - 1)
         return out.otherwise(w - 1)
 
-    return order(0).isNotNull() & (side(-1) + side(1) >= w - 1)
+    return whole & (side(-1) + side(1) >= w - 1)
 
 
 def _hashed(df: DataFrame, text: str) -> DataFrame:
@@ -65,7 +76,7 @@ def _hashed(df: DataFrame, text: str) -> DataFrame:
 def _item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """item, n (words of the window), k (words of the run), run, before (words of the window left of the run), window."""
     items = _hashed(items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")), "text").drop("text").where("size(w) > 0")
-    long = items.where(F.size("w") >= WINDOW).select("item", "w", "h", F.posexplode("h").alias("p", "_h")).where(_kept()).withColumn("run", _run("p", K))
+    long = items.where(F.size("w") >= WINDOW).select("item", "w", "h", F.posexplode("h").alias("p", "_h")).where(_kept(True)).withColumn("run", _run("p", K))
     # each window that holds the kept run
     long = long.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - (WINDOW - K)), F.least(F.col("p"), F.size("w") - WINDOW))))
     long = long.select("item", F.lit(WINDOW).alias("n"), "run", (F.col("p") - F.col("s")).alias("before"), F.slice("w", F.col("s") + 1, WINDOW).alias("window"))
@@ -80,47 +91,51 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def _results(docs: DataFrame, windows: DataFrame) -> DataFrame:
     windows = cut(windows)
-    lengths = {r.n: r.rows for r in windows.groupBy("n").agg(F.count("*").alias("rows")).collect()}  # at most WINDOW rows
-    mark = F.broadcast if sum(lengths.values()) <= BROADCAST_ROWS else (lambda df: df)
+    runs = windows.select("n", "run", "before", "window").distinct()
+    measured = runs.groupBy("n").agg(F.sum(F.octet_length(F.concat_ws(" ", "window")) + 24 * F.size("window") + 64).alias("bytes")).collect()  # at most WINDOW rows
+    few = sum(r.bytes for r in measured) <= BROADCAST_BYTES
+    of_length = lambda n: (F.broadcast if few else lambda df: df)(runs.where(f"n = {n}").select("run", "before", "window"))
     docs = _hashed(docs.withColumn("key", F.xxhash64("text", F.length("text"))), "text").drop("text")
-    by_run = lambda n: mark(windows.where(f"n = {n}").groupBy("run").agg(F.collect_set(F.struct("before", "window", "item")).alias("_w")))
     # the first element stands for the document itself: texts are read and split once, hits or none
     places = docs.select("doc_id", "key", "w", "h", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "h")).alias("_p", "_h")).withColumn("p", F.col("_p") - 1)
-    kept = places.where((F.col("p") < 0) | _kept()).withColumn("run", F.when(F.col("p") >= 0, _run("p", K)))
-    met = kept.join(by_run(WINDOW), "run", "left").where("p < 0 OR _w IS NOT NULL")
-    n_words = F.when(F.col("p") < 0, F.size("w"))
-    met = met.select("doc_id", "key", n_words.alias("n_words"), "p", F.when(F.col("p") >= 0, F.col("w")).alias("w"), F.explode_outer("_w").alias("_w"))
-    rows = _confirmed(met, WINDOW)
-    for n in sorted(k for k in lengths if k < WINDOW):
+    kept = places.where((F.col("p") < 0) | _kept(False)).withColumn("run", F.when(F.col("p") >= 0, _run("p", K)).otherwise(F.xxhash64("doc_id", "key")))
+    met = kept.withColumn("n_words", F.when(F.col("p") < 0, F.size("w")))
+    rows = _confirmed(met, of_length(WINDOW), WINDOW, "left").where("p < 0 OR s IS NOT NULL").drop("p")
+    for n in sorted(r.n for r in measured if r.n < WINDOW):
         at = docs.select("doc_id", "key", "w", "h", F.posexplode("h").alias("p", "_h")).where(F.get(F.col("h"), F.expr(f"p + {n - 1}")).isNotNull())
         # an array's hash is that of its elements in turn
-        at = at.withColumn("run", _run("p", n)).join(by_run(n), "run").select("doc_id", "key", F.lit(None).cast("int").alias("n_words"), "p", "w", F.explode("_w").alias("_w"))
-        rows = rows.unionAll(_confirmed(at, n))
-    # first per place, so that a passage that many items or windows share stays small; then per document
-    spots = rows.groupBy("doc_id", "key", "s", "n").agg(F.count(F.col("n_words")).alias("copies"), F.max("n_words").alias("n_words"), F.collect_set("item").alias("items"))
-    per = spots.groupBy("doc_id", "key").agg(
-        F.sum("copies").alias("copies"), F.max("n_words").cast("long").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sort_array(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", F.expr("s + n").alias("e"))))).alias("spans")
-    )
+        at = at.withColumn("run", _run("p", n)).withColumn("n_words", F.lit(None).cast("int"))
+        rows = rows.unionAll(_confirmed(at, of_length(n), n, "inner").drop("p"))
+    # one row for each place, and for each document; a document's rows are counted by their own rows
+    spots = rows.groupBy("doc_id", "key", "s", "n").agg(F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"), F.first("window").alias("window"))
+    spots = cut(spots)
+    span = F.when(F.col("s").isNotNull(), F.struct("s", F.expr("s + n").alias("e")))
+    per = spots.groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set(span)).alias("spans"))
     # the words in the union of the windows, by their sorted ends
     hit = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum")), lambda a, x: F.struct(F.greatest(a.end, x.e).alias("end"), (a["sum"] + F.greatest(F.lit(0), x.e - F.greatest(a.end, x.s))).alias("sum")), lambda a: a["sum"])
-    out = per.select("doc_id", "key", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ",").cast("binary"), 256).alias("items_sha256"), "copies")
+    of_window = windows.where("item IS NOT NULL").select("n", "window", "item").distinct()
+    named = spots.where("s IS NOT NULL").select("doc_id", "key", "n", "window").distinct().join(of_window, ["n", "window"]).select("doc_id", "key", "item").distinct()
+    named = named.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list("item")).alias("items")).withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
+    out = per.withColumn("n_hit", hit).join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    out = out.select("doc_id", "key", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), "copies")
     return out.withColumn("contaminated", F.col("n_hit") > 0).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_c", "copies")
 
 
-def _confirmed(hit: DataFrame, n: int) -> DataFrame:
-    """Joined runs whose whole window stands in the document, at s over n words, and the documents' own rows."""
-    s = F.col("p") - F.col("_w.before")
-    hit = hit.withColumn("s", F.when(F.col("p") >= 0, s))
-    same = (F.col("s") >= 0) & (F.slice("w", F.greatest(F.col("s"), F.lit(0)) + 1, n) == F.col("_w.window"))
-    hit = hit.where(F.col("n_words").isNotNull() | same)
-    return hit.select("doc_id", "key", "n_words", "s", F.when(F.col("s").isNotNull(), n).alias("n"), F.col("_w.item").alias("item"))
+def _confirmed(at: DataFrame, runs: DataFrame, n: int, how: str) -> DataFrame:
+    """Places whose run is met and whose whole window stands in the document, at s over n words."""
+    runs = runs.withColumnRenamed("run", "_run")
+    s = F.col("p") - F.col("before")
+    same = (F.col("p") >= 0) & (s >= 0) & (F.slice("w", F.greatest(s, F.lit(0)) + 1, n) == F.col("window"))
+    hit = at.join(runs, (F.col("run") == F.col("_run")) & same, how)
+    return hit.select("doc_id", "key", "n_words", "p", s.alias("s"), F.when(F.col("window").isNotNull(), n).alias("n"), "window")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, max_share: float = 0.0) -> DataFrame:
     """docs without the rows of whose words more than max_share are hit; all columns of docs."""
     marks = _results(docs.select("doc_id", "text"), _item_windows(items, "item_id", "text")).where(F.col("n_hit") > max_share * F.col("n_words"))
     marks = marks.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    marks = small(cut(marks), BROADCAST_ROWS)
+    marks = small(cut(marks), SMALL_ROWS)
     key = F.xxhash64("text", F.length("text"))
     return docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]) & (key == marks["_key"]), "left_anti")
 

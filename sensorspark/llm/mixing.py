@@ -1,6 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Tokens are summed to cells (source, language, topic); the cells' weights are scaled to each marginal's targets in turn until all hold (raking).
+Targets that contradict each other, or that no document can meet, never hold: after SWEEPS sweeps raking raises an error, or warns where the targets are the default ones.
 A document of a cell whose factor r (fitted over observed tokens) is below 1 is sampled with probability r; others stay, and
 weight = r / probability says how often a kept document's tokens count, so kept tokens times weight meet the targets in expectation.
 
@@ -8,19 +9,21 @@ The cells stay a table: sums per marginal value are combined before each shuffle
 draw is a hash of doc_id, so a recomputed task draws the same.
 
 Defined results: a null source, language or topic is a value of its own ('?'). A value without a target gets 0: its documents have probability 0.
-Null and empty texts have 0 tokens and their cell's probability; a cell without tokens has factor 1. Repeated rows are drawn alike. Extra
-columns are ignored.
+Null and empty texts have 0 tokens and their cell's probability; a cell without tokens has factor 1. Repeated rows are drawn alike. Where docs has columns
+topic or tokens, they are used; other extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut
 
-SMALL = 2_000_000  # ids up to which a counted table is broadcast
-SWEEPS, CLOSE = 14, 1e-11
+SWEEPS, CLOSE = 300, 1e-11
+FEW, TOGETHER = 100_000, 5  # so many cells are raked in one task, several sweeps in a job
 TEMPER = 0.7  # default targets: shares to this power, scaled to 1
 MARGINS = ("source", "lang", "topic")
 TOKEN = r"[^\x20\x09-\x0D]+"  # in SQL; Java's \S+ is the same class
@@ -53,32 +56,57 @@ def tempered(cells: DataFrame, margin: str, power: float = TEMPER) -> DataFrame:
     return scaled.select("value", F.try_divide("p", F.lit(total)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """cells with a column fitted whose sums per value of each margin are the targets' shares of all tokens."""
+def _scaled(cells: DataFrame, m: str, here: bool) -> DataFrame:
+    """cells with fitted scaled to one margin's targets, and by how much (_m)."""
+    if here:  # all cells are in one task: no shuffle
+        have = F.sum("fitted").over(Window.partitionBy(m))
+        factor = F.coalesce(F.try_divide(F.coalesce(F.col(f"want_{m}"), F.lit(0.0)), have), F.lit(1.0))
+        return cells.withColumn("_f", factor).withColumns({"fitted": F.col("fitted") * F.col("_f"), f"_{m}": F.abs(F.col("_f") - 1)}).drop("_f")
+    have = cells.groupBy(m).agg(F.sum("fitted").alias("have"), F.max(f"want_{m}").alias("want"))
+    factor = have.select(m, F.coalesce(F.try_divide(F.coalesce("want", F.lit(0.0)), "have"), F.lit(1.0)).alias("_f"))
+    return cells.join(factor, m).withColumns({"fitted": F.col("fitted") * F.col("_f"), f"_{m}": F.abs(F.col("_f") - 1)}).drop("_f")
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], strict: bool = True) -> DataFrame:
+    """cells with a column fitted whose sums per value of each margin are the targets' shares of all tokens; if they never are, an error or (not strict) a warning."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    kept = [*MARGINS, "tokens"]
-    cells = cells.select(*kept, F.col("tokens").cast("double").alias("fitted"))
-    wanted = {m: cut(t.select(F.col("value").alias(m), (F.col("share") * total).alias("want"))) for m, t in targets.items()}
-    for sweep in range(SWEEPS):
-        off = []
-        for m, want in wanted.items():
-            have = cells.groupBy(m).agg(F.sum("fitted").alias("have")).join(want, m, "left")
-            factor = have.select(m, F.coalesce(F.try_divide(F.coalesce("want", F.lit(0.0)), "have"), F.lit(1.0)).alias("factor"))
-            cells = cells.join(factor, m).withColumn("fitted", F.col("fitted") * F.col("factor")).withColumn(f"_{m}", F.abs(F.col("factor") - 1)).drop("factor")
-            off.append(f"_{m}")
-        done = cut(cells.select(*kept, "fitted", F.greatest(*off).alias("off") if len(off) > 1 else F.col(off[0]).alias("off")))
-        cells = done.drop("off")
-        if (done.where("fitted > 0").agg(F.max("off")).first()[0] or 0) < CLOSE:
+    cells = cells.select(*MARGINS, "tokens", F.col("tokens").cast("double").alias("fitted"))
+    for m, t in targets.items():
+        cells = cells.join(t.select(F.col("value").alias(m), (F.col("share") * total).alias(f"want_{m}")), m, "left")
+    cells = cut(cells)
+    columns, here, off = cells.columns, cells.count() <= FEW, 0.0
+    for _ in range(SWEEPS // TOGETHER if here else SWEEPS):
+        if here:
+            cells = cells.coalesce(1)
+        for _ in range(TOGETHER if here else 1):
+            for m in targets:
+                cells = _scaled(cells, m, here)
+        done = cut(cells.select(*columns, F.array_max(F.array(*[f"_{m}" for m in targets])).alias("off")))
+        cells = done.select(*columns)
+        off = done.where("fitted > 0").agg(F.max("off")).first()[0] or 0
+        if off < CLOSE:
             break
-    return cells
+    else:
+        message = f"targets don't hold together: after {SWEEPS} sweeps a margin is still off by {off:.2e} of its target"
+        if strict:
+            raise ValueError(message)
+        warnings.warn(message, stacklevel=2)
+    return cells.select(*MARGINS, "tokens", "fitted")
+
+
+def _celled(docs: DataFrame) -> DataFrame:
+    """docs (with _source and _lang) with their topic and tokens, given or found."""
+    given = {c.lower() for c in docs.columns}
+    own = F.coalesce(F.col("topic").cast("string"), F.lit("?")) if "topic" in given else topic(F.col("text"))
+    n = F.coalesce(F.col("tokens").cast("long"), F.lit(0)) if "tokens" in given else tokens(F.col("text"))
+    return docs.withColumns({"_topic": own, "_n": n})
 
 
 def _drawn(docs: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
-    """Rows of _id, _source, _lang, text and other columns with _topic, _n, _p, _w and _kept, unrounded."""
+    """docs (with _id, _n and a column for each margin) with _p, _w and _kept, unrounded."""
     cell = [f"_{m}" for m in MARGINS]
-    docs = docs.withColumns({"_topic": topic(F.col("text")), "_n": tokens(F.col("text"))})
     cells = cut(docs.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_n").alias("tokens")))
-    fitted = rake(cells, targets or {m: tempered(cells, m) for m in MARGINS})
+    fitted = rake(cells, targets or {m: tempered(cells, m) for m in MARGINS}, strict=targets is not None)
     factors = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.coalesce(F.try_divide("fitted", "tokens"), F.lit(1.0)).alias("_r"))
     drawn = docs.join(factors, cell, "left").withColumn("_p", F.least(F.lit(1.0), F.col("_r")))
     u = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit("|" + SEED))), 1, 13), 16, 10).cast("double") / float(16**13)
@@ -90,24 +118,18 @@ def _values() -> dict[str, Column]:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, source, lang, topic, n_tokens, probability, weight, kept. docs needs source, lang and text."""
-    drawn = _drawn(docs.select(F.col(id_col).alias("_id"), *[v.alias(k) for k, v in _values().items()], "text"), targets)
+    """One row for each row of docs: doc_id, source, lang, topic, n_tokens, probability, weight, kept. docs needs source, lang, and text or topic and tokens."""
+    light = cut(_celled(docs.withColumns({"_id": F.col(id_col), **_values()})).select("_id", *[f"_{m}" for m in MARGINS], "_n"))  # texts are read once
+    drawn = _drawn(light, targets)
     return drawn.select(F.col("_id").alias("doc_id"), *[F.col(f"_{m}").alias(m) for m in MARGINS], F.col("_n").alias("n_tokens"), F.round("_p", 6).alias("probability"), F.round("_w", 6).alias("weight"), F.col("_kept").alias("kept"))
 
 
-def weighted(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the default mixture keeps; all their columns, and weight: how often a row's tokens count, so that the targets hold."""
-    drawn = _drawn(docs.withColumns({"_id": F.col("doc_id"), **_values()}), None)
+def weighted(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of docs that the mixture keeps; all their columns, and weight: how often a row's tokens count, so that the targets hold."""
+    drawn = _drawn(_celled(docs.withColumns({"_id": F.col("doc_id"), **_values()})), targets)
     return drawn.where("_kept").select(*[c for c in docs.columns if c != "weight"], F.col("_w").alias("weight"))
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the default mixture keeps; all their columns. Without the weights of weighted() they don't have the targets' shares."""
-    drawn = mix(docs).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    drawn = small(cut(drawn), SMALL)
-    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]), "left_anti")
-
-
 def sql() -> str:
     form = " ".join("WHEN {} THEN '{}'".format(" OR ".join(f"contains(t, '{m}')" for m in marks), name) for name, marks in FORMS)
     ctes = [
@@ -115,18 +137,17 @@ def sql() -> str:
         f"d AS (SELECT doc_id, source, lang, CASE {form} WHEN length(t) < 300 THEN 'short' WHEN length(t) > 5000 THEN 'long' ELSE 'prose' END topic, CAST(len(regexp_extract_all(t, '{TOKEN}')) AS BIGINT) n_tokens FROM d0)",
         "c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE tokens FROM d GROUP BY ALL)",
         *[f"t_{m} AS MATERIALIZED (SELECT {m}, p / sum(p) OVER () * (SELECT sum(tokens) FROM c) want FROM (SELECT {m}, pow(sum(tokens), {TEMPER}) p FROM c GROUP BY {m}))" for m in MARGINS],
-        "f0 AS MATERIALIZED (SELECT *, tokens fitted FROM c)",
+        "w AS MATERIALIZED (SELECT c.*, " + ", ".join(f"t_{m}.want want_{m}" for m in MARGINS) + " FROM c " + " ".join(f"JOIN t_{m} USING ({m})" for m in MARGINS) + ")",
+        # one margin a step, as many sweeps as raking may take
+        f"f AS (SELECT 0 k, *, tokens fitted FROM w UNION ALL SELECT k + 1, source, lang, topic, tokens, {', '.join(f'want_{m}' for m in MARGINS)}, coalesce(fitted * CASE k % 3 "
+        + " ".join(f"WHEN {i} THEN want_{m} / nullif(sum(fitted) OVER (PARTITION BY {m}), 0)" for i, m in enumerate(MARGINS))
+        + f" END, fitted) FROM f WHERE k < {SWEEPS * len(MARGINS)})",
     ]
-    last = "f0"
-    for i in range(SWEEPS * len(MARGINS)):
-        m = MARGINS[i % len(MARGINS)]
-        ctes.append(f"f{i + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, coalesce(fitted * want / nullif(sum(fitted) OVER (PARTITION BY {m}), 0), fitted) fitted FROM {last} JOIN t_{m} USING ({m}))")
-        last = f"f{i + 1}"
     return (
-        "WITH "
+        "WITH RECURSIVE "
         + ",\n".join(ctes)
         + f""",
-r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN fitted / tokens ELSE 1 END r FROM {last}),
+r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN fitted / tokens ELSE 1 END r FROM f WHERE k = {SWEEPS * len(MARGINS)}),
 p AS (SELECT d.*, r, least(1.0, r) pr, CAST('0x' || substr(md5(doc_id::VARCHAR || '|{SEED}'), 1, 13) AS BIGINT)::DOUBLE / {16**13}.0 u FROM d JOIN r USING (source, lang, topic))
 SELECT doc_id, source, lang, topic, n_tokens, round(pr, 6) probability, round(CASE WHEN pr > 0 THEN r / pr ELSE 0 END, 6) weight, u < pr kept FROM p"""
     )

@@ -40,10 +40,27 @@ def test_edge_cases(spark):
 
 
 def test_without_broadcast_and_dropping(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     ten = "a b c d e f g h i j"
     docs = [(1, ten), (2, "clean text"), (None, ten), (None, None)]
     check(spark, docs, [(1, ten)])
     df = spark.createDataFrame([(*d, 1, "i") for d in docs], SCHEMA)
     kept = decontaminate.decontaminate(df, spark.createDataFrame([(1, ten)], "item_id long, text string"))
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
+
+
+def test_repetitive_text_is_thinned_and_found(spark):
+    from pyspark.sql import functions as F
+
+    for period in (1, 2, 5, 6):
+        text = " ".join(f"w{i % period}" for i in range(3000))
+        df = decontaminate._hashed(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text")
+        kept = df.select("h", F.posexplode("h").alias("p", "_h")).where(decontaminate._kept(False)).count()
+        assert 3000 / 10 < kept <= 3000 / (decontaminate.WINDOW - decontaminate.K + 1) * 2 + 10
+        check(spark, [(1, text), (2, "x " + text[:100])], [(1, " ".join(text.split()[3:20])), (2, " ".join(text.split()[:10]))])
+
+
+def test_a_phrase_of_many_items(spark):
+    head = "choose the right answer from the following list of words"
+    items = [(i, f"{head} w{i} v{i} u{i}") for i in range(300)]
+    check(spark, [(1, "x " + items[7][1]), (2, head), (3, head + " nothing"), (4, " ".join(t for _, t in items[:40]))], items)

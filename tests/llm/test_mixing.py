@@ -15,7 +15,7 @@ def test_marginals_hold_after_raking(spark):
         assert all(abs(r.t / total - r.n**mixing.TEMPER / scale) < 1e-3 for r in rows)
     kept = out.where("kept").agg(F.sum(F.col("n_tokens") * F.col("weight"))).first()[0]
     assert abs(kept / total - 1) < 0.15
-    assert mixing.sample(docs).count() == out.where("kept").count()
+    assert mixing.weighted(docs).count() == out.where("kept").count()
 
 
 def test_given_targets_and_edge_cases(spark):
@@ -27,4 +27,49 @@ def test_given_targets_and_edge_cases(spark):
     got = {r.doc_id: (r.probability, r.kept) for r in mixing.mix(docs, {"source": source}).collect()}
     assert got[4] == (0.0, False) and got[1] == (1.0, True)
     assert mixing.mix(docs.limit(0)).count() == 0
-    assert mixing.sample(docs).columns == docs.columns
+    assert [c for c in mixing.weighted(docs).columns if c != "weight"] == [c for c in docs.columns if c != "weight"]
+
+
+def plain_raking(cells, targets, sweeps):
+    fitted = [float(n) for *_, n in cells]
+    total = sum(fitted)
+    for _ in range(sweeps):
+        for k, want in enumerate(targets):
+            have = {}
+            for cell, f in zip(cells, fitted):
+                have[cell[k]] = have.get(cell[k], 0) + f
+            fitted = [f * want[cell[k]] * total / have[cell[k]] for cell, f in zip(cells, fitted)]
+    return fitted
+
+
+def test_slow_raking_runs_to_its_end(spark, monkeypatch):
+    cells = [("a", "x", "t", 1000), ("a", "y", "t", 1), ("b", "x", "t", 2), ("b", "y", "t", 1500)]
+    shares = [{"a": 0.3, "b": 0.7}, {"x": 0.45, "y": 0.55}, {"t": 1.0}]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {m: spark.createDataFrame(list(s.items()), "value string, share double") for m, s in zip(mixing.MARGINS, shares)}
+    got = {(r.source, r.lang): r.fitted for r in mixing.rake(df, targets).collect()}
+    short, want = plain_raking(cells, shares, 14), plain_raking(cells, shares, 1000)
+    assert any(abs(s - w) > 1e-3 * w for s, w in zip(short, want))  # 14 sweeps aren't enough
+    assert all(abs(got[c[:2]] - w) < 1e-7 * w for c, w in zip(cells, want))
+    monkeypatch.setattr(mixing, "FEW", 0)
+    monkeypatch.setattr(mixing, "CLOSE", 0.01)
+    assert all(abs(r.fitted / got[r.source, r.lang] - 1) < 0.1 for r in mixing.rake(df, targets).collect())
+
+
+def test_contradicting_targets_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(mixing, "SWEEPS", 5)
+    cells = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    table = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    targets = {"source": table({"a": 0.9, "b": 0.1}), "lang": table({"x": 0.5, "y": 0.5})}
+    with pytest.raises(ValueError, match="hold together"):
+        mixing.rake(cells, targets)
+    with pytest.warns(UserWarning, match="hold together"):
+        mixing.rake(cells, targets, strict=False)
+
+
+def test_own_topics_and_tokens_are_used(spark):
+    rows = [(1, "a b", "x", "en", "news", 30), (2, "c", "x", "en", "law", 10), (3, "d", "x", "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string, tokens long")
+    assert {r.doc_id: (r.topic, r.n_tokens) for r in mixing.mix(docs).collect()} == {1: ("news", 30), 2: ("law", 10), 3: ("?", 0)}
