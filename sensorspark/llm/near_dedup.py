@@ -2,15 +2,15 @@
 
 How it works, and why nothing is lost:
 
-1. Every text becomes its set of distinct 5-word shingles (64-bit hashes) and a signature of 64 MinHash values
+1. Every text becomes its set of distinct 5-word shingles (64-bit hashes) and a signature of MinHash values
    of 16 bits. Documents with equal sets form a class; only the class's smallest id goes on.
-2. The first values are split into chunks. Each chunk is indexed under its leave-one-out keys (the allowed chunk errors,
-   enumerated), so a pair meets if it differs in at most 1 value in some chunk. At 0.85 there are 8 chunks of 4: at most 15
-   errors of 32 are always within (pigeonhole).
-3. Members of a key are compared by the whole signature in bounded blocks, and only a spanning forest of the pairs
-   within a number of errors of 64 leaves a task (25 at 0.85): at most one edge for each member, however large the group is.
-   Chunks and errors follow from the percentage asked for (layout): a pair that is just alike enough is lost by the index,
-   and by the errors, in at most 1 of a million cases each. A percentage that 64 values can't serve is an error.
+2. Signatures are split into n chunks of 4 (or 3) values, and each chunk is indexed under its leave-one-out keys (the allowed chunk errors,
+   enumerated), so a pair meets if it differs in at most 1 value in some chunk: by the pigeonhole principle every pair
+   with fewer than 2 n errors in all does.
+3. Members of a key are compared by the whole signature in bounded blocks, and pairs with at most a number of errors are candidates. That number
+   is less than 2 n, so all pairs under the signature-distance threshold are found. It and n follow from the percentage asked for (layout): a pair that is just alike
+   enough exceeds it in at most 1 of a million cases. At 85 % they are 17 errors of 36 values in 9 chunks. Only a spanning forest of the pairs
+   leaves a task: at most one edge for each member, however large the group is.
 4. Components of those edges are clusters; every true link lies inside one. Each cluster's full shingle sets are compared in
    bounded blocks of members, exactly, and again a spanning forest of the confirmed links leaves each task. Their components
    are the result.
@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, chunks, components, cut, mix, prefix_hashes, small, span_hashes, words
 
 SHINGLE = 5
-VALUES, LEAST_CHUNKS = 64, 8
-MISS = 1e-6  # share of the pairs just alike enough that the index, and the bound of errors, may lose
-SMALL = 1_000_000  # rows of ids (16 bytes each) or signatures (136 bytes each) up to which a counted table is broadcast
-BLOCK = 512  # members of a key or a cluster that meet in one task, at most two blocks at a time
+MOST_VALUES, LEAST_CHUNKS = 256, 6
+MISS = 1e-6  # share of the pairs just alike enough that exceed the bound of errors
+SMALL = 500_000  # rows of ids (16 bytes each) or signatures (about 100 bytes each) up to which a counted table is broadcast
+KEY_BLOCK = 4096  # members of a key whose signatures meet in one task, at most two blocks at a time
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21  # members of a cluster, and shingles of them, that meet in one task, at most two blocks at a time
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_MULT = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULT = _rng.integers(1, 2**63, MOST_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PART = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -65,43 +66,46 @@ def shingle_sets(column: pa.Array):
                 yield h[:0]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    best = np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
+def signature(s: np.ndarray, values: int) -> np.ndarray:
+    best = np.full(values, np.iinfo(np.uint64).max, dtype=np.uint64)
     for lo in range(0, len(s), 2048):
-        np.minimum(best, (s[lo : lo + 2048] * _MULT[:, None]).min(axis=1), out=best)
+        np.minimum(best, (s[lo : lo + 2048] * _MULT[:values, None]).min(axis=1), out=best)
     return mix(best).astype(np.uint16)
 
 
 SIGNED = "doc_id long, n_shingles long, set1 long, set2 long, sig binary"
 
 
-def _sign(batches):
-    for b in batches:
-        ids, n, one, two, sig = b.column(0), [], [], [], []
-        for s in shingle_sets(b.column(1)):
-            n.append(len(s))
-            one.append(mix(s).sum(dtype=np.uint64))
-            two.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-            sig.append(signature(s).tobytes() if len(s) else None)
-        as_long = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), as_long(one), as_long(two), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set1", "set2", "sig"])
+def _sign(values: int):
+    def run(batches):
+        for b in batches:
+            ids, n, one, two, sig = b.column(0), [], [], [], []
+            for s in shingle_sets(b.column(1)):
+                n.append(len(s))
+                one.append(mix(s).sum(dtype=np.uint64))
+                two.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+                sig.append(signature(s, values).tobytes() if len(s) else None)
+            as_long = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), as_long(one), as_long(two), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set1", "set2", "sig"])
+
+    return run
 
 
 def layout(percent: int) -> tuple[int, int, int]:
-    """Chunks of the index, values of a chunk, and errors of VALUES within which a pair is a candidate."""
+    """Chunks of the signature, values of a chunk, and errors within which a pair is a candidate: fewer than two for each chunk."""
     if not 0 < percent <= 100:
         raise ValueError(f"percent is {percent}")
     p = percent / 100
-    tail, errors = 1 - p**VALUES, 0
-    while tail > MISS:
-        errors += 1
-        tail = sum(comb(VALUES, i) * (1 - p) ** i * p ** (VALUES - i) for i in range(errors + 1, VALUES + 1))
     for size in (4, 3):  # keys of fewer than two values would be shared by chance
-        miss = 1 - p**size - size * (1 - p) * p ** (size - 1)  # of a chunk: two errors or more
-        for n in range(LEAST_CHUNKS, VALUES // size + 1):
-            if miss**n <= MISS:
+        for n in range(LEAST_CHUNKS, MOST_VALUES // size + 1):
+            v = n * size
+            errors, tail = 0, 1 - p**v
+            while tail > MISS and errors < 2 * n:
+                errors += 1
+                tail = sum(comb(v, i) * (1 - p) ** i * p ** (v - i) for i in range(errors + 1, v + 1))
+            if errors < 2 * n:
                 return n, size, errors
-    raise ValueError(f"{VALUES} values can't find pairs that share {percent} %")
+    raise ValueError(f"{MOST_VALUES} values can't find pairs that share {percent} %")
 
 
 def _keys(chunks_: int, chunk: int):
@@ -125,17 +129,15 @@ def _keys(chunks_: int, chunk: int):
     return run
 
 
-def _forest(ids: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the components of a symmetric boolean matrix."""
-    left, edges = np.ones(len(ids), dtype=bool), []
-    for root in range(len(ids)):
-        if not left[root]:
-            continue
-        left[root], queue = False, [root]
-        while queue:
+def _forest(ids: np.ndarray, near) -> list[tuple[int, int]]:
+    """Edges that span the components of a symmetric relation; near(i, others) tells which of others i is related to."""
+    left, edges = np.arange(len(ids)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
             i = queue.pop()
-            new = np.flatnonzero(near[i] & left)
-            left[new] = False
+            hit = near(i, left)
+            new, left = left[hit], left[~hit]
             edges += [(int(ids[i]), int(ids[j])) for j in new]
             queue += new.tolist()
     return edges
@@ -148,12 +150,8 @@ def _edges(edges) -> pa.Table:
 
 def _near_signatures(errors: int):
     def run(t: pa.Table) -> pa.Table:
-        ids = t.column("doc_id").to_numpy()
         sig = np.stack([np.frombuffer(x, dtype=np.uint16) for x in t.column("sig").to_pylist()])
-        near = np.zeros((len(ids), len(ids)), dtype=bool)
-        for i in range(len(ids)):
-            near[i] = (sig != sig[i]).sum(axis=1) <= errors
-        return _edges(_forest(ids, near))
+        return _edges(_forest(t.column("doc_id").to_numpy(), lambda i, others: (sig[others] != sig[i]).sum(axis=1) <= errors))
 
     return run
 
@@ -180,37 +178,45 @@ def _linked(percent: int):
             both += has @ has.T
         both = both.astype(np.int64)
         union = size[:, None] + size[None, :] - both
-        return _edges(_forest(ids, 100 * both >= percent * union))
+        linked = 100 * both >= percent * union
+        return _edges(_forest(ids, lambda i, others: linked[i, others]))
 
     return run
 
 
-def _in_blocks(members: DataFrame, group: str, size: str) -> DataFrame:
-    """Adds block columns (x, y): groups larger than BLOCK meet as pairs of blocks, each over many tasks; every pair of members meets in some pair of blocks."""
-    n = F.ceil(F.col(size) / BLOCK).cast("int")
+def _in_blocks(members: DataFrame, blocks: str) -> DataFrame:
+    """Adds block columns (x, y) from the number of blocks of a member's group: a group of several meets as pairs of blocks, each over many tasks; every pair of members meets in some pair of blocks."""
+    n = F.col(blocks).cast("int")
     mine = F.pmod(F.xxhash64("doc_id", F.lit(7)), n).cast("int")
     others = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.least(i, mine).alias("x"), F.greatest(i, mine).alias("y")))
-    return members.withColumn("_p", F.explode(F.when(n > 1, others).otherwise(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))))).select("*", "_p.x", "_p.y").drop("_p", size)
+    return members.withColumn("_p", F.explode(F.when(n > 1, others).otherwise(F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))))).select("*", "_p.x", "_p.y").drop("_p", blocks)
+
+
+def candidates(signed: DataFrame, n: int, size: int, errors: int) -> DataFrame:
+    """a, b: edges whose components hold every pair of doc_ids with at most so many errors in sig; fewer than 2 n, the chunks."""
+    keys = signed.mapInArrow(_keys(n, size), "key long, doc_id long")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / KEY_BLOCK).alias("blocks"))
+    met = _in_blocks(keys.join(shared, "key"), "blocks").join(small(signed, SMALL), "doc_id")
+    return met.select("key", "x", "y", "doc_id", "sig").groupBy("key", "x", "y").applyInArrow(_near_signatures(errors), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept. percent: of the union that two sets must share."""
     n, size, errors = layout(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(docs.mapInArrow(_sign, SIGNED))
+    signed = cut(docs.mapInArrow(_sign(n * size), SIGNED))
     light = signed.select("doc_id", "n_shingles", "set1", "set2")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"))
     # an id may have several texts; it then stands for all of them
-    reps = cut(some.select("doc_id", "set1", "set2", "sig").join(classes, ["set1", "set2"]).where("doc_id = rep").select("doc_id", "sig").distinct())
-    keys = reps.mapInArrow(_keys(n, size), "key long, doc_id long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = _in_blocks(keys.join(shared, "key"), "key", "size").join(small(reps, SMALL), "doc_id")
-    near = met.select("key", "x", "y", "doc_id", "sig").groupBy("key", "x", "y").applyInArrow(_near_signatures(errors), "a long, b long").distinct()
-    clusters = cut(components(near).withColumnsRenamed({"node": "doc_id", "label": "cluster"}))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    sets = docs.join(small(clusters, SMALL), "doc_id").select("doc_id", "cluster", "text").mapInArrow(_shingles, "doc_id long, cluster long, shingles binary")
-    met = _in_blocks(sets.join(sizes, "cluster"), "cluster", "size")
+    reps = cut(some.select("doc_id", "n_shingles", "set1", "set2", "sig").join(classes, ["set1", "set2"]).where("doc_id = rep").select("doc_id", "n_shingles", "sig").distinct())
+    near = candidates(reps.select("doc_id", "sig"), n, size, errors)
+    clusters = components(near).withColumnsRenamed({"node": "doc_id", "label": "cluster"})
+    clusters = cut(clusters.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks"))
+    sets = docs.join(small(clusters.select("doc_id", "cluster"), SMALL), "doc_id").select("doc_id", "cluster", "text").mapInArrow(_shingles, "doc_id long, cluster long, shingles binary")
+    met = _in_blocks(sets.join(sizes, "cluster"), "blocks")
     links = met.groupBy("cluster", "x", "y").applyInArrow(_linked(percent), "a long, b long")
     same = some.select("doc_id", "set1", "set2").distinct().join(classes, ["set1", "set2"]).select("doc_id", "rep")
     label = components(links.unionAll(same.where("doc_id <> rep")).distinct()).withColumnRenamed("node", "doc_id")
@@ -218,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; of rows that repeat a doc_id one stays. All columns of docs."""
     found = cut(near_duplicates(docs, percent=percent))
     gone = cut(found.where("NOT kept").select("doc_id").distinct())

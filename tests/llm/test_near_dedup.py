@@ -18,8 +18,10 @@ def test_whole_table_matches_brute_force(spark, tiny):
     assert rows(near_dedup.near_duplicates(docs)) == brute.near_duplicates([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_large_groups_are_dealt_out_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+@pytest.mark.parametrize("block, size", [("BLOCK", 8), ("BLOCK_SHINGLES", 1500)])
+def test_large_groups_are_dealt_out_in_blocks(spark, monkeypatch, block, size):
+    monkeypatch.setattr(near_dedup, "KEY_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, block, size)
     r = random.Random(5)
     base = [f"w{r.randrange(999)}" for _ in range(150)]
     docs = []
@@ -62,7 +64,7 @@ def test_the_index_follows_the_percentage(spark):
         df = spark.createDataFrame([(*d, 1, "k", 2) for d in docs], SCHEMA)
         got = rows(near_dedup.near_duplicates(df, percent=percent))
         assert got == brute.near_duplicates(docs, percent) and sum(not k for _, _, k in got.values()) == 150
-    assert near_dedup.layout(85) == (8, 4, 25)
+    assert near_dedup.layout(85) == (9, 4, 17)
     for percent in (0, 30, 101):
         with pytest.raises(ValueError):
             near_dedup.near_duplicates(df, percent=percent)
@@ -72,3 +74,47 @@ def test_near_copies_from_80_per_cent_leave_one(spark):
     docs = [d for i in range(20) for d in shared(random.Random(i), 81, 9, 2 * i)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df, percent=80).collect()) == list(range(0, 40, 2))
+
+
+def test_every_pair_under_the_threshold_is_found(spark):
+    import numpy as np
+
+    n, size, errors = near_dedup.layout(85)
+    r = np.random.default_rng(3)
+    sigs, pairs = [], set()
+    for i in range(300):
+        a = r.integers(0, 1 << 16, n * size).astype(np.uint16)
+        b = a.copy()
+        # as many errors as allowed, two to a chunk for as long as they last: the worst place for the index; then one more
+        bad = [c * size + k for k in r.permutation(size)[:2] for c in r.permutation(n)][: errors + (i % 3 == 0)]
+        b[bad] += 1
+        sigs += [(2 * i, a.tobytes()), (2 * i + 1, b.tobytes())]
+        if i % 3:
+            pairs.add((2 * i, 2 * i + 1))
+    x = np.array([np.frombuffer(s, np.uint16) for _, s in sigs])
+    every = {(i, j) for i in range(len(x)) for j in np.flatnonzero((x != x[i]).sum(axis=1) <= errors) if i < j}
+    assert every == pairs
+    df = spark.createDataFrame([(i, bytearray(s)) for i, s in sigs], "doc_id long, sig binary")
+    assert {tuple(sorted(e)) for e in near_dedup.candidates(df, n, size, errors).collect()} == pairs
+
+
+def test_a_large_group_of_near_copies_is_not_squared(spark):
+    import numpy as np
+
+    n, size, errors = near_dedup.layout(85)
+    r = np.random.default_rng(4)
+    base, many = r.integers(0, 1 << 16, n * size).astype(np.uint16), 50_000
+    x = np.tile(base, (many, 1))
+    x[np.arange(many)[:, None], r.integers(0, n * size, (many, 3))] = r.integers(0, 1 << 16, (many, 3))
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(x)], "doc_id long, sig binary")
+    edges = near_dedup.candidates(df, n, size, errors)
+    root = list(range(many))
+
+    def find(a):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        return a
+
+    for a, b in edges.collect():
+        root[find(a)] = find(b)
+    assert len({find(i) for i in range(many)}) == 1

@@ -15,7 +15,7 @@ def test_stages_take_effect(spark, tiny):
     good = stages["quality"](spark, docs, tiny).cache()
     assert good.columns == docs.columns and 0 < good.count() < docs.count()
     kept = stages["near_dedup"](spark, good, tiny).cache()
-    want = brute.near_duplicates([(r.doc_id, r.text) for r in good.collect()])
+    want = brute.near_duplicates([(r.doc_id, r.text) for r in good.collect()], percent=80)  # no contract binds a stage: the general 0.8 holds
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, _, k) in want.items() if k}
     clean = stages["decontamination"](spark, kept, tiny).cache()
     want = brute.contamination([(r.doc_id, r.text) for r in kept.collect()], items)
