@@ -149,11 +149,11 @@ def _(v):
 
 @query(
     "A20_hour_pairs",
-    "+h AS (SELECT CAST(ts AS DATE) AS d, hour(ts) AS h, avg(value) AS m FROM obs WHERE hour(ts) % 4 = 0 GROUP BY 1, 2), p AS (SELECT a.h AS h1, b.h AS h2, count(*) AS n, quantile_cont(b.m - a.m, 0.5) AS med FROM h a JOIN h b ON a.d = b.d AND a.h < b.h GROUP BY 1, 2) SELECT h1, h2, n, round(med, 6) AS med FROM p WHERE n >= 10",
+    "+h AS (SELECT CAST(ts AS DATE) AS d, hour(ts) AS h, avg(value) AS m FROM obs GROUP BY 1, 2), p AS (SELECT a.h AS h1, b.h AS h2, count(*) AS n, quantile_cont(b.m - a.m, 0.5) AS med FROM h a JOIN h b ON a.d = b.d AND a.h < b.h GROUP BY 1, 2) SELECT h1, h2, n, round(med, 6) AS med FROM p WHERE n >= 10",
     "obs",
 )
 def _(v):
-    h = v.obs.where(F.hour("ts") % 4 == 0).groupBy(day(), F.hour("ts").alias("h")).agg(F.avg("value").alias("m"))
+    h = v.obs.groupBy(day(), F.hour("ts").alias("h")).agg(F.avg("value").alias("m"))
     a, b = h.select("d", c("h").alias("h1"), c("m").alias("m1")), h.select("d", c("h").alias("h2"), c("m").alias("m2"))
     g = a.join(b, "d").where("h1 < h2").groupBy("h1", "h2").agg(F.count("*").alias("n"), R6(F.percentile(c("m2") - c("m1"), F.lit(0.5))).alias("med"))
     return g.where("n >= 10")

@@ -114,10 +114,10 @@ def _(v):
     return pick("1-URGENT").join(pick("5-LOW"), "d", "left_semi").distinct()
 
 
-@query("J13_anti", "SELECT sensor, CAST(d AS DATE) AS d FROM (SELECT DISTINCT sensor FROM obs WHERE sensor < 20), (SELECT DISTINCT CAST(ts AS DATE) AS d FROM obs) WHERE (sensor, d) NOT IN (SELECT (sensor, CAST(ts AS DATE)) FROM obs)", "obs")
+@query("J13_anti", "SELECT sensor, CAST(d AS DATE) AS d FROM (SELECT DISTINCT sensor FROM obs), (SELECT DISTINCT CAST(ts AS DATE) AS d FROM obs) WHERE (sensor, d) NOT IN (SELECT (sensor, CAST(ts AS DATE)) FROM obs)", "obs")
 def _(v):
     """Pending (sensor, day) tasks: the grid of keys less those with output."""
-    done = v.obs.where("sensor < 20").select("sensor", F.to_date("ts").alias("d")).distinct()
+    done = v.obs.select("sensor", F.to_date("ts").alias("d")).distinct()
     days = F.broadcast(v.obs.select(F.to_date("ts").alias("d")).distinct())  # a row a day
     return done.select("sensor").distinct().join(days).join(done, ["sensor", "d"], "left_anti")
 

@@ -124,9 +124,9 @@ def _(v):
     return rowwise.select_available(v.table("events"), {"event_id": "event_id", "value": "reading", "user_id": "sensor", "tair": "tair_c"})
 
 
-@query("P02_depth_profiles", "SELECT 'A' AS profile, CAST(l_linenumber * 5 AS INT) AS depth_cm, round(sum(l_quantity), 4) AS total FROM lineitem WHERE l_linenumber <= 2 GROUP BY 2 ")
+@query("P02_depth_profiles", "SELECT 'A' AS profile, CAST(l_linenumber * 5 AS INT) AS depth_cm, round(sum(l_quantity), 4) AS total FROM lineitem GROUP BY 2")
 def _(v):
-    wide = v.table("lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").pivot("l_linenumber", [1, 2]).agg(F.sum("l_quantity")).withColumnsRenamed({"1": "VWCSoil_A_5cm", "2": "VWCSoil_A_10cm"})
+    wide = v.table("lineitem").groupBy("l_orderkey").pivot("l_linenumber", list(range(1, 8))).agg(F.sum("l_quantity")).withColumnsRenamed({f"{i}": f"VWCSoil_A_{5 * i}cm" for i in range(1, 8)})
     return rowwise.depth_profiles(wide, ["l_orderkey"]).groupBy("profile", "depth_cm").agg(F.round(F.sum("value"), 4).alias("total"))
 
 

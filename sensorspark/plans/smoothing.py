@@ -97,11 +97,11 @@ def _(v):
     return good.withColumn("r", rank).where("r <= 2").select("variable", "start", "end", "length")
 
 
-@query("G11_first_crossing", "+x AS (SELECT variable, d, value, lag(value) OVER (PARTITION BY variable ORDER BY d) AS before FROM panel WHERE year(d) = 1995 AND month(d) = 8) SELECT variable, coalesce(min(d) FILTER (before >= 120000 AND value < 120000), arg_min(d, struct_pack(a := abs(value - 120000), b := d))) AS crossing FROM x GROUP BY 1", "panel")
+@query("G11_first_crossing", "+x AS (SELECT variable, year(d) AS yr, d, value, lag(value) OVER (PARTITION BY variable, year(d) ORDER BY d) AS before FROM panel WHERE month(d) = 8) SELECT variable, yr, coalesce(min(d) FILTER (before >= 120000 AND value < 120000), arg_min(d, struct_pack(a := abs(value - 120000), b := d))) AS crossing FROM x GROUP BY 1, 2", "panel")
 def _(v):
-    x = v.panel.where((F.year("d") == 1995) & (F.month("d") == 8)).withColumn("before", F.lag("value").over(Window.partitionBy("variable").orderBy("d")))
+    x = v.panel.where(F.month("d") == 8).withColumn("yr", F.year("d")).withColumn("before", F.lag("value").over(Window.partitionBy("variable", "yr").orderBy("d")))
     down = F.min(F.when((c("before") >= 120000) & (c("value") < 120000), c("d")))
-    return x.groupBy("variable").agg(F.coalesce(down, F.min_by("d", F.struct(F.abs(c("value") - 120000), "d"))).alias("crossing"))
+    return x.groupBy("variable", "yr").agg(F.coalesce(down, F.min_by("d", F.struct(F.abs(c("value") - 120000), "d"))).alias("crossing"))
 
 
 @query("G12_noisy_hours", "+h AS (SELECT sensor, date_trunc('hour', ts) AS h, stddev_samp(value) AS s, count(*) AS n FROM obs GROUP BY 1, 2), q AS (SELECT avg(s) AS m, stddev_samp(s) AS sd FROM h) SELECT sensor, count(*) AS hours, count(*) FILTER (s > m + 2 * sd) AS noisy FROM h, q GROUP BY 1", "obs")
