@@ -25,6 +25,13 @@ def y95(v):
     return v.panel.where(F.year("d") == 1995)
 
 
+SERIES = ["variable", "yr"]
+
+
+def years(v):
+    return v.panel.withColumn("yr", F.year("d"))
+
+
 def directions(v):
     return v.spark.createDataFrame(DIRECTIONS, "variable string, direction string")
 
@@ -33,28 +40,29 @@ def curves(v, max_lag: int = 10):
     return st.lag_correlations(v.panel, v.panel, max_lag).where("x < y")
 
 
-@query("C01_noise", f"+{Y95}, {SIGMA} SELECT variable, round(sigma, 4) AS sigma FROM sg", "panel")
+@query("C01_noise", "+y AS (SELECT variable, year(d) AS yr, value - lag(value) OVER (PARTITION BY variable, year(d) ORDER BY d) AS dv FROM panel) SELECT variable, yr, round(CASE WHEN stddev_pop(dv) > 0 THEN stddev_pop(dv) / sqrt(2) ELSE 1 END, 4) AS sigma FROM y GROUP BY 1, 2", "panel")
 def _(v):
-    return cp.noise(y95(v), KEY, "d", "value").select("variable", R4("sigma").alias("sigma"))
+    """Each year of a variable is a series."""
+    return cp.noise(years(v), SERIES, "d", "value").select(*SERIES, R4("sigma").alias("sigma"))
 
 
 @query(
     "C02_single_break",
-    f"+{Y95}, p AS (SELECT variable, d, count(*) OVER b AS n, sum(value) OVER b AS s, sum(value * value) OVER b AS q, count(*) OVER w AS nn, sum(value) OVER w AS ss, sum(value * value) OVER w AS qq FROM y WINDOW b AS (PARTITION BY variable ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w AS (PARTITION BY variable)), k AS (SELECT *, q - s * s / n + (qq - q) - (ss - s) ** 2 / (nn - n) AS cost FROM p WHERE n >= 3 AND nn - n >= 3) SELECT variable, arg_min(d, struct_pack(a := cost, b := d)) AS \"break\", CAST(arg_min(n, struct_pack(a := cost, b := d)) AS BIGINT) AS position FROM k GROUP BY 1",
+    "+y AS (SELECT variable, year(d) AS yr, d, value FROM panel), p AS (SELECT variable, yr, d, count(*) OVER b AS n, sum(value) OVER b AS s, sum(value * value) OVER b AS q, count(*) OVER w AS nn, sum(value) OVER w AS ss, sum(value * value) OVER w AS qq FROM y WINDOW b AS (PARTITION BY variable, yr ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w AS (PARTITION BY variable, yr)), k AS (SELECT *, q - s * s / n + (qq - q) - (ss - s) ** 2 / (nn - n) AS cost FROM p WHERE n >= 3 AND nn - n >= 3) SELECT variable, yr, arg_min(d, struct_pack(a := cost, b := d)) AS \"break\", CAST(arg_min(n, struct_pack(a := cost, b := d)) AS BIGINT) AS position FROM k GROUP BY 1, 2",
     "panel",
 )
 def _(v):
-    return cp.single_break(y95(v), KEY, "d", "value").select("variable", "break", "position")
+    return cp.single_break(years(v), SERIES, "d", "value").select(*SERIES, "break", "position")
 
 
 @query("C03_penalised_breaks")
 def _(v):
-    return cp.detect(y95(v), KEY, "d", "value", model="l2", scale=1.0)
+    return cp.detect(years(v), SERIES, "d", "value", model="l2", scale=1.0)
 
 
 @query("C04_fixed_breaks")
 def _(v):
-    return cp.detect(y95(v), KEY, "d", "value", model="rbf", count=2, min_size=5)
+    return cp.detect(years(v), SERIES, "d", "value", model="rbf", count=2, min_size=5)
 
 
 @query(
