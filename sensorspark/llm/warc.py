@@ -7,7 +7,7 @@ response's id, so a rerun after a lost executor writes the same records.
 
 Records are rows until they are written; `write` makes one WARC file a partition, `read` splits files into records again.
 
-Defined results: a null payload is empty and gives an empty conversion; null URIs are left out of headers; line breaks in header values become blanks. Repeated
+Defined results: a response without a record id gives records without WARC-Refers-To, whose ids are made from its URI, date and payload; a null payload is empty and gives an empty conversion; null URIs are left out of headers; line breaks in header values become blanks. Repeated
 responses give repeated records. Extra columns are ignored.
 """
 
@@ -40,8 +40,13 @@ def _line(value) -> str:
     return " ".join(str(value).split())
 
 
+def _anonymous(source: dict) -> str:
+    """What stands for the id of a response that has none, so that its two records still differ from others'."""
+    return "\n".join(["", *[str(source[k] or "") for k in ("target_uri", "date", "payload")]])
+
+
 def _record(kind: str, source: dict, content_type: str, block: bytes) -> tuple:
-    record_id = f"<urn:uuid:{uuid.uuid5(_NAMES, kind + source['record_id'])}>"
+    record_id = f"<urn:uuid:{uuid.uuid5(_NAMES, kind + (source['record_id'] or _anonymous(source)))}>"
     payload = digest(source["payload"].encode())
     fields = [
         ("WARC-Type", kind),

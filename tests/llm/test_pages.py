@@ -111,6 +111,8 @@ def test_warc_edge_cases(spark):
     rows = warc.derive(warc.responses(df)).collect()
     assert len(rows) == 8 and all("\r\nb" not in r.record.split("\r\n\r\n")[0] for r in rows)
     assert warc.derive(warc.responses(df.limit(0))).count() == 0
+    bare = warc.derive(warc.responses(df).withColumn("record_id", F.lit(None).cast("string"))).collect()
+    assert len(bare) == 8 and len({r.record_id for r in bare}) == 6 and all(r.refers_to is None and "WARC-Refers-To:" not in r.record for r in bare)
     assert blocks("")[0] == []
 
 
