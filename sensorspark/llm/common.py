@@ -91,10 +91,12 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share; a temporary one only where none is set and everything runs on this machine, as in tests."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
