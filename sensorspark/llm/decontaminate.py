@@ -1,10 +1,10 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-Every run of K words is a fingerprint candidate; in each stretch of W = WINDOW - K + 1 runs the one with the smallest order hash (of its first and last
-word, which is cheap; ties are all kept) is kept and hashed whole. Two
-texts that share WINDOW words share such a stretch, so they keep the same run at the same place in it: no shared window
-is missed. Kept runs of items and documents are joined by hash; each hit is extended to the WINDOW-word windows around it, which are
-compared word by word. An item of fewer words than WINDOW is one window of its own length, whose hash is looked up among all runs of that length.
+Every run of K words is hashed; in each stretch of W = WINDOW - K + 1 runs the one with the smallest hash is kept (of equals, documents keep one and
+items all). Two texts that share WINDOW words share such a stretch, so what the document keeps there the item keeps too, at the same place: no
+shared window is missed. Kept runs of documents and of items' distinct windows are joined by hash, and each hit is extended to the WINDOW-word window
+around it, which is compared word by word; windows that are found meet their items then. An item of fewer words than WINDOW is one window of its own
+length, whose hash is looked up among all runs of that length.
 
 Document runs are never shuffled while the items' side has at most BROADCAST_ROWS rows (counted); beyond that Spark joins by shuffle.
 
@@ -42,20 +42,34 @@ def _run(at: str, length: int) -> Column:
     return F.xxhash64(*[F.get(F.col("h"), F.expr(f"{at} + {i}")) for i in range(length)])
 
 
-def _kept() -> Column:
-    """Whether the run at p has the smallest order hash in some stretch of W runs that lies within the text."""
+def _runs() -> Column:
+    """The hashes of all runs of K words, one for each place. An array, so that each is computed once: as columns of exploded places, compared
+    with their neighbours, they make a method that Java doesn't compile."""
+    r = F.transform("h", lambda x, i: F.xxhash64(x, *[F.get(F.col("h"), i + j) for j in range(1, K)]))
+    return F.slice(r, 1, F.greatest(F.size("h") - (K - 1), F.lit(0)))
+
+
+def _kept(ties: bool) -> Column:
+    """Whether the run at p has the smallest hash in some stretch of W runs that lies within the text; of equals all, or in each stretch the one at
+    the place with the smallest remainder, which thins repetitive text as well."""
     w = WINDOW - K + 1
-    order = lambda j: F.get(F.col("h"), F.expr(f"p + {j}")).bitwiseXOR(F.get(F.col("h"), F.expr(f"p + {j + K - 1}")))
+    at = lambda j: F.get(F.col("r"), F.expr(f"p + {j}"))
 
     def side(step: int) -> Column:
-        """How many runs on one side, at most W - 1, exist and aren't smaller."""
-        stop = lambda j: ~F.coalesce(order(step * j) >= order(0), F.lit(False))
+        """How many runs on one side, at most W - 1, exist and don't come first."""
+
+        def stop(j: int) -> Column:
+            first = at(step * j) < F.col("run")
+            if not ties:
+                first = first | ((at(step * j) == F.col("run")) & (F.expr(f"pmod(p + {step * j}, {w})") < F.expr(f"pmod(p, {w})")))
+            return F.coalesce(first, F.lit(True))
+
         out = F.when(stop(1), 0)
         for j in range(2, w):
             out = out.when(stop(j), j - 1)
         return out.otherwise(w - 1)
 
-    return order(0).isNotNull() & (side(-1) + side(1) >= w - 1)
+    return side(-1) + side(1) >= w - 1
 
 
 def _hashed(df: DataFrame, text: str) -> DataFrame:
@@ -63,9 +77,9 @@ def _hashed(df: DataFrame, text: str) -> DataFrame:
 
 
 def _item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item, n (words of the window), k (words of the run), run, before (words of the window left of the run), window."""
+    """item, n (words of the window), run (hash), before (words of the window left of the run), window."""
     items = _hashed(items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")), "text").drop("text").where("size(w) > 0")
-    long = items.where(F.size("w") >= WINDOW).select("item", "w", "h", F.posexplode("h").alias("p", "_h")).where(_kept()).withColumn("run", _run("p", K))
+    long = items.where(F.size("w") >= WINDOW).withColumn("r", _runs()).select("item", "w", "r", F.posexplode("r").alias("p", "run")).where(_kept(ties=True))
     # each window that holds the kept run
     long = long.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - (WINDOW - K)), F.least(F.col("p"), F.size("w") - WINDOW))))
     long = long.select("item", F.lit(WINDOW).alias("n"), "run", (F.col("p") - F.col("s")).alias("before"), F.slice("w", F.col("s") + 1, WINDOW).alias("window"))
@@ -78,44 +92,38 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return _results(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), _item_windows(items, item_id, item_text)).drop("key")
 
 
-def _results(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    windows = cut(windows)
+def _results(docs: DataFrame, items: DataFrame) -> DataFrame:
+    items = cut(items)
+    # documents meet distinct windows; only windows that stand in one meet their items
+    windows = items.select("n", "run", "before", "window").distinct()
     lengths = {r.n: r.rows for r in windows.groupBy("n").agg(F.count("*").alias("rows")).collect()}  # at most WINDOW rows
     mark = F.broadcast if sum(lengths.values()) <= BROADCAST_ROWS else (lambda df: df)
     docs = _hashed(docs.withColumn("key", F.xxhash64("text", F.length("text"))), "text").drop("text")
-    by_run = lambda n: mark(windows.where(f"n = {n}").groupBy("run").agg(F.collect_set(F.struct("before", "window", "item")).alias("_w")))
+    of = lambda n: mark(windows.where(f"n = {n}").select("run", "before", "window"))
+    # a window is compared word by word within the join
+    same = lambda n: (F.col("p") >= F.col("before")) & (F.slice("w", F.greatest(F.col("p") - F.col("before"), F.lit(0)) + 1, n) == F.col("window"))
     # the first element stands for the document itself: texts are read and split once, hits or none
-    places = docs.select("doc_id", "key", "w", "h", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "h")).alias("_p", "_h")).withColumn("p", F.col("_p") - 1)
-    kept = places.where((F.col("p") < 0) | _kept()).withColumn("run", F.when(F.col("p") >= 0, _run("p", K)))
-    met = kept.join(by_run(WINDOW), "run", "left").where("p < 0 OR _w IS NOT NULL")
-    n_words = F.when(F.col("p") < 0, F.size("w"))
-    met = met.select("doc_id", "key", n_words.alias("n_words"), "p", F.when(F.col("p") >= 0, F.col("w")).alias("w"), F.explode_outer("_w").alias("_w"))
-    rows = _confirmed(met, WINDOW)
+    places = docs.withColumn("r", _runs()).select("doc_id", "key", "w", "r", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "r")).alias("_p", "run")).withColumn("p", F.col("_p") - 1)
+    kept = places.where((F.col("p") < 0) | _kept(ties=False)).withColumn("run", F.when(F.col("p") >= 0, F.col("run"))).drop("r", "_p").alias("d")
+    met = kept.join(of(WINDOW).alias("i"), (F.col("d.run") == F.col("i.run")) & same(WINDOW), "left").where("p < 0 OR window IS NOT NULL")
+    rows = met.select("doc_id", "key", F.when(F.col("p") < 0, F.size("w")).alias("n_words"), (F.col("p") - F.col("before")).alias("s"), F.lit(WINDOW).alias("n"), "window")
     for n in sorted(k for k in lengths if k < WINDOW):
         at = docs.select("doc_id", "key", "w", "h", F.posexplode("h").alias("p", "_h")).where(F.get(F.col("h"), F.expr(f"p + {n - 1}")).isNotNull())
         # an array's hash is that of its elements in turn
-        at = at.withColumn("run", _run("p", n)).join(by_run(n), "run").select("doc_id", "key", F.lit(None).cast("int").alias("n_words"), "p", "w", F.explode("_w").alias("_w"))
-        rows = rows.unionAll(_confirmed(at, n))
-    # first per place, so that a passage that many items or windows share stays small; then per document
-    spots = rows.groupBy("doc_id", "key", "s", "n").agg(F.count(F.col("n_words")).alias("copies"), F.max("n_words").alias("n_words"), F.collect_set("item").alias("items"))
-    per = spots.groupBy("doc_id", "key").agg(
-        F.sum("copies").alias("copies"), F.max("n_words").cast("long").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.sort_array(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", F.expr("s + n").alias("e"))))).alias("spans")
-    )
+        at = at.withColumn("run", _run("p", n)).alias("d").join(of(n).alias("i"), (F.col("d.run") == F.col("i.run")) & same(n))
+        rows = rows.unionAll(at.select("doc_id", "key", F.lit(None).cast("int").alias("n_words"), F.col("p").alias("s"), F.lit(n).alias("n"), "window"))
+    rows = cut(rows)
+    per = rows.groupBy("doc_id", "key").agg(F.count(F.col("n_words")).alias("copies"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set(F.when(F.col("window").isNotNull(), F.struct("s", F.expr("s + n").alias("e"))))).alias("spans"))
+    # first per window, so that a passage that stands in many places of a document stays small
+    named = rows.where("window IS NOT NULL").select("doc_id", "key", "n", "window").distinct().join(mark(items.select("n", "window", "item").distinct()), ["n", "window"])
+    named = named.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "items")
+    per = per.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key")), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     # the words in the union of the windows, by their sorted ends
     hit = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum")), lambda a, x: F.struct(F.greatest(a.end, x.e).alias("end"), (a["sum"] + F.greatest(F.lit(0), x.e - F.greatest(a.end, x.s))).alias("sum")), lambda a: a["sum"])
-    out = per.select("doc_id", "key", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ",").cast("binary"), 256).alias("items_sha256"), "copies")
+    out = per.select("doc_id", "key", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "copies")
     return out.withColumn("contaminated", F.col("n_hit") > 0).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_c", "copies")
 
 
-def _confirmed(hit: DataFrame, n: int) -> DataFrame:
-    """Joined runs whose whole window stands in the document, at s over n words, and the documents' own rows."""
-    s = F.col("p") - F.col("_w.before")
-    hit = hit.withColumn("s", F.when(F.col("p") >= 0, s))
-    same = (F.col("s") >= 0) & (F.slice("w", F.greatest(F.col("s"), F.lit(0)) + 1, n) == F.col("_w.window"))
-    hit = hit.where(F.col("n_words").isNotNull() | same)
-    return hit.select("doc_id", "key", "n_words", "s", F.when(F.col("s").isNotNull(), n).alias("n"), F.col("_w.item").alias("item"))
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, max_share: float = 0.0) -> DataFrame:
     """docs without the rows of whose words more than max_share are hit; all columns of docs."""
     marks = _results(docs.select("doc_id", "text"), _item_windows(items, "item_id", "text")).where(F.col("n_hit") > max_share * F.col("n_words"))

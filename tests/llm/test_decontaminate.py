@@ -47,3 +47,14 @@ def test_without_broadcast_and_dropping(spark, monkeypatch):
     df = spark.createDataFrame([(*d, 1, "i") for d in docs], SCHEMA)
     kept = decontaminate.decontaminate(df, spark.createDataFrame([(1, ten)], "item_id long, text string"))
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None"]
+
+
+def test_repetitive_texts_are_thinned_and_matched(spark):
+    """Where runs repeat, their hashes tie: documents keep one in each stretch, items all."""
+    texts = ["x " * 1_000, "x y z " * 300, "a b c d e " * 200, " ".join(f"w{i % 7}" for i in range(900))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    places = decontaminate._hashed(df, "text").withColumn("r", decontaminate._runs()).selectExpr("text", "size(w) AS n", "r", "posexplode(r) AS (p, run)")
+    for r in places.where(decontaminate._kept(ties=False)).groupBy("text", "n").count().collect():
+        assert r["n"] / 5 - 2 <= r["count"] <= r["n"] / 2.5
+    docs = [(i, "start " + t + " end") for i, t in enumerate(texts)]
+    check(spark, docs, [(1, "x " * 12), (2, "y z x y z x y z x y z"), (3, "c d e a b c d e a b"), (4, "c d e a b c d e a c"), (5, " ".join(f"w{i % 7}" for i in range(3, 30))), (6, "x " * 10 + "end"), (7, "e end")])
