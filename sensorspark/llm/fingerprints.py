@@ -100,13 +100,18 @@ def delete(fingerprint: str, paragraph: str) -> str:
 
 
 def _add(fingerprint: str, paragraph: str, sign: int) -> str:
-    if "\n" in paragraph or not paragraph:
-        raise ValueError("a paragraph is one line that isn't empty")
-    (w, s), (x, t) = from_text(fingerprint), vectors(pa.array([paragraph]))
+    if "\n" in paragraph:
+        raise ValueError("a paragraph is one line")
+    (w, s), (x, t) = from_text(fingerprint), vectors(pa.array([paragraph])) if paragraph else _empty()
     x, t = x[0].astype(np.int64), t[0].astype(np.int64)
     return to_text((w.astype(np.int64) + sign * x).astype(np.uint32)[None], (s + sign * t).astype(np.uint16).view(np.int16)[None])[0]
 
 
+def _empty() -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the empty paragraph, which has no runs of words."""
+    return np.frombuffer(hashlib.blake2b(b"", digest_size=4 * WIDE).digest(), "<u4")[None], np.zeros((1, LANES), np.int16)
+
+
 def likeness(a: tuple, b: tuple) -> np.ndarray:
     """Of pairs of fingerprints, 0 to 1: about 1 less the share of runs of words that one of the texts lacks."""
     same = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
@@ -131,12 +136,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _search(bounds: list[int], key, lo: int, hi: int):
-    """A balanced tree of comparisons: the number of bounds that are at most key, between lo and hi."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key >= bounds[mid], _search(bounds, key, mid + 1, hi)).otherwise(_search(bounds, key, lo, mid))
+def _search(bounds: list[int], key):
+    """The number of bounds that are at most key, by halving steps over an array: the expression doesn't grow with their number."""
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one literal
+    steps = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
+    fits = lambda at: (at <= len(bounds)) & (F.get(table, at - 1) <= key)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at + step), at + step).otherwise(at))
 
 
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +156,7 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = 2 * shuffle_partitions(docs.sparkSession)
     cuts = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)
     bounds = sorted({int(x) for x in cuts})
-    docs = docs.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(_search(bounds, F.col("doc_id"), 0, len(bounds))))
+    docs = docs.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(_search(bounds, F.col("doc_id"))))
     tops = sorted(docs.groupBy("block").agg(F.max("doc_id").alias("top")).collect(), reverse=True)  # at most n + 1 rows
     halo = docs.sparkSession.createDataFrame([(r.block, r.top, tops[i - 1].block) for i, r in enumerate(tops)], "block int, top long, before int")
     own, also = F.struct(F.col("block").alias("block"), F.lit(0).alias("halo")), F.struct(F.col("before").alias("block"), F.lit(1).alias("halo"))

@@ -71,3 +71,18 @@ def test_likeness_estimates_shared_words():
     v = fp.vectors(pa.array([" ".join(w), " ".join(w[:3000] + w[:1000][::-1]), " ".join(w[::-1])]))
     pair = lambda i: fp.likeness((v[0][:1], v[1][:1]), (v[0][i : i + 1], v[1][i : i + 1]))[0]
     assert pair(0) == 1 and 0.6 < pair(1) < 0.9 and pair(2) < 0.3
+
+
+def test_the_empty_paragraph_is_a_member():
+    one = lambda t: fp.to_text(*fp.vectors(pa.array([t])))[0]
+    assert fp.insert(one("a b c"), "") == one("a b c\n") == one("\na b c")
+    assert fp.delete(one("a b c\n\n"), "") == one("a b c\n")
+    assert fp.delete(fp.insert(one("x"), ""), "") == one("x")
+
+
+def test_ranges_are_found_by_halving(spark):
+    from pyspark.sql import functions as F
+
+    for bounds in ([], [5], [1, 2, 3], list(range(0, 9_000, 3))):
+        df = spark.range(-3, 9_010, 7).withColumn("n", fp._search(bounds, F.col("id")))
+        assert all(r.n == sum(b <= r.id for b in bounds) for r in df.where("id < 200 OR id > 8900").collect())
