@@ -5,7 +5,8 @@ A response (record id, target URI, date, HTTP header, payload) gives two records
 their own block digest; the metadata block keeps the response's HTTP header fields under `source-` names. Record ids are made from the
 response's id, so a rerun after a lost executor writes the same records.
 
-Records are rows until they are written; `write` makes one WARC file a partition, `read` splits files into records again.
+Records are rows until they are written; `write` makes one WARC file a partition, `read` splits files into records again, and `from_records`
+takes the responses among them, so that crawled files can be the input.
 
 Defined results: a response without a record id gives records without WARC-Refers-To, whose ids are made from its URI, date and payload; a null payload is empty and gives an empty conversion; null URIs are left out of headers; line breaks in header values become blanks. Repeated
 responses give repeated records. Extra columns are ignored.
@@ -103,11 +104,92 @@ def write(records: DataFrame, path: str) -> None:
     records.select(F.col("record").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+RECORDS = "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, headers map<string,string>, block string, raw binary"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """warc_type, record_id, refers_to, target_uri, block_digest and block of every record under path."""
-    # a record may hold two line breaks itself, so files are cut where a version line follows
-    raw = spark.read.text(path, wholetext=True)
-    one = raw.select(F.explode(F.split("value", r"\r\n\r\n(?=WARC/1\.1\r\nWARC-Type: |\z)")).alias("r")).where("r <> ''")
-    head, block = F.regexp_extract("r", r"(?s)^(.*?\r\n)\r\n", 1), F.regexp_replace("r", r"(?s)^.*?\r\n\r\n", "")
-    field = lambda k: F.regexp_extract(head, rf"(?m)^{k}: ([^\r\n]*)", 1)
-    return one.select(field("WARC-Type").alias("warc_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Block-Digest").alias("block_digest"), block.alias("block"))
+    return read_records(spark, path).select("warc_type", "record_id", "refers_to", "target_uri", "block_digest", "block")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of the gzip files under path (one member or many), told apart by Content-Length: its named fields, all of its fields
+    (headers, names in lower case), its block as text (what isn't UTF-8 is replaced) and as bytes.
+
+    Lines come in file order, for a gzip file is never split; a task holds the record at hand only. A record that is cut off or that
+    doesn't end where its length says is an error.
+    """
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line")).mapInArrow(_parse, RECORDS)
+
+
+def _parse(batches):
+    named = [c.split()[0] for c in RECORDS.split(", ")][:7]
+    kinds = [*[pa.string()] * 7, pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
+    names = [*named, "headers", "block", "raw"]
+    file, head, block, need, done, size = None, [], [], None, [], 0
+
+    def full():
+        h = dict(head)
+        raw = b"".join(block)
+        done.append((*[h.get(_FIELDS.get(k, f"warc-{k}".replace("_", "-"))) for k in named], list(h.items()), raw.decode(errors="replace"), raw))
+
+    def table():
+        out = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+        done.clear()
+        return out
+
+    def closed():
+        if need is not None or head:
+            raise ValueError(f"{file}: the last record is cut off")
+
+    for b in batches:
+        for at, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if at != file:
+                closed()
+                file = at
+            if need is not None:  # within a block; its last line may run on into the break between records
+                line += b"\n"
+                block.append(line[:need])
+                line, need = line[need:], need - len(block[-1])
+                if need:
+                    continue
+                full()
+                size += len(done[-1][-1])
+                head, block, need = [], [], None
+                if line.strip(b"\r\n"):
+                    raise ValueError(f"{file}: a record doesn't end where its Content-Length says")
+                if size > 1 << 24:
+                    yield table()
+                    size = 0
+                continue
+            line = line.rstrip(b"\r")
+            if line and not head:
+                if not line.startswith(b"WARC/"):
+                    raise ValueError(f"{file}: no record begins with {line[:40]!r}")
+                head.append(("", line.decode(errors="replace")))
+            elif line:
+                name, _, value = line.decode(errors="replace").partition(":")
+                head.append((name.strip().lower(), value.strip()))
+            elif head:
+                head = head[1:]
+                need = int(dict(head)["content-length"])
+                if not need:
+                    full()
+                    head, need = [], None
+    closed()
+    if done:
+        yield table()
+
+
+#: Fields whose names aren't made from the columns'.
+_FIELDS = {"warc_type": "warc-type", "content_type": "content-type"}
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    """The response records of `read_records` as what `derive` takes: the HTTP header and the payload behind the first empty line."""
+    r = records.where("warc_type = 'response'")
+    cut = F.expr("locate('\r\n\r\n', block)")
+    header = F.when(cut > 0, F.substring("block", F.lit(1), cut - 1)).otherwise(F.col("block"))
+    payload = F.when(cut > 0, F.expr("substring(block, locate('\r\n\r\n', block) + 4)")).otherwise(F.lit(""))
+    return r.select(F.col("record_id").alias("source_id"), "record_id", "target_uri", "date", header.alias("http_header"), payload.alias("payload"))
