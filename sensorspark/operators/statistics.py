@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -73,6 +73,13 @@ def student_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([_beta(a / 2, 0.5, float(v)) if a > 0 and v == v else None for a, v in zip(dof, x)])
 
 
+@F.pandas_udf(DoubleType())
+def f_p(f: pd.Series, upper: pd.Series, lower: pd.Series) -> pd.Series:
+    """The tail of the F distribution beyond f; for summary rows."""
+    x = lower / (lower + upper * f)
+    return pd.Series([_beta(b / 2, a / 2, float(v)) if a > 0 and b > 0 and v == v else None for a, b, v in zip(upper, lower, x)])
+
+
 def _beta(a: float, b: float, x: float) -> float:
     from math import exp, lgamma, log
 
@@ -113,5 +120,53 @@ def exponential_fit(df: DataFrame, keys: list[str], x: str, y: str, rates: list[
     return g.groupBy(*keys).agg(F.max(F.struct("r2", "a", "b", "c")).alias("_m")).select(*keys, "_m.*")
 
 
+def best_form(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, form, r2: the best of linear, logarithmic (x > 0 only), quadratic and exponential; of forms equal to nine places the last by name."""
+    simple = df.groupBy(*keys).agg(F.regr_r2(y, x).alias("linear"), F.regr_r2(y, F.when(F.col(x) > 0, F.log(x))).alias("logarithmic"))
+    simple = simple.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.col(k).alias("r2")) for k in ("linear", "logarithmic")])).alias("_f")).select(*keys, "_f.*")
+    others = [f.select(*keys, F.lit(k).alias("form"), "r2") for k, f in (("quadratic", quadratic_fit(df, keys, x, y)), ("exponential", exponential_fit(df, keys, x, y, rates())))]
+    every = simple.unionByName(others[0]).unionByName(others[1]).where("r2 IS NOT NULL")
+    best = F.max(F.struct(F.round("r2", 9).alias("a"), F.col("form").alias("b")))
+    return every.groupBy(*keys).agg(best.alias("_m"), F.max("r2").alias("r2")).select(*keys, F.col("_m.b").alias("form"), "r2")
+
+
+def simple_ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, n, slope, intercept, r2, cv (deviation of the residuals over the mean of y) and f of a line, from one aggregation."""
+    g = df.groupBy(*keys).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.var_pop(y).alias("_v"), F.avg(y).alias("_m"))
+    dof = F.col("n") - 2
+    cv = F.try_divide(F.sqrt(F.try_divide(F.col("_v") * (1 - F.col("r2")) * F.col("n"), dof)), "_m")
+    return g.select(*keys, "n", "slope", "intercept", "r2", cv.alias("cv"), F.try_divide(F.col("r2"), F.try_divide(1 - F.col("r2"), dof)).alias("f"))
+
+
+def winsorised(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """df with scaled: value between its quantiles as 0 to 1; the average percent rank where the quantiles are equal.
+
+    Ranks come from the counts of distinct values, so only series without spread, which have few of them, could be ranked at length.
+    """
+    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"), F.count(value).alias("_n"))
+    lo, hi = F.col("_q")[0], F.col("_q")[1]
+    d = df.join(q, keys)
+    flat = d.where(lo == hi).groupBy(*keys, value).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    below = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    flat = flat.select(*keys, value, ((below + (F.col("_c") + 1) / 2) / F.col("_n")).alias("_rank"))
+    scaled = F.when(hi > lo, F.try_divide(F.greatest(lo, F.least(hi, F.col(value))) - lo, hi - lo)).otherwise(F.col("_rank"))
+    return d.join(flat, [*keys, value], "left").withColumn("scaled", scaled).select(*df.columns, "scaled")
+
+
+def median_interval(df: DataFrame, keys: list[str], value: str, names: list[str], replicates: int, least: int = 1) -> DataFrame:
+    """keys, n, lo, mid, hi: quantiles of the medians of draws with replacement from each group's rows (of at least so many).
+
+    A group's rows (setups: bounded by design) are held as an array in the order of their names; which one a draw takes comes from a hash of group, replicate
+    and draw. Groups aren't split, but each replicate is a row of its own and needs no shuffle.
+    """
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*names, F.col(value).alias("_v")))).alias("_r")).withColumn("n", F.size("_r")).where(F.col("n") >= least)
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    pick = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.get(F.col("_r"), F.pmod(F.xxhash64(*keys, "rep", i), F.col("n")).cast("int"))["_v"])
+    s = F.array_sort(pick)
+    reps = reps.select(*keys, "n", s.alias("_s")).select(*keys, "n", ((F.get("_s", F.floor((F.col("n") - 1) / 2).cast("int")) + F.get("_s", F.floor(F.col("n") / 2).cast("int"))) / 2).alias("_m"))
+    q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return reps.groupBy(*keys, "n").agg(q.alias("_q")).select(*keys, "n", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("mid"), F.col("_q")[2].alias("hi"))
+
+
 def rates(n: int = 21, most: float = 0.1) -> list[float]:
     return [float(b) for b in np.linspace(-most, most, n) if b]

@@ -219,25 +219,72 @@ def _(v):
     return best.groupBy("x", "y").agg(q.alias("q")).select("x", "y", c("q")[0].alias("lo"), c("q")[1].alias("mid"), c("q")[2].alias("hi"))
 
 
-@query("C22_all_setups", f"+{CURVES} SELECT x, y, m AS max_lag, arg_max(lag, struct_pack(a := abs(r), b := -lag)) AS lag FROM lc, (VALUES (3), (5), (10)) s(m) WHERE abs(lag) <= m GROUP BY 1, 2, 3", "panel")
+#: Half-widths of the windows around an event, largest lags, least number of days of a setup.
+HALVES, MOST, LEAST = [20, 30, 40, 50, 60, 70, 80, 90, 100], [5, 10, 15], 12
+EVENT = "1995-07-01"
+SETUPS = (
+    f"+ev AS (SELECT * FROM panel WHERE d BETWEEN DATE '{EVENT}' - 115 AND DATE '{EVENT}' + 115), "
+    f"pr AS (SELECT a.variable AS a, b.variable AS b, CAST(l AS INT) AS lag, abs(date_diff('day', DATE '{EVENT}', a.d)) AS off, a.value AS va, b.value AS vb FROM ev a, range({-max(MOST)}, {max(MOST) + 1}) l(l), ev b WHERE a.variable <> b.variable AND b.d = a.d + CAST(l AS INT)), "
+    f"cv AS (SELECT a, b, w, lag, count(*) AS n, {PEARSON('va', 'vb')} AS r FROM pr, (VALUES {', '.join(f'({h})' for h in HALVES)}) h(w) WHERE off <= w GROUP BY 1, 2, 3, 4 HAVING count(*) >= {LEAST}), "
+    "bs AS (SELECT a, b, w, m, arg_max(lag, struct_pack(k := abs(r), l := -lag)) AS lag, arg_max(r, struct_pack(k := abs(r), l := -lag)) AS r, arg_max(n, struct_pack(k := abs(r), l := -lag)) AS n "
+    f"FROM cv, (VALUES {', '.join(f'({m})' for m in MOST)}) k(m) WHERE abs(lag) <= m AND r IS NOT NULL GROUP BY 1, 2, 3, 4), "
+    "su AS (SELECT least(a, b) AS x, greatest(a, b) AS y, w, m, CASE WHEN a < b THEN 'forward' ELSE 'reverse' END AS dir, n, CASE WHEN a < b THEN lag ELSE -lag END AS lag, r FROM bs)"
+)
+
+
+def setups(v):
+    """The best lag of each pair for 9 windows, 3 largest lags and 2 directions. The fixed side's window decides which days count, so the directions
+    differ; a reversed lag's sign is turned. One join at the largest lag and one aggregation a window serve all 54 setups."""
+    from ..operators.joins import lagged_pairs
+
+    ev = v.panel.where(c("d").between(F.date_sub(F.lit(EVENT).cast("date"), max(HALVES) + max(MOST)), F.date_add(F.lit(EVENT).cast("date"), max(HALVES) + max(MOST))))
+    pairs = lagged_pairs(ev, ev, range(-max(MOST), max(MOST) + 1)).where("x <> y").withColumn("off", F.abs(F.datediff("d", F.lit(EVENT))))
+    wide = pairs.withColumn("window", F.explode(F.filter(F.lit(HALVES), lambda h: h >= c("off"))))
+    curve = wide.groupBy("x", "y", "window", "lag").agg(F.count("*").alias("n"), st.pearson("vx", "vy").alias("r")).where(f"n >= {LEAST} AND r IS NOT NULL")
+    each = curve.withColumn("max_lag", F.explode(F.filter(F.lit(MOST), lambda m: m >= F.abs("lag"))))
+    ahead = c("x") < c("y")
+    return st.best_lags(each, ["x", "y", "window", "max_lag"]).select(
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "window", "max_lag", F.when(ahead, "forward").otherwise("reverse").alias("direction"), "n", F.when(ahead, c("lag")).otherwise(-c("lag")).alias("lag"), "r"
+    )
+
+
+@query("C22_all_setups", f"{SETUPS} SELECT x, y, w AS \"window\", m AS max_lag, dir AS direction, n, lag, round(r, 6) AS r FROM su", "panel")
 def _(v):
-    """One pass at the largest lag serves all setups."""
-    s = curves(v).withColumn("max_lag", F.explode(F.array(F.lit(3), F.lit(5), F.lit(10)))).where("abs(lag) <= max_lag")
-    return st.best_lags(s, ["x", "y", "max_lag"]).select("x", "y", "max_lag", "lag")
+    return setups(v).select("x", "y", "window", "max_lag", "direction", "n", "lag", R6("r").alias("r"))
 
 
-@query("C23_pair_summary", f"+{YEARLY} SELECT x, y, count(*) AS setups, quantile_cont(lag, 0.5) AS med, CASE WHEN quantile_cont(lag, 0.5) > 0 THEN x WHEN quantile_cont(lag, 0.5) < 0 THEN y ELSE least(x, y) END AS leader, round(quantile_cont(r, 0.5), 6) AS r FROM by_ GROUP BY 1, 2", "panel")
+@query(
+    "C23_pair_summary",
+    f"{SETUPS}, g AS (SELECT x, y, count(*) AS setups, quantile_cont(lag, 0.5) AS med, quantile_cont(lag, 0.75) - quantile_cont(lag, 0.25) AS iqr, quantile_cont(abs(r), 0.5) AS r, avg(CASE WHEN lag > 0 THEN 1.0 WHEN lag < 0 THEN 0.0 END) AS pos FROM su GROUP BY 1, 2) SELECT x, y, setups, med, iqr, CASE WHEN med > 0 THEN x WHEN med < 0 THEN y ELSE least(x, y) END AS leader, CASE WHEN med > 0 THEN y WHEN med < 0 THEN x ELSE greatest(x, y) END AS follower, round(r, 6) AS r, round(greatest(pos, 1 - pos), 6) AS consistency FROM g WHERE setups >= 12",
+    "panel",
+)
 def _(v):
-    med = F.percentile("lag", F.lit(0.5))
-    leader = F.when(med > 0, c("x")).when(med < 0, c("y")).otherwise(F.least("x", "y"))
-    return yearly_best(v).groupBy("x", "y").agg(F.count("*").alias("setups"), med.alias("med"), leader.alias("leader"), R6(F.percentile("r", F.lit(0.5))).alias("r"))
+    """Over the setups; the interval of the median is C23_median_interval's."""
+    g = pair_summary(setups(v))
+    leader = F.when(c("med") > 0, c("x")).when(c("med") < 0, c("y")).otherwise(F.least("x", "y"))
+    follower = F.when(c("med") > 0, c("y")).when(c("med") < 0, c("x")).otherwise(F.greatest("x", "y"))
+    return g.select("x", "y", "setups", "med", "iqr", leader.alias("leader"), follower.alias("follower"), R6("r").alias("r"), R6("consistency").alias("consistency"))
 
 
-@query("C24_winsorised", "+q AS (SELECT variable, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM panel GROUP BY 1) SELECT variable, d, round((greatest(lo, least(hi, value)) - lo) / nullif(hi - lo, 0), 6) AS scaled FROM panel JOIN q USING (variable)", "panel")
+def pair_summary(su):
+    """Pairs with at least 12 setups: number, median lag, its spread, median |r|, and how far the signs agree (zeros aside)."""
+    q = F.percentile("lag", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    pos = F.avg(F.when(c("lag") != 0, (c("lag") > 0).cast("double")))
+    g = su.groupBy("x", "y").agg(F.count("*").alias("setups"), q.alias("q"), F.percentile(F.abs("r"), F.lit(0.5)).alias("r"), pos.alias("pos")).where("setups >= 12")
+    return g.select("x", "y", "setups", c("q")[1].alias("med"), (c("q")[2] - c("q")[0]).alias("iqr"), "r", F.greatest(c("pos"), 1 - c("pos")).alias("consistency"))
+
+
+@query("C23_median_interval")
+def _(v):
+    """A 95 % interval of the median lag from 1,000 draws of the setups with replacement."""
+    return st.median_interval(setups(v), ["x", "y"], "lag", ["window", "max_lag", "direction"], 1000, least=12)
+
+
+@query("C24_winsorised", "+p AS (SELECT variable, d, value FROM panel UNION ALL SELECT 'flat', d, CAST(value > 0 AS INT) * 1.0 FROM panel WHERE variable = '1-URGENT'), q AS (SELECT variable, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM p GROUP BY 1), k AS (SELECT variable, d, value, (rank() OVER (PARTITION BY variable ORDER BY value) + (count(*) OVER (PARTITION BY variable, value) - 1) / 2) / count(*) OVER (PARTITION BY variable) AS pct FROM p) SELECT variable, d, round(CASE WHEN hi > lo THEN (greatest(lo, least(hi, value)) - lo) / (hi - lo) ELSE pct END, 6) AS scaled FROM k JOIN q USING (variable)", "panel")
 def _(v):
-    q = v.panel.groupBy("variable").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    lo, hi = c("q")[0], c("q")[1]
-    return v.panel.join(q, "variable").select("variable", "d", R6(F.try_divide(F.greatest(lo, F.least(hi, c("value"))) - lo, hi - lo)).alias("scaled"))
+    """A series that is constant between its 5 and 95 % quantiles takes its average percent rank; `flat` is one."""
+    flat = v.panel.where("variable = '1-URGENT'").select("d", F.lit("flat").alias("variable"), (c("value") > 0).cast("int").cast("double").alias("value"))
+    return st.winsorised(v.panel.unionByName(flat), ["variable"], "value").select("variable", "d", R6("scaled").alias("scaled"))
 
 
 @query("C25_composite_uncertainty", f"+{YEARLY}, s AS (SELECT x, y, quantile_cont(lag, 0.75) - quantile_cont(lag, 0.25) AS iqr, 1 - quantile_cont(r, 0.5) AS weak FROM by_ GROUP BY 1, 2) SELECT x, y, round(0.6::DOUBLE * least(iqr / 10, 1) + 0.4::DOUBLE * weak, 6) AS uncertainty FROM s", "panel")
@@ -278,10 +325,18 @@ def _(v):
     return g.agg(F.min("degree").alias("least"), F.percentile("degree", F.lit(0.5)).alias("med"), F.count("*").alias("nodes"))
 
 
-@query("C29_simple_regression", "SELECT round(regr_slope(y, x1), 6) AS slope, round(regr_intercept(y, x1), 6) AS intercept, round(regr_r2(y, x1), 6) AS r2, count(*) AS n FROM drivers WHERE NOT (d BETWEEN DATE '1995-06-01' AND DATE '1995-08-31')", "drivers")
+@query("C29_simple_regression", "+g AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a, regr_r2(y, x1) AS r2, count(*) AS n, sqrt(var_pop(y) * (1 - regr_r2(y, x1)) * count(*) / (count(*) - 2)) / avg(y) AS cv, regr_r2(y, x1) / ((1 - regr_r2(y, x1)) / (count(*) - 2)) AS f FROM drivers WHERE NOT (d BETWEEN DATE '1995-06-01' AND DATE '1995-08-31')) SELECT round(b, 6) AS slope, round(a, 6) AS intercept, round(r2, 6) AS r2, n, round(cv, 6) AS cv, round(f, 2) AS f FROM g", "drivers")
 def _(v):
+    """The event's summer is excluded; cv is the residuals' deviation over the mean of y, f the statistic whose tail C29_p_values gives."""
     d = v.drivers.where(~c("d").between("1995-06-01", "1995-08-31"))
-    return d.agg(R6(F.regr_slope("y", "x1")).alias("slope"), R6(F.regr_intercept("y", "x1")).alias("intercept"), R6(F.regr_r2("y", "x1")).alias("r2"), F.count("*").alias("n"))
+    return st.simple_ols(d, [], "x1", "y").select(*[R6(k).alias(k) for k in ("slope", "intercept", "r2")], "n", R6("cv").alias("cv"), F.round("f", 2).alias("f"))
+
+
+@query("C29_p_values")
+def _(v):
+    """The same regression by year with its p."""
+    g = st.simple_ols(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y")
+    return g.withColumn("p", st.f_p(c("f"), F.lit(1.0), (c("n") - 2).cast("double")))
 
 
 @query("C30_residuals", "+f AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM drivers) SELECT l_orderkey, l_linenumber, round(a + b * x1, 4) AS structural, round(y - a - b * x1, 4) AS signal FROM drivers, f", "drivers")
@@ -307,10 +362,21 @@ def _(v):
 R2 = "(a * a + b * b - 2 * a * b * c) / nullif(1 - c * c, 0)"
 
 
-@query("C32_two_predictors", f"+k AS (SELECT year(d) AS yr, {PEARSON('y', 'x1')} AS a, {PEARSON('y', 'x2')} AS b, {PEARSON('x1', 'x2')} AS c FROM drivers GROUP BY 1) SELECT yr, round({R2}, 6) AS r2, round({R2} - a * a, 6) AS delta FROM k", "drivers")
+@query("C32_two_predictors", f"+k AS (SELECT year(d) AS yr, count(*) AS n, {PEARSON('y', 'x1')} AS a, {PEARSON('y', 'x2')} AS b, {PEARSON('x1', 'x2')} AS c FROM drivers GROUP BY 1) SELECT yr, n, round({R2}, 6) AS r2, round({R2} - a * a, 6) AS delta, round(({R2} - a * a) / ((1 - {R2}) / (n - 3)), 2) AS f FROM k", "drivers")
 def _(v):
-    g = v.drivers.groupBy(F.year("d").alias("yr")).agg(st.two_predictor_r2("y", "x1", "x2").alias("f"), F.pow(st.pearson("y", "x1"), F.lit(2)).alias("r1"))
-    return g.select("yr", R6("f").alias("r2"), R6(c("f") - c("r1")).alias("delta"))
+    """The larger model against the one without x2: gain and its F statistic."""
+    return nested(v).select("yr", "n", R6("full").alias("r2"), R6("delta").alias("delta"), F.round("f", 2).alias("f"))
+
+
+def nested(v):
+    g = v.drivers.groupBy(F.year("d").alias("yr")).agg(F.count("*").alias("n"), st.two_predictor_r2("y", "x1", "x2").alias("full"), F.pow(st.pearson("y", "x1"), F.lit(2)).alias("r1"))
+    return g.withColumn("delta", c("full") - c("r1")).withColumn("f", F.try_divide(c("delta"), F.try_divide(1 - c("full"), c("n") - 3)))
+
+
+@query("C32_f_test")
+def _(v):
+    """The tail of C32's F statistic with 1 and n - 3 degrees of freedom."""
+    return nested(v).withColumn("p", st.f_p(c("f"), F.lit(1.0), (c("n") - 3).cast("double")))
 
 
 @query("C33_commonality", f"+k AS (SELECT year(d) AS yr, {PEARSON('y', 'x1')} AS a, {PEARSON('y', 'x2')} AS b, {PEARSON('x1', 'x2')} AS c FROM drivers GROUP BY 1), f AS (SELECT *, {R2} AS r FROM k) SELECT yr, round(r, 6) AS full_r2, round(greatest(r - b * b, 0), 6) AS unique1, round(greatest(r - a * a, 0), 6) AS unique2, round(greatest(a * a + b * b - r, 0), 6) AS shared FROM f", "drivers")
@@ -333,6 +399,26 @@ def _(v):
     return st.exponential_fit(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y", st.rates())
 
 
+RATES = ", ".join(f"({b!r}::DOUBLE)" for b in st.rates())
+
+
+def forms_sql(key: str, source: str) -> str:
+    """The four forms' r2 by key: exponentials over the same grid of rates."""
+    return (
+        f"fs AS (SELECT {key} AS k, x, y FROM {source}), ct AS (SELECT k, avg(x) AS mx FROM fs GROUP BY 1), fu AS (SELECT k, y, x - mx AS u, (x - mx) ** 2 AS w FROM fs JOIN ct USING (k)), "
+        "qg AS (SELECT k, covar_pop(u, u) AS uu, covar_pop(u, w) AS uw, covar_pop(w, w) AS ww, covar_pop(u, y) AS uy, covar_pop(w, y) AS wy, var_pop(y) AS yy FROM fu GROUP BY 1), "
+        "ff AS (SELECT k, 'linear' AS form, regr_r2(y, x) AS r2 FROM fs GROUP BY 1 UNION ALL SELECT k, 'logarithmic', regr_r2(y, ln(x)) FROM fs WHERE x > 0 GROUP BY 1 "
+        "UNION ALL SELECT k, 'quadratic', ((uy * ww - wy * uw) * uy + (wy * uu - uy * uw) * wy) / nullif(uu * ww - uw * uw, 0) / nullif(yy, 0) FROM qg "
+        f"UNION ALL SELECT k, 'exponential', max(r2) FROM (SELECT k, b, regr_r2(y, exp(b * x)) AS r2 FROM fs, (VALUES {RATES}) z(b) GROUP BY 1, 2) GROUP BY 1), "
+        "bf AS (SELECT k, arg_max(form, struct_pack(a := round(r2, 9), b := form)) AS form, max(r2) AS r2 FROM ff WHERE r2 IS NOT NULL GROUP BY 1)"
+    )
+
+
+@query("C34_best_of_four", f"+{forms_sql('year(d)', '(SELECT *, x1 AS x FROM drivers)')} SELECT k AS yr, form, round(r2, 6) AS r2 FROM bf", "drivers")
+def _(v):
+    return st.best_form(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y").select("yr", "form", R6("r2").alias("r2"))
+
+
 @query("C35_window_grid", "+h AS (SELECT CAST(ts AS DATE) AS d, hour(ts) AS h, sum(value) AS s, count(*) AS n FROM obs WHERE stream = 'view' GROUP BY 1, 2), g AS (SELECT a AS h0, b AS h1 FROM range(0, 24, 4) x(a), range(4, 25, 4) y(b) WHERE b - a >= 8), w AS (SELECT h0, h1, d, sum(s) / sum(n) AS m FROM h, g WHERE h >= h0 AND h < h1 GROUP BY 1, 2, 3), t AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS y FROM obs WHERE stream = 'click' GROUP BY 1) SELECT h0, h1, round(regr_r2(y, m), 6) AS r2 FROM w JOIN t USING (d) GROUP BY 1, 2", "obs")
 def _(v):
     """Hourly sums serve every window: each sum is sent to the windows that hold its hour."""
@@ -369,11 +455,25 @@ def _(v):
     return v.scenes.withColumn("d", F.to_date("ts")).join(m, "d").groupBy((c("rh") > 99.5).alias("masked")).agg(F.count("*").alias("n"), R6(F.avg("value")).alias("mean"))
 
 
-@query("C40_matched_regressions", "+o AS (SELECT CAST(ts AS DATE) AS d, stream, sensor, avg(value) AS y FROM obs GROUP BY 1, 2, 3), t AS (SELECT d, stream, avg(y) AS fallback FROM o GROUP BY 1, 2), a AS (SELECT s.sensor, s.d, s.y AS x, coalesce(p.y, t.fallback) AS y, p.y IS NULL AS fell FROM o s JOIN t ON t.d = s.d AND t.stream = 'view' LEFT JOIN o p ON p.d = s.d AND p.sensor = s.sensor AND p.stream = 'view' WHERE s.stream = 'click') SELECT sensor, count(*) AS n, sum(CASE WHEN fell THEN 1 ELSE 0 END)::BIGINT AS fell, round(regr_slope(y, x), 6) AS slope FROM a GROUP BY 1 HAVING count(*) >= 10", "obs")
-def _(v):
+C40 = "+o AS (SELECT CAST(ts AS DATE) AS d, stream, sensor, avg(value) AS y FROM obs GROUP BY 1, 2, 3), t AS (SELECT d, stream, avg(y) AS fallback FROM o GROUP BY 1, 2), a AS (SELECT s.sensor, s.d, s.y AS x, coalesce(p.y, t.fallback) AS y, p.y IS NULL AS fell FROM o s JOIN t ON t.d = s.d AND t.stream = 'view' LEFT JOIN o p ON p.d = s.d AND p.sensor = s.sensor AND p.stream = 'view' WHERE s.stream = 'click')"
+
+
+def matched(v):
     """A sensor's own series where it has one, else the day's mean over sensors."""
     o = v.obs.groupBy(F.to_date("ts").alias("d"), "stream", "sensor").agg(F.avg("value").alias("y"))
     view = o.where("stream = 'view'").select("d", "sensor", c("y").alias("own"))
     fallback = view.groupBy("d").agg(F.avg("own").alias("fallback"))
-    a = o.where("stream = 'click'").select("d", "sensor", c("y").alias("x")).join(fallback, "d").join(view, ["d", "sensor"], "left").withColumn("y", F.coalesce("own", "fallback"))
-    return a.groupBy("sensor").agg(F.count("*").alias("n"), F.count_if(c("own").isNull()).alias("fell"), R6(F.regr_slope("y", "x")).alias("slope")).where("n >= 10")
+    return o.where("stream = 'click'").select("d", "sensor", c("y").alias("x")).join(fallback, "d").join(view, ["d", "sensor"], "left").withColumn("y", F.coalesce("own", "fallback"))
+
+
+@query("C40_matched_regressions", f"{C40} SELECT sensor, count(*) AS n, sum(CASE WHEN fell THEN 1 ELSE 0 END)::BIGINT AS fell, round(regr_slope(y, x), 6) AS slope FROM a GROUP BY 1 HAVING count(*) >= 10", "obs")
+def _(v):
+    return matched(v).groupBy("sensor").agg(F.count("*").alias("n"), F.count_if(c("own").isNull()).alias("fell"), R6(F.regr_slope("y", "x")).alias("slope")).where("n >= 10")
+
+
+@query("C40_best_forms", f"{C40}, e AS (SELECT * FROM a WHERE sensor IN (SELECT sensor FROM a GROUP BY 1 HAVING count(*) >= 10)), {forms_sql('sensor', 'e')} SELECT k AS sensor, form, round(r2, 4) AS r2 FROM bf", "obs")
+def _(v):
+    """The best of the four forms for each sensor with at least 10 matched days."""
+    m = matched(v)
+    enough = m.groupBy("sensor").agg(F.count("*").alias("n")).where("n >= 10").select("sensor")
+    return st.best_form(m.join(enough, "sensor", "left_semi"), ["sensor"], "x", "y").select("sensor", "form", R4("r2").alias("r2"))
\ No newline at end of file
