@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush, heappushpop
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,6 +33,35 @@ def single_break(df: DataFrame, keys: list[str], order: str, value: str, min_siz
     return p.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.break", "_b.cost", "_b.position")
 
 
+#: Series of at most so many rows get a table of all segments' absolute costs.
+TABLE_ROWS = 2_048
+
+
+def _absolute_costs(y: np.ndarray) -> np.ndarray:
+    """table[i, j]: the sum of distances of y[i:j] from its median, with the lower and the upper half of each growing segment in heaps."""
+    n = len(y)
+    table = np.zeros((n + 1, n + 1))
+    v = y.tolist()
+    for i in range(n):
+        low, high, below, above, row = [], [], 0.0, 0.0, []
+        for x in v[i:]:
+            if low and x < -low[0]:
+                moved = -heappushpop(low, -x)
+                below += x - moved
+            else:
+                moved = x
+            heappush(high, moved)
+            above += moved
+            if len(high) > len(low):
+                moved = heappop(high)
+                heappush(low, -moved)
+                above -= moved
+                below += moved
+            row.append(above - below + (-low[0] if len(low) > len(high) else 0.0))
+        table[i, i + 1 :] = row
+    return np.maximum(table, 0)
+
+
 def segment_cost(y: np.ndarray, model: str):
     """A function of (starts, end): the costs of the segments [start, end) of a series."""
     n = len(y)
@@ -44,6 +75,9 @@ def segment_cost(y: np.ndarray, model: str):
     if model == "normal":
         return lambda i, j: (j - i) * np.log(squares(i, j) / np.maximum(j - i, 1) + 1e-6)
     if model == "l1":
+        if n <= TABLE_ROWS:
+            table = _absolute_costs(y)
+            return lambda i, j: table[i, j]
         return lambda i, j: np.array([np.abs(y[a:j] - np.median(y[a:j])).sum() for a in np.atleast_1d(i)])
     if model == "rbf":
         d = (y[:, None] - y[None, :]) ** 2
@@ -54,9 +88,9 @@ def segment_cost(y: np.ndarray, model: str):
     raise ValueError(f"no cost model {model}")
 
 
-def penalised_breaks(y: np.ndarray, model: str, penalty: float, min_size: int = 2) -> list[int]:
+def penalised_breaks(y: np.ndarray, model: str, penalty: float, min_size: int = 2, cost=None) -> list[int]:
     """The optimal breaks (first rows of segments but the first) for a penalty a break, by dynamic programming with pruning."""
-    n, cost = len(y), segment_cost(np.asarray(y, dtype=float), model)
+    n, cost = len(y), cost or segment_cost(np.asarray(y, dtype=float), model)
     best, last = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
     best[0] = -penalty
     until = np.full(n + 1, n + 1)  # a start that can't win any more stays until its successor's first segment is long enough
@@ -123,6 +157,96 @@ def detect(df: DataFrame, keys: list[str], order: str, value: str, model: str |
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def least_size(n: int) -> int:
+    return max(2, min(5, n // 4))
+
+
+def series_onset(y: np.ndarray, direction: str, model: str, scales: list[float], rule: str = "acute", min_size: int | None = None) -> list[tuple[int | None, list[int]]]:
+    """For each scale of the penalty: the onset's row, or None, and all detected breaks; the cost function is made once.
+
+    An onset is a break whose jump of segment means in the direction of stress is at least the noise: the largest (acute) or the first (departure).
+    """
+    y = np.asarray(y, dtype=float)
+    k = min_size or least_size(len(y))
+    if len(y) < 2 * k:
+        return [(None, []) for _ in scales]
+    z = (y - y.mean()) / (y.std() or 1.0)
+    cost = segment_cost(z, model)
+    whole = abs(float(np.atleast_1d(cost(np.array([0]), len(y)))[0]))
+    sigma = float(np.diff(y).std() / np.sqrt(2)) or 1.0
+    out = []
+    for scale in scales:
+        found = penalised_breaks(z, model, scale * max(whole / len(y), 1e-9) * np.log(len(y)), k, cost)
+        edges = [0, *found, len(y)]
+        jump = np.array([y[b:c].mean() - y[a:b].mean() for a, b, c in zip(edges[:-2], edges[1:-1], edges[2:])])
+        size = {"decrease": -jump, "increase": jump}.get(direction, np.abs(jump))
+        ok = np.flatnonzero(size >= sigma)
+        best = None if not len(ok) else found[int(ok[size[ok].argmax()] if rule == "acute" else ok[0])]
+        out.append((best, found))
+    return out
+
+
+def onset_grid(df: DataFrame, keys: list[str], order: str, value: str, models: list[str], scales: list[float], rule: str = "acute") -> DataFrame:
+    """keys, model, scale, n_obs, onset for every model and scale; df has a column direction. A group is a series and a model, so the models run apart."""
+    d = df.select(*keys, "direction", order, value).where(F.col(value).isNotNull()).withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + f", model string, scale double, n_obs int, onset {dict(df.dtypes)[order]}"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        first, at = pdf.iloc[0], pdf[order].tolist()
+        found = series_onset(pdf[value].to_numpy(), first["direction"], first["model"], scales, rule)
+        return pd.DataFrame([(*[first[k] for k in keys], first["model"], s, len(at), None if o is None else at[o]) for s, (o, _) in zip(scales, found, strict=True)], columns=[*keys, "model", "scale", "n_obs", "onset"])
+
+    return d.groupBy(*keys, "model").applyInPandas(run, schema)
+
+
+def bootstrap_onsets(df: DataFrame, keys: list[str], order: str, value: str, model: str = "l2", scale: float = 1.0, rule: str = "acute", replicates: int = 1000, block: int = 5, chunk: int = 50) -> DataFrame:
+    """keys, n_obs, onset, point, lo, hi, found: the onset with a 95 % interval; df has a column direction.
+
+    Residuals about the detected segments' means are drawn in blocks and the detector runs again. The point is the median of the replicates that
+    have an onset; the interval is withheld where fewer than half have one; series without an onset have neither. Replicates run apart, chunk by chunk; their draws are
+    seeded by series and replicate, so a rerun draws the same.
+    """
+    kinds = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
+    when = dict(df.dtypes)[order]
+    d = df.select(*keys, "direction", order, value).where(F.col(value).isNotNull())
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        y = pdf[value].to_numpy(dtype=float)
+        onset, breaks = series_onset(y, pdf["direction"].iloc[0], model, [scale], rule)[0]
+        edges = [0, *breaks, len(y)]
+        means = np.concatenate([np.full(b - a, y[a:b].mean()) for a, b in zip(edges[:-1], edges[1:])])
+        row = (*[pdf[k].iloc[0] for k in keys], pdf["direction"].iloc[0], len(y), -1 if onset is None else onset, pdf[order].tolist(), means.tolist(), (y - means).tolist())
+        return pd.DataFrame([row], columns=[*keys, "direction", "n_obs", "i", "days", "means", "rest"])
+
+    fits = d.groupBy(*keys).applyInPandas(fit, f"{kinds}, direction string, n_obs int, i int, days array<{when}>, means array<double>, rest array<double>")
+    starts = F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(chunk))
+    tasks = fits.where("i >= 0").select(*keys, "direction", "means", "rest", F.explode(starts).alias("_from"), F.xxhash64(*keys).alias("_seed")).repartition(*keys, "_from")
+
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for t in pdf.itertuples(index=False):
+                means, rest = np.array(t.means), np.array(t.rest)
+                n = len(means)
+                for rep in range(t[-2], min(t[-2] + chunk, replicates)):
+                    rng = np.random.default_rng([t[-1] % 2**63, rep])
+                    at = (rng.integers(0, max(n - block + 1, 1), -(-n // block))[:, None] + np.arange(block)).ravel()[:n]
+                    onset = series_onset(means + rest[np.minimum(at, n - 1)], t.direction, model, [scale], rule)[0][0]
+                    if onset is not None:
+                        rows.append((*t[: len(keys)], onset))
+            yield pd.DataFrame(rows, columns=[*keys, "_o"])
+
+    drawn = tasks.mapInPandas(draw, f"{kinds}, _o int")
+    q = F.percentile("_o", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    drawn = drawn.groupBy(*keys).agg(q.alias("_q"), F.count("*").alias("found"))
+    day = lambda i: F.get("days", F.rint(F.col("_q")[i]).cast("int"))
+    enough = F.col("found") >= replicates / 2
+    out = fits.join(drawn, keys, "left")
+    return out.select(*keys, "n_obs", F.get("days", F.when(F.col("i") >= 0, F.col("i"))).alias("onset"), F.coalesce(day(1), F.get("days", F.when(F.col("i") >= 0, F.col("i")))).alias("point"), F.when(enough, day(0)).alias("lo"), F.when(enough, day(2)).alias("hi"), F.coalesce("found", F.lit(0)).cast("long").alias("found"))
+
+
 def onsets(breaks: DataFrame, sigma: DataFrame, directions: DataFrame, keys: list[str]) -> DataFrame:
     """Breaks whose jump in the stress direction is at least the noise: the largest (acute) and the earliest (first departure)."""
     j = breaks.join(sigma, keys).join(F.broadcast(directions), keys)

@@ -78,21 +78,49 @@ def _(v):
     return cp.onsets(jump.select("variable", "break_first", "jump"), sigma, directions(v), KEY)
 
 
+@query("C05_detected_onsets")
+def _(v):
+    """Acute event and first departure of every year of a variable, from detected breaks."""
+    acute = cp.onset_grid(directed(v), SERIES, "d", "value", ["l2"], [1.0], "acute").select(*SERIES, "n_obs", c("onset").alias("acute"))
+    return acute.join(cp.onset_grid(directed(v), SERIES, "d", "value", ["l2"], [1.0], "departure").select(*SERIES, c("onset").alias("first_departure")), SERIES)
+
+
+def directed(v):
+    return years(v).join(F.broadcast(directions(v)), "variable")  # five rows
+
+
 @query("C06_bootstrap_onset")
 def _(v):
-    return cp.bootstrap_single_break(y95(v), KEY, "d", "value", replicates=100)
+    """1,000 replicates for each year of a variable."""
+    return cp.bootstrap_onsets(directed(v), SERIES, "d", "value")
 
 
 @query("C07_onset_run")
 def _(v):
-    breaks = cp.detect(y95(v), KEY, "d", "value", model="l2", scale=1.0).select("variable", "break_first", "jump")
-    return cp.onsets(breaks, cp.noise(y95(v), KEY, "d", "value"), directions(v), KEY).orderBy("first_departure", "variable")
+    """First departures with their intervals' length in days, earliest first."""
+    run = cp.bootstrap_onsets(directed(v), SERIES, "d", "value", rule="departure", replicates=200)
+    return run.select(*SERIES, "n_obs", "onset", "lo", "hi", F.datediff("hi", "lo").alias("ci_days")).orderBy(F.asc_nulls_last("onset"), *SERIES)
+
+
+MODELS, SCALES = ["l2", "l1", "rbf", "normal"], [0.5, 1.0, 1.5, 2.0, 3.0, 4.0]
 
 
 @query("C08_robustness_grid")
 def _(v):
-    grid = y95(v).withColumn("model", F.explode(F.array(*map(F.lit, ["l2", "l1", "rbf", "normal"])))).withColumn("scale", F.explode(F.array(*map(F.lit, [0.5, 1.0, 2.0]))))
-    return cp.detect(grid, ["variable", "model", "scale"], "d", "value")
+    """24 configurations for each year of a variable."""
+    g = cp.onset_grid(directed(v), SERIES, "d", "value", MODELS, SCALES)
+    return g.withColumn("onset_doy", F.dayofyear("onset"))
+
+
+@query("C09_grid_stability")
+def _(v):
+    """Rank agreement (tau) of each configuration's onsets with their medians over the grid, by year: its mean and least."""
+    g = cp.onset_grid(directed(v), SERIES, "d", "value", MODELS, SCALES).where("onset IS NOT NULL")
+    g = g.select("yr", F.concat_ws("|", "yr", "model", "scale").alias("config"), c("variable").alias("item"), F.dayofyear("onset").alias("doy"))
+    med = g.groupBy("yr", "item").agg(F.percentile("doy", F.lit(0.5)).alias("med"), F.count("*").alias("n_cfg"), (F.max("doy") - F.min("doy")).alias("spread"))
+    tau = st.kendall(g.join(med, ["yr", "item"]), "config", "doy", "med", least=3).withColumn("yr", F.split("config", r"\|")[0].cast("int"))
+    taus = tau.groupBy("yr").agg(F.avg("tau").alias("mean_tau"), F.min("tau").alias("least_tau"), F.count("tau").alias("configs"))
+    return med.join(taus, "yr", "left")
 
 
 PEAKS = "pk AS (SELECT year(d) AS config, variable AS item, arg_max(dayofyear(d), struct_pack(a := value, b := d)) AS doy FROM panel GROUP BY 1, 2), md AS (SELECT item, quantile_cont(doy, 0.5) AS med FROM pk GROUP BY 1)"
@@ -419,14 +447,62 @@ def _(v):
     return st.best_form(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y").select("yr", "form", R6("r2").alias("r2"))
 
 
-@query("C35_window_grid", "+h AS (SELECT CAST(ts AS DATE) AS d, hour(ts) AS h, sum(value) AS s, count(*) AS n FROM obs WHERE stream = 'view' GROUP BY 1, 2), g AS (SELECT a AS h0, b AS h1 FROM range(0, 24, 4) x(a), range(4, 25, 4) y(b) WHERE b - a >= 8), w AS (SELECT h0, h1, d, sum(s) / sum(n) AS m FROM h, g WHERE h >= h0 AND h < h1 GROUP BY 1, 2, 3), t AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS y FROM obs WHERE stream = 'click' GROUP BY 1) SELECT h0, h1, round(regr_r2(y, m), 6) AS r2 FROM w JOIN t USING (d) GROUP BY 1, 2", "obs")
-def _(v):
-    """Hourly sums serve every window: each sum is sent to the windows that hold its hour."""
-    h = v.obs.where("stream = 'view'").groupBy(F.to_date("ts").alias("d"), F.hour("ts").alias("h")).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    grid = F.array(*[F.struct(F.lit(a).cast("long").alias("h0"), F.lit(b).cast("long").alias("h1")) for a in range(0, 24, 4) for b in range(4, 25, 4) if b - a >= 8])
-    w = h.withColumn("g", F.explode(grid)).where("h >= g.h0 AND h < g.h1").groupBy("g.h0", "g.h1", "d").agg((F.sum("s") / F.sum("n")).alias("m"))
-    t = v.obs.where("stream = 'click'").groupBy(F.to_date("ts").alias("d")).agg(F.avg("value").alias("y"))
-    return w.join(t, "d").groupBy("h0", "h1").agg(R6(F.regr_r2("y", "m")).alias("r2"))
+#: First hours, last hours, rolling days and lags of the search, in every combination.
+FIRST, LAST, ROLLS, LAGS = range(1, 13), range(14, 23), [1, 2, 3, 5, 7, 10, 14], range(-2, 2)
+STREAMS = ["view", "purchase", "error"]
+C35 = (
+    f"+h AS (SELECT stream, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS d, hour(ts) AS h, sum(value) AS s, count(*) AS n FROM obs WHERE stream IN {tuple(STREAMS)} GROUP BY 1, 2, 3), "
+    f"w AS (SELECT stream, a AS h0, b AS h1, d, sum(s) / sum(n) AS m FROM h, range({FIRST[0]}, {FIRST[-1] + 1}) x(a), range({LAST[0]}, {LAST[-1] + 1}) y(b) WHERE b - a >= 4 AND h >= a AND h < b GROUP BY 1, 2, 3, 4), "
+    f"r AS ({' UNION ALL '.join(f'SELECT stream, h0, h1, d, {k} AS roll, avg(m) OVER f AS x, count(*) OVER f AS k FROM w WINDOW f AS (PARTITION BY stream, h0, h1 ORDER BY d RANGE BETWEEN {k // 2} PRECEDING AND {(k - 1) // 2} FOLLOWING)' for k in ROLLS)}), "
+    "t AS (SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS d, avg(value) AS y FROM obs WHERE stream = 'click' GROUP BY 1), "
+    f"z AS (SELECT stream, h0, h1, roll, lag, x, y FROM r, range({LAGS[0]}, {LAGS[-1] + 1}) l(lag), t WHERE k = roll AND t.d = r.d - lag), "
+    "mm AS (SELECT stream, h0, h1, roll, lag, avg(x) AS mx FROM z GROUP BY 1, 2, 3, 4, 5), u AS (SELECT stream, h0, h1, roll, lag, y, x - mx AS u, (x - mx) ** 2 AS w FROM z JOIN mm USING (stream, h0, h1, roll, lag)), "
+    "g AS (SELECT stream, h0, h1, roll, lag, covar_pop(u, u) AS uu, covar_pop(u, w) AS uw, covar_pop(w, w) AS ww, covar_pop(u, y) AS uy, covar_pop(w, y) AS wy, var_pop(y) AS yy FROM u GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 15 AND var_pop(y) > 0), "
+    "q AS (SELECT *, ((uy * ww - wy * uw) * uy + (wy * uu - uy * uw) * wy) / nullif(uu * ww - uw * uw, 0) / yy AS r2 FROM g), "
+    f"gr AS (SELECT h0, h1, roll, lag, avg(r2) AS mean_r2 FROM q GROUP BY 1, 2, 3, 4 HAVING count(r2) = {len(STREAMS)})"
+)
+
+
+def window_grid(v):
+    """Mean R squared of a quadratic (never below the line's) over the streams, all of which must have 15 days, for every window, rolling mean and lag.
+
+    Hourly sums serve every window; the rolling means of a window share one sort; lags are exploded.
+    """
+    day = F.datediff("ts", F.lit("1970-01-01"))
+    h = v.obs.where(c("stream").isin(STREAMS)).groupBy("stream", day.alias("d"), F.hour("ts").alias("h")).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    first, last = F.lit(list(FIRST)), F.lit(list(LAST))
+    w = h.withColumn("h0", F.explode(F.filter(first, lambda a: a <= c("h")))).withColumn("h1", F.explode(F.filter(last, lambda b: (b > c("h")) & (b - c("h0") >= 4))))
+    w = w.groupBy("stream", "h0", "h1", "d").agg((F.sum("s") / F.sum("n")).alias("m"))
+    by = Window.partitionBy("stream", "h0", "h1").orderBy("d")
+    rolled = []
+    for k in ROLLS:  # centred, of whole windows only
+        f = by.rangeBetween(-(k // 2), (k - 1) // 2)
+        rolled.append(F.struct(F.lit(k).alias("roll"), F.avg("m").over(f).alias("x"), F.count("m").over(f).alias("k")))
+    r = w.select("stream", "h0", "h1", "d", F.array(*rolled).alias("r")).select("stream", "h0", "h1", "d", F.explode("r").alias("r")).where("r.k = r.roll")
+    z = r.select("stream", "h0", "h1", "r.roll", "r.x", "d", F.explode(F.lit(list(LAGS))).alias("lag")).withColumn("d", c("d") - c("lag"))
+    t = v.obs.where("stream = 'click'").groupBy(day.alias("d")).agg(F.avg("value").alias("y"))
+    keys = ["stream", "h0", "h1", "roll", "lag"]
+    z = z.join(t, "d")
+    enough = z.groupBy(*keys).agg(F.count("*").alias("n"), F.var_pop("y").alias("vy")).where("n >= 15 AND vy > 0").select(*keys)
+    fit = st.quadratic_fit(z, keys, "x", "y").join(enough, keys, "left_semi")
+    return fit.groupBy("h0", "h1", "roll", "lag").agg(F.avg("r2").alias("mean_r2"), F.count("r2").alias("_n")).where(f"_n = {len(STREAMS)}").drop("_n")
+
+
+@query("C35_window_grid", f"{C35} SELECT h0, h1, roll, lag, round(mean_r2, 5) AS mean_r2 FROM gr", "obs")
+def _(v):
+    return window_grid(v).withColumn("mean_r2", F.round("mean_r2", 5))
+
+
+@query("C35_optimum", f"{C35}, b AS (SELECT * FROM gr ORDER BY round(mean_r2, 9) DESC, h0, h1, roll, lag LIMIT 1), j AS (SELECT gr.*, (gr.h0 = b.h0 AND gr.h1 = b.h1)::INT + (gr.roll = b.roll)::INT + (gr.lag = b.lag)::INT AS same, gr.h0 = b.h0 AND gr.h1 = b.h1 AS w, gr.roll = b.roll AS r, gr.lag = b.lag AS l FROM gr, b) SELECT h0, h1, roll, lag, CASE WHEN w AND r AND l THEN 'optimum' WHEN r AND l THEN 'hours' WHEN w AND l THEN 'rolling' ELSE 'lag' END AS slice, round(mean_r2, 5) AS mean_r2 FROM j WHERE same >= 2", "obs")
+def _(v):
+    """The best combination and the slices through it: other hours, other rolling means, other lags."""
+    g = window_grid(v)
+    rank = F.max(F.struct(F.round("mean_r2", 9).alias("a"), *[(-c(k)).alias(k) for k in ("h0", "h1", "roll", "lag")])).alias("b")
+    b = g.agg(rank).select(*[(-c(f"b.{k}")).alias(f"b_{k}") for k in ("h0", "h1", "roll", "lag")])  # one row
+    j = g.join(F.broadcast(b))
+    w, r, lag = (c("h0") == c("b_h0")) & (c("h1") == c("b_h1")), c("roll") == c("b_roll"), c("lag") == c("b_lag")
+    kind = F.when(w & r & lag, "optimum").when(r & lag, "hours").when(w & lag, "rolling").when(w & r, "lag")
+    return j.select("h0", "h1", "roll", "lag", kind.alias("slice"), F.round("mean_r2", 5).alias("mean_r2")).where("slice IS NOT NULL")
 
 
 @query("C36_quadratic_by_year")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import timefns as t
-from ..operators import rowwise
+from ..operators import ordering, rowwise
 from .registry import query
 
 c = F.col
@@ -212,6 +211,6 @@ def _(v):
     return e.select("event_id", "value", *extra, *[c(x) for x in ("u_star",) if x in e.columns])
 
 
-@query("K01_sorts", "SELECT event_id, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS place FROM obs WHERE sensor < 5", "obs")
+@query("K01_sorts", "SELECT event_id, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) AS place FROM obs", "obs")
 def _(v):
-    return v.obs.where("sensor < 5").select("event_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("value"), "event_id")).cast("long").alias("place"))
+    return ordering.places(v.obs.select("event_id", "value"), [F.desc_nulls_last("value"), F.asc("event_id")]).select("event_id", "place")

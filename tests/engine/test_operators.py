@@ -115,3 +115,77 @@ def test_stream_resumes_where_it_ended(spark, tmp_path):
     df.where("event_id >= 5").write.mode("append").parquet(f"file://{src}")
     rows = {r.event_id: r.dry for r in jobs.run(stream(), f"file://{tmp_path}/out").collect()}
     assert rows == {i: i < 2 for i in range(9)}
+
+
+def test_absolute_costs_are_those_of_medians():
+    y = np.random.default_rng(3).normal(size=60).round(1)
+    table = cp.segment_cost(y, "l1")
+    for j in range(1, 61):
+        i = np.arange(j)
+        assert np.allclose(table(i, j), [np.abs(y[a:j] - np.median(y[a:j])).sum() for a in i])
+
+
+def _onset_by_rule(y, direction, breaks, rule):
+    sigma = np.diff(y).std() / np.sqrt(2) or 1.0
+    edges, kept = [0, *breaks, len(y)], []
+    for k in range(1, len(edges) - 1):
+        jump = y[edges[k] : edges[k + 1]].mean() - y[edges[k - 1] : edges[k]].mean()
+        size = -jump if direction == "decrease" else jump if direction == "increase" else abs(jump)
+        if size >= sigma:
+            kept.append((size, edges[k]))
+    if not kept:
+        return None
+    return max(kept, key=lambda x: (x[0], -x[1]))[1] if rule == "acute" else min(b for _, b in kept)
+
+
+def test_onsets_of_detected_breaks_follow_the_rule():
+    r = np.random.default_rng(11)
+    seen = 0
+    for trial in range(40):
+        y = np.concatenate([r.normal(m, 0.5, r.integers(8, 20)) for m in r.integers(-4, 5, 4)])
+        for direction in ("decrease", "increase", "auto"):
+            for rule in ("acute", "departure"):
+                (onset, breaks), (none, _) = cp.series_onset(y, direction, "l2", [0.5, 1e9], rule)
+                assert onset == _onset_by_rule(y, direction, breaks, rule) and none is None
+                z = (y - y.mean()) / y.std()
+                assert breaks == cp.penalised_breaks(z, "l2", 0.5 * np.log(len(y)), 5)
+                seen += onset is not None
+    assert seen > 100 and cp.series_onset(np.ones(3), "auto", "l2", [1.0]) == [(None, [])]
+
+
+def test_bootstrapped_onsets_hold_a_planted_break(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, d, float(i), float(v)) for k, d, jump in (("a", "decrease", -6), ("b", "increase", -6), ("c", "increase", 6)) for i, v in enumerate(r.normal(0, 1, 60) + jump * (np.arange(60) >= 35))]
+    df = spark.createDataFrame([*rows, ("a", "decrease", 99.0, None)], "k string, direction string, d double, v double")
+    got = {x.k: x for x in cp.bootstrap_onsets(df, ["k"], "d", "v", replicates=60, chunk=7).collect()}
+    for k in "ac":
+        assert got[k].n_obs == 60 and got[k].lo <= got[k].point <= got[k].hi and abs(got[k].onset - 35) <= 1 and 30 <= got[k].found <= 60
+    assert got["b"].onset is None and got["b"].lo is None and got["b"].found == 0
+    assert got["a"] == {x.k: x for x in cp.bootstrap_onsets(df.repartition(3), ["k"], "d", "v", replicates=60, chunk=60).collect()}["a"]  # on any number of tasks
+
+
+def test_tails_of_f_are_those_of_t(spark):
+    df = spark.createDataFrame([(0.5, 7.0), (2.3, 30.0), (4.0, 200.0)], "t double, n double").select(statistics.student_p(F.col("t"), F.col("n")).alias("a"), statistics.f_p(F.col("t") ** 2, F.lit(1.0), F.col("n")).alias("b"), statistics.f_p(F.col("t"), F.lit(2.0), F.col("n")).alias("two"), "t", "n")
+    for r in df.collect():
+        assert abs(r.a - r.b) < 1e-9 and abs(r.two - (1 + 2 * r.t / r.n) ** (-r.n / 2)) < 1e-9  # with 2 upper degrees the tail has a closed form
+
+
+def test_intervals_of_the_median(spark):
+    df = spark.createDataFrame([("p", i, float(i % 9)) for i in range(45)] + [("q", i, 3.0) for i in range(20)] + [("few", 1, 1.0)], "k string, i int, v double")
+    got = {r.k: r for r in statistics.median_interval(df, ["k"], "v", ["i"], 400, least=12).collect()}
+    r = np.random.default_rng(1)
+    v = np.array([i % 9 for i in range(45)], dtype=float)
+    want = np.quantile([np.median(r.choice(v, 45)) for _ in range(4000)], [0.025, 0.5, 0.975])
+    assert set(got) == {"p", "q"} and (got["q"].lo, got["q"].hi, got["q"].n) == (3, 3, 20)
+    assert abs(got["p"].lo - want[0]) <= 1 and abs(got["p"].mid - want[1]) <= 0.5 and abs(got["p"].hi - want[2]) <= 1
+
+
+def test_places_in_a_global_order(spark):
+    from sensorspark.operators import ordering
+
+    rows = [(i, None if i % 50 == 0 else float(i % 3 if i % 2 else 7)) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "i int, v double")
+    got = [r.i for r in ordering.places(df, [F.desc_nulls_last("v"), F.asc("i")]).orderBy("place").collect()]
+    assert got == [i for i, v in sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))]
+    assert ordering.places(df.limit(0), [F.asc("v")]).count() == 0
+    assert sorted(r.place for r in ordering.places(df, [F.asc("v"), F.asc("i")]).collect()) == list(range(1, 3_001))
