@@ -6,7 +6,7 @@ from heapq import heappop, heappush, heappushpop
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -135,6 +135,7 @@ def detect(df: DataFrame, keys: list[str], order: str, value: str, model: str |
     """keys, break_first (first row of the new segment), break_last (last of the old), jump: one grouped call a series.
 
     The penalty is scale times the series' cost a row times ln n; a model column takes the place of the argument if model is None, a scale column of scale.
+    A penalty column holds absolute penalties (of the series scaled to deviation 1) and takes the place of both.
     """
     schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + f", break_first {dict(df.dtypes)[order]}, break_last {dict(df.dtypes)[order]}, jump double"
 
@@ -147,7 +148,8 @@ def detect(df: DataFrame, keys: list[str], order: str, value: str, model: str |
             m = model or pdf["model"].iloc[0]
             s = float(pdf["scale"].iloc[0]) if "scale" in pdf else scale
             whole = abs(float(np.atleast_1d(segment_cost(y, m)(np.array([0]), len(y)))[0]))
-            found = fixed_breaks(y, m, count, min_size) if count else penalised_breaks(y, m, s * max(whole / len(y), 1e-9) * np.log(len(y)), min_size)
+            each = float(pdf["penalty"].iloc[0]) if "penalty" in pdf else s * max(whole / len(y), 1e-9) * np.log(len(y))
+            found = fixed_breaks(y, m, count, min_size) if count else penalised_breaks(y, m, each, min_size)
             edges = [0, *found, len(y)]
             raw = pdf[value].to_numpy(dtype=float)
             for a, b, c in zip(edges[:-2], edges[1:-1], edges[2:]):
@@ -157,6 +159,61 @@ def detect(df: DataFrame, keys: list[str], order: str, value: str, model: str |
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def season_breaks(df: DataFrame, keys: list[str], order: str, value: str, start: str, end: str, buffers: list[int], max_gap: float = 0.1, least: int = 15) -> DataFrame:
+    """keys, n_obs, gap, reason, onset, onset_lo, onset_hi, recovery, recovery_lo, recovery_hi: two breaks of a dense season under several buffers around it.
+
+    start and end are date columns. A buffer's days are made dense and interpolated (the ends take the nearest value); z is against the mean and deviation of
+    the 30th to 7th day before start. A buffer with fewer than least values or a larger share of gaps counts as none, as does a series without
+    baseline; reason says why a series has no onset. Dates are the buffers' mean (floored) and range. A group is one season and its buffers, so bounded.
+    """
+    when = dict(df.dtypes)[order]
+    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + f", n_obs int, gap double, reason string, {', '.join(f'{a}{b} {when}' for a in ('onset', 'recovery') for b in ('', '_lo', '_hi'))}"
+    reach = max(30, max(buffers))
+    d = df.where(F.col(value).isNotNull() & F.col(order).between(F.date_sub(start, reach), F.date_add(end, max(buffers)))).select(*keys, order, value, F.col(start).alias("_start"), F.col(end).alias("_end"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        s = pdf.set_index(pd.DatetimeIndex(pd.to_datetime(pdf[order])))[value].astype(float).groupby(level=0).mean().sort_index()
+        lo, hi, day = pd.Timestamp(first["_start"]), pd.Timestamp(first["_end"]), pd.Timedelta(days=1)
+        base = s[lo - 30 * day : lo - 7 * day]
+        gap, n, reason, onsets, recoveries = None, len(s[lo:hi]), "", [], []
+        if len(base) < 2 or not base.std() > 0:
+            reason = "no baseline"
+        for b in () if reason else buffers:
+            seg = s.reindex(pd.date_range(lo - b * day, hi + b * day))
+            share = float(seg.isna().mean())
+            gap = share if gap is None else max(gap, share)
+            if seg.notna().sum() < least:
+                reason = "too few values"
+            elif share > max_gap:
+                reason = "gaps"
+            else:
+                found = fixed_breaks(((seg.interpolate("linear").bfill().ffill() - base.mean()) / base.std()).to_numpy(), "rbf", 2, 5)
+                if found:
+                    onsets.append(seg.index[found[0]])
+                    recoveries.append(seg.index[found[1]])
+        ends = []
+        for found in (onsets, recoveries):
+            ends += [t.date() for t in (pd.Series(found).mean().floor("D"), min(found), max(found))] if found else [None] * 3
+        return pd.DataFrame([(*[first[k] for k in keys], n, gap, "" if onsets else reason or "no breaks", *ends)], columns=[*keys, "n_obs", "gap", "reason", *[f"{a}{b}" for a in ("onset", "recovery") for b in ("", "_lo", "_hi")]])
+
+    return d.groupBy(*keys).applyInPandas(run, schema)
+
+
+def onset_windows(breaks: DataFrame, keys: list[str], at: str, cutoff: Column, stress: Column, soil: Column) -> DataFrame:
+    """keys, n_breaks, start, end, nearest_before, nearest_after: the window of a response between two breaks.
+
+    Soil-like series start at their last break before the cutoff, else at the last one up to the stress; others at the break from the cutoff on that is nearest
+    to the stress; both else at the nearest of all. Only breaks with a later one can start; of equally near ones the first does.
+    """
+    b = breaks.withColumn("_next", F.lead(at).over(Window.partitionBy(*keys).orderBy(at)))
+    last, near = F.datediff(stress, at), F.abs(F.datediff(stress, at))
+    early, by_stress = soil & (F.col(at) < cutoff), soil & (F.col(at) <= stress)
+    order = F.struct(F.when(early | (~soil & (F.col(at) >= cutoff)), 0).when(by_stress, 1).otherwise(2).alias("a"), F.when(early | by_stress, last).otherwise(near).alias("b"), F.col(at).alias("start"), F.col("_next").alias("end"))
+    g = b.groupBy(*keys).agg(F.count("*").alias("n_breaks"), F.min(F.when(F.col("_next").isNotNull(), order)).alias("_w"), F.max(F.when(F.col(at) <= stress, F.col(at))).alias("nearest_before"), F.min(F.when(F.col(at) > stress, F.col(at))).alias("nearest_after"))
+    return g.where("_w IS NOT NULL").select(*keys, "n_breaks", "_w.start", "_w.end", "nearest_before", "nearest_after")
+
+
 def least_size(n: int) -> int:
     return max(2, min(5, n // 4))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,18 +103,36 @@ def _beta(a: float, b: float, x: float) -> float:
     return front * (f - 1)
 
 
-def quadratic_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, a, b, c, r2 of y = a + b x + c x^2 by centred moments: one aggregation and a 2 x 2 solve in columns."""
+def _quadratic(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Centred moments of a quadratic fit, its coefficients _b and c in them, and the determinant: one aggregation and a 2 x 2 solve in columns."""
     m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"))
     d = df.join(m, keys).withColumn("_u", F.col(x) - F.col("_mx")).withColumn("_w", F.col("_u") * F.col("_u"))
-    g = d.groupBy(*keys).agg(*[F.covar_pop(p, q).alias(n) for n, p, q in (("uu", "_u", "_u"), ("uw", "_u", "_w"), ("ww", "_w", "_w"), ("uy", "_u", y), ("wy", "_w", y))], F.var_pop(y).alias("yy"), F.avg(y).alias("my"), F.avg("_w").alias("mw"), F.first("_mx").alias("mx"))
-    det = F.col("uu") * F.col("ww") - F.col("uw") * F.col("uw")
-    b, c = F.try_divide(F.col("uy") * F.col("ww") - F.col("wy") * F.col("uw"), det), F.try_divide(F.col("wy") * F.col("uu") - F.col("uy") * F.col("uw"), det)
-    g = g.withColumn("_b", b).withColumn("c", c)
+    moments = [F.covar_pop(p, q).alias(n) for n, p, q in (("uu", "_u", "_u"), ("uw", "_u", "_w"), ("ww", "_w", "_w"), ("uy", "_u", y), ("wy", "_w", y))]
+    g = d.groupBy(*keys).agg(*moments, F.var_pop(y).alias("yy"), F.avg(y).alias("my"), F.avg("_w").alias("mw"), F.first("_mx").alias("mx"), F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    g = g.withColumn("det", F.col("uu") * F.col("ww") - F.col("uw") * F.col("uw"))
+    b, c = F.try_divide(F.col("uy") * F.col("ww") - F.col("wy") * F.col("uw"), "det"), F.try_divide(F.col("wy") * F.col("uu") - F.col("uy") * F.col("uw"), "det")
+    return g.withColumns({"_b": b, "c": c})
+
+
+def quadratic_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """keys, a, b, c, r2 of y = a + b x + c x^2."""
+    g = _quadratic(df, keys, x, y)
     a = F.col("my") - F.col("c") * F.col("mw") - F.col("_b") * F.col("mx") + F.col("c") * F.col("mx") ** 2
     return g.select(*keys, a.alias("a"), (F.col("_b") - 2 * F.col("c") * F.col("mx")).alias("b"), "c", F.try_divide(F.col("_b") * F.col("uy") + F.col("c") * F.col("wy"), "yy").alias("r2"))
 
 
+def quadratic_band(df: DataFrame, keys: list[str], x: str, y: str, points: int = 200, z: float = 1.96) -> DataFrame:
+    """keys, i, x, fit, half: the fitted curve at points from the least to the largest x, and half the width of its band from the coefficients' covariance.
+
+    Groups with fewer than four rows or two distinct x have no covariance: half is null.
+    """
+    p = _quadratic(df, keys, x, y).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
+    p = p.withColumn("_u", F.col("x") - F.col("mx")).withColumn("_w", F.col("_u") * F.col("_u") - F.col("mw"))
+    spread = F.try_divide(F.col("_u") ** 2 * F.col("ww") - 2 * F.col("_u") * F.col("_w") * F.col("uw") + F.col("_w") ** 2 * F.col("uu"), "det")
+    rest = F.try_divide(F.greatest(F.col("yy") - F.col("_b") * F.col("uy") - F.col("c") * F.col("wy"), F.lit(0.0)), F.greatest(F.col("n") - 3, F.lit(0)))
+    return p.select(*keys, "i", "x", (F.col("my") + F.col("_b") * F.col("_u") + F.col("c") * F.col("_w")).alias("fit"), (z * F.sqrt(rest * (1 + spread))).alias("half"))
+
+
 def exponential_fit(df: DataFrame, keys: list[str], x: str, y: str, rates: list[float]) -> DataFrame:
     """The best of y = a exp(b x) + c over a grid of b: each rate is linear in (a, c), so one aggregation serves all."""
     e = df.withColumn("b", F.explode(F.array(*[F.lit(float(b)) for b in rates]))).withColumn("_e", F.exp(F.col("b") * F.col(x)))
@@ -154,18 +174,139 @@ def winsorised(df: DataFrame, keys: list[str], value: str, low: float = 0.05, hi
 
 
 def median_interval(df: DataFrame, keys: list[str], value: str, names: list[str], replicates: int, least: int = 1) -> DataFrame:
-    """keys, n, lo, mid, hi: quantiles of the medians of draws with replacement from each group's rows (of at least so many).
+    """keys, n, lo, mid, hi, iqr: quantiles of the medians of draws with replacement from each group's rows (of at least so many), and their quartiles' distance.
 
     A group's rows (setups: bounded by design) are held as an array in the order of their names; which one a draw takes comes from a hash of group, replicate
     and draw. Groups aren't split, but each replicate is a row of its own and needs no shuffle.
     """
     rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*names, F.col(value).alias("_v")))).alias("_r")).withColumn("n", F.size("_r")).where(F.col("n") >= least)
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    pick = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.get(F.col("_r"), F.pmod(F.xxhash64(*keys, "rep", i), F.col("n")).cast("int"))["_v"])
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long")
+    pick = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.get(F.col("_r"), F.pmod(drawn(i), F.col("n")).cast("int"))["_v"])
     s = F.array_sort(pick)
     reps = reps.select(*keys, "n", s.alias("_s")).select(*keys, "n", ((F.get("_s", F.floor((F.col("n") - 1) / 2).cast("int")) + F.get("_s", F.floor(F.col("n") / 2).cast("int"))) / 2).alias("_m"))
-    q = F.percentile("_m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return reps.groupBy(*keys, "n").agg(q.alias("_q")).select(*keys, "n", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("mid"), F.col("_q")[2].alias("hi"))
+    q = F.percentile("_m", F.array(*map(F.lit, (0.025, 0.25, 0.5, 0.75, 0.975))))
+    q = reps.groupBy(*keys, "n").agg(q.alias("_q"))
+    return q.select(*keys, "n", F.col("_q")[0].alias("lo"), F.col("_q")[2].alias("mid"), F.col("_q")[4].alias("hi"), (F.col("_q")[3] - F.col("_q")[1]).alias("iqr"))
+
+
+def median_interval_sql(replicates: int) -> str:
+    """The same draws from a table su (x, y, w, m, dir, lag): bi (x, y, n, lo, mid, hi, iqr)."""
+    return (
+        "ob AS MATERIALIZED (SELECT x, y, row_number() OVER (PARTITION BY x, y ORDER BY w, m, dir) - 1 AS i, count(*) OVER (PARTITION BY x, y) AS n, lag FROM su), "
+        f"dr AS (SELECT x, y, rep, n, unnest(range(1, n + 1)) AS k FROM (SELECT DISTINCT x, y, n FROM ob WHERE n >= 12), range(1, {replicates + 1}) r(rep)), "
+        "dw AS (SELECT x, y, rep, n, CAST('0x' || substr(md5(x || '|' || y || '|' || rep || '|' || k), 1, 8) AS BIGINT) % n AS i FROM dr), "
+        "bm AS (SELECT dw.x, dw.y, rep, dw.n, quantile_cont(lag, 0.5) AS m FROM dw JOIN ob USING (x, y, i) GROUP BY ALL), "
+        "bi AS (SELECT x, y, n, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.5) AS mid, quantile_cont(m, 0.975) AS hi, quantile_cont(m, 0.75) - quantile_cont(m, 0.25) AS iqr FROM bm GROUP BY 1, 2, 3)"
+    )
+
+
+#: Weights of the components of a pair's uncertainty: fixed values.
+COMPONENTS = {"setups": 0.20, "windows": 0.18, "max_lags": 0.18, "directions": 0.12, "signs": 0.10, "draws": 0.12, "interval": 0.10}
+
+
+def uncertainty_components(setups: DataFrame, replicates: int = 500, least: int = 12) -> DataFrame:
+    """x, y and the components: spreads of the lag over setups, windows' medians and largest lags' medians; the directions' median
+    disagreement; how far signs disagree; and spread and interval of the drawn medians. Pairs with too few setups are left out."""
+    pair = ["x", "y"]
+
+    def iqr(column, of):
+        q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
+        return of.groupBy(*pair).agg(q.alias("_q"), F.count("*").alias("_n"))
+
+    pos = F.avg(F.when(F.col("lag") != 0, (F.col("lag") > 0).cast("double")))
+    out = iqr("lag", setups).join(setups.groupBy(*pair).agg(pos.alias("_p")), pair).where(F.col("_n") >= least)
+    out = out.select(*pair, (F.col("_q")[1] - F.col("_q")[0]).alias("setups"), (1 - F.greatest(F.col("_p"), 1 - F.col("_p"))).alias("signs"))
+    for name, column in (("windows", "window"), ("max_lags", "max_lag")):
+        medians = setups.groupBy(*pair, column).agg(F.percentile("lag", F.lit(0.5)).alias("_m"))
+        out = out.join(iqr("_m", medians).select(*pair, (F.col("_q")[1] - F.col("_q")[0]).alias(name)), pair, "left")
+    both = setups.groupBy(*pair, "window", "max_lag").agg(*[F.max(F.when(F.col("direction") == d, F.col("lag"))).alias(d) for d in ("forward", "reverse")])
+    out = out.join(both.groupBy(*pair).agg(F.percentile(F.abs(F.col("forward") - F.col("reverse")), F.lit(0.5)).alias("directions")), pair, "left")
+    drawn = median_interval(setups, pair, "lag", ["window", "max_lag", "direction"], replicates, least)
+    return out.join(drawn.select(*pair, F.col("iqr").alias("draws"), (F.col("hi") - F.col("lo")).alias("interval")), pair, "left").select(*pair, *COMPONENTS)
+
+
+def ranked_or_scaled(df: DataFrame, key: str, value: str) -> DataFrame:
+    """df with scaled, as winsorised gives it, by windows in one pass: for summary tables, whose groups are numbers of variables or of pairs."""
+    w, equal = Window.partitionBy(key), Window.partitionBy(key, value)
+    lo, hi = (F.percentile(value, F.lit(q)).over(w) for q in (0.05, 0.95))
+    rank = (F.rank().over(w.orderBy(value)) + (F.count("*").over(equal) - 1) / 2) / F.count("*").over(w)
+    d = df.withColumns({"_lo": lo, "_hi": hi, "_rank": rank})
+    inside = F.try_divide(F.greatest("_lo", F.least("_hi", value)) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    return d.withColumn("scaled", F.when(F.col("_hi") > F.col("_lo"), inside).otherwise(F.col("_rank"))).drop("_lo", "_hi")
+
+
+def composite_uncertainty(components: DataFrame) -> DataFrame:
+    """x, y, composite (weighted sum of the winsorised components; a missing one takes the median), uncertainty (winsorised in turn)."""
+    each = F.array(*[F.struct(F.lit(k).alias("component"), F.lit(w).alias("_w"), F.col(k).cast("double").alias("_v")) for k, w in COMPONENTS.items()])
+    long = components.select("x", "y", F.explode(each).alias("e")).select("x", "y", "e.*")
+    filled = long.withColumn("_v", F.coalesce("_v", F.percentile("_v", F.lit(0.5)).over(Window.partitionBy("component"))))
+    sums = ranked_or_scaled(filled, "component", "_v").groupBy("x", "y").agg(F.round(F.sum(F.col("_w") * F.col("scaled")), 9).alias("composite"))
+    return ranked_or_scaled(sums.withColumn("_all", F.lit(1)), "_all", "composite").select("x", "y", "composite", F.col("scaled").alias("uncertainty"))
+
+
+def tendencies(pairs: DataFrame) -> DataFrame:
+    """variable, leads, follows, pairs, tendency, med, iqr (of the uncertainty of its pairs) from rows (leader, follower, uncertainty)."""
+    ends = F.array(*[F.struct(F.col(k).alias("variable"), F.lit(v).alias("lead"), "uncertainty") for k, v in (("leader", 1), ("follower", 0))])
+    q = F.percentile("uncertainty", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    g = pairs.select(F.explode(ends).alias("e")).select("e.*").groupBy("variable").agg(F.sum("lead").alias("leads"), F.count("*").alias("pairs"), q.alias("_q"))
+    follows = F.col("pairs") - F.col("leads")
+    return g.select("variable", "leads", follows.alias("follows"), "pairs", ((F.col("leads") - follows) / F.col("pairs")).alias("tendency"), F.col("_q")[1].alias("med"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"))
+
+
+def node_table(pairs: DataFrame) -> DataFrame:
+    """tendencies with fractions and a node's uncertainty: 0.65 of its winsorised median + 0.6 IQR and 0.35 of that figure's average percent rank.
+
+    One row a variable, so the ranks over all variables stay small whatever the length of the series.
+    """
+    t = tendencies(pairs).withColumn("raw", F.round(F.col("med") + 0.6 * F.col("iqr"), 9)).withColumn("_all", F.lit(1))
+    t = ranked_or_scaled(t, "_all", "raw")
+    share = lambda k: (F.col(k) / F.col("pairs")).alias(k[:-1] + "_fraction")
+    return t.select("variable", "leads", "follows", "pairs", share("leads"), share("follows"), "tendency", "raw", (0.65 * F.col("scaled") + 0.35 * F.col("_rank")).alias("uncertainty"))
+
+
+def anchored(pairs: DataFrame, satellite) -> DataFrame:
+    """variable, satellite, core, every, internal, mixed, internal_first, delta: tendencies stitched around the core.
+
+    satellite(column) says whether a variable is one. Core variables take the core pairs' tendency; satellites that of all pairs (mixed), or of the
+    satellites' own pairs where there are any (internal_first). delta: all pairs less core pairs.
+    """
+    inside = lambda name, rows: tendencies(rows).select("variable", F.col("tendency").alias(name), F.col("pairs").alias(f"{name}_pairs"), F.col("med").alias(f"{name}_uncertainty"))
+    x, y = satellite(F.col("leader")), satellite(F.col("follower"))
+    t = inside("every", pairs).join(inside("core", pairs.where(~x & ~y)), "variable", "left").join(inside("internal", pairs.where(x & y)), "variable", "left")
+    sat = satellite(F.col("variable"))
+    own = F.when(~sat, F.col("core"))
+    mixed, first = F.when(sat, F.col("every")).otherwise(own), F.when(sat, F.coalesce("internal", "every")).otherwise(own)
+    unc = F.when(sat, F.coalesce("internal_uncertainty", "every_uncertainty")).otherwise(F.col("core_uncertainty"))
+    return t.select("variable", sat.alias("satellite"), own.alias("core"), "every", "internal", "every_pairs", "core_pairs", mixed.alias("mixed"), first.alias("internal_first"), unc.alias("uncertainty"), (F.col("every") - own).alias("delta"))
+
+
+def bootstrap_best_lags(pairs: DataFrame, keys: list[str], block: Column, replicates: int = 1000, least: int = 12) -> DataFrame:
+    """keys, replicates, lo, mid, hi: an interval of the lag with the largest |r| from blocks of days drawn with replacement.
+
+    pairs has lag, vx, vy. The sums of each block and lag are made first, so a group holds blocks times lags rows however long
+    its series; a draw is a vector of the blocks' counts, and all draws' sums are one product. Draws with fewer than least days at each lag count as none.
+    """
+    sums = [F.count("*").alias("s0"), *[F.sum(e).alias(f"s{i}") for i, e in enumerate((F.col("vx"), F.col("vy"), F.col("vx") ** 2, F.col("vy") ** 2, F.col("vx") * F.col("vy")), 1)]]
+    g = pairs.withColumn("_block", block).groupBy(*keys, "_block", "lag").agg(*sums)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks, at = np.unique(pdf["_block"], return_inverse=True)
+        lags, lag_at = np.unique(pdf["lag"], return_inverse=True)
+        table = np.zeros((len(blocks), len(lags), 6))
+        table[at, lag_at] = pdf[[f"s{i}" for i in range(6)]].to_numpy(dtype=float)
+        first = pdf.iloc[0]
+        rng = np.random.default_rng(crc32("|".join(str(first[k]) for k in keys).encode()))
+        counts = rng.multinomial(len(blocks), np.full(len(blocks), 1 / len(blocks)), replicates)
+        n, x, y, xx, yy, xy = np.moveaxis((counts @ table.reshape(len(blocks), -1)).reshape(replicates, len(lags), 6), 2, 0)
+        with np.errstate(all="ignore"):
+            r = np.abs((n * xy - x * y) / np.sqrt((n * xx - x * x) * (n * yy - y * y)))
+        r = np.where((n >= least) & np.isfinite(r), r, -1)
+        found = lags[r.argmax(1)][r.max(1) >= 0]
+        q = np.quantile(found, [0.025, 0.5, 0.975]) if len(found) else [None] * 3
+        return pd.DataFrame([(*[first[k] for k in keys], len(found), *q)], columns=[*keys, "replicates", "lo", "mid", "hi"])
+
+    return g.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {t}" for k, t in g.select(*keys).dtypes) + ", replicates int, lo double, mid double, hi double")
 
 
 def rates(n: int = 21, most: float = 0.1) -> list[float]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changepoints as cp
 from ..operators import statistics as st
+from ..sources.shared import written
 from .registry import query
 
 c = F.col
@@ -144,20 +145,19 @@ def _(v):
 
 @query("C10_dense_report")
 def _(v):
-    """Onsets of two breaks under three lengths of the season; their mean and range."""
-    season = y95(v).withColumn("buffer", F.explode(F.array(*map(F.lit, [14, 21, 30])))).where("dayofyear(d) BETWEEN 120 - buffer AND 240 + buffer")
-    found = cp.detect(season, ["variable", "buffer"], "d", "value", model="rbf", count=2, min_size=5).groupBy("variable", "buffer").agg(F.min("break_first").alias("onset"))
-    day = F.datediff("onset", F.lit("1995-01-01"))
-    return found.groupBy("variable").agg(F.floor(F.avg(day)).alias("mean_day"), F.min(day).alias("lo"), F.max(day).alias("hi"), F.count("*").alias("n"))
+    """Every year's season, 1 May to 31 October, of every variable. Gaps up to 40 per cent: at the smallest scale factors a day often has no order of a kind."""
+    season = years(v).select("variable", "d", "value")
+    spans = season.select(F.year("d").alias("yr")).distinct().select("yr", F.make_date("yr", F.lit(5), F.lit(1)).alias("start"), F.make_date("yr", F.lit(10), F.lit(31)).alias("end"))
+    return cp.season_breaks(season.withColumn("yr", F.year("d")).join(spans, "yr"), SERIES, "d", "value", "start", "end", [14, 21, 30], max_gap=0.4)
 
 
-WEEKLY = "wk AS (SELECT variable, CAST(date_diff('day', DATE '1970-01-01', d) // 7 AS BIGINT) AS w, avg(value) AS m FROM panel GROUP BY 1, 2), bs AS (SELECT variable, avg(m) AS mu, stddev_samp(m) AS sd FROM wk WHERE w < 1200 GROUP BY 1), z AS (SELECT variable, w, (m - mu) / sd AS z FROM wk JOIN bs USING (variable) WHERE w >= 1200)"
+WEEKLY = "wk AS (SELECT variable, CAST(date_diff('day', DATE '1970-01-01', d) // 7 AS BIGINT) AS w, avg(value) AS m FROM panel GROUP BY 1, 2), bs AS (SELECT variable, avg(m) AS mu, stddev_samp(m) AS sd FROM wk WHERE w < 1400 GROUP BY 1), z AS (SELECT variable, w, (m - mu) / sd AS z FROM wk JOIN bs USING (variable) WHERE w >= 1400)"
 
 
 def weekly_z(v):
     wk = v.panel.groupBy("variable", F.floor(F.datediff("d", F.lit("1970-01-01")) / 7).alias("w")).agg(F.avg("value").alias("m"))
-    base = wk.where("w < 1200").groupBy("variable").agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd"))
-    return wk.where("w >= 1200").join(base, "variable").select("variable", "w", ((c("m") - c("mu")) / c("sd")).alias("z"))
+    base = wk.where("w < 1400").groupBy("variable").agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd"))
+    return wk.where("w >= 1400").join(base, "variable").select("variable", "w", ((c("m") - c("mu")) / c("sd")).alias("z"))
 
 
 @query("C11_departures", f"+{WEEKLY}, x AS (SELECT *, lag(w) OVER o AS prev, lead(z) OVER o AS nz FROM z WINDOW o AS (PARTITION BY variable ORDER BY w)), f AS (SELECT variable, min(w) AS onset, arg_min(prev, w) AS before FROM x WHERE z >= 2 GROUP BY 1) SELECT f.variable, onset, before, min(w) FILTER (w > onset AND z <= 1 AND nz <= 1) AS recovery FROM f JOIN x USING (variable) GROUP BY 1, 2, 3", "panel")
@@ -165,25 +165,82 @@ def _(v):
     return cp.departures(weekly_z(v), KEY, "w", "z")
 
 
-@query("C12_response_horizon", f"+{WEEKLY}, f AS (SELECT variable, min(w) FILTER (z >= 2) AS onset, max(abs(z)) AS top FROM z GROUP BY 1) SELECT variable, onset, round(top, 4) AS top, CASE WHEN onset IS NULL THEN 'no departure' WHEN onset > 1300 THEN 'after the event' ELSE 'kept' END AS reason, onset - 1200 AS weeks FROM f", "panel")
+@query("C12_response_horizon", f"+{WEEKLY}, f AS (SELECT variable, min(w) FILTER (z >= 2) AS onset, max(abs(z)) AS top FROM z GROUP BY 1) SELECT variable, onset, round(top, 4) AS top, CASE WHEN onset IS NULL THEN 'no departure' WHEN onset > 1500 THEN 'after the event' ELSE 'kept' END AS reason, onset - 1400 AS weeks FROM f", "panel")
 def _(v):
     f = weekly_z(v).groupBy("variable").agg(F.min(F.when(c("z") >= 2, c("w"))).alias("onset"), R4(F.max(F.abs("z"))).alias("top"))
-    reason = F.when(c("onset").isNull(), "no departure").when(c("onset") > 1300, "after the event").otherwise("kept")
-    return f.select("variable", "onset", "top", reason.alias("reason"), (c("onset") - 1200).alias("weeks"))
+    reason = F.when(c("onset").isNull(), "no departure").when(c("onset") > 1500, "after the event").otherwise("kept")
+    return f.select("variable", "onset", "top", reason.alias("reason"), (c("onset") - 1400).alias("weeks"))
+
+
+#: First and last week of the event, and the deviation that counts.
+STRESS = (1400, 1500)
+HORIZON = (
+    f"+{WEEKLY}, e AS (SELECT variable, CASE WHEN avg(z) < 0 THEN -1 ELSE 1 END AS dir, max(abs(z)) AS magnitude, count(*) AS n FROM z WHERE w <= {STRESS[1]} GROUP BY 1), "
+    "s AS (SELECT variable, w, z * dir AS z, lead(z * dir) OVER (PARTITION BY variable ORDER BY w) AS nz FROM z JOIN e USING (variable)), o AS (SELECT variable, min(w) AS onset FROM s WHERE z >= 2 GROUP BY 1), "
+    "r AS (SELECT variable, min(w) AS recovery FROM s JOIN o USING (variable) WHERE w > onset AND z <= 1 AND nz <= 1 GROUP BY 1), "
+    f"k AS (SELECT variable, n, dir, magnitude, CASE WHEN n < 10 THEN 'too few observations' WHEN onset IS NULL THEN 'no departure' WHEN onset > {STRESS[1]} THEN 'after the event' ELSE '' END AS reason, onset, recovery FROM e LEFT JOIN o USING (variable) LEFT JOIN r USING (variable)) "
+    f"SELECT variable, n, CASE WHEN dir < 0 THEN 'down' ELSE 'up' END AS direction, round(magnitude, 4) AS magnitude, reason, CASE WHEN reason = '' THEN 7 * (onset - {STRESS[0]}) END AS days_from_start, CASE WHEN reason = '' THEN 7 * (recovery - {STRESS[1]}) END AS days_from_end FROM k"
+)
+
+
+@query("C12_event_response", HORIZON, "panel")
+def _(v):
+    """Departures in the direction that the event's mean takes, with their size in deviations, days from the event's start and end, and why a series is dropped."""
+    z = weekly_z(v)
+    e = z.where(c("w") <= STRESS[1]).groupBy("variable").agg(F.when(F.avg("z") < 0, -1).otherwise(1).alias("dir"), F.max(F.abs("z")).alias("magnitude"), F.count("*").alias("n"))
+    found = cp.departures(z.join(e, "variable").withColumn("z", c("z") * c("dir")), KEY, "w", "z")
+    reason = F.when(c("n") < 10, "too few observations").when(c("onset").isNull(), "no departure").when(c("onset") > STRESS[1], "after the event").otherwise("")
+    k = e.join(found, "variable", "left").withColumn("reason", reason)
+    days = lambda week, zero: F.when(c("reason") == "", 7 * (c(week) - zero))
+    return k.select("variable", "n", F.when(c("dir") < 0, "down").otherwise("up").alias("direction"), R4("magnitude").alias("magnitude"), "reason", days("onset", STRESS[0]).alias("days_from_start"), days("recovery", STRESS[1]).alias("days_from_end"))
+
+
+#: Absolute penalties of variables that don't take the general one.
+PENALTY, PENALTIES = 2.0, {"3-MEDIUM": 4.0}
 
 
 @query("C13_batch_breaks")
 def _(v):
-    """Both conventions: the first day of a new segment and the last of the old."""
-    return cp.detect(v.panel, KEY, "d", "value", model="l2", scale=0.5, min_size=5)
+    """Both conventions: the first day of a new segment and the last of the old; each break's number, its segment's end and its days from the event."""
+    override = F.coalesce(*[F.when(c("variable") == k, F.lit(p)) for k, p in PENALTIES.items()], F.lit(PENALTY))
+    found = cp.detect(v.panel.withColumn("penalty", override), KEY, "d", "value", model="l2", min_size=5)
+    by = Window.partitionBy("variable").orderBy("break_first")
+    ends = found.withColumn("number", F.row_number().over(by)).withColumn("period_end", F.lead("break_last").over(by))
+    last = v.panel.groupBy("variable").agg(F.max("d").alias("_last"))
+    ends = ends.join(last, "variable").withColumn("period_end", F.coalesce("period_end", "_last")).drop("_last")
+    return ends.withColumn("days_from_event", F.datediff("break_first", F.lit(EVENT).cast("date")))
+
+
+SOIL = ("4-NOT SPECIFIED", "5-LOW")
+
+
+def windowed(breaks):
+    """Cutoff 15 April, stress 15 June of each year; two variables behave like soil moisture."""
+    day = lambda m: F.make_date("yr", F.lit(m), F.lit(15))
+    w = cp.onset_windows(breaks, SERIES, "b", day(4), day(6), c("variable").isin(*SOIL))
+    return w.select(*SERIES, "n_breaks", "start", "end", F.datediff("end", "start").alias("days"), "nearest_before", "nearest_after", F.datediff("start", day(6)).alias("from_stress"))
+
+
+@query(
+    "C14_onset_window",
+    "+b AS (SELECT variable, year(d) AS yr, min(d) AS b FROM panel GROUP BY variable, year(d), quarter(d)), "
+    f"n AS (SELECT *, lead(b) OVER (PARTITION BY variable, yr ORDER BY b) AS nxt, make_date(yr, 4, 15) AS cut, make_date(yr, 6, 15) AS st, variable IN {SOIL} AS soil FROM b), "
+    "p AS (SELECT *, CASE WHEN soil AND b < cut THEN 0 WHEN NOT soil AND b >= cut THEN 0 WHEN soil AND b <= st THEN 1 ELSE 2 END AS pr, date_diff('day', b, st) AS di FROM n), "
+    "q AS (SELECT *, CASE WHEN soil AND pr < 2 THEN di ELSE abs(di) END AS k FROM p), "
+    'g AS (SELECT variable, yr, count(*) AS n_breaks, arg_min(b, struct_pack(a := pr, c := k, e := b)) FILTER (nxt IS NOT NULL) AS "start", arg_min(nxt, struct_pack(a := pr, c := k, e := b)) FILTER (nxt IS NOT NULL) AS "end", max(b) FILTER (b <= st) AS nearest_before, min(b) FILTER (b > st) AS nearest_after, any_value(st) AS st FROM q GROUP BY 1, 2) '
+    'SELECT variable, yr, n_breaks, "start", "end", date_diff(\'day\', "start", "end") AS days, nearest_before, nearest_after, date_diff(\'day\', st, "start") AS from_stress FROM g WHERE "start" IS NOT NULL',
+    "panel",
+)
+def _(v):
+    """The rule over given breaks: the quarters' first days."""
+    return windowed(years(v).groupBy("variable", "yr", F.quarter("d").alias("q")).agg(F.min("d").alias("b")))
 
 
-@query("C14_onset_window", f"+{Y95}, b AS (SELECT variable, quarter(d) AS q, min(d) AS b FROM y GROUP BY 1, 2), n AS (SELECT *, lead(b) OVER (PARTITION BY variable ORDER BY b) AS nxt FROM b) SELECT variable, arg_min(b, struct_pack(a := abs(date_diff('day', DATE '1995-06-15', b)), b := b)) AS start, arg_min(nxt, struct_pack(a := abs(date_diff('day', DATE '1995-06-15', b)), b := b)) AS \"end\" FROM n WHERE b >= DATE '1995-02-01' GROUP BY 1", "panel")
+@query("C14_detected_windows")
 def _(v):
-    b = y95(v).groupBy("variable", F.quarter("d").alias("q")).agg(F.min("d").alias("b"))
-    n = b.withColumn("nxt", F.lead("b").over(Window.partitionBy("variable").orderBy("b"))).where("b >= '1995-02-01'")
-    near = F.min(F.struct(F.abs(F.datediff("b", F.lit("1995-06-15"))).alias("a"), "b", "nxt"))
-    return n.groupBy("variable").agg(near.alias("m")).select("variable", c("m.b").alias("start"), c("m.nxt").alias("end"))
+    """The rule over the breaks detected in each year of a variable."""
+    found = cp.detect(years(v).withColumn("penalty", F.lit(PENALTY)), SERIES, "d", "value", model="l2", min_size=5)
+    return windowed(found.select(*SERIES, c("break_first").alias("b")))
 
 
 @query("C15_lag_curves", f"+{CURVES} SELECT x, y, lag, n, round(r, 6) AS r FROM lc WHERE n >= 30", "panel")
@@ -196,6 +253,22 @@ def _(v):
     return st.best_lags(curves(v), ["x", "y"]).select("x", "y", "lag", R6("r").alias("r"))
 
 
+#: Half-widths of C16's windows around the event; those of fewer than 30 days are skipped.
+WIDTHS = [w for w in (10, 15, 20, 25, 30) if 2 * w + 1 >= 30]
+
+
+@query(
+    "C16_pair_windows",
+    f"+ev AS (SELECT * FROM panel WHERE d BETWEEN DATE '1995-07-01' - 45 AND DATE '1995-07-01' + 45), cv AS (SELECT a.variable AS x, b.variable AS y, w, CAST(l AS INT) AS lag, count(*) AS n, {PEARSON('a.value', 'b.value')} AS r FROM ev a, range(-10, 11) l(l), ev b, (VALUES {', '.join(f'({w})' for w in WIDTHS)}) h(w) "
+    "WHERE a.variable < b.variable AND b.d = a.d + CAST(l AS INT) AND abs(date_diff('day', DATE '1995-07-01', a.d)) <= w GROUP BY 1, 2, 3, 4 HAVING count(*) >= 12) "
+    "SELECT x, y, w AS \"window\", arg_max(lag, struct_pack(a := abs(r), b := -lag)) AS lag, round(arg_max(r, struct_pack(a := abs(r), b := -lag)), 6) AS r, arg_max(n, struct_pack(a := abs(r), b := -lag)) AS n FROM cv WHERE r IS NOT NULL GROUP BY 1, 2, 3",
+    "panel",
+)
+def _(v):
+    """The best lag of each pair for every half-width of the window around the event."""
+    return st.best_lags(window_curves(v, WIDTHS, 10).where("x < y"), ["x", "y", "window"]).select("x", "y", "window", "lag", R6("r").alias("r"), "n")
+
+
 @query("C17_lead_edges", f"+{CURVES}, {BEST} SELECT CASE WHEN lag > 0 THEN x ELSE y END AS source, CASE WHEN lag > 0 THEN y ELSE x END AS target, abs(lag) AS days, round(r, 6) AS r FROM bl WHERE abs(r) >= 0.03 AND lag <> 0", "panel")
 def _(v):
     return st.lead_edges(st.best_lags(curves(v), ["x", "y"]), 0.03).withColumn("r", R6("r"))
@@ -235,16 +308,11 @@ def _(v):
 
 @query("C21_bootstrap_lag")
 def _(v):
-    """Block bootstrap of the best lag of one year's pairs."""
+    """1,000 draws of three-day blocks for each pair and year."""
     from ..operators.joins import lagged_pairs
 
-    pairs = lagged_pairs(y95(v), v.panel, range(-3, 4)).where("x < y")
-    reps = pairs.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("w", F.pmod(F.xxhash64("x", "y", "rep", F.floor(F.dayofyear("d") / 3)), F.lit(4)))
-    drawn = reps.where("w > 0").withColumn("w", F.explode(F.sequence(F.lit(1), c("w").cast("int"))))
-    g = drawn.groupBy("x", "y", "rep", "lag").agg(F.count("*").alias("n"), st.pearson("vx", "vy").alias("r")).where("r IS NOT NULL")
-    best = st.best_lags(g, ["x", "y", "rep"])
-    q = F.percentile("lag", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return best.groupBy("x", "y").agg(q.alias("q")).select("x", "y", c("q")[0].alias("lo"), c("q")[1].alias("mid"), c("q")[2].alias("hi"))
+    pairs = lagged_pairs(v.panel, v.panel, range(-5, 6)).where("x < y").withColumn("yr", F.year("d"))
+    return st.bootstrap_best_lags(pairs, ["x", "y", "yr"], F.floor(F.dayofyear("d") / 3))
 
 
 #: Half-widths of the windows around an event, largest lags, least number of days of a setup.
@@ -260,15 +328,21 @@ SETUPS = (
 )
 
 
+def window_curves(v, halves, most):
+    """x, y, window, lag, n, r of both directions for every half-width around the event."""
+    from ..operators.joins import lagged_pairs
+
+    event = F.lit(EVENT).cast("date")
+    ev = v.panel.where(c("d").between(F.date_sub(event, max(halves) + most), F.date_add(event, max(halves) + most)))
+    pairs = lagged_pairs(ev, ev, range(-most, most + 1)).where("x <> y").withColumn("off", F.abs(F.datediff("d", F.lit(EVENT))))
+    wide = pairs.withColumn("window", F.explode(F.filter(F.lit(halves), lambda h: h >= c("off"))))
+    return wide.groupBy("x", "y", "window", "lag").agg(F.count("*").alias("n"), st.pearson("vx", "vy").alias("r")).where(f"n >= {LEAST} AND r IS NOT NULL")
+
+
 def setups(v):
     """The best lag of each pair for 9 windows, 3 largest lags and 2 directions. The fixed side's window decides which days count, so the directions
     differ; a reversed lag's sign is turned. One join at the largest lag and one aggregation a window serve all 54 setups."""
-    from ..operators.joins import lagged_pairs
-
-    ev = v.panel.where(c("d").between(F.date_sub(F.lit(EVENT).cast("date"), max(HALVES) + max(MOST)), F.date_add(F.lit(EVENT).cast("date"), max(HALVES) + max(MOST))))
-    pairs = lagged_pairs(ev, ev, range(-max(MOST), max(MOST) + 1)).where("x <> y").withColumn("off", F.abs(F.datediff("d", F.lit(EVENT))))
-    wide = pairs.withColumn("window", F.explode(F.filter(F.lit(HALVES), lambda h: h >= c("off"))))
-    curve = wide.groupBy("x", "y", "window", "lag").agg(F.count("*").alias("n"), st.pearson("vx", "vy").alias("r")).where(f"n >= {LEAST} AND r IS NOT NULL")
+    curve = window_curves(v, HALVES, max(MOST))
     each = curve.withColumn("max_lag", F.explode(F.filter(F.lit(MOST), lambda m: m >= F.abs("lag"))))
     ahead = c("x") < c("y")
     return st.best_lags(each, ["x", "y", "window", "max_lag"]).select(
@@ -302,7 +376,7 @@ def pair_summary(su):
     return g.select("x", "y", "setups", c("q")[1].alias("med"), (c("q")[2] - c("q")[0]).alias("iqr"), "r", F.greatest(c("pos"), 1 - c("pos")).alias("consistency"))
 
 
-@query("C23_median_interval")
+@query("C23_median_interval", f"{SETUPS}, {st.median_interval_sql(1000)} SELECT * FROM bi", "panel")
 def _(v):
     """A 95 % interval of the median lag from 1,000 draws of the setups with replacement."""
     return st.median_interval(setups(v), ["x", "y"], "lag", ["window", "max_lag", "direction"], 1000, least=12)
@@ -322,6 +396,104 @@ def _(v):
     return s.select("x", "y", R6(0.6 * F.least((c("q")[1] - c("q")[0]) / 10, F.lit(1.0)) + 0.4 * c("weak")).alias("uncertainty"))
 
 
+#: The setups' components, their weighted sum, and pairs with leader and follower; draws are the same hashes.
+def _scaled_sql(rows: str, key: str, value: str, out: str) -> str:
+    """rows with out: value winsorised by key; the average percent rank where the quantiles are equal."""
+    return (
+        f"{rows}_q AS (SELECT {key}, quantile_cont({value}, 0.05) AS lo, quantile_cont({value}, 0.95) AS hi FROM {rows} GROUP BY 1), "
+        f"{rows}_s AS (SELECT {rows}.*, CASE WHEN hi > lo THEN (greatest(lo, least(hi, {value})) - lo) / (hi - lo) ELSE (rank() OVER (PARTITION BY {key} ORDER BY {value}) + (count(*) OVER (PARTITION BY {key}, {value}) - 1) / 2) / count(*) OVER (PARTITION BY {key}) END AS {out} FROM {rows} JOIN {rows}_q USING ({key}))"
+    )
+
+
+IQR = "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)".format
+UNCERTAIN = (
+    f"{SETUPS}, {st.median_interval_sql(500)}, sm AS (SELECT x, y, {IQR('lag')} AS a, quantile_cont(lag, 0.5) AS med, avg(CASE WHEN lag > 0 THEN 1.0 WHEN lag < 0 THEN 0.0 END) AS pos FROM su GROUP BY 1, 2 HAVING count(*) >= 12), "
+    f"uw AS (SELECT x, y, {IQR('q')} AS b FROM (SELECT x, y, w, quantile_cont(lag, 0.5) AS q FROM su GROUP BY 1, 2, 3) GROUP BY 1, 2), um AS (SELECT x, y, {IQR('q')} AS c FROM (SELECT x, y, m, quantile_cont(lag, 0.5) AS q FROM su GROUP BY 1, 2, 3) GROUP BY 1, 2), "
+    "ud AS (SELECT x, y, quantile_cont(abs(f - g), 0.5) AS d FROM (SELECT x, y, w, m, max(lag) FILTER (dir = 'forward') AS f, max(lag) FILTER (dir = 'reverse') AS g FROM su GROUP BY ALL) GROUP BY 1, 2), "
+    "cw AS (SELECT x, y, a AS setups, b AS windows, c AS max_lags, d AS directions, 1 - greatest(pos, 1 - pos) AS signs, iqr AS draws, hi - lo AS \"interval\" FROM sm JOIN uw USING (x, y) JOIN um USING (x, y) JOIN ud USING (x, y) JOIN bi USING (x, y)), "
+    f"cl AS (SELECT x, y, unnest({list(st.COMPONENTS)}) AS k, unnest([setups::DOUBLE, windows, max_lags, directions, signs, draws, \"interval\"]) AS v, unnest({list(st.COMPONENTS.values())}) AS wt FROM cw), "
+    f"cf AS (SELECT x, y, k, wt, coalesce(v, quantile_cont(v, 0.5) OVER (PARTITION BY k)) AS v FROM cl), {_scaled_sql('cf', 'k', 'v', 's')}, "
+    f"un AS (SELECT 1 AS one, x, y, round(sum(wt * s), 9) AS composite FROM cf_s GROUP BY x, y), {_scaled_sql('un', 'one', 'composite', 'uncertainty')}, "
+    "pq AS (SELECT CASE WHEN med >= 0 THEN x ELSE y END AS leader, CASE WHEN med >= 0 THEN y ELSE x END AS follower, uncertainty FROM un_s JOIN sm USING (x, y))"
+)
+#: Tendencies of the variables of a set of pairs.
+TENDENCY = "SELECT variable, sum(l)::BIGINT AS leads, count(*) AS n, (2 * sum(l) - count(*)) / count(*) AS tendency, quantile_cont(uncertainty, 0.5) AS med, " + IQR("uncertainty") + " AS iqr FROM (SELECT leader AS variable, 1 AS l, uncertainty FROM {0} UNION ALL SELECT follower, 0, uncertainty FROM {0}) GROUP BY 1"
+
+
+def uncertain_pairs(v):
+    """x, y, leader, follower, composite, uncertainty. Pairs without a leading side take the lexically first as leader."""
+    su = written(setups(v))  # a row a pair and setup
+    med = pair_summary(su).select("x", "y", "med")
+    u = st.composite_uncertainty(st.uncertainty_components(su)).join(med, ["x", "y"])
+    ahead = c("med") >= 0
+    return written(u.select("x", "y", F.when(ahead, c("x")).otherwise(c("y")).alias("leader"), F.when(ahead, c("y")).otherwise(c("x")).alias("follower"), "composite", "uncertainty"))
+
+
+@query("C25_components", f"{UNCERTAIN} SELECT x, y, setups, windows, max_lags, directions, round(signs, 6) AS signs, draws, \"interval\" FROM cw", "panel")
+def _(v):
+    """The seven components over the 54 setups of each pair, two of them from 500 draws."""
+    return st.uncertainty_components(written(setups(v))).withColumn("signs", R6("signs"))
+
+
+@query("C25_pair_uncertainty", f"{UNCERTAIN} SELECT x, y, round(composite, 6) AS composite, round(uncertainty, 5) AS uncertainty FROM un_s", "panel")
+def _(v):
+    return uncertain_pairs(v).select("x", "y", R6("composite").alias("composite"), F.round("uncertainty", 5).alias("uncertainty"))
+
+
+@query(
+    "C26_node_uncertainty",
+    f"{UNCERTAIN}, nt AS (SELECT 1 AS one, *, round(med + 0.6::DOUBLE * iqr, 9) AS raw FROM ({TENDENCY.format('pq')})), {_scaled_sql('nt', 'one', 'raw', 'base')} "
+    "SELECT variable, leads, n - leads AS follows, n AS pairs, round(leads / n, 6) AS lead_fraction, round((n - leads) / n, 6) AS follow_fraction, round(tendency, 6) AS tendency, round(raw, 5) AS raw, "
+    "round(0.65::DOUBLE * base + 0.35::DOUBLE * (rank() OVER (ORDER BY raw) + (count(*) OVER (PARTITION BY raw) - 1) / 2) / count(*) OVER (), 4) AS uncertainty FROM nt_s",
+    "panel",
+)
+def _(v):
+    n = st.node_table(uncertain_pairs(v))
+    return n.select("variable", "leads", "follows", "pairs", *[R6(k).alias(k) for k in ("lead_fraction", "follow_fraction", "tendency")], F.round("raw", 5).alias("raw"), R4("uncertainty").alias("uncertainty"))
+
+
+SATELLITES = ("4-NOT SPECIFIED", "5-LOW")
+STITCHED = (
+    f"{UNCERTAIN}, every AS ({TENDENCY.format('pq')}), pc AS (SELECT * FROM pq WHERE leader NOT IN {SATELLITES} AND follower NOT IN {SATELLITES}), core AS ({TENDENCY.format('pc')}), "
+    f"ps AS (SELECT * FROM pq WHERE leader IN {SATELLITES} AND follower IN {SATELLITES}), own AS ({TENDENCY.format('ps')}), "
+    f"sv AS (SELECT variable, variable IN {SATELLITES} AS satellite, core.tendency AS core, every.tendency AS every, own.tendency AS internal, every.n AS every_pairs, core.n AS core_pairs, "
+    f"CASE WHEN variable IN {SATELLITES} THEN every.tendency ELSE core.tendency END AS mixed, CASE WHEN variable IN {SATELLITES} THEN coalesce(own.tendency, every.tendency) ELSE core.tendency END AS internal_first, "
+    f"CASE WHEN variable IN {SATELLITES} THEN coalesce(own.med, every.med) ELSE core.med END AS uncertainty, every.tendency - core.tendency AS delta FROM every LEFT JOIN core USING (variable) LEFT JOIN own USING (variable))"
+)
+
+
+def stitched(v):
+    return st.anchored(uncertain_pairs(v), lambda k: k.isin(*SATELLITES))
+
+
+@query("C27_stitched", f"{STITCHED} SELECT variable, satellite, every_pairs, core_pairs, {', '.join(f'round({k}, 5) AS {k}' for k in ('core', 'every', 'internal', 'mixed', 'internal_first', 'uncertainty', 'delta'))} FROM sv", "panel")
+def _(v):
+    """Tendencies around the core: core variables from core pairs, satellites from all pairs or their own, and what the satellites' pairs change."""
+    return stitched(v).select("variable", "satellite", "every_pairs", "core_pairs", *[F.round(k, 5).alias(k) for k in ("core", "every", "internal", "mixed", "internal_first", "uncertainty", "delta")])
+
+
+@query(
+    "C28_stitching_checks",
+    f"{STITCHED}, ag AS (SELECT variable, (SELECT count(*) FROM pc WHERE leader = variable) AS l, (SELECT count(*) FROM pc WHERE follower = variable) AS f FROM sv) SELECT (SELECT max(abs(core - (l - f) / nullif(l + f, 0))) FROM sv JOIN ag USING (variable)) AS core_error, bool_and(mixed IS NOT DISTINCT FROM core) FILTER (NOT satellite) AS core_rule, bool_and(mixed IS NOT DISTINCT FROM every) FILTER (satellite) AS satellite_rule, count(internal) FILTER (satellite) AS with_internal, "
+    "round(quantile_cont(abs(every - internal), 0.5) FILTER (satellite), 5) AS med_difference, round(max(abs(every - internal)) FILTER (satellite), 5) AS most_difference, min(every_pairs) AS least_degree, quantile_cont(every_pairs, 0.5) AS med_degree, count(*) AS nodes FROM sv",
+    "panel",
+)
+def _(v):
+    """Whether stitched tendencies follow the rule, and how far core tendencies counted in another way (leads and follows of each side apart) are from them."""
+    pairs = uncertain_pairs(v)
+    core = pairs.where(~c("leader").isin(*SATELLITES) & ~c("follower").isin(*SATELLITES))
+    side = lambda k: core.groupBy(c(k).alias("variable")).agg(F.count("*").alias(k))
+    leads, follows = F.coalesce("leader", F.lit(0)), F.coalesce("follower", F.lit(0))
+    again = side("leader").join(side("follower"), "variable", "full").select("variable", ((leads - follows) / (leads + follows)).alias("again"))
+    t = st.anchored(pairs, lambda k: k.isin(*SATELLITES)).join(again, "variable", "left")
+    sat, apart = c("satellite"), F.abs(c("every") - c("internal"))
+    return t.agg(
+        F.max(F.abs(c("core") - c("again"))).alias("core_error"), F.bool_and(F.when(~sat, c("mixed").eqNullSafe(c("core")))).alias("core_rule"), F.bool_and(F.when(sat, c("mixed").eqNullSafe(c("every")))).alias("satellite_rule"),
+        F.count(F.when(sat, c("internal"))).alias("with_internal"), F.round(F.percentile(F.when(sat, apart), F.lit(0.5)), 5).alias("med_difference"), F.round(F.max(F.when(sat, apart)), 5).alias("most_difference"),
+        F.min("every_pairs").alias("least_degree"), F.percentile("every_pairs", F.lit(0.5)).alias("med_degree"), F.count("*").alias("nodes"),
+    )
+
+
 NODES = "nd AS (SELECT x AS node, CASE WHEN lag > 0 THEN 1 ELSE 0 END AS lead, CASE WHEN lag < 0 THEN 1 ELSE 0 END AS follow FROM bl UNION ALL SELECT y, CASE WHEN lag < 0 THEN 1 ELSE 0 END, CASE WHEN lag > 0 THEN 1 ELSE 0 END FROM bl)"
 
 
@@ -510,6 +682,20 @@ def _(v):
     return st.quadratic_fit(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y")
 
 
+BAND = (
+    "+m AS (SELECT year(d) AS yr, avg(x1) AS mx FROM drivers GROUP BY 1), u AS (SELECT yr, y, x1, mx, x1 - mx AS u, (x1 - mx) ** 2 AS w FROM drivers JOIN m ON yr = year(d)), "
+    "g AS (SELECT yr, mx, count(*) AS n, min(x1) AS lo, max(x1) AS hi, covar_pop(u, u) AS uu, covar_pop(u, w) AS uw, covar_pop(w, w) AS ww, covar_pop(u, y) AS uy, covar_pop(w, y) AS wy, var_pop(y) AS yy, avg(y) AS my, avg(w) AS mw FROM u GROUP BY 1, 2), "
+    "s AS (SELECT *, uu * ww - uw * uw AS det, (uy * ww - wy * uw) / (uu * ww - uw * uw) AS b, (wy * uu - uy * uw) / (uu * ww - uw * uw) AS q FROM g), "
+    "p AS (SELECT *, i::INT AS i, lo + (hi - lo) * i / 199 AS x, lo + (hi - lo) * i / 199 - mx AS pu FROM s, range(200) r(i)), k AS (SELECT *, pu * pu - mw AS pw FROM p)"
+)
+
+
+@query("C36_band", f"{BAND} SELECT yr, i, round(x, 4) AS x, round(my + b * pu + q * pw, 4) AS fit, round(1.96::DOUBLE * sqrt(greatest(yy - b * uy - q * wy, 0) / (n - 3) * (1 + (pu ** 2 * ww - 2 * pu * pw * uw + pw ** 2 * uu) / det)), 4) AS half FROM k", "drivers")
+def _(v):
+    """Each year's quadratic with its 95 % band at 200 points."""
+    return st.quadratic_band(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y").select("yr", "i", *[R4(k).alias(k) for k in ("x", "fit", "half")])
+
+
 @query("C37_two_samples", "+g AS (SELECT year(d) AS yr, avg(y) FILTER (x1 > 25) AS m1, avg(y) FILTER (x1 <= 25) AS m0, var_samp(y) FILTER (x1 > 25) AS v1, var_samp(y) FILTER (x1 <= 25) AS v0, count(*) FILTER (x1 > 25) AS n1, count(*) FILTER (x1 <= 25) AS n0 FROM drivers GROUP BY 1) SELECT yr, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)), 6) AS t FROM g", "drivers")
 def _(v):
     hi, lo = F.when(c("x1") > 25, c("y")), F.when(c("x1") <= 25, c("y"))

@@ -1,6 +1,7 @@
 """Operators whose results SQL can't give, and readers, on small inputs of their own."""
 
 import itertools
+from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
@@ -189,3 +190,94 @@ def test_places_in_a_global_order(spark):
     assert got == [i for i, v in sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))]
     assert ordering.places(df.limit(0), [F.asc("v")]).count() == 0
     assert sorted(r.place for r in ordering.places(df, [F.asc("v"), F.asc("i")]).collect()) == list(range(1, 3_001))
+
+
+def test_bootstrap_of_lags(spark):
+    """A series and itself three days later: every draw finds the lag; blocks' sums give the same r as all days together."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=130)
+    rows = [(d, "a", float(x[d])) for d in range(120)] + [(d + 3, "b", float(x[d])) for d in range(120)]
+    t = spark.createDataFrame([(date(2001, 1, 1) + timedelta(days=d), k, v) for d, k, v in rows], "d date, variable string, value double")
+    pairs = joins.lagged_pairs(t, t, range(-5, 6)).where("x < y")
+    got = statistics.bootstrap_best_lags(pairs, ["x", "y"], F.floor(F.dayofyear("d") / 3), replicates=200).collect()
+    assert [(r.replicates, r.lo, r.mid, r.hi) for r in got] == [(200, 3, 3, 3)]
+    assert statistics.bootstrap_best_lags(pairs.where("d < DATE '2001-01-05'"), ["x", "y"], F.lit(1)).first().mid is None  # too few days
+
+
+def test_season_breaks(spark):
+    """Two planted breaks are found under each buffer; a gappy series, one without baseline and a short one say why they have none."""
+    def rows(name, days, level=lambda d: 0.0):
+        rng = np.random.default_rng(1)
+        return [(name, date(2001, 3, 20) + timedelta(days=d), level(d) + 0.1 * float(rng.normal())) for d in days]
+
+    step = lambda d: 5.0 if 100 <= d < 160 else 0.0
+    data = rows("steps", range(300), step) + rows("gaps", [d for d in range(300) if d % 3], step) + rows("late", range(60, 300), step) + rows("few", [*range(12, 40), *range(290, 300)])
+    t = spark.createDataFrame(data, "k string, d date, v double").withColumns({"s": F.lit("2001-05-01").cast("date"), "e": F.lit("2001-10-31").cast("date")})
+    got = {r.k: r for r in cp.season_breaks(t, ["k"], "d", "v", "s", "e", [14, 21, 30]).collect()}
+    assert {k: r.reason for k, r in got.items()} == {"steps": "", "gaps": "gaps", "late": "no baseline", "few": "gaps"}
+    r = got["steps"]
+    assert r.onset == r.onset_lo == r.onset_hi == date(2001, 3, 20) + timedelta(days=100) and r.recovery == date(2001, 3, 20) + timedelta(days=160)
+    assert got["late"].onset is None and abs(got["gaps"].gap - 1 / 3) < 0.01
+
+
+def test_onset_windows(spark):
+    """The rule against a plain reading of it, over random breaks."""
+    rng = np.random.default_rng(3)
+    cut, stress, rows, want = date(2001, 4, 15), date(2001, 6, 15), [], {}
+    for k in range(60):
+        at = sorted({date(2001, 1, 1) + timedelta(days=int(x)) for x in rng.integers(0, 330, rng.integers(1, 7))})
+        soil = k % 2 == 0
+        rows += [(k, soil, d) for d in at]
+        valid = at[:-1]
+        if not valid:
+            continue
+        near = lambda some: min(some, key=lambda d: (abs((d - stress).days), d))
+        if soil:
+            early, before = [d for d in valid if d < cut], [d for d in valid if d <= stress]
+            start = early[-1] if early else before[-1] if before else near(valid)
+        else:
+            start = near([d for d in valid if d >= cut] or valid)
+        want[k] = (len(at), start, at[at.index(start) + 1])
+    t = spark.createDataFrame(rows, "k int, soil boolean, b date")
+    got = cp.onset_windows(t, ["k", "soil"], "b", F.lit(cut), F.lit(stress), F.col("soil")).collect()
+    assert {r.k: (r.n_breaks, r.start, r.end) for r in got} == want
+
+
+def test_absolute_penalty(spark):
+    """A column's penalty counts a break, whatever the series' own cost."""
+    t = spark.createDataFrame([(k, i, float(i >= 30) + 0.01 * (i % 3), p) for k, p in (("low", 2.0), ("high", 1e6)) for i in range(60)], "k string, i int, v double, penalty double")
+    assert [(r.k, r.break_first, r.break_last) for r in cp.detect(t, ["k"], "i", "v", model="l2", min_size=5).collect()] == [("low", 30, 29)]
+
+
+def test_quadratic_band(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 10, 80)
+    y = 3 + 2 * x - 0.4 * x * x + rng.normal(size=80)
+    t = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y)] + [("b", 1.0, 2.0), ("b", 2.0, 1.0)], "k string, x double, y double")
+    got = sorted((r for r in statistics.quadratic_band(t, ["k"], "x", "y", points=20).collect() if r.k == "a"), key=lambda r: r.i)
+    p, cov = np.polyfit(x, y, 2, cov=True)
+    at = np.linspace(x.min(), x.max(), 20)
+    design = np.column_stack([at**2, at, np.ones(20)])
+    assert np.allclose([r.fit for r in got], np.polyval(p, at)) and np.allclose([r.half for r in got], 1.96 * np.sqrt(np.diag(design @ cov @ design.T)))
+    assert all(r.half is None for r in statistics.quadratic_band(t, ["k"], "x", "y", points=3).collect() if r.k == "b")
+
+
+def test_uncertainty_of_pairs_and_nodes(spark):
+    """A pair whose setups agree is surer than one whose directions disagree; equal figures share their rank; satellites keep to their own pairs."""
+    rows = []
+    for w in (10, 20, 30):
+        for m in (5, 10):
+            for d in ("forward", "reverse"):
+                rows += [("a", "b", w, m, d, 3), ("a", "c", w, m, d, w // 10 if d == "forward" else -m), ("b", "c", w, m, d, -w // 10)]
+    su = spark.createDataFrame(rows, "x string, y string, window int, max_lag int, direction string, lag int")
+    comp = {(r.x, r.y): r for r in statistics.uncertainty_components(su, replicates=50).collect()}
+    assert comp["a", "b"][2:] == (0, 0, 0, 0, 0, 0, 0) and comp["a", "c"].directions > 5 and comp["a", "c"].signs == 0.5
+    u = {(r.x, r.y): r.uncertainty for r in statistics.composite_uncertainty(statistics.uncertainty_components(su, replicates=50)).collect()}
+    assert u["a", "b"] == 0 < u["b", "c"] < u["a", "c"] == 1
+    few = spark.createDataFrame([("a", "b", 10, 5, "forward", 1)], su.schema)
+    assert statistics.composite_uncertainty(statistics.uncertainty_components(few)).count() == 0
+    pairs = spark.createDataFrame([("a", "b", 0.0), ("a", "c", 1.0), ("b", "c", 0.5), ("s", "a", 0.5), ("s", "t", 0.5)], "leader string, follower string, uncertainty double")
+    nodes = {r.variable: r for r in statistics.node_table(pairs).collect()}
+    assert (nodes["a"].leads, nodes["a"].follows, nodes["a"].pairs) == (2, 1, 3) and nodes["s"].tendency == 1 and nodes["c"].lead_fraction == 0
+    got = {r.variable: r for r in statistics.anchored(pairs, lambda k: k.isin("s", "t")).collect()}
+    assert got["a"].mixed == 1 and abs(got["a"].every - 1 / 3) < 1e-12 and got["s"].internal_first == 1 and got["t"].internal == -1 and got["s"].core is None
