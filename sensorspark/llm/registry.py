@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_extract, mixing, quality, suffix_dedup, token_files, url_filters, warc
+from . import conversation_trie, decontaminate, filter_audit, fingerprints, html_extract, license_scan, mixing, quality, suffix_dedup, token_files, url_filters, warc
 from .near_dedup import near_duplicates
 
 
@@ -55,6 +55,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_t(spark, sf_dir, "pages"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(_t(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(conversation_trie.rebuilt(_t(spark, sf_dir, "conversations")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.document_audit(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,8 +74,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_mixing, op4_decontamination, op5_near_dedup, op6_url_filters, op7_suffix_dedup, op8_token_files, op9_warc, op10_html_extraction, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_mixing, op4_decontamination, op5_near_dedup, op6_url_filters, op7_suffix_dedup, op8_token_files, op9_warc, op10_html_extraction, op11_license_scan, op12_conversation_trie, op13_filter_audit, pipeline)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_mixing": mixing.sql(), "op4_decontamination": decontaminate.SQL, "op6_url_filters": url_filters.sql()}
+    return {"op3_mixing": mixing.sql(), "op4_decontamination": decontaminate.SQL, "op6_url_filters": url_filters.sql(), "op12_conversation_trie": conversation_trie.SQL, "op13_filter_audit": filter_audit.SQL}
