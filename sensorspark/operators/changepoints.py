@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from heapq import heappop, heappush, heappushpop
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,38 +31,98 @@ def single_break(df: DataFrame, keys: list[str], order: str, value: str, min_siz
     return p.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.break", "_b.cost", "_b.position")
 
 
-#: Series of at most so many rows get a table of all segments' absolute costs.
-TABLE_ROWS = 2_048
+class MedianCosts:
+    """Sums of distances from the median over segments [start, end), for arrays of starts.
 
+    A wavelet matrix: for each bit of the values' ranks, counts and sums of those without it, in the order that the bits before leave. A segment's
+    k smallest values and their sum take one step a bit, so the memory is n log n and nothing is kept of a segment.
+    """
 
-def _absolute_costs(y: np.ndarray) -> np.ndarray:
-    """table[i, j]: the sum of distances of y[i:j] from its median, with the lower and the upper half of each growing segment in heaps."""
-    n = len(y)
-    table = np.zeros((n + 1, n + 1))
-    v = y.tolist()
-    for i in range(n):
-        low, high, below, above, row = [], [], 0.0, 0.0, []
-        for x in v[i:]:
-            if low and x < -low[0]:
-                moved = -heappushpop(low, -x)
-                below += x - moved
+    def __init__(self, y: np.ndarray) -> None:
+        n = len(y)
+        self.sorted = np.sort(y)
+        rank = np.empty(n, dtype=np.int64)
+        rank[np.argsort(y, kind="stable")] = np.arange(n)
+        self.total, self.levels = np.concatenate(([0.0], np.cumsum(y))), []
+        for bit in range(max(n - 1, 1).bit_length() - 1, -1, -1):
+            low = (rank >> bit & 1) == 0
+            self.levels.append((bit, np.concatenate(([0], np.cumsum(low))), np.concatenate(([0.0], np.cumsum(np.where(low, self.sorted[rank], 0.0)))), int(low.sum())))
+            rank = np.concatenate((rank[low], rank[~low]))
+
+    def __call__(self, starts: np.ndarray, end: int) -> np.ndarray:
+        a = np.atleast_1d(starts)
+        b, n = np.full(len(a), end), end - a
+        k, below, at = n // 2, np.zeros(len(a)), np.zeros(len(a), dtype=np.int64)
+        for bit, count, value, zeros in self.levels:
+            ca, cb = count[a], count[b]
+            high = k >= cb - ca
+            below += np.where(high, value[b] - value[a], 0.0)
+            k = k - np.where(high, cb - ca, 0)
+            at += high.astype(np.int64) << bit
+            a, b = np.where(high, zeros + a - ca, ca), np.where(high, zeros + b - cb, cb)
+        # at is now the rank of the upper median, and below the sum of the values before it
+        rest = self.total[end] - self.total[np.atleast_1d(starts)] - 2 * below
+        return np.maximum(rest - np.where(n % 2 == 1, self.sorted[np.minimum(at, len(self.sorted) - 1)], 0.0), 0)
+
+
+def median_distance(y: np.ndarray) -> float:
+    """The median of the squared distances of all pairs, by counting pairs below a bound instead of making them."""
+    v, n = np.sort(y), len(y)
+    pairs = n * (n - 1) // 2
+
+    def ranked(k: int) -> float:
+        """The k-th smallest distance: bounds are halved until they stand next to each other."""
+        lo, hi = 0.0, float(v[-1] - v[0])
+        while True:
+            mid = lo + (hi - lo) / 2
+            if not lo < mid < hi:
+                break
+            # the float order of v[i] + mid and of differences may part by a rounding; only the last digit is at stake
+            if (np.searchsorted(v, v + mid, side="right") - np.arange(n) - 1).sum() > k:
+                hi = mid
             else:
-                moved = x
-            heappush(high, moved)
-            above += moved
-            if len(high) > len(low):
-                moved = heappop(high)
-                heappush(low, -moved)
-                above -= moved
-                below += moved
-            row.append(above - below + (-low[0] if len(low) > len(high) else 0.0))
-        table[i, i + 1 :] = row
-    return np.maximum(table, 0)
+                lo = mid
+        return hi if (np.searchsorted(v, v + lo, side="right") - np.arange(n) - 1).sum() <= k else lo
+
+    return (ranked((pairs - 1) // 2) ** 2 + ranked(pairs // 2) ** 2) / 2 if pairs else 1.0
+
+
+#: The least and the largest scaled distance that the kernel tells apart.
+NEAR, FAR = 1e-2, 1e2
+
+
+class KernelCosts:
+    """Kernel costs of segments [start, end), for arrays of starts. Ends should grow from call to call: the sums of all starts are carried on by one
+    row of the kernel, from the smallest start that was asked for; a smaller end or start begins anew."""
+
+    def __init__(self, y: np.ndarray) -> None:
+        self.y, self.unit = y, median_distance(y) or 1.0
+        self._begin(0)
+
+    def _begin(self, low: int) -> None:
+        self.low, self.end, self.sums = low, low, np.zeros(len(self.y) + 1)
+
+    def __call__(self, starts: np.ndarray, end: int) -> np.ndarray:
+        i = np.atleast_1d(starts)
+        if end < self.end or i[0] < self.low:
+            self._begin(int(i[0]))
+        self.low = int(i[0])
+        for j in range(max(self.end, self.low), end):
+            d = self.y[self.low : j] - self.y[j]
+            row = np.exp(-np.clip(d * d / self.unit, NEAR, FAR))
+            self.sums[self.low : j] += 2 * row[::-1].cumsum()[::-1]
+            self.sums[self.low : j + 1] += 1
+        self.end = end
+        return (end - i) - self.sums[i] / np.maximum(end - i, 1)
 
 
 def segment_cost(y: np.ndarray, model: str):
-    """A function of (starts, end): the costs of the segments [start, end) of a series."""
-    n = len(y)
+    """A function of (ascending starts, end): the costs of the segments [start, end) of a series. Memory is linear in the series, or n log n for l1."""
+    y = y - y.mean() if len(y) else y  # no model's cost depends on the level, and small sums are exact for longer
+    if model == "l1":
+        return MedianCosts(y)
+    if model == "rbf":
+        return KernelCosts(y)
     one, two = np.concatenate(([0], np.cumsum(y))), np.concatenate(([0], np.cumsum(y * y)))
 
     def squares(i, j):
@@ -74,56 +132,69 @@ def segment_cost(y: np.ndarray, model: str):
         return squares
     if model == "normal":
         return lambda i, j: (j - i) * np.log(squares(i, j) / np.maximum(j - i, 1) + 1e-6)
-    if model == "l1":
-        if n <= TABLE_ROWS:
-            table = _absolute_costs(y)
-            return lambda i, j: table[i, j]
-        return lambda i, j: np.array([np.abs(y[a:j] - np.median(y[a:j])).sum() for a in np.atleast_1d(i)])
-    if model == "rbf":
-        d = (y[:, None] - y[None, :]) ** 2
-        med = np.median(d[np.triu_indices(n, 1)]) if n > 1 else 1.0
-        area = np.zeros((n + 1, n + 1))
-        area[1:, 1:] = np.exp(-d / (med if med > 0 else 1.0)).cumsum(0).cumsum(1)
-        return lambda i, j: (j - i) - (area[j, j] - area[i, j] - area[j, i] + area[i, i]) / np.maximum(j - i, 1)
     raise ValueError(f"no cost model {model}")
 
 
+def noise_level(y: np.ndarray) -> float:
+    """The deviation of first differences over the root of two; 1 where it is 0."""
+    return float(np.diff(y).std() / np.sqrt(2)) or 1.0
+
+
+def penalty_for(cost, n: int, scale: float) -> float:
+    """scale times the whole series' cost a row times ln n. It is taken of the series as it is: under `normal` it depends on the series' unit."""
+    return scale * max(abs(float(np.atleast_1d(cost(np.array([0]), n))[0])) / n, 1e-9) * np.log(n)
+
+
 def penalised_breaks(y: np.ndarray, model: str, penalty: float, min_size: int = 2, cost=None) -> list[int]:
     """The optimal breaks (first rows of segments but the first) for a penalty a break, by dynamic programming with pruning."""
-    n, cost = len(y), cost or segment_cost(np.asarray(y, dtype=float), model)
-    best, last = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-    best[0] = -penalty
-    until = np.full(n + 1, n + 1)  # a start that can't win any more stays until its successor's first segment is long enough
+    return penalty_path(len(y), cost or segment_cost(np.asarray(y, dtype=float), model), [penalty], min_size, model != "normal")[0]
+
+
+def penalty_path(n: int, cost, penalties: list[float], min_size: int, prune: bool = True) -> list[list[int]]:
+    """The optimal breaks for each of several penalties. Ends are visited once: a segment's cost is asked for once, for all penalties."""
+    best, last = np.full((len(penalties), n + 1), np.inf), np.zeros((len(penalties), n + 1), dtype=int)
+    best[:, 0] = [-p for p in penalties]
+    # starts that can still win, and until when: one that can't stays until its successor's first segment is long enough
+    ready, until = [np.zeros(0, dtype=int) for _ in penalties], np.full(best.shape, n + 1)
     for j in range(min_size, n + 1):
-        ready = np.flatnonzero(np.isfinite(best[: j - min_size + 1]) & (until[: j - min_size + 1] > j))
-        total = best[ready] + cost(ready, j) + penalty
-        k = int(total.argmin())
-        best[j], last[j] = total[k], ready[k]
-        if model != "normal":
-            lost = ready[total - penalty > best[j]]
-            until[lost] = np.minimum(until[lost], j + min_size)
-    out, j = [], n
-    while j > 0 and last[j] > 0:
-        out.append(int(last[j]))
-        j = last[j]
-    return out[::-1]
+        for k, starts in enumerate(ready):
+            if np.isfinite(best[k, j - min_size]):
+                starts = np.append(starts, j - min_size)
+            ready[k] = starts[until[k, starts] > j]
+        wanted = ready[0] if len(ready) == 1 else np.unique(np.concatenate(ready))
+        each = cost(wanted, j)
+        for k, penalty in enumerate(penalties):
+            starts = ready[k]
+            total = best[k, starts] + (each if len(ready) == 1 else each[np.searchsorted(wanted, starts)]) + penalty
+            m = int(total.argmin())
+            best[k, j], last[k, j] = total[m], starts[m]
+            if prune:
+                lost = starts[total - penalty > best[k, j]]
+                until[k, lost] = np.minimum(until[k, lost], j + min_size)
+    out = []
+    for row in last:
+        found, j = [], n
+        while j > 0 and row[j] > 0:
+            found.append(int(row[j]))
+            j = row[j]
+        out.append(found[::-1])
+    return out
 
 
 def fixed_breaks(y: np.ndarray, model: str, count: int, min_size: int = 5) -> list[int]:
-    """The best segmentation with exactly count breaks; none if the series is too short."""
+    """The best segmentation with exactly count breaks; none if the series is too short. Each end's costs are asked for once, for all counts."""
     n, cost = len(y), segment_cost(np.asarray(y, dtype=float), model)
     if n < (count + 1) * min_size:
         return []
     best = np.full((count + 1, n + 1), np.inf)
     last = np.zeros((count + 1, n + 1), dtype=int)
     for j in range(min_size, n + 1):
-        best[0, j] = np.atleast_1d(cost(np.array([0]), j))[0]
-    for k in range(1, count + 1):
-        for j in range((k + 1) * min_size, n + 1):
-            i = np.arange(k * min_size, j - min_size + 1)
-            total = best[k - 1, i] + cost(i, j)
+        each = cost(np.arange(j - min_size + 1), j)
+        best[0, j] = each[0]
+        for k in range(1, min(count, j // min_size - 1) + 1):
+            total = best[k - 1, k * min_size : j - min_size + 1] + each[k * min_size :]
             m = int(total.argmin())
-            best[k, j], last[k, j] = total[m], i[m]
+            best[k, j], last[k, j] = total[m], m + k * min_size
     out, j = [], n
     for k in range(count, 0, -1):
         j = last[k, j]
@@ -144,16 +215,17 @@ def detect(df: DataFrame, keys: list[str], order: str, value: str, model: str |
         y = pdf[value].to_numpy(dtype=float)
         rows = []
         if len(y) >= 2 * min_size:
-            y = (y - y.mean()) / (y.std() or 1.0)
             m = model or pdf["model"].iloc[0]
-            s = float(pdf["scale"].iloc[0]) if "scale" in pdf else scale
-            whole = abs(float(np.atleast_1d(segment_cost(y, m)(np.array([0]), len(y)))[0]))
-            each = float(pdf["penalty"].iloc[0]) if "penalty" in pdf else s * max(whole / len(y), 1e-9) * np.log(len(y))
-            found = fixed_breaks(y, m, count, min_size) if count else penalised_breaks(y, m, each, min_size)
+            if count:
+                found = fixed_breaks(y, m, count, min_size)
+            elif "penalty" in pdf:
+                found = penalised_breaks((y - y.mean()) / (y.std() or 1.0), m, float(pdf["penalty"].iloc[0]), min_size)
+            else:
+                cost = segment_cost(y, m)
+                found = penalised_breaks(y, m, penalty_for(cost, len(y), float(pdf["scale"].iloc[0]) if "scale" in pdf else scale), min_size, cost)
             edges = [0, *found, len(y)]
-            raw = pdf[value].to_numpy(dtype=float)
             for a, b, c in zip(edges[:-2], edges[1:-1], edges[2:]):
-                rows.append((*[pdf[k].iloc[0] for k in keys], pdf[order].iloc[b], pdf[order].iloc[b - 1], float(raw[b:c].mean() - raw[a:b].mean())))
+                rows.append((*[pdf[k].iloc[0] for k in keys], pdf[order].iloc[b], pdf[order].iloc[b - 1], float(y[b:c].mean() - y[a:b].mean())))
         return pd.DataFrame(rows, columns=[*keys, "break_first", "break_last", "jump"])
 
     return df.groupBy(*keys).applyInPandas(run, schema)
@@ -227,13 +299,9 @@ def series_onset(y: np.ndarray, direction: str, model: str, scales: list[float],
     k = min_size or least_size(len(y))
     if len(y) < 2 * k:
         return [(None, []) for _ in scales]
-    z = (y - y.mean()) / (y.std() or 1.0)
-    cost = segment_cost(z, model)
-    whole = abs(float(np.atleast_1d(cost(np.array([0]), len(y)))[0]))
-    sigma = float(np.diff(y).std() / np.sqrt(2)) or 1.0
-    out = []
-    for scale in scales:
-        found = penalised_breaks(z, model, scale * max(whole / len(y), 1e-9) * np.log(len(y)), k, cost)
+    cost, sigma = segment_cost(y, model), noise_level(y)
+    out, unit = [], penalty_for(cost, len(y), 1.0)
+    for found in penalty_path(len(y), cost, [scale * unit for scale in scales], k, model != "normal"):
         edges = [0, *found, len(y)]
         jump = np.array([y[b:c].mean() - y[a:b].mean() for a, b, c in zip(edges[:-2], edges[1:-1], edges[2:])])
         size = {"decrease": -jump, "increase": jump}.get(direction, np.abs(jump))
@@ -243,6 +311,48 @@ def series_onset(y: np.ndarray, direction: str, model: str, scales: list[float],
     return out
 
 
+def replicate_onsets(series: np.ndarray, direction: str, scale: float, rule: str, min_size: int, cells: int = 1 << 21) -> np.ndarray:
+    """series_onset under l2 for every row of series at once: the onset's place, or -1. All rows' prefix sums go through one dynamic program, in slices
+    of at most so many numbers at a step."""
+    n = series.shape[1]
+    out = np.full(len(series), -1)
+    if n < 2 * min_size:
+        return out
+    step = max(1, cells // n)
+    for lo in range(0, len(series), step):
+        y = series[lo : lo + step]
+        y = y - y.mean(axis=1, keepdims=True)
+        r = len(y)
+        one, two = (np.concatenate((np.zeros((r, 1)), np.cumsum(x, axis=1)), axis=1) for x in (y, y * y))
+        whole = np.maximum(two[:, -1] - one[:, -1] ** 2 / n, 0)
+        penalty = scale * np.maximum(whole / n, 1e-9) * np.log(n)
+        best, last = np.full((r, n + 1), np.inf), np.zeros((r, n + 1), dtype=np.int64)
+        best[:, 0] = -penalty
+        rows = np.arange(r)
+        for j in range(min_size, n + 1):
+            i = slice(0, j - min_size + 1)
+            size = np.arange(j, min_size - 1, -1)
+            total = best[:, i] + np.maximum(two[:, j, None] - two[:, i] - (one[:, j, None] - one[:, i]) ** 2 / size, 0)
+            k = total.argmin(axis=1)
+            best[:, j], last[:, j] = total[rows, k] + penalty, k
+        sigma = np.diff(y, axis=1).std(axis=1) / np.sqrt(2)
+        sigma[sigma == 0] = 1.0
+        sign = {"decrease": -1.0, "increase": 1.0}.get(direction)
+        for x in range(r):
+            edges, j = [n], n
+            while last[x, j] > 0:
+                j = last[x, j]
+                edges.append(j)
+            edges = np.array([0, *edges[::-1]])
+            means = np.diff(one[x, edges]) / np.diff(edges)
+            jump = np.diff(means)
+            size = np.abs(jump) if sign is None else sign * jump
+            ok = np.flatnonzero(size >= sigma[x])
+            if len(ok):
+                out[lo + x] = edges[1 + (ok[size[ok].argmax()] if rule == "acute" else ok[0])]
+    return out
+
+
 def onset_grid(df: DataFrame, keys: list[str], order: str, value: str, models: list[str], scales: list[float], rule: str = "acute") -> DataFrame:
     """keys, model, scale, n_obs, onset for every model and scale; df has a column direction. A group is a series and a model, so the models run apart."""
     d = df.select(*keys, "direction", order, value).where(F.col(value).isNotNull()).withColumn("model", F.explode(F.array(*map(F.lit, models))))
@@ -287,12 +397,16 @@ def bootstrap_onsets(df: DataFrame, keys: list[str], order: str, value: str, mod
             for t in pdf.itertuples(index=False):
                 means, rest = np.array(t.means), np.array(t.rest)
                 n = len(means)
-                for rep in range(t[-2], min(t[-2] + chunk, replicates)):
-                    rng = np.random.default_rng([t[-1] % 2**63, rep])
+                drawn = np.empty((min(t[-2] + chunk, replicates) - t[-2], n))
+                for i in range(len(drawn)):
+                    rng = np.random.default_rng([t[-1] % 2**63, t[-2] + i])
                     at = (rng.integers(0, max(n - block + 1, 1), -(-n // block))[:, None] + np.arange(block)).ravel()[:n]
-                    onset = series_onset(means + rest[np.minimum(at, n - 1)], t.direction, model, [scale], rule)[0][0]
-                    if onset is not None:
-                        rows.append((*t[: len(keys)], onset))
+                    drawn[i] = means + rest[np.minimum(at, n - 1)]
+                if model == "l2":
+                    found = replicate_onsets(drawn, t.direction, scale, rule, least_size(n)).tolist()
+                else:
+                    found = [-1 if o is None else o for o in (series_onset(y, t.direction, model, [scale], rule)[0][0] for y in drawn)]
+                rows += [(*t[: len(keys)], o) for o in found if o >= 0]
             yield pd.DataFrame(rows, columns=[*keys, "_o"])
 
     drawn = tasks.mapInPandas(draw, f"{kinds}, _o int")
@@ -306,7 +420,7 @@ def bootstrap_onsets(df: DataFrame, keys: list[str], order: str, value: str, mod
 
 def onsets(breaks: DataFrame, sigma: DataFrame, directions: DataFrame, keys: list[str]) -> DataFrame:
     """Breaks whose jump in the stress direction is at least the noise: the largest (acute) and the earliest (first departure)."""
-    j = breaks.join(sigma, keys).join(F.broadcast(directions), keys)
+    j = breaks.join(sigma, keys).join(directions, keys)
     size = F.when(F.col("direction") == "decrease", -F.col("jump")).when(F.col("direction") == "increase", F.col("jump")).otherwise(F.abs("jump"))
     j = j.withColumn("_size", size).where(F.col("_size") >= F.col("sigma"))
     return j.groupBy(*keys).agg(F.max_by("break_first", F.struct("_size", F.expr("-datediff(break_first, DATE '1970-01-01')"))).alias("acute"), F.min("break_first").alias("first_departure"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from zlib import crc32
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,11 @@ def plateau(curves: DataFrame, keys: list[str], share: float = 0.95) -> DataFram
     return near.groupBy(*keys).agg(F.min("lag").alias("first"), F.max("lag").alias("last"), F.count("*").alias("width"))
 
 
+def sign_consistency(lag: str) -> Column:
+    """The largest of the shares of lags above, below and equal to 0."""
+    return F.greatest(*[F.avg((F.signum(lag) == s).cast("double")) for s in (1, -1, 0)])
+
+
 def two_predictor_r2(y: str, x1: str, x2: str) -> Column:
     """R squared of y on two predictors, from pairwise correlations."""
     a, b, c = pearson(y, x1), pearson(y, x2), pearson(x1, x2)
@@ -58,10 +63,10 @@ def commonality(df: DataFrame, keys: list[str], y: str, x1: str, x2: str) -> Dat
     return g.select(*keys, "full", F.greatest(F.col("full") - F.col("r2"), zero).alias("unique1"), F.greatest(F.col("full") - F.col("r1"), zero).alias("unique2"), F.greatest(F.col("r1") + F.col("r2") - F.col("full"), zero).alias("shared"))
 
 
-def kendall(df: DataFrame, group: str, x: str, y: str, least: int = 4) -> DataFrame:
-    """Tau-b of x against y within each group of items; groups are small (streams of a configuration)."""
-    a = df.select(group, F.col(x).alias("x1"), F.col(y).alias("y1"), F.col("item").alias("i1"))
-    b = df.select(group, F.col(x).alias("x2"), F.col(y).alias("y2"), F.col("item").alias("i2"))
+def kendall(df: DataFrame, group: str, item: str, x: str, y: str, least: int = 4) -> DataFrame:
+    """Tau-b of x against y over the items of each group, of which there are at least so many; a group holds the streams of a configuration, so its pairs are few."""
+    a = df.select(group, F.col(x).alias("x1"), F.col(y).alias("y1"), F.col(item).alias("i1"))
+    b = df.select(group, F.col(x).alias("x2"), F.col(y).alias("y2"), F.col(item).alias("i2"))
     p = a.join(b, group).where("i1 < i2").withColumn("sx", F.signum(F.col("x1") - F.col("x2"))).withColumn("sy", F.signum(F.col("y1") - F.col("y2")))
     n = df.groupBy(group).agg(F.count("*").alias("items"))
     t = p.groupBy(group).agg(F.sum(F.col("sx") * F.col("sy")).alias("s"), F.sum(F.abs("sx")).alias("a"), F.sum(F.abs("sy")).alias("b"))
@@ -214,9 +219,8 @@ def uncertainty_components(setups: DataFrame, replicates: int = 500, least: int
         q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.75)))
         return of.groupBy(*pair).agg(q.alias("_q"), F.count("*").alias("_n"))
 
-    pos = F.avg(F.when(F.col("lag") != 0, (F.col("lag") > 0).cast("double")))
-    out = iqr("lag", setups).join(setups.groupBy(*pair).agg(pos.alias("_p")), pair).where(F.col("_n") >= least)
-    out = out.select(*pair, (F.col("_q")[1] - F.col("_q")[0]).alias("setups"), (1 - F.greatest(F.col("_p"), 1 - F.col("_p"))).alias("signs"))
+    out = iqr("lag", setups).join(setups.groupBy(*pair).agg(sign_consistency("lag").alias("_p")), pair).where(F.col("_n") >= least)
+    out = out.select(*pair, (F.col("_q")[1] - F.col("_q")[0]).alias("setups"), (1 - F.col("_p")).alias("signs"))
     for name, column in (("windows", "window"), ("max_lags", "max_lag")):
         medians = setups.groupBy(*pair, column).agg(F.percentile("lag", F.lit(0.5)).alias("_m"))
         out = out.join(iqr("_m", medians).select(*pair, (F.col("_q")[1] - F.col("_q")[0]).alias(name)), pair, "left")
@@ -281,32 +285,42 @@ def anchored(pairs: DataFrame, satellite) -> DataFrame:
     return t.select("variable", sat.alias("satellite"), own.alias("core"), "every", "internal", "every_pairs", "core_pairs", mixed.alias("mixed"), first.alias("internal_first"), unc.alias("uncertainty"), (F.col("every") - own).alias("delta"))
 
 
-def bootstrap_best_lags(pairs: DataFrame, keys: list[str], block: Column, replicates: int = 1000, least: int = 12) -> DataFrame:
-    """keys, replicates, lo, mid, hi: an interval of the lag with the largest |r| from blocks of days drawn with replacement.
+def block_starts(name: str, replicates: int, days: int, block: int) -> np.ndarray:
+    """First days of each replicate's blocks, from hashes of name|replicate|block, so that a rerun and SQL draw the same."""
+    blocks = -(-days // block)
+    drawn = [int.from_bytes(md5(f"{name}|{rep}|{k}".encode()).digest()[:4], "big") for rep in range(replicates) for k in range(blocks)]
+    return (np.array(drawn, dtype=np.int64) % max(days - block + 1, 1)).reshape(replicates, blocks)
+
+
+def bootstrap_best_lags(pairs: DataFrame, keys: list[str], day: str, days: int, block: int = 3, replicates: int = 1000, least: int = 12) -> DataFrame:
+    """keys, replicates, lo, mid, hi: an interval of the lag with the largest |r| (of equals the smallest), from moving blocks of days drawn with replacement.
 
-    pairs has lag, vx, vy. The sums of each block and lag are made first, so a group holds blocks times lags rows however long
-    its series; a draw is a vector of the blocks' counts, and all draws' sums are one product. Draws with fewer than least days at each lag count as none.
+    pairs has lag, vx, vy and a day's number below days. A block may start at any day; a draw takes as many blocks as cover the days and leaves the last
+    one's surplus. Running sums over the days make a block the difference of two rows, so all draws are one product with a matrix of where blocks begin and
+    end. A group is a window of days by lags. Days that lack a value add nothing; a lag with fewer than least days in a draw counts as none.
     """
-    sums = [F.count("*").alias("s0"), *[F.sum(e).alias(f"s{i}") for i, e in enumerate((F.col("vx"), F.col("vy"), F.col("vx") ** 2, F.col("vy") ** 2, F.col("vx") * F.col("vy")), 1)]]
-    g = pairs.withColumn("_block", block).groupBy(*keys, "_block", "lag").agg(*sums)
+    d = pairs.select(*keys, F.col(day).alias("_i"), "lag", "vx", "vy").where("vx IS NOT NULL AND vy IS NOT NULL")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks, at = np.unique(pdf["_block"], return_inverse=True)
-        lags, lag_at = np.unique(pdf["lag"], return_inverse=True)
-        table = np.zeros((len(blocks), len(lags), 6))
-        table[at, lag_at] = pdf[[f"s{i}" for i in range(6)]].to_numpy(dtype=float)
-        first = pdf.iloc[0]
-        rng = np.random.default_rng(crc32("|".join(str(first[k]) for k in keys).encode()))
-        counts = rng.multinomial(len(blocks), np.full(len(blocks), 1 / len(blocks)), replicates)
-        n, x, y, xx, yy, xy = np.moveaxis((counts @ table.reshape(len(blocks), -1)).reshape(replicates, len(lags), 6), 2, 0)
-        with np.errstate(all="ignore"):
-            r = np.abs((n * xy - x * y) / np.sqrt((n * xx - x * x) * (n * yy - y * y)))
-        r = np.where((n >= least) & np.isfinite(r), r, -1)
-        found = lags[r.argmax(1)][r.max(1) >= 0]
+        first, lags = pdf.iloc[0], np.unique(pdf["lag"])
+        x, y = (pdf[k].to_numpy(dtype=float) - pdf[k].mean() for k in ("vx", "vy"))
+        table = np.zeros((days + 1, len(lags), 6))
+        np.add.at(table, (pdf["_i"].to_numpy() + 1, np.searchsorted(lags, pdf["lag"])), np.stack([np.ones(len(pdf)), x, y, x * x, y * y, x * y], axis=1))
+        starts = block_starts("|".join(str(first[k]) for k in keys), replicates, days, block)
+        ends = np.minimum(starts + np.minimum(block, days - block * np.arange(starts.shape[1])), days)
+        weight, rows = np.zeros((replicates, days + 1)), np.arange(replicates)[:, None]
+        np.add.at(weight, (rows, ends), 1.0)
+        np.add.at(weight, (rows, starts), -1.0)
+        sums = (weight @ table.cumsum(axis=0).reshape(days + 1, -1)).reshape(replicates, len(lags), 6)
+        n, x, y, xx, yy, xy = np.moveaxis(sums, 2, 0)
+        vx, vy = n * xx - x * x, n * yy - y * y
+        ok = (n >= least) & (vx > 1e-9 * n * xx) & (vy > 1e-9 * n * yy)
+        r = np.where(ok, np.round(np.abs(n * xy - x * y) / np.sqrt(np.where(ok, vx * vy, 1.0)), 9), -1.0)
+        found = lags[r.argmax(axis=1)][r.max(axis=1) >= 0]
         q = np.quantile(found, [0.025, 0.5, 0.975]) if len(found) else [None] * 3
         return pd.DataFrame([(*[first[k] for k in keys], len(found), *q)], columns=[*keys, "replicates", "lo", "mid", "hi"])
 
-    return g.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {t}" for k, t in g.select(*keys).dtypes) + ", replicates int, lo double, mid double, hi double")
+    return d.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {t}" for k, t in d.select(*keys).dtypes) + ", replicates int, lo double, mid double, hi double")
 
 
 def rates(n: int = 21, most: float = 0.1) -> list[float]:

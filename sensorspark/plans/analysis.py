@@ -17,6 +17,8 @@ KEY = ["variable"]
 Y95 = "y AS (SELECT variable, d, value FROM panel WHERE year(d) = 1995)"
 SIGMA = "sg AS (SELECT variable, CASE WHEN stddev_pop(dv) > 0 THEN stddev_pop(dv) / sqrt(2) ELSE 1 END AS sigma FROM (SELECT variable, value - lag(value) OVER (PARTITION BY variable ORDER BY d) AS dv FROM y) GROUP BY 1)"
 DIRECTIONS = [("1-URGENT", "decrease"), ("2-HIGH", "increase"), ("3-MEDIUM", "auto"), ("4-NOT SPECIFIED", "increase"), ("5-LOW", "decrease")]
+#: The kind of sensor behind each variable of the registry.
+GROUPS = {"1-URGENT": "forcing", "2-HIGH": "physiology", "3-MEDIUM": "proximal", "4-NOT SPECIFIED": "flux", "5-LOW": "satellite"}
 PEARSON = lambda x, y: f"covar_samp({x}, {y}) / nullif(stddev_samp({x}) * stddev_samp({y}), 0)"
 CURVES = f"lc AS (SELECT a.variable AS x, b.variable AS y, CAST(l AS INT) AS lag, count(*) AS n, {PEARSON('a.value', 'b.value')} AS r FROM panel a, range(-10, 11) l(l), panel b WHERE a.variable < b.variable AND b.d = a.d + CAST(l AS INT) GROUP BY 1, 2, 3 HAVING count(*) >= 30)"
 BEST = "bl AS (SELECT x, y, arg_max(lag, struct_pack(a := abs(r), b := -lag)) AS lag, arg_max(r, struct_pack(a := abs(r), b := -lag)) AS r FROM lc GROUP BY 1, 2)"
@@ -98,9 +100,10 @@ def _(v):
 
 @query("C07_onset_run")
 def _(v):
-    """First departures with their intervals' length in days, earliest first."""
-    run = cp.bootstrap_onsets(directed(v), SERIES, "d", "value", rule="departure", replicates=200)
-    return run.select(*SERIES, "n_obs", "onset", "lo", "hi", F.datediff("hi", "lo").alias("ci_days")).orderBy(F.asc_nulls_last("onset"), *SERIES)
+    """First departures over the registry, with each series' group and the interval's length in days, earliest first; 1,000 replicates each."""
+    run = cp.bootstrap_onsets(directed(v), SERIES, "d", "value", rule="departure")
+    group = F.coalesce(*[F.when(c("variable") == k, F.lit(g)) for k, g in GROUPS.items()])
+    return run.select(*SERIES, group.alias("group"), "n_obs", "onset", "lo", "hi", F.datediff("hi", "lo").alias("ci_days")).orderBy(F.asc_nulls_last("onset"), *SERIES)
 
 
 MODELS, SCALES = ["l2", "l1", "rbf", "normal"], [0.5, 1.0, 1.5, 2.0, 3.0, 4.0]
@@ -118,8 +121,9 @@ def _(v):
     """Rank agreement (tau) of each configuration's onsets with their medians over the grid, by year: its mean and least."""
     g = cp.onset_grid(directed(v), SERIES, "d", "value", MODELS, SCALES).where("onset IS NOT NULL")
     g = g.select("yr", F.concat_ws("|", "yr", "model", "scale").alias("config"), c("variable").alias("item"), F.dayofyear("onset").alias("doy"))
+    g = written(g)  # the fits are made once
     med = g.groupBy("yr", "item").agg(F.percentile("doy", F.lit(0.5)).alias("med"), F.count("*").alias("n_cfg"), (F.max("doy") - F.min("doy")).alias("spread"))
-    tau = st.kendall(g.join(med, ["yr", "item"]), "config", "doy", "med", least=3).withColumn("yr", F.split("config", r"\|")[0].cast("int"))
+    tau = st.kendall(g.join(med, ["yr", "item"]), "config", "item", "doy", "med").withColumn("yr", F.split("config", r"\|")[0].cast("int"))
     taus = tau.groupBy("yr").agg(F.avg("tau").alias("mean_tau"), F.min("tau").alias("least_tau"), F.count("tau").alias("configs"))
     return med.join(taus, "yr", "left")
 
@@ -140,7 +144,7 @@ def _(v):
 def _(v):
     p = peaks(v)
     med = p.groupBy("item").agg(F.percentile("doy", F.lit(0.5)).alias("med"))
-    return st.kendall(p.join(med, "item"), "config", "doy", "med").select("config", R6("tau").alias("tau"))
+    return st.kendall(p.join(med, "item"), "config", "item", "doy", "med").select("config", R6("tau").alias("tau"))
 
 
 @query("C10_dense_report")
@@ -253,20 +257,28 @@ def _(v):
     return st.best_lags(curves(v), ["x", "y"]).select("x", "y", "lag", R6("r").alias("r"))
 
 
-#: Half-widths of C16's windows around the event; those of fewer than 30 days are skipped.
-WIDTHS = [w for w in (10, 15, 20, 25, 30) if 2 * w + 1 >= 30]
+#: Half-widths of C16's windows around the event.
+WIDTHS = [10, 15, 20, 25, 30]
 
 
 @query(
     "C16_pair_windows",
     f"+ev AS (SELECT * FROM panel WHERE d BETWEEN DATE '1995-07-01' - 45 AND DATE '1995-07-01' + 45), cv AS (SELECT a.variable AS x, b.variable AS y, w, CAST(l AS INT) AS lag, count(*) AS n, {PEARSON('a.value', 'b.value')} AS r FROM ev a, range(-10, 11) l(l), ev b, (VALUES {', '.join(f'({w})' for w in WIDTHS)}) h(w) "
-    "WHERE a.variable < b.variable AND b.d = a.d + CAST(l AS INT) AND abs(date_diff('day', DATE '1995-07-01', a.d)) <= w GROUP BY 1, 2, 3, 4 HAVING count(*) >= 12) "
-    "SELECT x, y, w AS \"window\", arg_max(lag, struct_pack(a := abs(r), b := -lag)) AS lag, round(arg_max(r, struct_pack(a := abs(r), b := -lag)), 6) AS r, arg_max(n, struct_pack(a := abs(r), b := -lag)) AS n FROM cv WHERE r IS NOT NULL GROUP BY 1, 2, 3",
+    "WHERE a.variable < b.variable AND b.d = a.d + CAST(l AS INT) AND abs(date_diff('day', DATE '1995-07-01', a.d)) <= w GROUP BY 1, 2, 3, 4), "
+    "bc AS (SELECT x, y, w, arg_max(lag, struct_pack(a := abs(r), b := -lag)) AS lag, round(arg_max(r, struct_pack(a := abs(r), b := -lag)), 6) AS r, arg_max(n, struct_pack(a := abs(r), b := -lag)) AS n FROM cv WHERE n >= 30 AND r IS NOT NULL GROUP BY 1, 2, 3), "
+    f"al AS (SELECT a.variable AS x, b.variable AS y, w FROM (SELECT DISTINCT variable FROM panel) a, (SELECT DISTINCT variable FROM panel) b, (VALUES {', '.join(f'({w})' for w in WIDTHS)}) h(w) WHERE a.variable < b.variable), mx AS (SELECT x, y, w, max(n) AS most FROM cv GROUP BY 1, 2, 3) "
+    "SELECT x, y, w AS \"window\", lag, r, n, coalesce(most, 0) AS days, CASE WHEN lag IS NULL THEN 'fewer than 30 days' ELSE 'kept' END AS reason FROM al LEFT JOIN bc USING (x, y, w) LEFT JOIN mx USING (x, y, w)",
     "panel",
 )
 def _(v):
-    """The best lag of each pair for every half-width of the window around the event."""
-    return st.best_lags(window_curves(v, WIDTHS, 10).where("x < y"), ["x", "y", "window"]).select("x", "y", "window", "lag", R6("r").alias("r"), "n")
+    """The best lag of each pair for every half-width of the window around the event, from lags with at least 30 days; why a window has none."""
+    curve = window_curves(v, WIDTHS, 10, least=1).where("x < y").select("x", "y", "window", "lag", "n", "r")
+    best = st.best_lags(curve.where("n >= 30 AND r IS NOT NULL"), ["x", "y", "window"])
+    names = v.panel.select("variable").distinct()  # a row a variable
+    every = names.select(c("variable").alias("x")).join(names.select(c("variable").alias("y")), F.expr("x < y")).select("x", "y", F.explode(F.lit(WIDTHS)).alias("window"))
+    days = curve.groupBy("x", "y", "window").agg(F.max("n").alias("days"))
+    out = every.join(best, ["x", "y", "window"], "left").join(days, ["x", "y", "window"], "left")
+    return out.select("x", "y", "window", "lag", R6("r").alias("r"), "n", F.coalesce("days", F.lit(0).cast("long")).alias("days"), F.when(c("lag").isNull(), "fewer than 30 days").otherwise("kept").alias("reason"))
 
 
 @query("C17_lead_edges", f"+{CURVES}, {BEST} SELECT CASE WHEN lag > 0 THEN x ELSE y END AS source, CASE WHEN lag > 0 THEN y ELSE x END AS target, abs(lag) AS days, round(r, 6) AS r FROM bl WHERE abs(r) >= 0.03 AND lag <> 0", "panel")
@@ -290,45 +302,28 @@ def yearly_best(v):
     return st.best_lags(g, ["yr", "x", "y"]).withColumn("r", F.abs("r"))
 
 
-@query("C19_stability_classes", f"+{YEARLY}, s AS (SELECT x, y, count(*) AS n, quantile_cont(lag, 0.5) AS med, quantile_cont(lag, 0.75) - quantile_cont(lag, 0.25) AS iqr, avg(CASE WHEN lag = 0 THEN NULL WHEN lag > 0 THEN 1.0 ELSE 0.0 END) AS pos FROM by_ GROUP BY 1, 2) SELECT x, y, n, med, iqr, round(greatest(pos, 1 - pos), 6) AS consistency, CASE WHEN n < 4 THEN 'insufficient' WHEN iqr <= 4 THEN 'stable' ELSE 'unstable' END AS class FROM s", "panel")
-def _(v):
-    q = F.percentile("lag", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    pos = F.avg(F.when(c("lag") != 0, (c("lag") > 0).cast("double")))
-    s = yearly_best(v).groupBy("x", "y").agg(F.count("*").alias("n"), q.alias("q"), pos.alias("pos")).withColumn("iqr", c("q")[2] - c("q")[0])
-    kind = F.when(c("n") < 4, "insufficient").when(c("iqr") <= 4, "stable").otherwise("unstable")
-    return s.select("x", "y", "n", c("q")[1].alias("med"), "iqr", R6(F.greatest(c("pos"), 1 - c("pos"))).alias("consistency"), kind.alias("class"))
-
-
-@query("C20_consensus", f"+{YEARLY} SELECT x, y, round_even(quantile_cont(CASE WHEN yr % 2 = 0 THEN lag ELSE -lag END, 0.5), 0) AS lag FROM by_ GROUP BY 1, 2", "panel")
-def _(v):
-    """Every other year's lag is flipped, as a reversed direction's would be."""
-    flip = F.when(c("yr") % 2 == 0, c("lag")).otherwise(-c("lag"))
-    return yearly_best(v).groupBy("x", "y").agg(F.rint(F.percentile(flip, F.lit(0.5))).alias("lag"))
-
+#: Half-widths of the windows around an event, largest lags, least number of days of a setup.
+HALVES, MOST, LEAST = [20, 30, 40, 50, 60, 70, 80, 90, 100], [5, 10, 15], 12
+EVENT = "1995-07-01"
 
-@query("C21_bootstrap_lag")
-def _(v):
-    """1,000 draws of three-day blocks for each pair and year."""
-    from ..operators.joins import lagged_pairs
 
-    pairs = lagged_pairs(v.panel, v.panel, range(-5, 6)).where("x < y").withColumn("yr", F.year("d"))
-    return st.bootstrap_best_lags(pairs, ["x", "y", "yr"], F.floor(F.dayofyear("d") / 3))
+def setups_sql(halves, most, least: int) -> str:
+    """su: the best lag of each pair, window, largest lag and direction."""
+    reach = max(halves) + max(most)
+    return (
+        f"+ev AS (SELECT * FROM panel WHERE d BETWEEN DATE '{EVENT}' - {reach} AND DATE '{EVENT}' + {reach}), "
+        f"pr AS (SELECT a.variable AS a, b.variable AS b, CAST(l AS INT) AS lag, abs(date_diff('day', DATE '{EVENT}', a.d)) AS off, a.value AS va, b.value AS vb FROM ev a, range({-max(most)}, {max(most) + 1}) l(l), ev b WHERE a.variable <> b.variable AND b.d = a.d + CAST(l AS INT)), "
+        f"cv AS (SELECT a, b, w, lag, count(*) AS n, {PEARSON('va', 'vb')} AS r FROM pr, (VALUES {', '.join(f'({h})' for h in halves)}) h(w) WHERE off <= w GROUP BY 1, 2, 3, 4 HAVING count(*) >= {least}), "
+        "bs AS (SELECT a, b, w, m, arg_max(lag, struct_pack(k := abs(r), l := -lag)) AS lag, arg_max(r, struct_pack(k := abs(r), l := -lag)) AS r, arg_max(n, struct_pack(k := abs(r), l := -lag)) AS n "
+        f"FROM cv, (VALUES {', '.join(f'({m})' for m in most)}) k(m) WHERE abs(lag) <= m AND r IS NOT NULL GROUP BY 1, 2, 3, 4), "
+        "su AS (SELECT least(a, b) AS x, greatest(a, b) AS y, w, m, CASE WHEN a < b THEN 'forward' ELSE 'reverse' END AS dir, n, CASE WHEN a < b THEN lag ELSE -lag END AS lag, r FROM bs)"
+    )
 
 
-#: Half-widths of the windows around an event, largest lags, least number of days of a setup.
-HALVES, MOST, LEAST = [20, 30, 40, 50, 60, 70, 80, 90, 100], [5, 10, 15], 12
-EVENT = "1995-07-01"
-SETUPS = (
-    f"+ev AS (SELECT * FROM panel WHERE d BETWEEN DATE '{EVENT}' - 115 AND DATE '{EVENT}' + 115), "
-    f"pr AS (SELECT a.variable AS a, b.variable AS b, CAST(l AS INT) AS lag, abs(date_diff('day', DATE '{EVENT}', a.d)) AS off, a.value AS va, b.value AS vb FROM ev a, range({-max(MOST)}, {max(MOST) + 1}) l(l), ev b WHERE a.variable <> b.variable AND b.d = a.d + CAST(l AS INT)), "
-    f"cv AS (SELECT a, b, w, lag, count(*) AS n, {PEARSON('va', 'vb')} AS r FROM pr, (VALUES {', '.join(f'({h})' for h in HALVES)}) h(w) WHERE off <= w GROUP BY 1, 2, 3, 4 HAVING count(*) >= {LEAST}), "
-    "bs AS (SELECT a, b, w, m, arg_max(lag, struct_pack(k := abs(r), l := -lag)) AS lag, arg_max(r, struct_pack(k := abs(r), l := -lag)) AS r, arg_max(n, struct_pack(k := abs(r), l := -lag)) AS n "
-    f"FROM cv, (VALUES {', '.join(f'({m})' for m in MOST)}) k(m) WHERE abs(lag) <= m AND r IS NOT NULL GROUP BY 1, 2, 3, 4), "
-    "su AS (SELECT least(a, b) AS x, greatest(a, b) AS y, w, m, CASE WHEN a < b THEN 'forward' ELSE 'reverse' END AS dir, n, CASE WHEN a < b THEN lag ELSE -lag END AS lag, r FROM bs)"
-)
+SETUPS = setups_sql(HALVES, MOST, LEAST)
 
 
-def window_curves(v, halves, most):
+def window_curves(v, halves, most, least: int = LEAST):
     """x, y, window, lag, n, r of both directions for every half-width around the event."""
     from ..operators.joins import lagged_pairs
 
@@ -336,14 +331,14 @@ def window_curves(v, halves, most):
     ev = v.panel.where(c("d").between(F.date_sub(event, max(halves) + most), F.date_add(event, max(halves) + most)))
     pairs = lagged_pairs(ev, ev, range(-most, most + 1)).where("x <> y").withColumn("off", F.abs(F.datediff("d", F.lit(EVENT))))
     wide = pairs.withColumn("window", F.explode(F.filter(F.lit(halves), lambda h: h >= c("off"))))
-    return wide.groupBy("x", "y", "window", "lag").agg(F.count("*").alias("n"), st.pearson("vx", "vy").alias("r")).where(f"n >= {LEAST} AND r IS NOT NULL")
+    return wide.groupBy("x", "y", "window", "lag").agg(F.count("*").alias("n"), st.pearson("vx", "vy").alias("r")).where(f"n >= {least} AND (r IS NOT NULL OR {least} = 1)")
 
 
-def setups(v):
-    """The best lag of each pair for 9 windows, 3 largest lags and 2 directions. The fixed side's window decides which days count, so the directions
+def setups(v, halves=HALVES, most=MOST, least: int = LEAST):
+    """The best lag of each pair for the windows (9), 3 largest lags and 2 directions. The fixed side's window decides which days count, so the directions
     differ; a reversed lag's sign is turned. One join at the largest lag and one aggregation a window serve all 54 setups."""
-    curve = window_curves(v, HALVES, max(MOST))
-    each = curve.withColumn("max_lag", F.explode(F.filter(F.lit(MOST), lambda m: m >= F.abs("lag"))))
+    curve = window_curves(v, halves, max(most), least)
+    each = curve.withColumn("max_lag", F.explode(F.filter(F.lit(most), lambda m: m >= F.abs("lag"))))
     ahead = c("x") < c("y")
     return st.best_lags(each, ["x", "y", "window", "max_lag"]).select(
         F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "window", "max_lag", F.when(ahead, "forward").otherwise("reverse").alias("direction"), "n", F.when(ahead, c("lag")).otherwise(-c("lag")).alias("lag"), "r"
@@ -355,9 +350,78 @@ def _(v):
     return setups(v).select("x", "y", "window", "max_lag", "direction", "n", "lag", R6("r").alias("r"))
 
 
+#: Windows, largest lag and least days of the stability study; what counts as stable.
+STAB = (list(range(10, 26)), [15], 10)
+STABLE_N, STABLE_IQR, STABLE_SIGNS = 3, 4, 0.8
+
+
+@query(
+    "C19_stability_classes",
+    f"{setups_sql(*STAB)}, rw AS (SELECT x, y, dir, CASE WHEN dir = 'forward' THEN lag ELSE -lag END AS lag, r FROM su), "
+    "s AS (SELECT x, y, dir, count(*) AS n, quantile_cont(lag, 0.5) AS med, quantile_cont(lag, 0.25) AS q25, quantile_cont(lag, 0.75) AS q75, greatest(coalesce(avg((lag > 0)::INT) FILTER (lag <> 0), 1), coalesce(avg((lag < 0)::INT) FILTER (lag <> 0), 1)) AS consistency, quantile_cont(abs(r), 0.5) AS r FROM rw GROUP BY 1, 2, 3), "
+    "al AS (SELECT a.variable AS x, b.variable AS y, dir FROM (SELECT DISTINCT variable FROM panel) a, (SELECT DISTINCT variable FROM panel) b, (VALUES ('forward'), ('reverse')) z(dir) WHERE a.variable < b.variable) "
+    f"SELECT x, y, dir AS direction, coalesce(n, 0) AS n, med, q25, q75, q75 - q25 AS iqr, round(consistency, 6) AS consistency, round(r, 6) AS r, CASE WHEN n IS NULL THEN 'insufficient-data' WHEN n >= {STABLE_N} AND q75 - q25 <= {STABLE_IQR} AND consistency >= {STABLE_SIGNS}::DOUBLE THEN 'stable' ELSE 'unstable' END AS class FROM al LEFT JOIN s USING (x, y, dir)",
+    "panel",
+)
+def _(v):
+    """Each direction of a pair over the windows, at its own sign: the fixed side's name comes first. Zero lags have no sign; lags that are all zero agree."""
+    su = setups(v, *STAB).withColumn("lag", F.when(c("direction") == "forward", c("lag")).otherwise(-c("lag")))
+    q = F.percentile("lag", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    one = F.lit(1.0)
+    share = lambda sign: F.coalesce(F.avg(F.when(c("lag") != 0, (F.signum("lag") == sign).cast("double"))), one)
+    s = su.groupBy("x", "y", "direction").agg(F.count("*").alias("n"), q.alias("q"), F.greatest(share(1), share(-1)).alias("consistency"), F.percentile(F.abs("r"), F.lit(0.5)).alias("r"))
+    names = v.panel.select("variable").distinct()  # a row a variable
+    every = names.select(c("variable").alias("x")).join(names.select(c("variable").alias("y")), F.expr("x < y")).select("x", "y", F.explode(F.lit(["forward", "reverse"])).alias("direction"))
+    iqr = c("q")[2] - c("q")[0]
+    kind = F.when(c("n").isNull(), "insufficient-data").when((c("n") >= STABLE_N) & (iqr <= STABLE_IQR) & (c("consistency") >= STABLE_SIGNS), "stable").otherwise("unstable")
+    out = every.join(s, ["x", "y", "direction"], "left")
+    return out.select("x", "y", "direction", F.coalesce("n", F.lit(0).cast("long")).alias("n"), c("q")[1].alias("med"), c("q")[0].alias("q25"), c("q")[2].alias("q75"), iqr.alias("iqr"), R6("consistency").alias("consistency"), R6("r").alias("r"), kind.alias("class"))
+
+
+@query(
+    "C20_consensus",
+    f"{setups_sql(*STAB)}, g AS (SELECT x, y, count(*) AS n, quantile_cont(lag, 0.5) AS med FROM su GROUP BY 1, 2) SELECT x, y, n, med, round_even(med, 0) AS lag, CASE WHEN round_even(med, 0) > 0 THEN x WHEN round_even(med, 0) < 0 THEN y ELSE '' END AS leader FROM g",
+    "panel",
+)
+def _(v):
+    """The median over the windows of both directions, a reversed one's sign turned, in whole days; nobody leads at 0."""
+    g = setups(v, *STAB).groupBy("x", "y").agg(F.count("*").alias("n"), F.percentile("lag", F.lit(0.5)).alias("med"))
+    lag = F.rint("med")
+    return g.select("x", "y", "n", "med", lag.alias("lag"), F.when(lag > 0, c("x")).when(lag < 0, c("y")).otherwise("").alias("leader"))
+
+
+#: The bootstrap's half-width, largest lag, block, replicates and least days.
+PRIMARY, BOOT_LAG, BLOCK, DRAWS, BOOT_LEAST = 20, 5, 3, 1000, 12
+BOOT_DAYS = 2 * PRIMARY + 1
+BOOT_SUMS = ["n", "sx", "sy", "xx", "yy", "xy"]
+
+
+@query(
+    "C21_bootstrap_lag",
+    f"+pp AS (SELECT a.variable AS x, b.variable AS y, year(a.d) AS yr, date_diff('day', make_date(year(a.d), 7, 1), a.d) + {PRIMARY} AS i, CAST(l AS INT) AS lag, a.value AS vx, b.value AS vy FROM panel a, range({-BOOT_LAG}, {BOOT_LAG + 1}) l(l), panel b WHERE a.variable < b.variable AND b.d = a.d + CAST(l AS INT) AND abs(date_diff('day', make_date(year(a.d), 7, 1), a.d)) <= {PRIMARY}), "
+    "mu AS (SELECT x, y, yr, avg(vx) AS mx, avg(vy) AS my FROM pp GROUP BY 1, 2, 3), ce AS (SELECT x, y, yr, i, lag, vx - mx AS u, vy - my AS v FROM pp JOIN mu USING (x, y, yr)), "
+    f"dy AS (SELECT x, y, yr, lag, i, count(u) AS n, coalesce(sum(u), 0) AS sx, coalesce(sum(v), 0) AS sy, coalesce(sum(u * u), 0) AS xx, coalesce(sum(v * v), 0) AS yy, coalesce(sum(u * v), 0) AS xy FROM (SELECT DISTINCT x, y, yr, lag FROM ce) k CROSS JOIN range({BOOT_DAYS}) d(i) LEFT JOIN ce USING (x, y, yr, lag, i) GROUP BY ALL), "
+    "ps AS MATERIALIZED (SELECT x, y, yr, lag, i + 1 AS i, " + ", ".join(f"sum({k}) OVER w AS {k}" for k in BOOT_SUMS) + " FROM dy WINDOW w AS (PARTITION BY x, y, yr, lag ORDER BY i) UNION ALL SELECT DISTINCT x, y, yr, lag, 0, 0, 0, 0, 0, 0, 0 FROM dy), "
+    f"dr AS MATERIALIZED (SELECT x, y, yr, rep, least({BLOCK}, {BOOT_DAYS} - {BLOCK} * k) AS len, CAST('0x' || substr(md5(x || '|' || y || '|' || yr || '|' || rep || '|' || k), 1, 8) AS BIGINT) % {BOOT_DAYS - BLOCK + 1} AS s FROM (SELECT DISTINCT x, y, yr FROM ce), range({DRAWS}) r(rep), range({-(-BOOT_DAYS // BLOCK)}) b(k)), "
+    "sm AS (SELECT x, y, yr, rep, lag, " + ", ".join(f"sum(e.{k} - b.{k}) AS {k}" for k in BOOT_SUMS) + " FROM dr JOIN ps e USING (x, y, yr) JOIN ps b USING (x, y, yr, lag) WHERE e.i = s + len AND b.i = s GROUP BY ALL), "
+    "rr AS (SELECT x, y, yr, rep, lag, round(abs((n * xy - sx * sy) / sqrt((n * xx - sx * sx) * (n * yy - sy * sy))), 9) AS r FROM sm "
+    f"WHERE n >= {BOOT_LEAST} AND n * xx - sx * sx > 1e-9::DOUBLE * n * xx AND n * yy - sy * sy > 1e-9::DOUBLE * n * yy), "
+    "bl AS (SELECT x, y, yr, rep, arg_max(lag, struct_pack(a := r, b := -lag)) AS lag FROM rr GROUP BY 1, 2, 3, 4) "
+    "SELECT x, y, yr, count(*)::INT AS replicates, quantile_cont(lag, 0.025) AS lo, quantile_cont(lag, 0.5) AS mid, quantile_cont(lag, 0.975) AS hi FROM bl GROUP BY 1, 2, 3",
+    "panel",
+)
+def _(v):
+    """1,000 draws of moving three-day blocks from the 41 days around 1 July, for each pair and year; pairs and years without an interval are left out."""
+    from ..operators.joins import lagged_pairs
+
+    pairs = lagged_pairs(v.panel, v.panel, range(-BOOT_LAG, BOOT_LAG + 1)).where("x < y").withColumn("yr", F.year("d"))
+    pairs = pairs.withColumn("i", F.datediff("d", F.make_date("yr", F.lit(7), F.lit(1))) + PRIMARY).where(c("i").between(0, BOOT_DAYS - 1))
+    return st.bootstrap_best_lags(pairs, ["x", "y", "yr"], "i", BOOT_DAYS, BLOCK, DRAWS, BOOT_LEAST).where("replicates > 0")
+
+
 @query(
     "C23_pair_summary",
-    f"{SETUPS}, g AS (SELECT x, y, count(*) AS setups, quantile_cont(lag, 0.5) AS med, quantile_cont(lag, 0.75) - quantile_cont(lag, 0.25) AS iqr, quantile_cont(abs(r), 0.5) AS r, avg(CASE WHEN lag > 0 THEN 1.0 WHEN lag < 0 THEN 0.0 END) AS pos FROM su GROUP BY 1, 2) SELECT x, y, setups, med, iqr, CASE WHEN med > 0 THEN x WHEN med < 0 THEN y ELSE least(x, y) END AS leader, CASE WHEN med > 0 THEN y WHEN med < 0 THEN x ELSE greatest(x, y) END AS follower, round(r, 6) AS r, round(greatest(pos, 1 - pos), 6) AS consistency FROM g WHERE setups >= 12",
+    f"{SETUPS}, g AS (SELECT x, y, count(*) AS setups, quantile_cont(lag, 0.5) AS med, quantile_cont(lag, 0.75) - quantile_cont(lag, 0.25) AS iqr, quantile_cont(abs(r), 0.5) AS r, greatest(avg((lag > 0)::INT), avg((lag < 0)::INT), avg((lag = 0)::INT)) AS pos FROM su GROUP BY 1, 2) SELECT x, y, setups, med, iqr, CASE WHEN med > 0 THEN x WHEN med < 0 THEN y ELSE least(x, y) END AS leader, CASE WHEN med > 0 THEN y WHEN med < 0 THEN x ELSE greatest(x, y) END AS follower, round(r, 6) AS r, round(pos, 6) AS consistency FROM g WHERE setups >= 12",
     "panel",
 )
 def _(v):
@@ -369,11 +433,10 @@ def _(v):
 
 
 def pair_summary(su):
-    """Pairs with at least 12 setups: number, median lag, its spread, median |r|, and how far the signs agree (zeros aside)."""
+    """Pairs with at least 12 setups: number, median lag, its spread, median |r|, and the largest share of lags of one sign (none is one)."""
     q = F.percentile("lag", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    pos = F.avg(F.when(c("lag") != 0, (c("lag") > 0).cast("double")))
-    g = su.groupBy("x", "y").agg(F.count("*").alias("setups"), q.alias("q"), F.percentile(F.abs("r"), F.lit(0.5)).alias("r"), pos.alias("pos")).where("setups >= 12")
-    return g.select("x", "y", "setups", c("q")[1].alias("med"), (c("q")[2] - c("q")[0]).alias("iqr"), "r", F.greatest(c("pos"), 1 - c("pos")).alias("consistency"))
+    g = su.groupBy("x", "y").agg(F.count("*").alias("setups"), q.alias("q"), F.percentile(F.abs("r"), F.lit(0.5)).alias("r"), st.sign_consistency("lag").alias("consistency")).where("setups >= 12")
+    return g.select("x", "y", "setups", c("q")[1].alias("med"), (c("q")[2] - c("q")[0]).alias("iqr"), "r", "consistency")
 
 
 @query("C23_median_interval", f"{SETUPS}, {st.median_interval_sql(1000)} SELECT * FROM bi", "panel")
@@ -407,10 +470,10 @@ def _scaled_sql(rows: str, key: str, value: str, out: str) -> str:
 
 IQR = "quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25)".format
 UNCERTAIN = (
-    f"{SETUPS}, {st.median_interval_sql(500)}, sm AS (SELECT x, y, {IQR('lag')} AS a, quantile_cont(lag, 0.5) AS med, avg(CASE WHEN lag > 0 THEN 1.0 WHEN lag < 0 THEN 0.0 END) AS pos FROM su GROUP BY 1, 2 HAVING count(*) >= 12), "
+    f"{SETUPS}, {st.median_interval_sql(500)}, sm AS (SELECT x, y, {IQR('lag')} AS a, quantile_cont(lag, 0.5) AS med, greatest(avg((lag > 0)::INT), avg((lag < 0)::INT), avg((lag = 0)::INT)) AS pos FROM su GROUP BY 1, 2 HAVING count(*) >= 12), "
     f"uw AS (SELECT x, y, {IQR('q')} AS b FROM (SELECT x, y, w, quantile_cont(lag, 0.5) AS q FROM su GROUP BY 1, 2, 3) GROUP BY 1, 2), um AS (SELECT x, y, {IQR('q')} AS c FROM (SELECT x, y, m, quantile_cont(lag, 0.5) AS q FROM su GROUP BY 1, 2, 3) GROUP BY 1, 2), "
     "ud AS (SELECT x, y, quantile_cont(abs(f - g), 0.5) AS d FROM (SELECT x, y, w, m, max(lag) FILTER (dir = 'forward') AS f, max(lag) FILTER (dir = 'reverse') AS g FROM su GROUP BY ALL) GROUP BY 1, 2), "
-    "cw AS (SELECT x, y, a AS setups, b AS windows, c AS max_lags, d AS directions, 1 - greatest(pos, 1 - pos) AS signs, iqr AS draws, hi - lo AS \"interval\" FROM sm JOIN uw USING (x, y) JOIN um USING (x, y) JOIN ud USING (x, y) JOIN bi USING (x, y)), "
+    "cw AS (SELECT x, y, a AS setups, b AS windows, c AS max_lags, d AS directions, 1 - pos AS signs, iqr AS draws, hi - lo AS \"interval\" FROM sm JOIN uw USING (x, y) JOIN um USING (x, y) JOIN ud USING (x, y) JOIN bi USING (x, y)), "
     f"cl AS (SELECT x, y, unnest({list(st.COMPONENTS)}) AS k, unnest([setups::DOUBLE, windows, max_lags, directions, signs, draws, \"interval\"]) AS v, unnest({list(st.COMPONENTS.values())}) AS wt FROM cw), "
     f"cf AS (SELECT x, y, k, wt, coalesce(v, quantile_cont(v, 0.5) OVER (PARTITION BY k)) AS v FROM cl), {_scaled_sql('cf', 'k', 'v', 's')}, "
     f"un AS (SELECT 1 AS one, x, y, round(sum(wt * s), 9) AS composite FROM cf_s GROUP BY x, y), {_scaled_sql('un', 'one', 'composite', 'uncertainty')}, "

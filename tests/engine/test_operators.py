@@ -1,7 +1,10 @@
 """Operators whose results SQL can't give, and readers, on small inputs of their own."""
 
 import itertools
+import subprocess
+import sys
 from datetime import date, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -19,7 +22,7 @@ def cost_of(y, model, edges):
     return sum(float(np.atleast_1d(c(np.array([a]), b))[0]) for a, b in zip(edges, edges[1:]))
 
 
-@pytest.mark.parametrize("model", ["l2", "l1", "rbf"])
+@pytest.mark.parametrize("model", ["l2", "l1", "rbf", "normal"])
 def test_breaks_are_optimal(model):
     r = np.random.default_rng(3)
     for _ in range(6):
@@ -33,6 +36,81 @@ def test_breaks_are_optimal(model):
         assert len(two) == 2 and cost_of(y, model, (0, *two, n)) <= min(cost_of(y, model, (0, *e, n)) for e in every if len(e) == 2) + 1e-9
 
 
+def table_cost(y, model):
+    """All segments' costs at once, the plain way."""
+    n = len(y)
+    if model == "l1":
+        return lambda i, j: np.array([np.abs(y[a:j] - np.median(y[a:j])).sum() for a in np.atleast_1d(i)])
+    d = (y[:, None] - y[None, :]) ** 2
+    k = np.exp(-np.clip(d / np.median(d[np.triu_indices(n, 1)]), 1e-2, 1e2))
+    np.fill_diagonal(k, 1)
+    area = np.zeros((n + 1, n + 1))
+    area[1:, 1:] = k.cumsum(0).cumsum(1)
+    return lambda i, j: (j - i) - (area[j, j] - area[i, j] - area[j, i] + area[i, i]) / np.maximum(j - i, 1)
+
+
+@pytest.mark.parametrize("model", ["l1", "rbf"])
+def test_costs_in_linear_memory_equal_the_table(model):
+    r = np.random.default_rng(8)
+    for y in (np.concatenate([r.normal(m, 1, 400) for m in r.normal(0, 2, 5)]), r.integers(0, 4, 300).astype(float), np.arange(40.0), np.array([1.0, 5.0])):
+        cost, table = cp.segment_cost(y, model), table_cost(y, model)
+        for j in sorted(r.integers(1, len(y) + 1, 60)):
+            i = np.arange(j)
+            assert np.allclose(cost(i, j), table(i, j), atol=1e-6)
+        if len(y) > 100:
+            for scale in (1.0, 3.0):
+                pen = cp.penalty_for(table, len(y), scale)
+                assert np.isclose(cp.penalty_for(cost, len(y), scale), pen) and cp.penalised_breaks(y, model, pen, 5, cost) == cp.penalised_breaks(y, model, pen, 5, table)
+
+
+def test_median_of_all_distances():
+    r = np.random.default_rng(2)
+    for y in (r.normal(0, 1, 501), r.integers(0, 3, 50).astype(float), np.zeros(4), np.array([3.0, 7.5]), np.array([1.0, 2.0, 4.0])):
+        i = np.triu_indices(len(y), 1)
+        assert np.isclose(cp.median_distance(y), np.median((y[i[0]] - y[i[1]]) ** 2), rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("model", ["l1", "rbf"])
+def test_long_series_stay_small(model):
+    """50,000 rows, in a process of its own; a table of all segments would take 20 GB."""
+    code = f"""
+import resource
+import numpy as np
+from sensorspark.operators import changepoints as cp
+r = np.random.default_rng(4)
+y = np.concatenate([r.normal(m, 1, 500) for m in np.tile([0.0, 6.0], 50)])
+found = cp.penalised_breaks(y, {model!r}, 40.0, 5)
+assert len(found) == 99 and all(abs(b - 500 * (i + 1)) <= 3 for i, b in enumerate(found))
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 500_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
+
+
+@pytest.mark.parametrize("model", ["l2", "l1", "rbf"])
+def test_units_change_no_break(model):
+    r = np.random.default_rng(6)
+    y = np.concatenate([r.normal(m, 1, 40) for m in (0, 4, 1)])
+    assert [cp.series_onset(f * y + 7, "auto", model, [1.0, 3.0]) for f in (1e-3, 1.0, 1e4)] == [cp.series_onset(y, "auto", model, [1.0, 3.0])] * 3
+
+
+def test_normal_cost_finds_one_jump():
+    """The penalty is that of the series in its own unit: a scaled one's would be next to nothing, and breaks as many as fit."""
+    r = np.random.default_rng(5)
+    y = np.concatenate([r.normal(0, 3, 90), r.normal(40, 3, 90)])
+    for scale in (1.0, 2.0, 4.0):
+        ((onset, found),) = cp.series_onset(y, "increase", "normal", [scale])
+        assert onset == 90 and len(found) <= 2
+
+
+@pytest.mark.parametrize("direction", ["decrease", "increase", "auto"])
+@pytest.mark.parametrize("rule", ["acute", "departure"])
+def test_replicates_together_equal_one_by_one(direction, rule):
+    r = np.random.default_rng(7)
+    y = np.array([np.concatenate([r.normal(m, 1, 30) for m in r.normal(0, 2, 4)]) for _ in range(40)] + [np.zeros(120)])
+    one = [cp.series_onset(x, direction, "l2", [1.0], rule)[0][0] for x in y]
+    assert cp.replicate_onsets(y, direction, 1.0, rule, 5, cells=1000).tolist() == [-1 if o is None else o for o in one]
+
+
 def test_bootstrap_finds_a_clear_break(spark):
     r = np.random.default_rng(0)
     rows = [("a", int(i), float(r.normal(0 if i < 30 else 5, 0.5))) for i in range(60)]
@@ -199,9 +277,32 @@ def test_bootstrap_of_lags(spark):
     rows = [(d, "a", float(x[d])) for d in range(120)] + [(d + 3, "b", float(x[d])) for d in range(120)]
     t = spark.createDataFrame([(date(2001, 1, 1) + timedelta(days=d), k, v) for d, k, v in rows], "d date, variable string, value double")
     pairs = joins.lagged_pairs(t, t, range(-5, 6)).where("x < y")
-    got = statistics.bootstrap_best_lags(pairs, ["x", "y"], F.floor(F.dayofyear("d") / 3), replicates=200).collect()
+    pairs = pairs.withColumn("i", F.datediff("d", F.lit("2001-01-01").cast("date")))
+    got = statistics.bootstrap_best_lags(pairs, ["x", "y"], "i", 130, replicates=200).collect()
     assert [(r.replicates, r.lo, r.mid, r.hi) for r in got] == [(200, 3, 3, 3)]
-    assert statistics.bootstrap_best_lags(pairs.where("d < DATE '2001-01-05'"), ["x", "y"], F.lit(1)).first().mid is None  # too few days
+    assert statistics.bootstrap_best_lags(pairs.where("i < 4"), ["x", "y"], "i", 4).first().mid is None  # too few days
+
+
+def test_moving_blocks_equal_a_plain_loop(spark):
+    """Each replicate's correlations from the very days that its blocks hold."""
+    rng = np.random.default_rng(9)
+    days, block, reps, lags = 41, 3, 60, range(-2, 3)
+    x, y = rng.normal(size=60), rng.normal(size=60)
+    y[5:] += 0.6 * x[:-5]
+    rows = [("a", "b", i, lag, float(x[i + 5]), float(y[i + 5 + lag])) for i in range(days) for lag in lags if rng.random() > 0.1]
+    got = statistics.bootstrap_best_lags(spark.createDataFrame(rows, "x string, y string, i int, lag int, vx double, vy double"), ["x", "y"], "i", days, block, reps, least=12).first()
+    at = {(i, lag): (u, v) for _, _, i, lag, u, v in rows}
+    best = []
+    for starts in statistics.block_starts("a|b", reps, days, block):
+        idx = [i for s in starts for i in range(s, s + block)][:days]
+        assert len(idx) == days and max(idx) < days
+        r = {}
+        for lag in lags:
+            p = np.array([at[i, lag] for i in idx if (i, lag) in at])
+            if len(p) >= 12:
+                r[lag] = abs(np.corrcoef(p[:, 0], p[:, 1])[0, 1])
+        best.append(max(r, key=lambda k: (round(r[k], 9), -k)))
+    assert np.allclose((got.lo, got.mid, got.hi), np.quantile(best, [0.025, 0.5, 0.975])) and got.replicates == reps
 
 
 def test_season_breaks(spark):
