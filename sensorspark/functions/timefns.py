@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Local standard time without daylight saving; POSIX zone names have the opposite sign.
@@ -20,6 +20,28 @@ def fixed_to_utc(ts: Column, zone: str = FIXED_ZONE) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts.cast("timestamp_ntz")).cast("timestamp")
 
 
+def local_to_utc(df: DataFrame, keys: list[str], order: str, ts: str, zone: str, into: str = "utc") -> DataFrame:
+    """df with into (timestamp_ntz, UTC) for the wall clock ts of a zone with daylight saving.
+
+    A time that the clock skips becomes the end of the gap. A time that it shows twice is taken by order: among a key's twice-shown times of a night, the first
+    that is earlier than the one before it begins the second pass; without such a step back all belong to the first. Equal times are no step back; ties of order
+    are taken by ts; a null ts gives null. Zones' changes are taken to lie at full hours and to be an hour or half of one. Only the few twice-shown times are
+    sorted, each night apart; all other rows take one expression.
+    """
+    wall = F.col(ts).cast("timestamp_ntz")
+    utc = lambda t: F.convert_timezone(F.lit(zone), F.lit("UTC"), t)
+    shown = lambda t: F.convert_timezone(F.lit("UTC"), F.lit(zone), t)
+    first = utc(wall)  # the earlier instant of two
+    again = F.coalesce(*[F.when(shown(first + F.expr(f"INTERVAL {m} MINUTES")) == wall, first + F.expr(f"INTERVAL {m} MINUTES")) for m in (60, 30)])
+    skipped = shown(first) != wall
+    d = df.withColumns({"_wall": wall, "_second": again, into: F.when(skipped, utc(F.date_trunc("hour", wall))).otherwise(first)})
+    by = Window.partitionBy(*keys, F.to_date("_wall")).orderBy(order, "_wall")
+    twice = d.where("_second IS NOT NULL").withColumn("_back", (F.col("_wall") < F.lag("_wall").over(by)).cast("int"))
+    passes = F.coalesce(F.max("_back").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    twice = twice.withColumn(into, F.when(passes > 0, F.col("_second")).otherwise(F.col(into)))
+    return d.where("_second IS NULL").select(*df.columns, into).unionByName(twice.select(*df.columns, into))
+
+
 def replace_sentinels(df: DataFrame, sentinel: float = SENTINEL, tolerance: float = TOLERANCE, columns: list[str] | None = None) -> DataFrame:
     """Numeric values within tolerance of the sentinel, and NaN, become null."""
     columns = columns or [c for c, t in df.dtypes if t in ("double", "float")]

@@ -25,6 +25,22 @@ def lag_correlations(left: DataFrame, right: DataFrame, max_lag: int, min_n: int
     return g.where((F.col("n") >= min_n) & F.col("r").isNotNull())
 
 
+def hour_windows(hourly: DataFrame, keys: list[str], hour: str, total: str, count: str, windows: list[tuple[int, int]]) -> DataFrame:
+    """keys, h0, h1, mean of each window [h0, h1) of hours that holds values; keys name a day.
+
+    One row a day carries 25 running sums and counts, so a window's mean takes two differences: a day gives a row for each window, however many hours it has.
+    """
+    def running(name: str) -> Column:
+        """0 and the sums up to each hour."""
+        by_hour = F.map_from_entries(F.collect_list(F.struct(hour, name)))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(23)), F.array(F.lit(0).cast("double")), lambda acc, h: F.array_append(acc, F.element_at(acc, -1) + F.coalesce(F.element_at(by_hour, h), F.lit(0)).cast("double")))
+
+    d = hourly.groupBy(*keys).agg(running(total).alias("_s"), running(count).alias("_n"))
+    each = F.transform(F.lit([list(w) for w in windows]), lambda w: F.struct(w[0].alias("h0"), w[1].alias("h1"), (F.get("_s", w[1]) - F.get("_s", w[0])).alias("s"), (F.get("_n", w[1]) - F.get("_n", w[0])).alias("n")))
+    d = d.select(*keys, F.explode(F.filter(each, lambda w: w["n"] > 0)).alias("_w"))
+    return d.select(*keys, "_w.h0", "_w.h1", (F.col("_w.s") / F.col("_w.n")).alias("mean"))
+
+
 def best_lags(curves: DataFrame, keys: list[str]) -> DataFrame:
     """The lag with the largest |r|; of equals the smallest lag."""
     best = F.max(F.struct(F.abs("r").alias("a"), (-F.col("lag")).alias("b"), "r", "n"))

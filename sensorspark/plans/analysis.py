@@ -701,13 +701,11 @@ C35 = (
 def window_grid(v):
     """Mean R squared of a quadratic (never below the line's) over the streams, all of which must have 15 days, for every window, rolling mean and lag.
 
-    Hourly sums serve every window; the rolling means of a window share one sort; lags are exploded.
+    A day's running sums over its hours serve every window, as the difference of two; the rolling means of a window share one sort; lags are exploded.
     """
     day = F.datediff("ts", F.lit("1970-01-01"))
     h = v.obs.where(c("stream").isin(STREAMS)).groupBy("stream", day.alias("d"), F.hour("ts").alias("h")).agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    first, last = F.lit(list(FIRST)), F.lit(list(LAST))
-    w = h.withColumn("h0", F.explode(F.filter(first, lambda a: a <= c("h")))).withColumn("h1", F.explode(F.filter(last, lambda b: (b > c("h")) & (b - c("h0") >= 4))))
-    w = w.groupBy("stream", "h0", "h1", "d").agg((F.sum("s") / F.sum("n")).alias("m"))
+    w = st.hour_windows(h, ["stream", "d"], "h", "s", "n", [(a, b) for a in FIRST for b in LAST if b - a >= 4]).withColumnRenamed("mean", "m")
     by = Window.partitionBy("stream", "h0", "h1").orderBy("d")
     rolled = []
     for k in ROLLS:  # centred, of whole windows only

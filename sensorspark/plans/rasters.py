@@ -62,15 +62,25 @@ def _(v):
     return v.refl.select(*ID, F.when(~c("l_linenumber").isin(1, 3) & (c("R") < 0.4), c("N")).alias("clear"))
 
 
-@query("X10_lee", "+n AS (SELECT p.scene, p.x, p.y, any_value(p.value) AS value, avg(q.value) AS m, var_pop(q.value) AS v FROM pixels p JOIN pixels q ON q.scene = p.scene AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY 1, 2, 3), s AS (SELECT scene, var_pop(value) AS sv FROM pixels GROUP BY 1) SELECT scene, x, y, round(m + v / (v + sv) * (value - m), 6) AS filtered FROM n JOIN s USING (scene)", "pixels")
+@query("X10_lee", "+n AS (SELECT p.scene, p.x, p.y, any_value(p.value) AS value, avg(q.value) AS m, var_pop(q.value) AS v FROM pixels p JOIN pixels q ON q.scene = p.scene AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY 1, 2, 3), s AS (SELECT scene, var_pop(value) AS sv FROM pixels GROUP BY 1) SELECT scene, x, y, round(m + v / (v + sv) * (value - m), 6) + 0.0::DOUBLE AS filtered FROM n JOIN s USING (scene)", "pixels")
 def _(v):
-    return rasters.lee(v.pixels, ["scene"], 3).select("scene", "x", "y", R6("filtered").alias("filtered"))
+    return rasters.lee(v.pixels, ["scene"], 3).select("scene", "x", "y", (R6("filtered") + 0.0).alias("filtered"))
+
+
+@query("X10_lee_mosaic", "+mo AS (SELECT scene % 5 AS mosaic, CAST(scene // 5 % 40 * 8 + x AS INT) AS x, CAST(scene // 200 * 8 + y AS INT) AS y, value FROM pixels), n AS (SELECT p.mosaic, p.x, p.y, any_value(p.value) AS value, avg(q.value) AS m, var_pop(q.value) AS v FROM mo p JOIN mo q ON q.mosaic = p.mosaic AND abs(q.x - p.x) <= 3 AND abs(q.y - p.y) <= 3 GROUP BY 1, 2, 3), s AS (SELECT mosaic, var_pop(value) AS sv FROM mo GROUP BY 1) SELECT mosaic, x, y, round(m + v / (v + sv) * (value - m), 6) + 0.0::DOUBLE AS filtered FROM n JOIN s USING (mosaic)", "pixels")
+def _(v):
+    """The 7 x 7 filter over mosaics of the scenes, which span several tiles."""
+    return rasters.lee(mosaics(v), ["mosaic"], 7).select("mosaic", "x", "y", (R6("filtered") + 0.0).alias("filtered"))
+
+
+def mosaics(v):
+    """Five rasters of forty scenes a row."""
+    return v.pixels.select((c("scene") % 5).alias("mosaic"), (F.floor(c("scene") / 5) % 40 * 8 + c("x")).cast("int").alias("x"), (F.floor(c("scene") / 200) * 8 + c("y")).cast("int").alias("y"), "value")
 
 
 @query("X11_focal", "SELECT p.scene, p.x, p.y, round(min(q.value), 6) AS lo, round(quantile_cont(q.value, 0.5), 6) AS med FROM pixels p JOIN pixels q ON q.scene = p.scene AND abs(q.x - p.x) + abs(q.y - p.y) <= 1 GROUP BY 1, 2, 3", "pixels")
 def _(v):
-    cross = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
-    f = rasters.focal(v.pixels, ["scene"], cross, {"lo": F.min("value"), "med": F.percentile("value", F.lit(0.5))})
+    f = rasters.focal(v.pixels, ["scene"], rasters.circle(1), {"lo": "min", "med": "median"})
     return f.select("scene", "x", "y", R6("lo").alias("lo"), R6("med").alias("med"))
 
 

@@ -32,10 +32,17 @@ def _(v):
     return t.replace_sentinels(v.dirty).select("event_id", "value")
 
 
-@query("T04_daylight_saving", "SELECT event_id, strftime(ts - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM events WHERE month(ts) = 1")
+@query(
+    "T04_daylight_saving",
+    "+z AS (SELECT *, kind = 0 AND wall >= night + INTERVAL 2 HOUR AND wall < night + INTERVAL 3 HOUR AS twice FROM clocks), "
+    "b AS (SELECT event_id, sensor, night, seq, wall < lag(wall) OVER (PARTITION BY sensor, night ORDER BY seq) AS back FROM z WHERE twice), p AS (SELECT event_id, coalesce(bool_or(back) OVER (PARTITION BY sensor, night ORDER BY seq), false) AS again FROM b) "
+    "SELECT event_id, strftime(CASE WHEN kind = 2 THEN wall - INTERVAL 2 HOUR WHEN kind = 1 AND wall >= night + INTERVAL 2 HOUR AND wall < night + INTERVAL 3 HOUR THEN night + INTERVAL 1 HOUR WHEN kind = 1 AND wall >= night + INTERVAL 3 HOUR THEN wall - INTERVAL 2 HOUR "
+    "WHEN kind = 1 THEN wall - INTERVAL 1 HOUR WHEN again OR wall >= night + INTERVAL 3 HOUR THEN wall - INTERVAL 1 HOUR ELSE wall - INTERVAL 2 HOUR END, '%Y-%m-%d %H:%M:%S') AS utc FROM z LEFT JOIN p USING (event_id)",
+    "clocks",
+)
 def _(v):
-    """The events lie in January: Berlin is one hour ahead."""
-    return v.events.where(F.month("ts") == 1).select("event_id", F.date_format(t.fixed_to_utc(c("ts"), "Europe/Berlin"), STAMP).alias("utc"))
+    """Both changes of five years and summer days: skipped times become the gap's end, twice-shown ones are told by the order of reading."""
+    return t.local_to_utc(v.clocks, ["sensor"], "seq", "wall", "Europe/Berlin").select("event_id", F.date_format("utc", STAMP).alias("utc"))
 
 
 @query("T05_ensure_utc", "SELECT event_id, epoch_us(ts) AS micros FROM events")

@@ -29,6 +29,16 @@ class Views:
         bad = F.when(F.col("event_id") % 17 == 0, F.lit(-9999.0)).when(F.col("event_id") % 23 == 0, F.lit(None)).otherwise(F.col("value"))
         return self.obs.withColumn("value", bad)
 
+    @property
+    def clocks(self) -> DataFrame:
+        """Wall clocks in Berlin, read in six-hour nights: back to standard time, on to summer time (by clocks that don't follow), and in July. seq is the order of reading."""
+        c = F.col
+        e = self.obs.withColumns({"yr": (2019 + c("event_id") % 5).cast("int"), "kind": F.floor(c("event_id") / 5) % 3, "secs": F.floor(F.pmod(F.unix_seconds("ts"), F.lit(21600)) / 300) * 300})
+        end = F.make_date("yr", F.when(c("kind") == 0, 10).when(c("kind") == 1, 3).otherwise(7), F.lit(31))
+        night = F.when(c("kind") == 2, F.date_sub(end, 16)).otherwise(F.date_sub(end, F.dayofweek(end) - 1))
+        wall = night.cast("timestamp_ntz") + F.make_dt_interval(secs=c("secs") - F.when((c("kind") == 0) & (c("secs") >= 10800), 3600).otherwise(0))
+        return e.select("event_id", "sensor", (c("secs") * 1_000_000_000 + c("event_id")).cast("long").alias("seq"), F.when(c("event_id") % 29 != 0, wall).alias("wall"))
+
     @property
     def rain(self) -> DataFrame:
         return self.events.where("event_type = 'error'").select("event_id", "ts", F.when(F.col("value") > 60, F.col("value") / 100).otherwise(F.lit(0.0)).alias("mm"))
@@ -109,6 +119,7 @@ class Views:
 SQL = {
     "obs": "SELECT event_id, user_id AS sensor, event_type AS stream, ts, value FROM events",
     "dirty": "SELECT event_id, sensor, stream, ts, CASE WHEN event_id % 17 = 0 THEN -9999.0 WHEN event_id % 23 = 0 THEN NULL ELSE value END AS value FROM obs",
+    "clocks": "SELECT event_id, sensor, CAST(secs * 1000000000 + event_id AS BIGINT) AS seq, CASE WHEN event_id % 29 <> 0 THEN night + to_seconds(secs - CASE WHEN kind = 0 AND secs >= 10800 THEN 3600 ELSE 0 END) END AS wall, kind, night FROM (SELECT *, CAST(CASE kind WHEN 0 THEN make_date(yr, 10, 31) - CAST(dayofweek(make_date(yr, 10, 31)) AS INT) WHEN 1 THEN make_date(yr, 3, 31) - CAST(dayofweek(make_date(yr, 3, 31)) AS INT) ELSE make_date(yr, 7, 15) END AS TIMESTAMP) AS night FROM (SELECT *, 2019 + event_id % 5 AS yr, event_id // 5 % 3 AS kind, CAST(floor(epoch(ts)) AS BIGINT) % 21600 // 300 * 300 AS secs FROM obs))",
     "rain": "SELECT event_id, ts, CASE WHEN value > 60 THEN value / 100 ELSE 0.0 END AS mm FROM events WHERE event_type = 'error'",
     "humid": "SELECT event_id, ts, least(100.0, 50.0 + value / 3) AS rh FROM events WHERE event_type = 'view'",
     "scenes": "SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'ASCENDING' ELSE 'DESCENDING' END AS orbit, value FROM events WHERE event_type = 'purchase'",
@@ -128,6 +139,6 @@ SQL = {
 
 def with_views(query: str, *names: str) -> str:
     """query under WITH clauses of the named views and those that they need."""
-    if set(names) & {"dirty", "daily"}:
+    if set(names) & {"dirty", "daily", "clocks"}:
         names = ("obs", *[n for n in names if n != "obs"])
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in SQL if n in names) + (", " if query.startswith("+") else " ") + query.removeprefix("+")

@@ -11,8 +11,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sensorspark.functions import timefns
 from sensorspark.operators import changepoints as cp
-from sensorspark.operators import joins, statistics, windows
+from sensorspark.operators import joins, rasters, statistics, windows
 from sensorspark.sources import readers
 from sensorspark.streaming import jobs
 
@@ -76,6 +77,7 @@ def test_long_series_stay_small(model):
     code = f"""
 import resource
 import numpy as np
+from sensorspark.functions import timefns
 from sensorspark.operators import changepoints as cp
 r = np.random.default_rng(4)
 y = np.concatenate([r.normal(m, 1, 500) for m in np.tile([0.0, 6.0], 50)])
@@ -382,3 +384,50 @@ def test_uncertainty_of_pairs_and_nodes(spark):
     assert (nodes["a"].leads, nodes["a"].follows, nodes["a"].pairs) == (2, 1, 3) and nodes["s"].tendency == 1 and nodes["c"].lead_fraction == 0
     got = {r.variable: r for r in statistics.anchored(pairs, lambda k: k.isin("s", "t")).collect()}
     assert got["a"].mixed == 1 and abs(got["a"].every - 1 / 3) < 1e-12 and got["s"].internal_first == 1 and got["t"].internal == -1 and got["s"].core is None
+
+
+def test_daylight_saving_as_pandas_infers_it(spark):
+    """One step back a night, gaps and plain hours of several years against pandas; then what pandas refuses: ties, nulls, no step back."""
+    rows = []
+    for sensor, night in enumerate(("2021-10-31", "2022-10-30", "2022-03-27", "2023-03-26", "2024-07-15")):
+        walls = pd.date_range(f"{night} 00:10", f"{night} 05:50", freq="20min").tolist()
+        if night[5:7] == "10":
+            walls = [w for w in walls if w.hour < 3] + [w for w in walls if w.hour >= 2]
+        rows += [(sensor, i, w.to_pydatetime()) for i, w in enumerate(walls)]
+    df = spark.createDataFrame(rows, "sensor int, i int, wall timestamp_ntz")
+    got = {(r.sensor, r.i): r.utc for r in timefns.local_to_utc(df, ["sensor"], "i", "wall", "Europe/Berlin").collect()}
+    p = pd.DataFrame(rows, columns=["sensor", "i", "wall"])
+    for sensor, g in p.groupby("sensor"):
+        want = g["wall"].dt.tz_localize("Europe/Berlin", ambiguous="infer", nonexistent="shift_forward").dt.tz_convert("UTC").dt.tz_localize(None)
+        assert [got[sensor, i] for i in g["i"]] == [w.to_pydatetime() for w in want]
+    at = lambda hm: pd.Timestamp(f"2021-10-31 {hm}").to_pydatetime()
+    odd = [("tie", 1, at("02:10")), ("tie", 2, at("02:10")), ("tie", 3, None), ("tie", 4, at("02:05")), ("tie", 5, at("02:05")), ("up", 1, at("02:10")), ("up", 2, at("02:40"))]
+    got = {(r.sensor, r.i): r.utc and f"{r.utc:%H:%M}" for r in timefns.local_to_utc(spark.createDataFrame(odd, "sensor string, i int, wall timestamp_ntz"), ["sensor"], "i", "wall", "Europe/Berlin").collect()}
+    assert got == {("tie", 1): "00:10", ("tie", 2): "00:10", ("tie", 3): None, ("tie", 4): "01:05", ("tie", 5): "01:05", ("up", 1): "00:10", ("up", 2): "00:40"}
+
+
+@pytest.mark.parametrize("footprint", [rasters.box(3), rasters.box(7), rasters.circle(1), rasters.circle(2.3)])
+def test_focal_statistics_match_every_neighbourhood(spark, footprint):
+    """Holes, nulls, negative places and tiles of four pixels."""
+    r = np.random.default_rng(1)
+    at = {(k, int(x), int(y)): (None if r.random() < 0.1 else float(r.normal(1e4, 1))) for k in "ab" for x in range(-7, 12) for y in range(-3, 9) if r.random() > 0.2}
+    df = spark.createDataFrame([(*k, v, 1) for k, v in at.items()], "k string, x int, y int, value double, other int")
+    kinds = {"mean": np.mean, "var": np.var, "min": np.min, "max": np.max, "median": np.median}
+    got = rasters.focal(df, ["k"], footprint, {f"_{s}": s for s in kinds}, tile=4).collect()
+    assert len(got) == len(at)
+    for p in got:
+        near = [at[p.k, p.x + i, p.y + j] for j, (lo, hi) in footprint.items() for i in range(lo, hi + 1) if at.get((p.k, p.x + i, p.y + j)) is not None]
+        assert p.value == at[p.k, p.x, p.y]
+        for s, f in kinds.items():
+            assert p[f"_{s}"] == (None if not near else pytest.approx(f(near), abs=1e-6))
+    assert rasters.focal(df.limit(0), ["k"], footprint, {"m": "mean"}).collect() == []
+
+
+def test_the_halo_alone_grows_with_the_neighbourhood(spark):
+    """Rows that are shuffled for 3 x 3 and for 7 x 7 pixels; sending each value to its neighbours would take 9 and 49 times as many."""
+    df = spark.range(256 * 256).selectExpr("1 AS k", "cast(id % 256 AS int) AS x", "cast(id div 256 AS int) AS y", "cast(id AS double) AS value")
+    for size, most in ((3, 1.07), (7, 1.21)):
+        assert rasters.focal(df, ["k"], rasters.box(size), {"m": "mean"}).count() == 256 * 256
+        reach = size // 2
+        sent = df.selectExpr(f"size(sequence(floor((x - {reach}) / 64), floor((x + {reach}) / 64))) * size(sequence(floor((y - {reach}) / 64), floor((y + {reach}) / 64))) AS n").agg(F.sum("n")).first()[0]
+        assert sent / 65_536 <= most
