@@ -7,15 +7,19 @@ output, so a rerun goes on where the last one ended.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 c = F.col
+#: Microseconds.
+HOUR = 3_600_000_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def events(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 100) -> DataFrame:
@@ -25,10 +29,22 @@ def events(spark: SparkSession, folder: str, files: str = "events.parquet", per_
     return raw.select("event_id", c("user_id").alias("sensor"), c("event_type").alias("stream"), c("ts").cast("timestamp").alias("ts"), "value")
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start meanwhile keep their state in RocksDB, outside the heap; several state variables a key need it."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def run(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs a stream to its end into Parquet under path and returns what has been written."""
-    q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with rocksdb(df.sparkSession):
+        q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/data")
 
 
@@ -62,37 +78,88 @@ def in_interval(scenes: DataFrame, weather: DataFrame, hours: int = 12, late: st
     return s.join(w, F.expr(f"slot = weather_slot AND weather_ts > scene_ts - INTERVAL {hours} HOURS AND weather_ts <= scene_ts")).drop("slot", "weather_slot")
 
 
-def _in_order(df: DataFrame, schema: str, judge: Callable, start: tuple, kinds: str, late: str) -> DataFrame:
-    """Rows of each stream judged in the order of (ts, event_id), however they arrive within the watermark.
+class _Ordered(StatefulProcessor):
+    """Rows of a key in the order of (ts, event_id), however they arrive within the watermark.
 
-    Rows wait in the group's state until the watermark has passed them; then judge(key, rows, memory) -> (result, memory) sees them in order.
-    Rows older than the watermark are dropped, as windowed aggregates drop them: their successors have been judged. The state holds the waiting
-    rows (one watermark's delay of them) and the memory; a timer on the oldest waiting row releases it if nothing more comes.
+    Rows that the watermark hasn't passed are appended to a list and touched again only when the timer of the oldest goes off: then judge(key, rows, memory) ->
+    (result, memory) sees those that are passed, and the others wait on. The memory is a value of its own. It goes once it can't matter any more, at the
+    event time that until(memory) names, or after idle microseconds without rows.
     """
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *memory, ts, ids, values = state.get if state.exists else (*start, [], [], [])
-        closed = state.getCurrentWatermarkMs()
-        waiting = pd.DataFrame({"ts": np.array(ts, np.int64), "event_id": np.array(ids, np.int64), "value": np.array(values, np.float64)})
-        new = [p[["ts", "event_id", "value"]] for p in parts] if not state.hasTimedOut else []
-        rows = pd.concat([waiting, *[p[p["ts"] > 1000 * closed] for p in new]], ignore_index=True)
-        done = rows["ts"] <= 1000 * closed
-        ready, waiting = rows[done].sort_values(["ts", "event_id"], ignore_index=True), rows[~done]
+    def __init__(self, judge: Callable, until: Callable, start: tuple, kinds: str, idle: int | None) -> None:
+        self.judge, self.until, self.start, self.kinds, self.idle = judge, until, start, kinds, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, event_id long, value double")
+        self.memory = handle.getValueState("memory", f"{self.kinds}, seen long")
+
+    def _wake(self, at: int | None) -> None:
+        """The key's only timer: the first millisecond at which the microsecond is passed."""
+        known = list(self.handle.listTimers())
+        new = None if at is None else -(-at // 1000)
+        for t in known:
+            if t != new:
+                self.handle.deleteTimer(t)
+        if new is not None and new not in known:
+            self.handle.registerTimer(new)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        closed = 1000 * timerValues.getCurrentWatermarkInMs()
+        first = None
+        for p in rows:
+            p = p[p["ts"] > closed]  # the successors of older rows have been judged
+            if len(p):
+                self.waiting.appendList(list(p[["ts", "event_id", "value"]].itertuples(index=False, name=None)))
+                first = min(int(p["ts"].min()), first or int(p["ts"].min()))
+        if first is not None:
+            known = [1000 * t for t in self.handle.listTimers()]
+            # a timer of the memory alone gives way: its key has rows again
+            self._wake(min([first, *known]))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = 1000 * timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.waiting.get()), columns=["ts", "event_id", "value"])
+        done = (rows["ts"] <= closed).to_numpy(dtype=bool)
+        ready, rest = rows[done].sort_values(["ts", "event_id"], ignore_index=True), rows[~done]
+        *memory, seen = self.memory.get() if self.memory.exists() else (*self.start, None)
+        out = []
         if len(ready):
-            out, memory = judge(key, ready, tuple(memory))
-            yield out
-        state.update((*memory, waiting["ts"].tolist(), waiting["event_id"].tolist(), waiting["value"].tolist()))
-        if len(waiting):  # a timer goes off when the watermark is beyond it
-            state.setTimeoutTimestamp(max(-(-int(waiting["ts"].min()) // 1000) - 1, closed))
-
-    state = f"{kinds}, ts array<long>, ids array<long>, vals array<double>"
+            # silences longer than idle part the rows however they are batched
+            gaps = np.diff(ready["ts"].to_numpy(dtype=np.int64), prepend=ready["ts"].iloc[0] if seen is None else seen) > (np.inf if self.idle is None else self.idle)
+            for _, part in ready.groupby(np.cumsum(gaps)):
+                if gaps[part.index[0]]:
+                    memory = self.start
+                result, memory = self.judge(key, part.reset_index(drop=True), tuple(memory))
+                out.append(result)
+            seen = int(ready["ts"].iloc[-1])
+            self.memory.update((*memory, seen))
+            if len(rest):
+                self.waiting.put(list(rest.itertuples(index=False, name=None)))
+            else:
+                self.waiting.clear()
+        ends = [t for t in (self.until(tuple(memory)), None if self.idle is None or seen is None else seen + self.idle) if t is not None]
+        if ends and min(ends) <= closed:
+            self.memory.clear()
+            ends = []
+        self._wake(min([*ends, *([int(rest["ts"].min())] if len(rest) else [])], default=None))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(df: DataFrame, schema: str, judge: Callable, until: Callable, start: tuple, kinds: str, late: str, idle_hours: float | None = None) -> DataFrame:
+    """Rows of each stream judged in order; see _Ordered. Rows older than the watermark are dropped, as windowed aggregates drop them."""
     timed = df.withWatermark("ts", late).select("stream", "event_id", "value", F.unix_micros("ts").alias("us"), "ts").withColumnsRenamed({"ts": "_at", "us": "ts"})
-    return timed.groupBy("stream").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    idle = None if idle_hours is None else int(idle_hours * HOUR)
+    return timed.groupBy("stream").transformWithStateInPandas(_Ordered(judge, until, start, kinds, idle), schema, "append", "eventTime")
 
 
 def lockout(df: DataFrame, hours: float = 12.0, wet: float = 60.0, late: str = "1 hour") -> DataFrame:
-    """dry for each row: nothing above wet came in the hours before it, per stream. The last wet time is the state; rows the watermark hasn't passed yet are withheld."""
-    span = int(hours * 3_600_000_000)
+    """dry for each row: nothing above wet came in the hours before it, per stream. The last wet time is the state, and goes when the hours are over; rows the watermark hasn't passed yet are withheld."""
+    span = int(hours * HOUR)
 
     def judge(key: tuple, rows: pd.DataFrame, memory: tuple) -> tuple[pd.DataFrame, tuple]:
         (last,) = memory
@@ -101,14 +168,18 @@ def lockout(df: DataFrame, hours: float = 12.0, wet: float = 60.0, late: str = "
         if last is not None:
             wet_at = wet_at.fillna(last)
         dry = ~((rows["ts"] - wet_at) <= span)
-        last = int(wet_at.iloc[-1]) if wet_at.notna().iloc[-1] else None
+        last = int(wet_at.iloc[-1]) if pd.notna(wet_at.iloc[-1]) else None
         return pd.DataFrame({"stream": key[0], "event_id": rows["event_id"], "dry": dry}), (last,)
 
-    return _in_order(df, "stream string, event_id long, dry boolean", judge, (None,), "last long", late)
+    # rows to come are later than the watermark: a wet time that lies further back than the hours is as good as none
+    return _in_order(df, "stream string, event_id long, dry boolean", judge, lambda memory: (memory[0] or -span) + span, (None,), "last long", late)
 
 
-def departures(df: DataFrame, limit: float, calm: float, late: str = "1 hour") -> DataFrame:
-    """Alerts by stream: 'onset' when a value reaches limit, 'recovery' at the second of two values in a row under calm (less than limit); order and delay as in lockout."""
+def departures(df: DataFrame, limit: float, calm: float, late: str = "1 hour", idle_hours: float | None = None) -> DataFrame:
+    """Alerts by stream: 'onset' when a value reaches limit, 'recovery' at the second of two values in a row under calm (less than limit); order and delay as in lockout.
+
+    A stream that has been silent for idle_hours of event time is forgotten and begins anew; None keeps every stream's state for good.
+    """
     if calm >= limit:
         raise ValueError("calm must be below limit")
 
@@ -127,7 +198,7 @@ def departures(df: DataFrame, limit: float, calm: float, late: str = "1 hour") -
             at, away = int(marks[k]) + 1, not away
         return pd.DataFrame(out, columns=["stream", "event_id", "alert"]), (bool(away), bool(quiet[-1]))
 
-    return _in_order(df, "stream string, event_id long, alert string", judge, (False, False), "away boolean, calm boolean", late)
+    return _in_order(df, "stream string, event_id long, alert string", judge, lambda memory: None, (False, False), "away boolean, calm boolean", late, idle_hours)
 
 
 def upsert(df: DataFrame, path: str, by: list[str], keys: list[str]) -> None:

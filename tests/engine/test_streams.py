@@ -60,3 +60,27 @@ def test_alerts_are_those_of_one_pass(spark, tmp_path, parts):
     files = [mixed[k * 60 // parts : (k + 1) * 60 // parts] for k in range(parts)] + [late]
     out = jobs.run(jobs.departures(feed(spark, f"file://{tmp_path}/in", files), 60, 20, late="10 hours"), f"file://{tmp_path}/out")
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def state(spark, path, name, **options):
+    return spark.read.format("statestore").option("path", path).option("stateVarName", name).options(**options).load()
+
+
+def test_idle_keys_leave_no_state(spark, tmp_path):
+    """a falls silent: its lock-out is over and its row judged, so nothing of it stays; b's last row waits, and its wet time still counts."""
+    files = [[(1, 0, "a", 90), (2, 0, "b", 1)], [(3, 30, "b", 99)], [(4, 31, "b", 1)], [(5, 33, "b", 1)]]
+    jobs.run(jobs.lockout(feed(spark, f"file://{tmp_path}/in", files), hours=4, wet=60, late="1 hour"), f"file://{tmp_path}/out")
+    where = f"file://{tmp_path}/out/state"
+    assert [r.key.stream for r in state(spark, where, "memory").collect()] == ["b"]
+    assert {(r.key.stream, r.list_element.event_id) for r in state(spark, where, "waiting").collect()} == {("b", 5)}
+
+
+def test_silent_streams_are_forgotten(spark, tmp_path):
+    """Without idle_hours the stream is still away at hour 50 and a second high value is no alert; with it the stream begins anew."""
+    # a's rows 6 and 7 are judged in one go, though they lie further apart than that
+    files = [[(1, 0, "a", 90)], [(2, 20, "b", 1)], [(3, 40, "b", 1)], [(4, 50, "a", 95), (6, 51, "a", 5), (7, 70, "a", 97)], [(5, 90, "b", 1)]]
+    for idle, want in ((None, {1}), (12, {1, 4, 7})):
+        out = jobs.run(jobs.departures(feed(spark, f"file://{tmp_path}/in{idle}", files), 60, 20, late="1 hour", idle_hours=idle), f"file://{tmp_path}/out{idle}")
+        assert {r.event_id for r in out.collect()} == want
+        kept = {r.key.stream for r in state(spark, f"file://{tmp_path}/out{idle}/state", "memory").collect()}
+        assert kept == ({"a", "b"} if idle is None else set())  # b's last row waits, and has no memory behind it
