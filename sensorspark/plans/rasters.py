@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import indices as ix
-from ..operators import rasters
+from ..operators import profiles, rasters
 from .registry import query
 
 c = F.col
@@ -101,6 +101,32 @@ def _(v):
     return v.hier.groupBy("plot").agg(delta.alias("_d")).select("plot", R6(c("_d") / 500).alias("fraction"), (F.signum("_d") > 0).alias("agrees"))
 
 
+#: Leaf area indices of the sweep.
+SWEEP = [2.0, 2.5, 3.0, 4.0, 5.0, 6.0]
+
+
+@query(
+    "X14_sweep",
+    "WITH tb AS (SELECT l_returnflag AS k, CAST(l_linenumber AS DOUBLE) AS x, floor(l_quantity / 10) * 10 AS y, avg(l_discount) AS v FROM lineitem GROUP BY 1, 2, 3), "
+    "cs AS (SELECT l_returnflag AS k, avg(l_quantity) FILTER (l_linestatus = 'O') AS a, avg(l_quantity) FILTER (l_linestatus <> 'O') + 7.5::DOUBLE AS b, avg(l_tax) FILTER (l_linenumber = 1) - avg(l_tax) FILTER (l_linenumber = 2) AS d FROM lineitem GROUP BY 1), "
+    f"pt AS (SELECT * FROM cs, (VALUES {', '.join(f'({s}::DOUBLE)' for s in SWEEP)}) w(x)), "
+    "ev AS (SELECT k, x, d, w, t, greatest(ceil(x) - 1, 1) AS x0, greatest((ceil(t / 10) - 1) * 10, 0) AS y0 FROM (SELECT k, x, d, unnest(['b', 'e']) AS w, unnest([a, b]) AS t FROM pt)), "
+    "iv AS (SELECT e.k, e.x, e.d, e.w, v00.v * (1 - e.x + e.x0) * (1 - (t - y0) / 10) + v01.v * (1 - e.x + e.x0) * (t - y0) / 10 + v10.v * (e.x - e.x0) * (1 - (t - y0) / 10) + v11.v * (e.x - e.x0) * (t - y0) / 10 AS s FROM ev e "
+    "LEFT JOIN tb v00 ON v00.k = e.k AND v00.x = x0 AND v00.y = y0 LEFT JOIN tb v01 ON v01.k = e.k AND v01.x = x0 AND v01.y = y0 + 10 LEFT JOIN tb v10 ON v10.k = e.k AND v10.x = x0 + 1 AND v10.y = y0 LEFT JOIN tb v11 ON v11.k = e.k AND v11.x = x0 + 1 AND v11.y = y0 + 10), "
+    "p AS (SELECT k, x, any_value(d) AS d, max(s) FILTER (w = 'b') AS sb, max(s) FILTER (w = 'e') AS se FROM iv GROUP BY 1, 2) "
+    "SELECT k AS \"index\", x AS lai, round(sb, 6) AS sim_baseline, round(se, 6) AS sim_event, round(se - sb, 6) AS d_sim, round(d, 6) AS d_obs, round(CASE WHEN abs(d) > 1e-6 THEN (se - sb) / d END, 4) AS fraction, CASE WHEN (se - sb) * d > 0 THEN 'same' ELSE 'opp' END AS sign FROM p",
+)
+def _(v):
+    """Three indices over a table of leaf area by leaf angle: what the change of angle explains of the observed change, for each assumed leaf area."""
+    li = v.table("lineitem")
+    lut = li.groupBy(c("l_returnflag").alias("index"), c("l_linenumber").cast("double").alias("lai"), (F.floor(c("l_quantity") / 10) * 10).cast("double").alias("angle")).agg(F.avg("l_discount").alias("value"))
+    early = c("l_linestatus") == "O"
+    mean = lambda x, when: F.avg(F.when(when, c(x)))
+    cases = li.groupBy(c("l_returnflag").alias("index")).agg(mean("l_quantity", early).alias("before"), (mean("l_quantity", ~early) + 7.5).alias("after"), (mean("l_tax", c("l_linenumber") == 1) - mean("l_tax", c("l_linenumber") == 2)).alias("d_obs"))
+    out = profiles.explained_fractions(cases, lut, "index", "lai", "angle", SWEEP)
+    return out.select("index", "lai", *[R6(k).alias(k) for k in ("sim_baseline", "sim_event", "d_sim", "d_obs")], F.round("fraction", 4).alias("fraction"), "sign")
+
+
 @query("X15_change_report", "SELECT variable, round(b - a, 6) AS change, round(100 * (b - a) / nullif(a, 0), 6) AS pct FROM (SELECT variable, avg(value) FILTER (year(d) = 1994) AS a, avg(value) FILTER (year(d) = 1995) AS b FROM panel GROUP BY 1)", "panel")
 def _(v):
     s = v.panel.groupBy("variable").agg(F.avg(F.when(F.year("d") == 1994, c("value"))).alias("a"), F.avg(F.when(F.year("d") == 1995, c("value"))).alias("b"))

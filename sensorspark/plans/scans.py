@@ -81,11 +81,6 @@ def _(v):
     return v.events.where("event_type = 'click'").select("event_id", F.date_format(F.date_trunc("minute", "ts"), "yyyy-MM-dd HH:mm").alias("minute"))
 
 
-@query("S16_compaction", "SELECT sensor, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first FROM obs GROUP BY 1", "obs")
-def _(v):
-    return v.obs.repartition("sensor").sortWithinPartitions("sensor", "ts").groupBy("sensor").agg(F.count("*").alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"))
-
-
 @query("S17_pending_tasks", "SELECT stream, d FROM (SELECT DISTINCT stream FROM obs), (SELECT DISTINCT CAST(ts AS DATE) AS d FROM obs) EXCEPT SELECT stream, CAST(ts AS DATE) FROM obs WHERE value > 50", "obs")
 def _(v):
     days = v.obs.select(F.to_date("ts").alias("d")).distinct()
@@ -100,11 +95,6 @@ def _(v):
     return p.groupBy((F.regexp_extract("url", "([0-9]+)[^0-9]*$", 1).cast("int") % 24).alias("h")).agg(F.count("*").alias("n"))
 
 
-@query("S20_scan_batch", "SELECT scan, count(*) AS shots, count(*) FILTER (is_gap) AS gaps, round(avg(zenith), 6) AS mean_zenith, round(max(range), 6) AS top FROM shots GROUP BY 1", "shots")
-def _(v):
-    return v.shots.groupBy("scan").agg(F.count("*").alias("shots"), F.count_if("is_gap").alias("gaps"), R6(F.avg("zenith")).alias("mean_zenith"), R6(F.max("range")).alias("top"))
-
-
 @query("S22_iso_times", "SELECT event_id, epoch_us(date_trunc('second', ts)) // 1000000 AS seconds FROM events WHERE event_type = 'error'")
 def _(v):
     text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))

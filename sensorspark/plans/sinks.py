@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import indices as ix
@@ -35,6 +36,21 @@ def _(v):
     return back.groupBy("stream").agg(F.count("*").alias("n"), R6(F.avg("value")).alias("mean"))
 
 
+@query(
+    "S06_receiver_files",
+    "+r AS (SELECT 'gps' || (sensor % 6 + 1) AS receiver, ts - INTERVAL 1 HOUR AS ts, value, (event_id * 37) % 90 AS theta FROM obs) SELECT receiver, count(*) AS n, round(avg(value), 6) AS vod, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS first FROM r WHERE receiver IN ('gps1', 'gps3', 'gps5') AND theta >= 30 GROUP BY 1",
+    "obs",
+)
+def _(v):
+    """A file for each of six receivers, whose names say which; three are asked for, and only their files are opened."""
+    path = _out(v, "receivers")
+    rows = v.obs.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("datetime"), c("value").alias("vod"), ((c("event_id") * 37) % 90).alias("theta"), (c("sensor") % 6 + 1).alias("gps"))
+    rows.repartition("gps").write.partitionBy("gps").option("header", True).csv(path)
+    readers.rename(v.spark, path, lambda f: f"gnss_vod_Hartheim_GPS{f.split('gps=')[1][0]}_GPS1_{f.split('part-')[1][:5]}.csv")
+    g = readers.receivers(v.spark, f"{path}/*.csv").groupBy("receiver")
+    return g.agg(F.count("*").alias("n"), R6(F.avg("vod")).alias("vod"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"))
+
+
 @query("S08_processed_sink", "SELECT variable, year(d) AS y, count(*) AS n, round(avg(value), 6) AS mean FROM panel GROUP BY 1, 2", "panel")
 def _(v):
     path = _out(v, "processed")
@@ -52,6 +68,48 @@ def _(v):
     return v.spark.read.parquet(path).groupBy("orbit", c("d").cast("date").alias("d")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "S16_compaction",
+    "SELECT stream, count(*) AS n, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS first, count(DISTINCT CAST(ts AS DATE)) + CASE WHEN stream = 'click' THEN 1 ELSE 0 END AS files, CASE WHEN stream = 'click' THEN 1 ELSE 0 END AS bad, true AS fewer, true AS sorted FROM obs GROUP BY 1",
+    "obs",
+)
+def _(v):
+    """A scratch file a stream and day, one of them damaged, packed into files of 64 kB and read back; the damaged one is listed."""
+    scratch, path = _out(v, "scratch"), _out(v, "compact")
+    o = v.obs.withColumn("d", F.to_date("ts"))
+    o.repartition("stream", "d").write.partitionBy("stream", "d").parquet(scratch)
+    readers.put(v.spark, f"{scratch}/stream=click/d=1999-01-01/damaged.parquet", "PAR1 these are not the bytes of a table PAR1")
+    report = readers.compact(v.spark, scratch, path, "stream=([^/]+)/", "ts", target_bytes=64 << 10)
+    back = v.spark.read.parquet(path).select("*", F.monotonically_increasing_id().alias("_i"), F.col("_metadata.file_path").alias("file"))
+    w = Window.partitionBy("file").orderBy("_i")
+    back = back.withColumn("_back", F.lag("ts").over(w) > c("ts"))
+    read = back.groupBy(c("group").alias("stream")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.count_distinct("file").alias("after"), F.coalesce(~F.bool_or("_back"), F.lit(True)).alias("sorted"))
+    files = report.groupBy(c("group").alias("stream")).agg(F.count("*").alias("files"), F.count("error").cast("int").alias("bad"), F.count_distinct("bin").alias("bins"))
+    return read.join(files, "stream").select("stream", "n", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "files", "bad", ((c("after") == c("bins")) & (c("after") < c("files"))).alias("fewer"), "sorted")
+
+
+@query(
+    "S20_scan_batch",
+    "+f AS (SELECT scan % 50 AS file, count(*) AS shots, count(*) FILTER (range <= 1) AS gaps, round(avg(zenith), 6) AS mean_zenith, round(max(range), 6) AS top, count(*) FILTER (range > 10) AS broken FROM shots GROUP BY 1) "
+    "SELECT file, CASE WHEN file % 10 = 3 AND broken > 0 THEN 'broken lines' ELSE 'ok' END AS state, CASE WHEN file % 10 = 3 AND broken > 0 THEN broken ELSE 0 END AS lines, CASE WHEN file % 10 <> 3 OR broken = 0 THEN shots END AS shots, CASE WHEN file % 10 <> 3 OR broken = 0 THEN gaps END AS gaps, CASE WHEN file % 10 <> 3 OR broken = 0 THEN mean_zenith END AS mean_zenith, CASE WHEN file % 10 <> 3 OR broken = 0 THEN top END AS top FROM f",
+    "shots",
+)
+def _(v):
+    """Fifty files of shots, every tenth with broken lines among them: results of the good ones beside one row for each bad one."""
+    path = _out(v, "scans")
+    s = v.shots.withColumn("file", c("scan") % 50)
+    whole = F.concat_ws(",", F.lit(1), c("zenith"), F.lit(0), c("range"), *[F.lit(0)] * 4)
+    line = F.when((c("file") % 10 == 3) & (c("range") > 10), F.concat_ws(",", F.lit(1), c("zenith"), F.lit("cut"))).otherwise(whole)
+    head = s.select("file").distinct().select("file", F.lit("# instrument: laser").alias("value"))
+    s.select("file", line.alias("value")).unionByName(head).repartition(50, "file").write.partitionBy("file").text(path)
+    readers.rename(v.spark, path, lambda f: f"scan_{f.split('file=')[1].split('/')[0]}_{f.split('part-')[1][:5]}.txt")
+    results, errors = readers.scan_batch(v.spark, f"{path}/*.txt", gap_range=1.0)
+    file = F.regexp_extract("file", r"scan_(\d+)_", 1).cast("long").alias("file")
+    good = results.select(file, F.lit("ok").alias("state"), F.lit(0).cast("long").alias("lines"), "shots", "gaps", R6("mean_angle").alias("mean_zenith"), R6("top").alias("top"))
+    bad = errors.select(file, c("reason").alias("state"), "lines")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 @query("S19_laser_lines", "SELECT scan, count(*) AS n, round(avg(zenith), 6) AS zenith FROM shots GROUP BY 1", "shots")
 def _(v):
     """Shots as lines of eight numbers among header lines, parsed again."""

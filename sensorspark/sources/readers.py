@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timefns as t
+from .shared import written
 
 c = F.col
 
@@ -44,12 +48,23 @@ def water_potential(spark: SparkSession, path: str) -> DataFrame:
     return wide.where("ts IS NOT NULL").unpivot("ts", [f"swp_mpa_{n.lower()}" for n in sensors], "sensor", "value")
 
 
-def receivers(spark: SparkSession, path: str, min_theta: float = 30.0, only: list[str] | None = None, pattern: str = r"(gps\d+)") -> DataFrame:
-    """Receiver files: the id is in the file's name; low elevations are left out."""
-    raw = spark.read.csv(path, header=True).select("*", F.regexp_extract("_metadata.file_name", pattern, 1).alias("receiver"))
-    df = raw.select(c("datetime").cast("timestamp").alias("ts"), "receiver", *[c(n).try_cast("double").alias(n) for n in ("nvod", "vod", "theta", "azimuth") if n in raw.columns])
-    df = df.where((c("receiver") != "") & (c("theta") >= min_theta))
-    return df.where(c("receiver").isin(only)) if only else df
+def receivers(spark: SparkSession, path: str, min_theta: float = 30.0, only: tuple[str, ...] = ("GPS1", "GPS3", "GPS5"), pattern: str = r"Hartheim_(GPS\d+)_GPS1") -> DataFrame:
+    """Receiver files: ts (UTC from standard local time), receiver (lower case, from the file's name), and what there is of nvod, vod, theta, azimuth, pool; low elevations are left out.
+
+    The receivers are asked for by the file's name, so files of others are never opened. A file without a receiver in its name, or no file of those asked
+    for, is an error; both are told from the listing alone.
+    """
+    receiver = lambda name: F.regexp_extract(name, pattern, 1)
+    found = [r[0] for r in spark.read.format("binaryFile").load(path).select(receiver(F.element_at(F.split("path", "/"), -1)).alias("r")).distinct().collect()]  # a name a receiver
+    if "" in found:
+        raise ValueError(f"files in {path} have no receiver in their names")
+    if not set(found) & set(only):
+        raise ValueError(f"no files of {sorted(only)} in {path}, only of {sorted(found)}")
+    raw = spark.read.csv(path, header=True)
+    names = [n for n in ("nvod", "vod", "theta", "azimuth") if n in raw.columns]
+    raw = raw.where(receiver("_metadata.file_name").isin(*only)).select("*", F.lower(receiver("_metadata.file_name")).alias("receiver"))
+    df = raw.select(t.fixed_to_utc(c("datetime").cast("timestamp_ntz")).alias("ts"), "receiver", *[c(n).try_cast("double").alias(n) for n in names], *[n for n in ("pool",) if n in raw.columns])
+    return df.where(c("theta") >= min_theta)
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +92,33 @@ def laser_headers(spark: SparkSession, path: str) -> DataFrame:
     return kv.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("header"))
 
 
+def scan_batch(spark: SparkSession, path: str, gap_range: float = 0.0, max_bad: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """A batch of shot files: (results, errors). One row of results for each good file, one of errors (file, reason, lines) for each bad one.
+
+    A file with a broken line or without shots is bad as a whole, and takes no other with it. The lines of all files are summed in one pass, so no file is held
+    in a task; a broken line is one that is neither a # line nor eight numbers. More bad files than the share max_bad are an error: then it is the
+    batch that is wrong. A shot is a gap if its first range is at most gap_range.
+    Spark's readers pass over files of no bytes at all, so these are in neither.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file")).where("value <> ''")
+    fields = F.transform(F.split("value", ","), lambda x: F.trim(x).try_cast("double"))
+    shot = ~c("value").startswith("#")
+    good = shot & (F.size(fields) == 8) & ~F.exists(fields, lambda x: x.isNull())
+    at = lambda i: F.when(good, F.get(fields, F.lit(i)))
+    g = lines.groupBy("file").agg(
+        F.count_if(good).alias("shots"), F.count_if(shot & ~good).alias("broken"), F.count_if(at(3) <= gap_range).alias("gaps"), F.avg(at(1)).alias("mean_angle"), F.max(at(3)).alias("top"),
+    )
+    # files of blank lines have no group
+    files = spark.read.format("binaryFile").load(path).select(c("path").alias("file"))
+    g = written(files.join(g, "file", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("shots", "broken", "gaps")}))
+    bad = (c("broken") > 0) | (c("shots") == 0)
+    n, wrong = g.agg(F.count("*"), F.count_if(bad)).first()
+    if n and wrong > max_bad * n:
+        raise ValueError(f"{wrong} of {n} files in {path} are bad")
+    reason = F.when(c("broken") > 0, "broken lines").otherwise("no shots")
+    return g.where(~bad).select("file", "shots", "gaps", "mean_angle", "top"), g.where(bad).select("file", reason.alias("reason"), c("broken").alias("lines"))
+
+
 def precipitation(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True)
     return raw.select(F.try_to_timestamp(F.regexp_replace("From", "Z$", "+00:00")).alias("ts"), c("Precipitation_Sum_mm").try_cast("double").alias("mm")).where("ts IS NOT NULL")
@@ -93,10 +135,67 @@ def save(df: DataFrame, path: str, by: list[str], dynamic: bool = True) -> None:
     df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy(*by).parquet(path)
 
 
-def compact(spark: SparkSession, source: str, path: str, by: str, order: str) -> None:
-    """Many small files into sorted ones, a group of keys each; unreadable files are skipped."""
-    df = spark.read.option("ignoreCorruptFiles", True).parquet(source)
-    df.repartition(by).sortWithinPartitions(by, order).write.mode("overwrite").parquet(path)
+def file_states(spark: SparkSession, source: str) -> DataFrame:
+    """file, length, n_rows, error of every Parquet file below source. A file is decoded whole before it counts as good, for one that breaks off later would give a part of its rows."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(source)
+
+    def tried(parts):
+        for pdf in parts:
+            rows = []
+            for path, length, content in zip(pdf["path"], pdf["length"], pdf["content"]):
+                try:
+                    rows.append((path, length, pq.read_table(pa.BufferReader(content)).num_rows, None))
+                except Exception as e:  # whatever is wrong with a file, the others go on
+                    rows.append((path, length, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["file", "length", "n_rows", "error"]).astype({"n_rows": "Int64"})
+
+    return files.select("path", "length", "content").mapInPandas(tried, "file string, length long, n_rows long, error string")
+
+
+def compact(spark: SparkSession, source: str, path: str, group: str, order: str, target_bytes: int = 128 << 20, max_bad: float = 0.1) -> DataFrame:
+    """Many small files of source into few sorted ones below path/group/bin; returns a row for each file: file, group, bin, length, n_rows, error.
+
+    group is a pattern with one part, matched against a file's path. A group's good files, by name, fill bins up to target_bytes one after the other; a bin becomes
+    one file, sorted by order. Bad files are left out and listed; more than the share max_bad of them is an error. Only the small files' sizes are
+    ordered by group; rows meet their bin by the file's path.
+    """
+    named = F.regexp_extract("file", group, 1)
+    files = written(file_states(spark, source).withColumn("group", named))
+    n, wrong = files.agg(F.count("*"), F.count("error")).first()
+    if wrong > max_bad * n:
+        raise ValueError(f"{wrong} of {n} files in {source} can't be read")
+    before = F.sum("length").over(Window.partitionBy("group").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    packed = files.where("error IS NULL").withColumn("bin", F.floor(F.coalesce(before, F.lit(0)) / target_bytes).cast("long"))
+    report = written(packed.unionByName(files.where("error IS NOT NULL").withColumn("bin", F.lit(None).cast("long"))))
+    sound = report.where("error IS NULL").agg(F.max_by("file", "n_rows")).first()[0]
+    if sound is None:
+        return report
+    # the schema is a good file's: an undamaged footer may be hard to find
+    rows = spark.read.schema(spark.read.parquet(sound).schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(source).withColumn("_file", F.col("_metadata.file_path"))
+    good = report.where("error IS NULL").select(c("file").alias("_file"), c("group").alias("_group"), c("bin").alias("_bin"))
+    rows = rows.join(good, "_file").drop("_file")
+    rows.repartition("_group", "_bin").sortWithinPartitions("_group", "_bin", order).withColumnsRenamed({"_group": "group", "_bin": "bin"}).write.mode("overwrite").partitionBy("group", "bin").parquet(path)
+    return report
+
+
+def rename(spark: SparkSession, folder: str, name) -> None:
+    """Gives each file below folder the name name(path); for few files, of which the driver asks the file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(path(folder), True)
+    while files.hasNext():
+        found.append(files.next().getPath())
+    for f in found:
+        if not f.getName().startswith(("_", ".")):
+            fs.rename(f, path(f"{folder}/{name(f.toString())}"))
+
+
+def put(spark: SparkSession, path: str, content: str) -> None:
+    """A small file of text."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.writeBytes(content)
+    out.close()
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:

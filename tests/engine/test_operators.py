@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sensorspark.functions import timefns
 from sensorspark.operators import changepoints as cp
-from sensorspark.operators import joins, rasters, statistics, windows
+from sensorspark.operators import joins, profiles, rasters, statistics, windows
 from sensorspark.sources import readers
 from sensorspark.streaming import jobs
 
@@ -159,10 +159,6 @@ def test_readers(spark, tmp_path):
     assert [r.value for r in readers.dendrometers(spark, f"{p}/twd.csv").collect()] == [5.0]
     p = write(tmp_path, "swp.csv", "TS (CET),H1,H2\n1/1/2025 1:00,-0.5,NA\n")
     assert {r.sensor: r.value for r in readers.water_potential(spark, f"{p}/swp.csv").collect()} == {"swp_mpa_h1": -0.5, "swp_mpa_h2": None}
-    g = tmp_path / "gnss"
-    g.mkdir()
-    write(g, "x_gps3.csv", "datetime,nvod,theta\n2025-01-01 00:00:00,0.4,35\n2025-01-01 00:30:00,0.5,10\n")
-    assert [(r.receiver, r.nvod) for r in readers.receivers(spark, f"file://{g}").collect()] == [("gps3", 0.4)]
     j = tmp_path / "json"
     j.mkdir()
     write(j, "a.json", '{"frames": [{"timestamp": "2025-01-01 00:00:00", "predicted_mean_leaf_angle": 10}, {"timestamp": "missing", "predicted_mean_leaf_angle": 1}, {"timestamp": "2025-01-01 00:00:00", "predicted_mean_leaf_angle": 20}]}')
@@ -183,8 +179,92 @@ def test_partition_sink_is_idempotent(spark, tmp_path):
     readers.save(df, out, ["cam", "day"])
     readers.save(df.where("cam = 'a'").withColumn("v", F.lit(9.0)), out, ["cam", "day"])
     assert sorted((r.cam, r.v) for r in spark.read.parquet(out).collect()) == [("a", 9.0), ("b", 2.0)]
-    readers.compact(spark, out, f"file://{tmp_path}/one", "cam", "day")
-    assert spark.read.parquet(f"file://{tmp_path}/one").count() == 2
+    readers.compact(spark, out, f"file://{tmp_path}/one", "cam=([^/]+)/", "v")
+    assert sorted((r.group, r.v) for r in spark.read.parquet(f"file://{tmp_path}/one").collect()) == [("a", 9.0), ("b", 2.0)]
+
+
+def scans_of(plan):
+    """The file scans of an executed plan."""
+    found, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "FileSourceScanExec":
+            found.append(p)
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return found
+
+
+def test_receivers_that_are_not_asked_for_stay_unopened(spark, tmp_path):
+    for k in (1, 2, 3, 5):
+        write(tmp_path, f"gnss_vod_Hartheim_GPS{k}_GPS1_2512_#x.csv", "datetime,nvod,theta,pool\n2025-07-01 00:00:00,0.4,35,a\n2025-07-01 00:30:00,0.5,10,a\n2025-07-01 01:00:00,x,30,b\n")
+    path = f"file://{tmp_path}/gnss_vod_*.csv"
+    df = readers.receivers(spark, path)
+    got = sorted((r.receiver, str(r.ts), r.nvod, r.pool) for r in df.collect())
+    assert got == sorted(x for k in (1, 3, 5) for x in ((f"gps{k}", "2025-06-30 23:00:00", 0.4, "a"), (f"gps{k}", "2025-07-01 00:00:00", None, "b")))
+    one = readers.receivers(spark, path, only=("GPS2",))
+    query = one._jdf.queryExecution()
+    plan = query.executedPlan()
+    assert plan.executeCollect().__len__() == 2
+    assert [s.metrics().apply("numFiles").value() for s in scans_of(plan)] == [1]
+    with pytest.raises(ValueError, match="no files"):
+        readers.receivers(spark, path, only=("GPS9",))
+    write(tmp_path, "gnss_vod_other.csv", "datetime,nvod,theta\n")
+    with pytest.raises(ValueError, match="no receiver"):
+        readers.receivers(spark, path)
+
+
+def test_compaction_packs_by_size_and_lists_damaged_files(spark, tmp_path):
+    scratch, out = tmp_path / "scratch", f"file://{tmp_path}/out"
+    for cam in "ab":
+        for day in range(12):
+            d = scratch / cam
+            d.mkdir(parents=True, exist_ok=True)
+            pd.DataFrame({"t": np.arange(200) + 1000 * day, "v": float(day)}).to_parquet(d / f"{cam}_{day:02}.parquet")
+    pd.DataFrame({"t": np.array([], dtype=np.int64), "v": np.array([], dtype=float)}).to_parquet(scratch / "a" / "a_empty.parquet")
+    whole = (scratch / "a" / "a_03.parquet").read_bytes()
+    (scratch / "a" / "a_03.parquet").write_bytes(whole[:40] + b"\x00" * 60 + whole[100:])  # breaks off within its pages
+    (scratch / "b" / "b_05.parquet").write_bytes(b"PAR1")
+    size = len(whole)
+    report = readers.compact(spark, f"file://{scratch}", out, "/([ab])_[^/]*$", "t", target_bytes=4 * size).toPandas()
+    bad = report[report["error"].notna()]
+    assert sorted(f.rsplit("/", 1)[1] for f in bad["file"]) == ["a_03.parquet", "b_05.parquet"] and len(report) == 25
+    assert report[report["error"].isna()]["n_rows"].sum() == 22 * 200
+    filled = report[report["error"].isna()].groupby(["group", "bin"])["length"].sum()
+    assert len(filled) < 10 and filled.max() < 4 * size + report["length"].max()
+    files = sorted((tmp_path / "out").rglob("*.parquet"))
+    assert len(files) == len(filled)
+    rows = 0
+    for f in files:
+        t = pd.read_parquet(f)["t"].to_numpy()
+        rows += len(t)
+        assert (np.diff(t) >= 0).all()
+    assert rows == 22 * 200
+    with pytest.raises(ValueError, match="2 of 25"):
+        readers.compact(spark, f"file://{scratch}", out, "/([ab])_[^/]*$", "t", max_bad=0.05)
+
+
+def test_a_bad_scan_takes_no_other_with_it(spark, tmp_path):
+    ok = "1,57.5,0,0.5,1,2,3,4\n1,58.5,0,3.5,1,2,3,4\n"
+    for name, text in (("a", f"# height: 1\n{ok}# end\n"), ("b", ok + "1,2,x,4,5,6,7,8\n1,2\n"), ("c", "# nothing\n"), ("d", "\n"), ("e", ok)):
+        write(tmp_path, f"{name}.txt", text)
+    results, errors = readers.scan_batch(spark, f"file://{tmp_path}/*.txt", gap_range=1.0, max_bad=0.6)
+    name = lambda f: f.rsplit("/", 1)[1][0]
+    assert {name(r.file): (r.shots, r.gaps, r.mean_angle, r.top) for r in results.collect()} == {"a": (2, 1, 58.0, 3.5), "e": (2, 1, 58.0, 3.5)}
+    assert {name(r.file): (r.reason, r.lines) for r in errors.collect()} == {"b": ("broken lines", 2), "c": ("no shots", 0), "d": ("no shots", 0)}
+    with pytest.raises(ValueError, match="3 of 5"):
+        readers.scan_batch(spark, f"file://{tmp_path}/*.txt")
+
+
+def test_tables_are_interpolated_between_nodes(spark):
+    f = lambda x, y: 2 + 3 * x - y + 0.5 * x * y  # bilinear, so cells give it back
+    table = spark.createDataFrame([("k", float(x), float(y), f(x, y)) for x in (1, 2, 4) for y in (10, 30, 40)], "key string, x double, y double, value double")
+    at = [(1.0, 10.0), (4.0, 40.0), (2.0, 30.0), (3.3, 11.0), (1.5, 39.9), (0.9, 20.0), (2.0, 41.0)]
+    got = profiles.interpolated(spark.createDataFrame([("k", *p) for p in at] + [("other", 1.0, 10.0)], "key string, x double, y double"), profiles.table_cells(table, ["key"], "x", "y", "value"), ["key"], "x", "y", "v").collect()
+    assert len(got) == len(at) + 1
+    for r in got:
+        inside = r.key == "k" and 1 <= r.x <= 4 and 10 <= r.y <= 40
+        assert r.v == (pytest.approx(f(r.x, r.y)) if inside else None)
 
 
 def test_stream_resumes_where_it_ended(spark, tmp_path):
