@@ -2,35 +2,85 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(left: DataFrame, right: DataFrame, ts: str, values: list[str], tolerance_s: float | None = None, keys: list[str] | None = None, bucket: str = "day") -> DataFrame:
-    """left with the values of the right row nearest in time (the later of equally near ones); null beyond the tolerance.
+def ranges(df: DataFrame, at: str, n: int | None = None) -> list[float]:
+    """Bounds of ranges of about equal numbers of rows by a numeric column, from its approximate quantiles; about two for each shuffle partition."""
+    n = n or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = df.agg(F.percentile_approx(at, F.array(*[F.lit(i / n) for i in range(1, n)]), 20 * n).alias("q")).first().q
+    return sorted({float(x) for x in q or ()})
 
-    The two sides are unioned and sorted once by key; last and next matches come from windows. Without keys all rows would meet in one
-    task, so the series is cut into calendar buckets; each bucket also sees the last match before and the first after it, found from one summary row per bucket.
+
+def ranged(df: DataFrame, at: str, bounds: list[float], into: str = "_b") -> DataFrame:
+    """df with into: the number of the range that at lies in, found by halving; null stays null."""
+    splits = [-float("inf"), *bounds, float("inf")]
+    if not bounds:
+        return df.withColumn(into, F.when(F.col(at).isNotNull(), F.lit(0.0)))
+    return Bucketizer(splits=splits, inputCol="_at", outputCol=into, handleInvalid="keep").transform(df.withColumn("_at", F.col(at).cast("double"))).withColumn(into, F.when(F.col(at).isNotNull(), F.col(into))).drop("_at")
+
+
+def nearest(left: DataFrame, right: DataFrame, ts: str, values: list[str], tolerance_s: float | None = None, keys: list[str] | None = None) -> DataFrame:
+    """left with the values of the right row nearest in time (the later of equally near ones); null beyond the tolerance, and for a null time.
+
+    The two sides are unioned and sorted once; last and next matches come from windows. Without keys, or with one that is most rows, a series would meet in one
+    task, so time is cut into ranges of about equal numbers of rows, however they crowd; each range also sees the last match before and the first after it,
+    found from one summary row per range.
     """
     keys = keys or []
     at = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(c) for c in values])
     r = right.select(*keys, ts, at.alias("_m")).where(F.col(ts).isNotNull())
-    both = left.withColumn("_l", F.lit(True)).unionByName(r.withColumn("_l", F.lit(False)), allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, ts))
-    edges = r.groupBy(*keys, F.date_trunc(bucket, ts).alias("_b")).agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
-    spine = both.select(*keys, "_b").distinct().join(edges, [*keys, "_b"], "left")
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b")  # a row per bucket
-    spine = spine.select(*keys, "_b", F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    w = Window.partitionBy(*keys, "_b").orderBy(ts)
+    both = left.withColumn("_l", F.lit(True)).unionByName(r.withColumn("_l", F.lit(False)), allowMissingColumns=True).withColumn("_t", F.unix_micros(ts))
+    both = ranged(both, "_t", ranges(both.select("_t"), "_t")).withColumn("_b", F.coalesce("_b", F.lit(-1.0)))
+    # a row for each key and range
+    edges = both.groupBy(*keys, "_b").agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b")
+    spine = edges.select(*keys, "_b", F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_t")
     both = both.withColumn("_p", F.last("_m", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.first("_m", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
     out = both.where("_l").join(spine, [*keys, "_b"]).withColumn("_p", F.coalesce("_p", "_before")).withColumn("_n", F.coalesce("_n", "_after"))
-    gap = lambda m: F.abs(F.unix_micros(ts) - F.unix_micros(f"{m}.t"))
+    gap = lambda m: F.abs(F.col("_t") - F.unix_micros(f"{m}.t"))
     best = F.when(F.col("_p").isNull() | (gap("_n") <= gap("_p")), F.col("_n")).otherwise(F.col("_p"))
-    out = out.withColumn("_m", best)
+    out = out.withColumn("_m", F.when(F.col("_t").isNotNull(), best))
     if tolerance_s is not None:
         out = out.withColumn("_m", F.when(gap("_m") <= int(tolerance_s * 1_000_000), F.col("_m")))
     return out.select(*left.columns, F.col("_m.t").alias("matched_ts"), *[F.col(f"_m.{c}").alias(c) for c in values])
 
 
+def trailing_at(probes: DataFrame, rows: DataFrame, id_col: str, ts: str, wanted: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """id_col and name -> (sum, avg or count; column of rows; seconds) over the rows in (t - seconds, t], for the time t of each probe.
+
+    What a window holds is the difference of two running sums, at its end and at its start. Both are places in time of their own, so time is cut into
+    ranges of about equal numbers of rows, each summed apart, and what lies before a range is carried to it by one row a range: a crowded hour is spread
+    over all tasks, and no row is copied. Sums are decimals of 15 places, so differences lose nothing. id_col names a probe; a null time has no rows.
+    """
+    columns = sorted({column for _, column, _ in wanted.values()})
+    exact = lambda x: F.col(x).cast("decimal(38,15)")
+    t = F.unix_micros(ts)
+    spans = sorted({s for *_, s in wanted.values()})
+    places = F.array(*[F.struct((t - s * 1_000_000).alias("t"), F.lit(s).alias("span")) for s in (0, *spans)])
+    p = probes.select(F.col(id_col).alias("_id"), F.explode(places).alias("_x")).select("_id", "_x.t", "_x.span").where("t IS NOT NULL")
+    e = rows.select(t.alias("t"), *[exact(x).alias(x) for x in columns]).where("t IS NOT NULL")
+    bounds = ranges(e, "t")
+    u = ranged(p.unionByName(e, allowMissingColumns=True), "t", bounds)
+    w = Window.partitionBy("_b").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = [(f"{how}_{x}", f(x)) for x in columns for how, f in (("s", F.sum), ("n", F.count))]
+    u = u.select("_id", "span", "_b", *[f.over(w).alias(k) for k, f in both]).where("span IS NOT NULL")
+    totals = ranged(e, "t", bounds).groupBy("_b").agg(*[f.alias(k) for k, f in both])
+    order = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    spine = F.broadcast(rows.sparkSession.createDataFrame([(float(i),) for i in range(len(bounds) + 1)], "_b double"))
+    carry = totals.join(spine, "_b", "right").select("_b", *[F.coalesce(F.sum(k).over(order), F.lit(0)).alias(f"_{k}") for k, _ in both])
+    u = u.join(F.broadcast(carry), "_b").select("_id", "span", *[(F.coalesce(k, F.lit(0)) + F.col(f"_{k}")).alias(k) for k, _ in both])
+    g = u.groupBy("_id").agg(*[F.max(F.when(F.col("span") == s, F.col(k))).alias(f"{k}_{s}") for k, _ in both for s in (0, *spans)])
+    less = lambda how, x, s: F.col(f"{how}_{x}_0") - F.col(f"{how}_{x}_{s}")
+    out = {name: (F.when(less("n", x, s) > 0, less("s", x, s).cast("double") / (less("n", x, s) if how == "avg" else 1)) if how != "count" else less("n", x, s)) for name, (how, x, s) in wanted.items()}
+    empty = {name: F.coalesce(F.col(name), F.lit(0)) if how == "count" else F.col(name) for name, (how, *_) in wanted.items()}
+    found = g.select(F.col("_id").alias(id_col), *[x.alias(name) for name, x in out.items()])
+    return probes.select(id_col).distinct().join(found, id_col, "left").select(id_col, *[x.alias(name) for name, x in empty.items()])
+
+
 def interval_join(left: DataFrame, right: DataFrame, start: Column, end: Column, ts: str, width_s: int, kind: str = "left") -> DataFrame:
     """Rows of right with start <= ts <= end, by equal time buckets of about the window's length: a hash join, each pair once.
 

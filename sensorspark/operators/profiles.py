@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def at_level(profile: DataFrame, scan: str, level: float, height: str = "height", value: str = "lin_pai", into: str = "at") -> DataFrame:
-    """A profile's value at a level by linear interpolation; the end values beyond the ends. One aggregation a scan."""
-    below, above = F.col(height) <= level, F.col(height) >= level
+def _level(level: float, height: str, value: str) -> tuple[list[Column], Column]:
+    """Aggregates of the rows around a level, and the value there from them: linear between, the end values beyond the ends."""
     pair = F.struct(F.col(height).alias("h"), F.col(value).alias("v"))
-    got = profile.groupBy(scan).agg(F.max(F.when(below, pair)).alias("_a"), F.min(F.when(above, pair)).alias("_b"))
+    around = [F.max(F.when(F.col(height) <= level, pair)).alias("_a"), F.min(F.when(F.col(height) >= level, pair)).alias("_b")]
     slope = F.try_divide(F.col("_b.v") - F.col("_a.v"), F.col("_b.h") - F.col("_a.h"))
     line = F.col("_a.v") + F.coalesce(slope, F.lit(0.0)) * (level - F.col("_a.h"))
-    return got.select(scan, F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(line).alias(into))
+    return around, F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull(), F.col("_a.v")).otherwise(line)
+
+
+def at_level(profile: DataFrame, scan: str, level: float, height: str = "height", value: str = "lin_pai", into: str = "at") -> DataFrame:
+    """A profile's value at a level. One aggregation a scan."""
+    around, at = _level(level, height, value)
+    return profile.groupBy(scan).agg(*around).select(scan, at.alias(into))
+
 
+def layer_split(profile: DataFrame, scan: str, level: float, height: str = "height", value: str = "lin_pai") -> DataFrame:
+    """Leaf area below and above a level, from one aggregation a scan."""
+    around, at = _level(level, height, value)
+    g = profile.groupBy(scan).agg(*around, F.max(value).alias("_total")).withColumn("under", at)
+    return g.select(scan, "under", F.greatest(F.col("_total") - F.col("under"), F.lit(0.0)).alias("over"))
 
-def layer_split(profile: DataFrame, scan: str, level: float) -> DataFrame:
-    """Leaf area below and above a level."""
-    total = profile.groupBy(scan).agg(F.max("lin_pai").alias("total"))
-    return total.join(at_level(profile, scan, level, into="under"), scan).withColumn("over", F.greatest(F.col("total") - F.col("under"), F.lit(0.0)))
 
 
 def gap_fraction(shots: DataFrame, scan: str, width: float) -> DataFrame:

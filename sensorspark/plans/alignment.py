@@ -72,12 +72,10 @@ def _(v):
     "scenes rain humid",
 )
 def _(v):
-    from ..operators.windows import trailing
-
-    rows = v.scenes.select("event_id", "ts", F.lit(True).alias("scene"))
-    rows = rows.unionByName(v.rain.select("ts", "mm"), allowMissingColumns=True).unionByName(v.humid.select("ts", "rh"), allowMissingColumns=True)
-    out = trailing(rows, "ts", {"rain_12h": ("sum", "mm", 12 * 3600), "rh_1h": ("avg", "rh", 3600)})
-    return out.where("scene").select("event_id", R6("rain_12h").alias("rain_12h"), R6("rh_1h").alias("rh_1h"))
+    """Only scenes are asked for, as differences of running sums."""
+    rows = v.rain.select("ts", "mm").unionByName(v.humid.select("ts", "rh"), allowMissingColumns=True)
+    out = joins.trailing_at(v.scenes, rows, "event_id", "ts", {"rain_12h": ("sum", "mm", 12 * 3600), "rh_1h": ("avg", "rh", 3600)})
+    return out.select("event_id", R6("rain_12h").alias("rain_12h"), R6("rh_1h").alias("rh_1h"))
 
 
 @query("J09_interval_context", "SELECT s.event_id, count(r.ts) AS n, round(coalesce(sum(r.mm), 0), 6) AS mm FROM scenes s LEFT JOIN rain r ON r.ts BETWEEN s.ts - INTERVAL 3 HOUR AND s.ts + INTERVAL 30 MINUTE GROUP BY 1", "scenes rain")

@@ -511,3 +511,36 @@ def test_the_halo_alone_grows_with_the_neighbourhood(spark):
         reach = size // 2
         sent = df.selectExpr(f"size(sequence(floor((x - {reach}) / 64), floor((x + {reach}) / 64))) * size(sequence(floor((y - {reach}) / 64), floor((y + {reach}) / 64))) AS n").agg(F.sum("n")).first()[0]
         assert sent / 65_536 <= most
+
+
+def burst(n=4000, seed=3):
+    """Seconds of rows of which nine in ten fall into one hour of a year."""
+    r = np.random.default_rng(seed)
+    return np.sort(np.where(r.random(n) < 0.9, 2_000_000 + r.integers(0, 3600, n), r.integers(0, 31_000_000, n)))
+
+
+def test_a_burst_is_spread_over_the_ranges(spark):
+    df = spark.createDataFrame([(int(t) * 1000 + i,) for i, t in enumerate(burst())], "t long")
+    n = joins.ranged(df, "t", joins.ranges(df, "t", 16)).groupBy("_b").count().collect()
+    assert len(n) == 16 and max(r["count"] for r in n) <= 2 * 4000 / 16
+    assert joins.ranges(df.limit(0), "t") == [] and joins.ranged(df.limit(0), "t", []).count() == 0
+
+
+def test_asof_and_trailing_sums_in_a_burst_match_brute_force(spark):
+    day = pd.Timestamp("2024-01-01")
+    at = lambda s: (day + pd.Timedelta(seconds=int(s))).to_pydatetime()
+    r = np.random.default_rng(1)
+    times, values = burst(1500), np.round(r.random(1500) * 10, 3)
+    probes = [*burst(200, 5), *times[:40]]
+    left = spark.createDataFrame([(i, int(i % 3), at(s)) for i, s in enumerate(probes)] + [(900, 0, None)], "id int, k int, ts timestamp")
+    right = spark.createDataFrame([(int(i % 3), at(s), float(v)) for i, (s, v) in enumerate(zip(times, values))] + [(0, None, 1.0)], "k int, ts timestamp, v double")
+    got = {x.id: x for x in joins.trailing_at(left, right, "id", "ts", {"total": ("sum", "v", 600), "mean": ("avg", "v", 7200), "n": ("count", "v", 600)}).collect()}
+    assert len(got) == len(probes) + 1 and (got[900].total, got[900].mean, got[900].n) == (None, None, 0)
+    for i, s in enumerate(probes):
+        short, long = values[(times > s - 600) & (times <= s)], values[(times > s - 7200) & (times <= s)]
+        assert got[i].n == len(short) and got[i].total == (pytest.approx(short.sum()) if len(short) else None) and got[i].mean == (pytest.approx(long.mean()) if len(long) else None)
+    got = {x.id: x.matched_ts for x in joins.nearest(left, right, "ts", ["v"], keys=["k"]).collect()}
+    assert len(got) == len(probes) + 1 and got[900] is None
+    for i, s in enumerate(probes):
+        own = times[i % 3 :: 3]
+        assert got[i] == at(max(own[np.abs(own - s) == np.abs(own - s).min()]))
