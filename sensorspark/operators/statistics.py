@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.shared import written
 from .joins import lagged_pairs
 
 
@@ -127,7 +128,8 @@ def _beta(a: float, b: float, x: float) -> float:
 def _quadratic(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Centred moments of a quadratic fit, its coefficients _b and c in them, and the determinant: one aggregation and a 2 x 2 solve in columns."""
     m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"))
-    d = df.join(m, keys).withColumn("_u", F.col(x) - F.col("_mx")).withColumn("_w", F.col("_u") * F.col("_u"))
+    # without keys there is one mean, which every row meets by broadcast
+    d = (df.join(m, keys) if keys else df.join(F.broadcast(m))).withColumn("_u", F.col(x) - F.col("_mx")).withColumn("_w", F.col("_u") * F.col("_u"))
     moments = [F.covar_pop(p, q).alias(n) for n, p, q in (("uu", "_u", "_u"), ("uw", "_u", "_w"), ("ww", "_w", "_w"), ("uy", "_u", y), ("wy", "_w", y))]
     g = d.groupBy(*keys).agg(*moments, F.var_pop(y).alias("yy"), F.avg(y).alias("my"), F.avg("_w").alias("mw"), F.first("_mx").alias("mx"), F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     g = g.withColumn("det", F.col("uu") * F.col("ww") - F.col("uw") * F.col("uw"))
@@ -154,21 +156,69 @@ def quadratic_band(df: DataFrame, keys: list[str], x: str, y: str, points: int =
     return p.select(*keys, "i", "x", (F.col("my") + F.col("_b") * F.col("_u") + F.col("c") * F.col("_w")).alias("fit"), (z * F.sqrt(rest * (1 + spread))).alias("half"))
 
 
-def exponential_fit(df: DataFrame, keys: list[str], x: str, y: str, rates: list[float]) -> DataFrame:
-    """The best of y = a exp(b x) + c over a grid of b: each rate is linear in (a, c), so one aggregation serves all."""
+#: Fewest rows that a regression is fitted to.
+LEAST_FIT = 10
+
+
+def exponential_grid(df: DataFrame, keys: list[str], x: str, y: str, rates: list[float]) -> DataFrame:
+    """The best of y = a exp(b x) + c over a grid of b: each rate is linear in (a, c), so one aggregation serves all. Groups of fewer than ten rows have none."""
     e = df.withColumn("b", F.explode(F.array(*[F.lit(float(b)) for b in rates]))).withColumn("_e", F.exp(F.col("b") * F.col(x)))
-    g = e.groupBy(*keys, "b").agg(F.regr_slope(y, "_e").alias("a"), F.regr_intercept(y, "_e").alias("c"), F.regr_r2(y, "_e").alias("r2")).where("r2 IS NOT NULL")
+    g = e.groupBy(*keys, "b").agg(F.regr_slope(y, "_e").alias("a"), F.regr_intercept(y, "_e").alias("c"), F.regr_r2(y, "_e").alias("r2"), F.regr_count(y, "_e").alias("_n")).where(f"r2 IS NOT NULL AND _n >= {LEAST_FIT}")
     return g.groupBy(*keys).agg(F.max(F.struct("r2", "a", "b", "c")).alias("_m")).select(*keys, "_m.*")
 
 
-def best_form(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, form, r2: the best of linear, logarithmic (x > 0 only), quadratic and exponential; of forms equal to nine places the last by name."""
-    simple = df.groupBy(*keys).agg(F.regr_r2(y, x).alias("linear"), F.regr_r2(y, F.when(F.col(x) > 0, F.log(x))).alias("logarithmic"))
+def exponential_fit(df: DataFrame, keys: list[str], x: str, y: str, rates: list[float], passes: int = 15, tolerance: float = 1e-9) -> DataFrame:
+    """keys, r2, a, b, c of the least-squares y = a exp(b x) + c, from the best rate of a grid on.
+
+    Given b the fit is linear in (a, c), so only b is searched: a Gauss-Newton step is the residual's share in the part of its derivative, a x exp(b x), that
+    a and c can't take up. All its sums come from one aggregation over all groups a pass; a step that doesn't lower the error is taken back and tried at
+    a quarter. x is centred within groups, so exponentials stay near 1. Passes end when no group's rate moves by more than the tolerance.
+    """
+    rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    middle = rows.groupBy(*keys).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    # best: the rate so far with its error (a share of the variance); b: the rate to try, step: from best to it
+    now = exponential_grid(df, keys, x, y, rates).select(*keys, F.col("b").alias("best"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("c"), "b", F.lit(0.0).alias("step"))
+    now = written(now.join(middle, keys))
+    for _ in range(passes):
+        d = rows.join(now.select(*keys, "_mx", "_my", "b"), keys).withColumns({"_u": F.col("_x") - F.col("_mx"), "_v": F.col("_y") - F.col("_my")})
+        d = d.withColumn("_e", F.exp(F.col("b") * F.col("_u"))).withColumn("_j", F.col("_u") * F.col("_e"))
+        m = d.groupBy(*keys).agg(
+            F.count("*").alias("_n"), F.avg("_e").alias("_me"), F.avg("_j").alias("_mj"), F.var_pop("_v").alias("_vv"), F.var_pop("_e").alias("_ee"), F.var_pop("_j").alias("_jj"),
+            F.covar_pop("_e", "_v").alias("_ev"), F.covar_pop("_e", "_j").alias("_ej"), F.covar_pop("_j", "_v").alias("_jv"),
+        )
+        a = F.try_divide("_ev", "_ee")
+        error = 1 - F.try_divide(F.col("_ev") * F.col("_ev"), F.col("_ee") * F.col("_vv"))
+        # j less its projection on e; the residual is orthogonal to e and to the constant
+        rest = F.col("_jj") - F.try_divide(F.col("_ej") * F.col("_ej"), F.col("_ee"))
+        step = F.try_divide(F.try_divide(F.col("_jv") - F.col("_a") * F.col("_ej"), "_a"), rest)
+        t = now.join(m, keys).withColumns({"_a": a, "_err": error}).withColumn("_step", F.coalesce(step, F.lit(0.0)))
+        better = F.col("error").isNull() | (F.col("_err") < F.col("error"))
+        back = F.col("step") / 4
+        t = t.select(
+            *keys, "_mx", "_my", F.when(better, F.col("b")).otherwise(F.col("best")).alias("best"), F.when(better, F.col("_err")).otherwise(F.col("error")).alias("error"), F.when(better, F.col("_a")).otherwise(F.col("a")).alias("a"),
+            F.when(better, F.col("_my") - F.col("_a") * F.col("_me")).otherwise(F.col("c")).alias("c"), F.when(better, F.col("_step")).otherwise(back).alias("step"),
+        )
+        now = written(t.withColumn("b", F.col("best") + F.col("step")))
+        moved = now.agg(F.max(F.abs("step"))).first()[0]
+        if moved is None or moved <= tolerance:
+            break
+    # a is that of the centred x
+    return now.select(*keys, (1 - F.col("error")).alias("r2"), (F.col("a") * F.exp(-F.col("best") * F.col("_mx"))).alias("a"), F.col("best").alias("b"), "c")
+
+
+def best_form(df: DataFrame, keys: list[str], x: str, y: str, refined: bool = False) -> DataFrame:
+    """keys, form, r2: the best of linear, logarithmic (if every x is above 0), quadratic and exponential; of forms equal to nine places the last by name.
+
+    Exponentials are the best of a grid of rates, or fitted from there if refined. Groups of fewer than ten rows, or with a constant y, have none.
+    """
+    simple = df.groupBy(*keys).agg(F.regr_r2(y, x).alias("linear"), F.when(F.min(x) > 0, F.regr_r2(y, F.when(F.col(x) > 0, F.log(x)))).alias("logarithmic"))
     simple = simple.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.col(k).alias("r2")) for k in ("linear", "logarithmic")])).alias("_f")).select(*keys, "_f.*")
-    others = [f.select(*keys, F.lit(k).alias("form"), "r2") for k, f in (("quadratic", quadratic_fit(df, keys, x, y)), ("exponential", exponential_fit(df, keys, x, y, rates())))]
+    exponential = (exponential_fit if refined else exponential_grid)(df, keys, x, y, rates())
+    others = [f.select(*keys, F.lit(k).alias("form"), "r2") for k, f in (("quadratic", quadratic_fit(df, keys, x, y)), ("exponential", exponential))]
     every = simple.unionByName(others[0]).unionByName(others[1]).where("r2 IS NOT NULL")
+    enough = df.groupBy(*keys).agg(F.regr_count(y, x).alias("_n"), F.var_pop(y).alias("_v")).where(f"_n >= {LEAST_FIT} AND _v > 0").select(*keys)
     best = F.max(F.struct(F.round("r2", 9).alias("a"), F.col("form").alias("b")))
-    return every.groupBy(*keys).agg(best.alias("_m"), F.max("r2").alias("r2")).select(*keys, F.col("_m.b").alias("form"), "r2")
+    return every.join(enough, keys, "left_semi").groupBy(*keys).agg(best.alias("_m"), F.max("r2").alias("r2")).select(*keys, F.col("_m.b").alias("form"), "r2")
 
 
 def simple_ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

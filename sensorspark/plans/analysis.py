@@ -654,11 +654,12 @@ def _(v):
 
 @query("C34_quadratic", "+m AS (SELECT avg(x1) AS m FROM drivers), u AS (SELECT y, x1 - m AS u, (x1 - m) ** 2 AS w FROM drivers, m), g AS (SELECT covar_pop(u, u) AS uu, covar_pop(u, w) AS uw, covar_pop(w, w) AS ww, covar_pop(u, y) AS uy, covar_pop(w, y) AS wy, var_pop(y) AS yy FROM u), s AS (SELECT *, (uy * ww - wy * uw) / (uu * ww - uw * uw) AS b, (wy * uu - uy * uw) / (uu * ww - uw * uw) AS q FROM g) SELECT round(q, 6) AS c, round((b * uy + q * wy) / yy, 6) AS r2 FROM s", "drivers")
 def _(v):
-    return st.quadratic_fit(v.drivers.withColumn("all", F.lit(1)), ["all"], "x1", "y").select(R6("c").alias("c"), R6("r2").alias("r2"))
+    return st.quadratic_fit(v.drivers, [], "x1", "y").select(R6("c").alias("c"), R6("r2").alias("r2"))
 
 
 @query("C34_exponential")
 def _(v):
+    """Each year's least-squares exponential, refined from the best rate of the grid."""
     return st.exponential_fit(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y", st.rates())
 
 
@@ -670,13 +671,26 @@ def forms_sql(key: str, source: str) -> str:
     return (
         f"fs AS (SELECT {key} AS k, x, y FROM {source}), ct AS (SELECT k, avg(x) AS mx FROM fs GROUP BY 1), fu AS (SELECT k, y, x - mx AS u, (x - mx) ** 2 AS w FROM fs JOIN ct USING (k)), "
         "qg AS (SELECT k, covar_pop(u, u) AS uu, covar_pop(u, w) AS uw, covar_pop(w, w) AS ww, covar_pop(u, y) AS uy, covar_pop(w, y) AS wy, var_pop(y) AS yy FROM fu GROUP BY 1), "
-        "ff AS (SELECT k, 'linear' AS form, regr_r2(y, x) AS r2 FROM fs GROUP BY 1 UNION ALL SELECT k, 'logarithmic', regr_r2(y, ln(x)) FROM fs WHERE x > 0 GROUP BY 1 "
+        "ff AS (SELECT k, 'linear' AS form, regr_r2(y, x) AS r2 FROM fs GROUP BY 1 UNION ALL SELECT k, 'logarithmic', CASE WHEN min(x) > 0 THEN regr_r2(y, ln(greatest(x, 1e-300::DOUBLE))) END FROM fs GROUP BY 1 "
         "UNION ALL SELECT k, 'quadratic', ((uy * ww - wy * uw) * uy + (wy * uu - uy * uw) * wy) / nullif(uu * ww - uw * uw, 0) / nullif(yy, 0) FROM qg "
         f"UNION ALL SELECT k, 'exponential', max(r2) FROM (SELECT k, b, regr_r2(y, exp(b * x)) AS r2 FROM fs, (VALUES {RATES}) z(b) GROUP BY 1, 2) GROUP BY 1), "
-        "bf AS (SELECT k, arg_max(form, struct_pack(a := round(r2, 9), b := form)) AS form, max(r2) AS r2 FROM ff WHERE r2 IS NOT NULL GROUP BY 1)"
+        f"en AS (SELECT k FROM fs GROUP BY 1 HAVING count(x) >= {st.LEAST_FIT} AND var_pop(y) > 0), "
+        "bf AS (SELECT k, arg_max(form, struct_pack(a := round(r2, 9), b := form)) AS form, max(r2) AS r2 FROM ff JOIN en USING (k) WHERE r2 IS NOT NULL GROUP BY 1)"
     )
 
 
+@query("C34_exponential_grid", f"+one AS (SELECT 1) SELECT year(d) AS yr, round(b, 6) AS b, round(r2, 6) AS r2 FROM (SELECT d, b, r2 FROM (SELECT min(d) AS d, year(d) AS k, b, regr_r2(y, exp(b * x1)) AS r2 FROM drivers, (VALUES {RATES}) z(b) GROUP BY 2, 3 HAVING count(y) >= {st.LEAST_FIT}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY r2 DESC) = 1)", "drivers")
+def _(v):
+    """The grid's best rate of each year."""
+    return st.exponential_grid(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y", st.rates()).select("yr", R6("b").alias("b"), R6("r2").alias("r2"))
+
+
+@query("C34_best_of_four_refined")
+def _(v):
+    """The best of four with the exponential's rate refined."""
+    return st.best_form(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y", refined=True).select("yr", "form", R6("r2").alias("r2"))
+
+
 @query("C34_best_of_four", f"+{forms_sql('year(d)', '(SELECT *, x1 AS x FROM drivers)')} SELECT k AS yr, form, round(r2, 6) AS r2 FROM bf", "drivers")
 def _(v):
     return st.best_form(v.drivers.withColumn("yr", F.year("d")), ["yr"], "x1", "y").select("yr", "form", R6("r2").alias("r2"))

@@ -544,3 +544,24 @@ def test_asof_and_trailing_sums_in_a_burst_match_brute_force(spark):
     for i, s in enumerate(probes):
         own = times[i % 3 :: 3]
         assert got[i] == at(max(own[np.abs(own - s) == np.abs(own - s).min()]))
+
+
+def test_planted_exponentials_are_found_off_the_grid(spark):
+    r = np.random.default_rng(2)
+    planted = {"up": (2.0, 0.0437, -5.0), "down": (30.0, -0.0713, 4.0), "steep": (1e-3, 0.1313, 1.0), "flip": (-4.0, -0.0191, 10.0)}
+    rows = [(k, float(x), a * np.exp(b * x) + c) for k, (a, b, c) in planted.items() for x in r.uniform(0, 60, 80)]
+    rows += [("few", float(x), 2 * np.exp(0.05 * x)) for x in range(9)] + [("noisy", float(x), 3 * np.exp(0.03 * x) + 1 + r.normal(0, 0.5)) for x in r.uniform(0, 60, 200)]
+    df = spark.createDataFrame([(k, x, float(y)) for k, x, y in rows], "k string, x double, y double")
+    got = {g.k: g for g in statistics.exponential_fit(df, ["k"], "x", "y", statistics.rates()).collect()}
+    assert set(got) == {*planted, "noisy"}
+    for k, (a, b, c) in planted.items():
+        assert abs(got[k].b - b) < 1e-6 and got[k].a == pytest.approx(a, rel=1e-4) and got[k].c == pytest.approx(c, abs=1e-4) and got[k].r2 > 1 - 1e-9
+    # the noisy one is at the least error among near rates
+    x, y = np.array([(x, y) for k, x, y in rows if k == "noisy"]).T
+
+    def error(b):
+        e = np.stack([np.exp(b * x), np.ones(len(x))], axis=1)
+        return ((y - e @ np.linalg.lstsq(e, y, rcond=None)[0]) ** 2).sum()
+
+    assert all(error(got["noisy"].b) <= error(b) + 1e-9 for b in got["noisy"].b + np.linspace(-1e-3, 1e-3, 21))
+    assert statistics.exponential_fit(df.limit(0), ["k"], "x", "y", statistics.rates()).collect() == []
