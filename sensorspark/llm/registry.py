@@ -46,7 +46,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived records, without the blocks themselves: their lengths and digests."""
+    """The derived records, without the blocks themselves: their lengths and digests. No table holds crawled files: each page stands for a response of a server that sends UTF-8."""
     records = warc.derive(warc.responses(_t(spark, sf_dir, "pages")))
     return records.select(F.col("source_id").cast("long").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "source_payload_digest", "content_length", "block_digest", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
 

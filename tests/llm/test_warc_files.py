@@ -1,4 +1,6 @@
+import base64
 import gzip
+import hashlib
 import io
 
 import pytest
@@ -56,3 +58,41 @@ def test_damaged_files_are_errors(spark, tmp_path, damage):
     (tmp_path / "x.warc.gz").write_bytes(gzip.compress(damage(record("warcinfo", "a", b"plain" * 1) + record("warcinfo", "b", b"y" * 50))))
     with pytest.raises(Exception, match="cut off|Content-Length says|no record begins"):
         warc.read_records(spark, f"file://{tmp_path}").collect()
+
+
+def test_payloads_are_bytes(spark, tmp_path):
+    """Another charset, chunked and compressed bodies, a digest of the crawler's; texts and digests by hand."""
+    latin = "<p>caf\u00e9</p>".encode("latin-1")
+    body = gzip.compress("<p>Gr\u00fc\u00dfe</p>".encode())
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(body[i : i + 7]), body[i : i + 7]) for i in range(0, len(body), 7)) + b"0\r\n\r\n"
+    cases = {
+        "<urn:latin>": (b"Content-Type: text/html; charset=ISO-8859-1", latin, "caf\u00e9", {}),
+        "<urn:meta>": (b"Content-Type: text/html", b"<meta charset='windows-1252'><p>\x93q\x94", "\u201cq\u201d", {}),
+        "<urn:both>": (b"Content-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked, "Gr\u00fc\u00dfe", {}),
+        "<urn:own>": (b"Server: s", b"<p>x", "x", {"WARC-Payload-Digest": "sha1:GIVEN"}),
+        "<urn:odd>": (b"Content-Type: text/html; charset=no-such\r\nContent-Encoding: br", b"<p>\xc3\xa9", "\u00e9", {}),
+        "<urn:cut>": (b"Content-Encoding: gzip", gzip.compress(b"<p>" + b"word " * 50_000)[:-40], None, {}),
+    }
+    data = b"".join(record("response", k, b"HTTP/1.1 200 OK\r\n" + h + b"\r\n\r\n" + p, **more) for k, (h, p, _, more) in cases.items())
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data))
+    source = warc.from_records(warc.read_records(spark, f"file://{tmp_path}"))
+    assert sorted((r.record_id, bytes(r.payload)) for r in source.collect()) == sorted((k, p) for k, (_, p, *_) in cases.items() for _ in "ab")
+    rows = warc.derive(source).collect()
+    assert len(rows) == 4 * len(cases)
+    for r in rows:
+        _, payload, text, more = cases[r.refers_to]
+        want = more.get("WARC-Payload-Digest") or "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert r.source_payload_digest == want and f"X-Source-Payload-Digest: {want}\r\n" in r.record
+        ((kind, name, block),) = parsed(r.record.encode() + b"\r\n\r\n")  # a reader of its own
+        assert (kind, name, block) == (r.warc_type, r.record_id, r.block.encode())
+        if kind == "conversion":
+            assert r.block == text or text is None and r.block.startswith("word word")
+            assert r.refers_to != "<urn:own>" or "X-Source-Server: s\r\nX-Source-Payload-Digest" in r.record
+
+
+def test_plain_files_are_read(spark, tmp_path):
+    rows = [record("response", f"<urn:{i}>", b) for i, b in enumerate(BLOCKS)]
+    (tmp_path / "x.warc").write_bytes(b"".join(rows))
+    got = sorted((r.record_id, bytes(r.raw)) for r in warc.read_records(spark, f"file://{tmp_path}").collect())
+    assert got == sorted((f"<urn:{i}>", b) for i, b in enumerate(BLOCKS))
