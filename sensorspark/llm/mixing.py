@@ -10,7 +10,7 @@ draw is a hash of doc_id, so a recomputed task draws the same.
 
 Defined results: a null source, language or topic is a value of its own ('?'). A value without a target gets 0: its documents have probability 0.
 Null and empty texts have 0 tokens and their cell's probability; a cell without tokens has factor 1. Repeated rows are drawn alike. Where docs has columns
-topic or tokens, they are used; other extra columns are ignored.
+topic or tokens, they are used (tokens that are no number count 0); other extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,12 +94,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], strict: bool = True) -
     return cells.select(*MARGINS, "tokens", "fitted")
 
 
-def _celled(docs: DataFrame) -> DataFrame:
-    """docs (with _source and _lang) with their topic and tokens, given or found."""
+def _celled(docs: DataFrame, id_col: str, keep_rows: bool) -> DataFrame:
+    """_id, a column for each margin and _n (tokens), given or found; with keep_rows also _row, which holds all columns of docs, so that no name clashes."""
     given = {c.lower() for c in docs.columns}
     own = F.coalesce(F.col("topic").cast("string"), F.lit("?")) if "topic" in given else topic(F.col("text"))
-    n = F.coalesce(F.col("tokens").cast("long"), F.lit(0)) if "tokens" in given else tokens(F.col("text"))
-    return docs.withColumns({"_topic": own, "_n": n})
+    n = F.coalesce(F.col("tokens").try_cast("long"), F.lit(0)) if "tokens" in given else tokens(F.col("text"))
+    values = [F.coalesce(F.col(m).cast("string"), F.lit("?")).alias(f"_{m}") for m in MARGINS[:2]]
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep_rows else []
+    return docs.select(*row, F.col(id_col).alias("_id"), *values, own.alias("_topic"), n.alias("_n"))
 
 
 def _drawn(docs: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
@@ -113,21 +115,16 @@ def _drawn(docs: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
     return drawn.withColumns({"_w": F.coalesce(F.try_divide("_r", "_p"), F.lit(0.0)), "_kept": u < F.col("_p")})
 
 
-def _values() -> dict[str, Column]:
-    return {f"_{m}": F.coalesce(F.col(m).cast("string"), F.lit("?")) for m in MARGINS[:2]}
-
-
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id") -> DataFrame:
     """One row for each row of docs: doc_id, source, lang, topic, n_tokens, probability, weight, kept. docs needs source, lang, and text or topic and tokens."""
-    light = cut(_celled(docs.withColumns({"_id": F.col(id_col), **_values()})).select("_id", *[f"_{m}" for m in MARGINS], "_n"))  # texts are read once
-    drawn = _drawn(light, targets)
+    drawn = _drawn(cut(_celled(docs, id_col, keep_rows=False)), targets)  # texts are read once
     return drawn.select(F.col("_id").alias("doc_id"), *[F.col(f"_{m}").alias(m) for m in MARGINS], F.col("_n").alias("n_tokens"), F.round("_p", 6).alias("probability"), F.round("_w", 6).alias("weight"), F.col("_kept").alias("kept"))
 
 
 def weighted(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The rows of docs that the mixture keeps; all their columns, and weight: how often a row's tokens count, so that the targets hold."""
-    drawn = _drawn(_celled(docs.withColumns({"_id": F.col("doc_id"), **_values()})), targets)
-    return drawn.where("_kept").select(*[c for c in docs.columns if c != "weight"], F.col("_w").alias("weight"))
+    """The rows of docs that the mixture keeps; all their columns, and weight (in place of one that docs has): how often a row's tokens count, so that the targets hold."""
+    drawn = _drawn(_celled(docs, "doc_id", keep_rows=True), targets)
+    return drawn.where("_kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "weight"], F.col("_w").alias("weight"))
 
 
 def sql() -> str:

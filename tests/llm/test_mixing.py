@@ -73,3 +73,20 @@ def test_own_topics_and_tokens_are_used(spark):
     rows = [(1, "a b", "x", "en", "news", 30), (2, "c", "x", "en", "law", 10), (3, "d", "x", "en", None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string, tokens long")
     assert {r.doc_id: (r.topic, r.n_tokens) for r in mixing.mix(docs).collect()} == {1: ("news", 30), 2: ("law", 10), 3: ("?", 0)}
+
+
+def test_no_column_clashes(spark):
+    names = ["_r", "_p", "_n", "_id", "_w", "_topic", "_source", "_lang", "_row", "_kept", "weight"]
+    df = spark.createDataFrame([(i, "some words here", "en", f"s{i % 3}", *range(7, 7 + len(names))) for i in range(60)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.weighted(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert [r[n] for n in names[:-1]] == list(range(7, 6 + len(names))) and r.weight >= 1
+    assert sorted(map(tuple, mixing.mix(df).collect())) == sorted(map(tuple, mixing.mix(df.select("doc_id", "text", "lang", "source")).collect()))
+
+
+def test_tokens_that_are_no_numbers_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "a", "en", "s", "12"), (2, "a", "en", "s", "many"), (3, "a", "en", "s", None)], "doc_id long, text string, lang string, source string, tokens string")
+    assert sorted((r.doc_id, r.n_tokens) for r in mixing.mix(df).collect()) == [(1, 12), (2, 0), (3, 0)]
+    long = spark.createDataFrame([(1, "w " * 300_000, "en", "s"), (2, "w", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.n_tokens for r in mixing.mix(long).collect()} == {1: 300_000, 2: 1}
