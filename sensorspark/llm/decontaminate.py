@@ -6,7 +6,8 @@ shared window is missed. Kept runs of documents and of items' distinct windows a
 around it, which is compared word by word; windows that are found meet their items then. An item of fewer words than WINDOW is one window of its own
 length, whose hash is looked up among all runs of that length.
 
-Document runs are never shuffled while the items' side has at most BROADCAST_ROWS rows (counted); beyond that Spark joins by shuffle.
+Document runs are never shuffled while the items' side has at most BROADCAST_ROWS rows (counted); beyond that Spark joins by shuffle, and a run then
+carries the few words around it. Runs that stand in very many documents are split by Spark's skew join, for the items' side of a run is small.
 
 Defined results: words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z only. Null and empty texts have no words and no
 hits; items without words have no windows; an item whose id is null marks words but is neither counted nor listed. Rows that repeat a
@@ -26,6 +27,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same class without a negation, after lower-casing: Java's matcher is eight times faster on it.
 FAST_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 WINDOW, K = 10, 6
+W = WINDOW - K + 1  # runs in a stretch
+PLACE = 3  # bits that hold a place modulo W
 BROADCAST_ROWS = 2_000_000
 
 
@@ -37,39 +40,29 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(FAST_WORD), F.lit(0))
 
 
-def _run(at: str, length: int) -> Column:
-    """The hash of the run of that many words from `at` on."""
-    return F.xxhash64(*[F.get(F.col("h"), F.expr(f"{at} + {i}")) for i in range(length)])
-
-
 def _runs() -> Column:
-    """The hashes of all runs of K words, one for each place. An array, so that each is computed once: as columns of exploded places, compared
-    with their neighbours, they make a method that Java doesn't compile."""
-    r = F.transform("h", lambda x, i: F.xxhash64(x, *[F.get(F.col("h"), i + j) for j in range(1, K)]))
+    """The hashes of all runs of K words, one for each place, with the place modulo W in their last bits: of equal hashes in a stretch the smaller is then
+    a matter of place. An array, so that each is computed once: as columns of exploded places, compared with their neighbours, they make a method that
+    Java doesn't compile."""
+    r = F.transform("h", lambda x, i: F.xxhash64(x, *[F.get(F.col("h"), i + j) for j in range(1, K)]).bitwiseAND(F.lit(-8)).bitwiseOR((i % W).cast("long")))
     return F.slice(r, 1, F.greatest(F.size("h") - (K - 1), F.lit(0)))
 
 
 def _kept(ties: bool) -> Column:
     """Whether the run at p has the smallest hash in some stretch of W runs that lies within the text; of equals all, or in each stretch the one at
     the place with the smallest remainder, which thins repetitive text as well."""
-    w = WINDOW - K + 1
+    hashed = (lambda c: F.shiftright(c, PLACE)) if ties else (lambda c: c)
     at = lambda j: F.get(F.col("r"), F.expr(f"p + {j}"))
 
     def side(step: int) -> Column:
         """How many runs on one side, at most W - 1, exist and don't come first."""
-
-        def stop(j: int) -> Column:
-            first = at(step * j) < F.col("run")
-            if not ties:
-                first = first | ((at(step * j) == F.col("run")) & (F.expr(f"pmod(p + {step * j}, {w})") < F.expr(f"pmod(p, {w})")))
-            return F.coalesce(first, F.lit(True))
-
+        stop = lambda j: F.coalesce(hashed(at(step * j)) < hashed(F.col("run")), F.lit(True))
         out = F.when(stop(1), 0)
-        for j in range(2, w):
+        for j in range(2, W):
             out = out.when(stop(j), j - 1)
-        return out.otherwise(w - 1)
+        return out.otherwise(W - 1)
 
-    return side(-1) + side(1) >= w - 1
+    return side(-1) + side(1) >= W - 1
 
 
 def _hashed(df: DataFrame, text: str) -> DataFrame:
@@ -82,7 +75,7 @@ def _item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     long = items.where(F.size("w") >= WINDOW).withColumn("r", _runs()).select("item", "w", "r", F.posexplode("r").alias("p", "run")).where(_kept(ties=True))
     # each window that holds the kept run
     long = long.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - (WINDOW - K)), F.least(F.col("p"), F.size("w") - WINDOW))))
-    long = long.select("item", F.lit(WINDOW).alias("n"), "run", (F.col("p") - F.col("s")).alias("before"), F.slice("w", F.col("s") + 1, WINDOW).alias("window"))
+    long = long.select("item", F.lit(WINDOW).alias("n"), F.shiftright("run", PLACE).alias("run"), (F.col("p") - F.col("s")).alias("before"), F.slice("w", F.col("s") + 1, WINDOW).alias("window"))
     short = items.where(F.size("w") < WINDOW).select("item", F.size("w").alias("n"), F.xxhash64("h").alias("run"), F.lit(0).alias("before"), F.col("w").alias("window"))
     return long.unionAll(short).distinct()
 
@@ -99,19 +92,23 @@ def _results(docs: DataFrame, items: DataFrame) -> DataFrame:
     lengths = {r.n: r.rows for r in windows.groupBy("n").agg(F.count("*").alias("rows")).collect()}  # at most WINDOW rows
     mark = F.broadcast if sum(lengths.values()) <= BROADCAST_ROWS else (lambda df: df)
     docs = _hashed(docs.withColumn("key", F.xxhash64("text", F.length("text"))), "text").drop("text")
-    of = lambda n: mark(windows.where(f"n = {n}").select("run", "before", "window"))
-    # a window is compared word by word within the join
-    same = lambda n: (F.col("p") >= F.col("before")) & (F.slice("w", F.greatest(F.col("p") - F.col("before"), F.lit(0)) + 1, n) == F.col("window"))
+    # what a run carries is the words around it, not its text: as many as a window may take
+    reach = WINDOW - K
+    first = F.greatest(F.col("p") - reach, F.lit(0))
     # the first element stands for the document itself: texts are read and split once, hits or none
     places = docs.withColumn("r", _runs()).select("doc_id", "key", "w", "r", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "r")).alias("_p", "run")).withColumn("p", F.col("_p") - 1)
-    kept = places.where((F.col("p") < 0) | _kept(ties=False)).withColumn("run", F.when(F.col("p") >= 0, F.col("run"))).drop("r", "_p").alias("d")
-    met = kept.join(of(WINDOW).alias("i"), (F.col("d.run") == F.col("i.run")) & same(WINDOW), "left").where("p < 0 OR window IS NOT NULL")
-    rows = met.select("doc_id", "key", F.when(F.col("p") < 0, F.size("w")).alias("n_words"), (F.col("p") - F.col("before")).alias("s"), F.lit(WINDOW).alias("n"), "window")
-    for n in sorted(k for k in lengths if k < WINDOW):
-        at = docs.select("doc_id", "key", "w", "h", F.posexplode("h").alias("p", "_h")).where(F.get(F.col("h"), F.expr(f"p + {n - 1}")).isNotNull())
-        # an array's hash is that of its elements in turn
-        at = at.withColumn("run", _run("p", n)).alias("d").join(of(n).alias("i"), (F.col("d.run") == F.col("i.run")) & same(n))
-        rows = rows.unionAll(at.select("doc_id", "key", F.lit(None).cast("int").alias("n_words"), F.col("p").alias("s"), F.lit(n).alias("n"), "window"))
+    kept = places.where((F.col("p") < 0) | _kept(ties=False)).select("doc_id", "key", "p", F.when(F.col("p") >= 0, F.shiftright("run", PLACE)).alias("run"), F.when(F.col("p") < 0, F.size("w")).alias("n_words"), F.when(F.col("p") >= 0, F.slice("w", first + 1, reach + WINDOW)).alias("around"))
+    # a window is compared word by word within the join
+    same = (F.least(F.col("p"), F.lit(reach)) >= F.col("before")) & (F.slice("around", F.least(F.col("p"), F.lit(reach)) - F.col("before") + 1, WINDOW) == F.col("window"))
+    met = kept.alias("d").join(mark(windows.where(f"n = {WINDOW}").select("run", "before", "window")).alias("i"), (F.col("d.run") == F.col("i.run")) & same, "left").where("p < 0 OR window IS NOT NULL")
+    rows = met.select("doc_id", "key", "n_words", (F.col("p") - F.col("before")).alias("s"), F.lit(WINDOW).alias("n"), "window")
+    short = sorted(k for k in lengths if k < WINDOW)
+    if short:  # all lengths in one pass; an array's hash is that of its elements in turn
+        ends = lambda i: F.array(*[F.struct(F.lit(n).alias("n"), i.alias("p"), F.when(i + n <= F.size("h"), F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(n)])).alias("run")) for n in short])
+        each = F.filter(F.flatten(F.transform("h", lambda x, i: ends(i))), lambda x: x["run"].isNotNull())
+        at = docs.select("doc_id", "key", "w", F.explode(each).alias("x")).select("doc_id", "key", "x.*", F.slice("w", F.col("x.p") + 1, F.col("x.n")).alias("around")).alias("d")
+        found = at.join(mark(windows.where(f"n < {WINDOW}").select("n", "run", "window")).alias("i"), (F.col("d.n") == F.col("i.n")) & (F.col("d.run") == F.col("i.run")) & (F.col("around") == F.col("window")))
+        rows = rows.unionAll(found.select("doc_id", "key", F.lit(None).cast("int").alias("n_words"), F.col("p").alias("s"), F.col("d.n").alias("n"), "window"))
     rows = cut(rows)
     per = rows.groupBy("doc_id", "key").agg(F.count(F.col("n_words")).alias("copies"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set(F.when(F.col("window").isNotNull(), F.struct("s", F.expr("s + n").alias("e"))))).alias("spans"))
     # first per window, so that a passage that stands in many places of a document stays small

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from sensorspark.llm import decontaminate
+from sensorspark.llm.common import cut
 
 from . import brute
 
@@ -58,3 +59,46 @@ def test_repetitive_texts_are_thinned_and_matched(spark):
         assert r["n"] / 5 - 2 <= r["count"] <= r["n"] / 2.5
     docs = [(i, "start " + t + " end") for i, t in enumerate(texts)]
     check(spark, docs, [(1, "x " * 12), (2, "y z x y z x y z x y z"), (3, "c d e a b c d e a b"), (4, "c d e a b c d e a c"), (5, " ".join(f"w{i % 7}" for i in range(3, 30))), (6, "x " * 10 + "end"), (7, "e end")])
+
+
+def test_long_texts_shuffle_in_proportion(spark, monkeypatch):
+    """Beyond the broadcast bound, a run takes the words around it along, not its text."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(16_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(text.split()[500:512])), (2, "w1 w2")], "item_id long, text string")
+    plans = []
+    monkeypatch.setattr(decontaminate, "cut", lambda d: plans.append(d) or cut(d))
+    assert decontaminate.contamination(df, items).first().n_hit == 12
+    (rows,) = [d for d in plans if "n_words" in d.columns]  # windows found in documents
+    plan = rows._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    sent = [m.value() for m in shuffle_bytes(plan)]
+    assert 0 < sum(sent) < 5e6
+
+
+def shuffle_bytes(plan):
+    """The metrics of bytes written of an executed plan's shuffles."""
+    found, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+            continue
+        if name == "ShuffleExchangeExec":
+            found.append(p.metrics().apply("shuffleBytesWritten"))
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return found
+
+
+def test_all_short_lengths_in_one_pass(spark):
+    r = random.Random(9)
+    items = [(n, " ".join(f"w{r.randrange(5)}" for _ in range(n))) for n in range(1, 10)] + [(20, " ".join(f"w{r.randrange(5)}" for _ in range(12)))]
+    docs = [(i, " ".join(f"w{r.randrange(5)}" for _ in range(r.randrange(30)))) for i in range(60)]
+    check(spark, docs, items)
