@@ -11,9 +11,11 @@ How it works, and why nothing is lost:
    is less than 2 n, so all pairs under the signature-distance threshold are found. It and n follow from the percentage asked for (layout): a pair that is just alike
    enough exceeds it in at most 1 of a million cases. At 85 % they are 17 errors of 36 values in 9 chunks. Only a spanning forest of the pairs
    leaves a task: at most one edge for each member, however large the group is.
-4. Components of those edges are clusters; every true link lies inside one. Each cluster's full shingle sets are compared in
-   bounded blocks of members, exactly, and again a spanning forest of the confirmed links leaves each task. Their components
-   are the result.
+4. Components of those edges are clusters; every true link lies inside one. Pages of one template, alike but not alike enough, make large ones without
+   a link. So members of clusters of more than one block are compared by WIDE values first, and what can't be alike enough by these goes no further; the bound
+   of errors again costs a pair that is just alike enough 1 in a million. Components of what is left are clusters in turn.
+5. Each cluster's full shingle sets are compared in bounded blocks of members, exactly, and again a spanning forest of the confirmed links leaves each
+   task. Their components are the result.
 
 Groups larger than a block are dealt out as pairs of blocks over many tasks. Nothing is capped.
 
@@ -37,6 +39,7 @@ SHINGLE = 5
 MOST_VALUES, LEAST_CHUNKS = 256, 6
 MISS = 1e-6  # share of the pairs just alike enough that exceed the bound of errors
 SMALL = 500_000  # rows of ids (16 bytes each) or signatures (about 100 bytes each) up to which a counted table is broadcast
+WIDE = 256  # values that members of large clusters are compared by before their sets are
 KEY_BLOCK = 4096  # members of a key whose signatures meet in one task, at most two blocks at a time
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21  # members of a cluster, and shingles of them, that meet in one task, at most two blocks at a time
 
@@ -91,19 +94,25 @@ def _sign(values: int):
     return run
 
 
+def errors_of(values: int, percent: int) -> int:
+    """The errors of so many values that a pair just alike enough exceeds in at most a share MISS of the cases."""
+    p, tail, errors = percent / 100, 0.0, values
+    while errors > 0:
+        tail += comb(values, errors) * (1 - p) ** errors * p ** (values - errors)
+        if tail > MISS:
+            break
+        errors -= 1
+    return errors
+
+
 def layout(percent: int) -> tuple[int, int, int]:
     """Chunks of the signature, values of a chunk, and errors within which a pair is a candidate: fewer than two for each chunk."""
     if not 0 < percent <= 100:
         raise ValueError(f"percent is {percent}")
-    p = percent / 100
     for size in (4, 3):  # keys of fewer than two values would be shared by chance
         for n in range(LEAST_CHUNKS, MOST_VALUES // size + 1):
             v = n * size
-            errors, tail = 0, 1 - p**v
-            while tail > MISS and errors < 2 * n:
-                errors += 1
-                tail = sum(comb(v, i) * (1 - p) ** i * p ** (v - i) for i in range(errors + 1, v + 1))
-            if errors < 2 * n:
+            if (errors := errors_of(v, percent)) < 2 * n:
                 return n, size, errors
     raise ValueError(f"{MOST_VALUES} values can't find pairs that share {percent} %")
 
@@ -148,6 +157,27 @@ def _edges(edges) -> pa.Table:
     return pa.table({"a": a[:, 0], "b": a[:, 1]})
 
 
+def _wide(batches):
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            sig = pa.array([signature(s, WIDE).tobytes() for s in shingle_sets(part.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sig], names=["doc_id", "cluster", "sig"])
+
+
+def parted(docs: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """clusters (doc_id, cluster, n) with those of more than a block of members replaced by what hangs together of them by WIDE values; members left alone are gone."""
+    big = clusters.groupBy("cluster").count().where(F.col("count") > BLOCK).select("cluster", F.ceil(F.col("count") / KEY_BLOCK).alias("blocks"))
+    big = cut(big)
+    members = clusters.join(small(big, SMALL), "cluster")
+    wide = docs.join(small(cut(members.select("doc_id", "cluster", "blocks")), SMALL), "doc_id").select("doc_id", "cluster", "text", "blocks")
+    wide = wide.select("doc_id", "cluster", "text").mapInArrow(_wide, "doc_id long, cluster long, sig binary").join(small(big, SMALL), "cluster")
+    met = _in_blocks(wide, "blocks").select("cluster", "x", "y", "doc_id", "sig")
+    near = met.groupBy("cluster", "x", "y").applyInArrow(_near_signatures(errors_of(WIDE, percent)), "a long, b long").distinct()
+    again = components(near).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
+    return clusters.join(small(big, SMALL).select("cluster"), "cluster", "left_anti").unionByName(again.join(members.select("doc_id", "n"), "doc_id"))
+
+
 def _near_signatures(errors: int):
     def run(t: pa.Table) -> pa.Table:
         sig = np.stack([np.frombuffer(x, dtype=np.uint16) for x in t.column("sig").to_pylist()])
@@ -213,6 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = candidates(reps.select("doc_id", "sig"), n, size, errors)
     clusters = components(near).withColumnsRenamed({"node": "doc_id", "label": "cluster"})
     clusters = cut(clusters.join(reps.groupBy("doc_id").agg(F.sum("n_shingles").alias("n")), "doc_id"))
+    clusters = cut(parted(docs, clusters, percent))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks"))
     sets = docs.join(small(clusters.select("doc_id", "cluster"), SMALL), "doc_id").select("doc_id", "cluster", "text").mapInArrow(_shingles, "doc_id long, cluster long, shingles binary")
@@ -231,7 +262,9 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     repeated = cut(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     docs = docs.join(small(gone, SMALL), "doc_id", "left_anti")
     if repeated.count():
-        once = docs.join(small(repeated, SMALL), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+        # columns of any type, also those without an order: of equal hashes of a row any row will do
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        once = docs.join(small(repeated, SMALL), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_row")).select("_row.*")
         docs = docs.join(small(repeated, SMALL), "doc_id", "left_anti").unionByName(once)
     return docs
 

@@ -118,3 +118,32 @@ def test_a_large_group_of_near_copies_is_not_squared(spark):
     for a, b in edges.collect():
         root[find(a)] = find(b)
     assert len({find(i) for i in range(many)}) == 1
+
+
+def test_pages_of_a_template_send_few_sets(spark, monkeypatch):
+    """1,500 texts that share 104 of 145 words: one cluster by 36 values, hardly a set to compare by 256; planted near copies among them are found."""
+    import random
+
+    r = random.Random(3)
+    head = " ".join(f"house{i}" for i in range(104))
+    docs = [(i, head + " " + " ".join(f"w{r.randrange(10**7)}" for _ in range(41))) for i in range(1_500)]
+    docs += [(2_000 + i, docs[i][1] + " end") for i in range(5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sent, plain = [], near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_in_blocks", lambda d, b, f=near_dedup._in_blocks: sent.append(d) or f(d, b))
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: i - 2_000 if i >= 2_000 else i for i, _ in docs} and plain is near_dedup._linked
+    (sets,) = [d for d in sent if "shingles" in d.columns]
+    assert sets.count() <= 15 + 2 * 5
+
+
+def test_parted_clusters_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.near_duplicates(docs)
+
+
+def test_rows_of_unordered_types_are_kept_once(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", {"k": 1}), (1, "a b c d e f", {"k": 2}), (2, "other words here now", None)], "doc_id long, text string, m map<string,int>")
+    assert sorted(r.doc_id for r in near_dedup.drop_near_duplicates(df).collect()) == [1, 2]
