@@ -159,9 +159,11 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = docs.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(_search(bounds, F.col("doc_id"))))
     tops = sorted(docs.groupBy("block").agg(F.max("doc_id").alias("top")).collect(), reverse=True)  # at most n + 1 rows
     halo = docs.sparkSession.createDataFrame([(r.block, r.top, tops[i - 1].block) for i, r in enumerate(tops)], "block int, top long, before int")
-    own, also = F.struct(F.col("block").alias("block"), F.lit(0).alias("halo")), F.struct(F.col("before").alias("block"), F.lit(1).alias("halo"))
-    rows = docs.join(F.broadcast(halo), "block").withColumn("_to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, also)).otherwise(F.array(own))))
-    rows = rows.select("_to.block", "_to.halo", "doc_id", "text").repartition(shuffle_partitions(docs.sparkSession), "block")
+    own = docs.select("block", F.lit(0).alias("halo"), "doc_id", "text")
+    # one row for each range, however often its largest id repeats: the first by text, nulls first
+    first = docs.join(F.broadcast(halo), "block").where(F.col("doc_id").eqNullSafe(F.col("top")) & F.col("before").isNotNull())
+    first = first.groupBy("before").agg(F.max("doc_id").alias("doc_id"), F.min(F.struct(F.col("text").isNotNull().alias("k"), "text")).alias("m")).select(F.col("before").alias("block"), F.lit(1).alias("halo"), "doc_id", "m.text")
+    rows = own.unionByName(first).repartition(shuffle_partitions(docs.sparkSession), "block")
     return rows.sortWithinPartitions("block", "halo", F.desc_nulls_last("doc_id"), "text").mapInArrow(_compare, RESULT)
 
 
