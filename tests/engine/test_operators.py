@@ -3,6 +3,7 @@
 import itertools
 import subprocess
 import sys
+import time
 from datetime import date, timedelta
 from pathlib import Path
 
@@ -565,3 +566,23 @@ def test_planted_exponentials_are_found_off_the_grid(spark):
 
     assert all(error(got["noisy"].b) <= error(b) + 1e-9 for b in got["noisy"].b + np.linspace(-1e-3, 1e-3, 21))
     assert statistics.exponential_fit(df.limit(0), ["k"], "x", "y", statistics.rates()).collect() == []
+
+
+def test_what_jobs_write_goes_with_the_session(tmp_path):
+    code = f"""
+import os
+from pyspark.sql import SparkSession
+from sensorspark.sources.shared import written
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+assert written(spark.range(5)).count() == 5
+(folder,) = [d for d in os.listdir("{tmp_path}") if d.startswith("sensorspark-")]
+assert len(os.listdir("{tmp_path}/" + folder)) == 1
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
+    for _ in range(100):  # the JVM ends a little later
+        if not [d for d in tmp_path.iterdir() if d.name.startswith("sensorspark-")]:
+            break
+        time.sleep(0.2)
+    else:
+        raise AssertionError(list(tmp_path.iterdir()))
