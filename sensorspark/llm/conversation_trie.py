@@ -195,8 +195,8 @@ def nodes(conversations: DataFrame, limit: int = LIMIT) -> DataFrame:
     known = mark(heads.select("node", "depth", F.col("least").alias("head_least")))
     # the deepest head node on each path; what comes after it is the suffix, and the next node its container
     under = paths.select("conv_id", F.explode(F.slice("path", 1, deepest)).alias("node")).join(known, "node").groupBy("conv_id").agg(F.max(F.struct("depth", "head_least")).alias("head"))
-    root = heads.where("depth = 0").select(F.col("least").alias("root_least"))
-    placed = paths.join(under, "conv_id", "left").join(F.broadcast(root), how="left").withColumn("depth", F.coalesce("head.depth", F.lit(0))).withColumn("least", F.coalesce("head.head_least", "root_least"))
+    root = heads.where("depth = 0").select("least").first()
+    placed = paths.join(under, "conv_id", "left").withColumns({"depth": F.coalesce("head.depth", F.lit(0)), "least": F.coalesce("head.head_least", F.lit(root and root[0]).cast("long"))})
     placed = placed.withColumn("up", F.concat(F.array(F.lit(ROOT)), F.slice("path", F.lit(1), F.col("depth"))))
     rest = placed.where("size(path) > depth").select("conv_id", "least", "depth", "up", F.get("path", "depth").alias("container"), *[F.slice(c, F.col("depth") + 1, F.size("path")).alias(a) for c, a in (("ids", "suffix"), ("words", "words"))])
     swept = cut(rest.repartition("container").sortWithinPartitions("container", "suffix", "conv_id").mapInArrow(_sweep, _NODE + ", up array<binary>"))
