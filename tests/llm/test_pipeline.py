@@ -49,3 +49,24 @@ def test_the_mixing_stage_has_the_raked_shares(spark, tmp_path):
     some = out.orderBy("doc_id").limit(50).cache()
     token_files.write(some, path)
     assert sorted((r.doc_id, r.weight) for r in token_files.read(spark, path, weighted=True).collect()) == sorted((r.doc_id, r.weight) for r in some.collect())
+
+
+def test_null_empty_and_repeated_documents_go_through_all_stages(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    odd = [(9_000_001, None, None, None), (9_000_002, "", "en", "web"), (9_000_003, " \n ", "en", None), (None, "a text without an id and with some words in it", "en", "web"), (9_000_004, "word " * 60_000, "en", "web")]
+    extra = spark.createDataFrame([(*o, None) for o in odd + odd[:2]], "doc_id long, text string, lang string, source string, n_chars long").selectExpr(*[f"cast({c} AS {t}) AS {c}" for c, t in kinds.items()])
+    rows = docs.unionByName(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        before = rows
+        rows = stage(spark, rows, tiny)
+        if name != "token_files":
+            assert rows.columns[: len(docs.columns)] == docs.columns
+            kept = {r.doc_id for r in rows.select("doc_id").collect()}
+            assert kept <= {r.doc_id for r in before.select("doc_id").collect()}
+    last = rows.collect()
+    assert sorted(str(r.doc_id) for r in last) == sorted(str(r.doc_id) for r in before.select("doc_id").collect())
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        empty = stage(spark, empty, tiny)
+        assert empty.count() == 0

@@ -38,3 +38,29 @@ def test_without_broadcast_and_with_other_rules(spark, monkeypatch):
 
 def test_index_tokens_stand_whole_in_every_url_that_fits():
     assert u._pattern_rule("*cheap-pills.*")[1] == ["pills"] and u._pattern_rule("*casino*")[1] == [] and u._host_rule("example.net/en/")[1] == ["example", "net"]
+
+
+def by_hand(url):
+    """The contract's four rules, written out."""
+    rest = (url or "").partition("://")[2]
+    cut = min([rest.find(x) for x in "/?#" if x in rest], default=len(rest))
+    host, tail = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in rest[:cut]), rest[cut:]
+    path = tail[: min([tail.find(x) for x in "?#" if x in tail], default=len(tail))]
+    best = None
+    for name, start, verdict in (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")):
+        if (host == name or host.endswith("." + name)) and path.startswith(start) and (best is None or len(name + start) > len(best[0])):
+            best = (name + start, verdict)
+    return host, path, best
+
+
+def test_the_four_rules_by_hand(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    long = ["http://a.net/" + "x/" * 200_000, "http://" + "sub." * 50_000 + "example.com/de/", "http://" + "a" * 300_000, "http://b.org/fr/?" + "q=1&" * 100_000]
+    more = spark.createDataFrame([(10**6 + i, u) for i, u in enumerate([*URLS, *long])], "page_id long, url string")
+    rows = pages.unionByName(more)
+    got = {r.page_id: r for r in u.judge(rows).collect()}
+    assert len(got) == rows.count() > 250
+    for r in rows.collect():
+        host, path, best = by_hand(r.url)
+        g = got[r.page_id]
+        assert (g.host, g.path, g.rule) == (host, path, best and best[0]) and (best is None or g.verdict == best[1])
