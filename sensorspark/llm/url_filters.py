@@ -7,6 +7,9 @@ token are tried on every distinct host and path, as literal expressions. The lon
 
 Rules are few beside urls: they are a driver-side list and are broadcast up to BROADCAST_RULES of them; beyond that Spark joins by shuffle.
 
+Verdicts return to the rows by their site. A site with more than one in HOT_SHARE rows (at most HOT_SHARE sites can have so many, whatever the table's size) gets its verdict by
+broadcast; its rows, and urls without a site where they are many, go through the shuffle under their ids' hashes, so no task gets them all.
+
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed. Repeated rows get
 a row each. Extra columns are ignored.
 """
@@ -18,7 +21,10 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BROADCAST_RULES = 100_000
+HOT_SHARE = 10_000
 
 #: host/path rules: (rule, verdict); a rule fits its host, all subdomains, and paths that start with its path
 HOST_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -76,14 +82,20 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_
     rarest = wanted.join(seen, "token", "left").groupBy("rank").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token")).alias("t")).select("rank", "t.token")
     indexed = mark(table.join(rarest, "rank").drop("tokens"))
     # Which rules fit depends on host and path alone, so each distinct site is judged once
-    sites = urls.select("site", "host", "path").distinct()
+    counted = cut(urls.groupBy("site", "host", "path").agg(F.count("*").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    sites = counted.select("site", "host", "path")
     candidates = sites.select("site", F.explode(tokens).alias("token")).join(indexed, "token").drop("token")
     fits = candidates.where(F.expr("site RLIKE regex")).select("site", "rank", "explicit", "rule", "verdict")
     if free := [r for r in rules if not r[5]]:
         tried = [F.when(F.col("site").rlike(x), F.struct(*[F.lit(v).alias(c) for v, c in ((k, "rank"), (e, "explicit"), (r, "rule"), (v, "verdict"))])) for r, v, k, e, x, _ in free]
         fits = fits.unionByName(sites.select("site", F.explode(F.array_compact(F.array(*tried))).alias("r")).select("site", "r.*"))
-    fits = fits.groupBy("site").agg(F.max(F.struct("rank", "explicit", "rule", "verdict")).alias("r"))
-    out = urls.join(fits, "site", "left")
+    fits = cut(fits.groupBy("site").agg(F.max(F.struct("rank", "explicit", "rule", "verdict")).alias("r")))
+    hot = counted.where(F.col("n") * HOT_SHARE > total).groupBy("site").agg(F.lit(True).alias("hot"))  # fewer than HOT_SHARE rows
+    out = urls.join(F.broadcast(hot.join(fits, "site", "left").withColumnRenamed("r", "h")), "site", "left")
+    key = F.when(F.col("hot").isNull(), F.col("site"))
+    out = out.withColumn("key", key).withColumn("salt", F.when(key.isNull(), F.xxhash64(id_col)).otherwise(F.lit(0)))
+    out = out.join(fits.select(F.col("site").alias("key"), F.lit(0).cast("long").alias("salt"), "r"), ["key", "salt"], "left").withColumn("r", F.coalesce("h", "r"))
     return out.select(id_col, "host", "path", F.when(F.col("r.explicit") == 1, F.col("r.rule")).alias("rule"), F.when(F.col("r.explicit") == 0, F.col("r.rule")).alias("pattern"), F.coalesce("r.verdict", F.lit("allow")).alias("verdict"))
 
 

@@ -64,3 +64,13 @@ def test_the_four_rules_by_hand(spark):
         host, path, best = by_hand(r.url)
         g = got[r.page_id]
         assert (g.host, g.path, g.rule) == (host, path, best and best[0]) and (best is None or g.verdict == best[1])
+
+
+def test_rows_of_hot_sites_are_spread_and_keep_their_verdicts(spark, monkeypatch):
+    urls = ["http://a.net/x"] * 300 + [None] * 200 + ["http://casino.com/"] * 100 + [f"http://s{i}.example.com/de/{i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    monkeypatch.setattr(u, "HOT_SHARE", 20)
+    got = {r.page_id: (r.host, r.path, r.rule, r.pattern, r.verdict) for r in u.judge(df).collect()}
+    assert got == {i: brute(x) for i, x in enumerate(urls)}
+    plan = u.judge(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "key#" in plan and "salt#" in plan
