@@ -14,7 +14,7 @@ occurrences of one window meet under one run's hash. The job has five steps, eac
    repeats; otherwise each member looks for the longest left extension that it shares with an earlier one;
 5. the parts join the intervals, count and cut.
 
-Documents' texts are shuffled once (the exchange is reused) and whole copies of an earlier document skip steps 1 to 4.
+Parts and buckets grow in number with the bytes of text, not in size. Documents' texts are shuffled once (the exchange is reused) and whole copies of an earlier document skip steps 1 to 4.
 
 Order and defined results: occurrences are ordered by (doc_id, nulls last; then hash of the text; then byte). Null and empty texts have 0 bytes. Rows that
 repeat a doc_id and a text are one document and get its result each. Extra columns are ignored.
@@ -35,6 +35,8 @@ LENGTH, GRAM = 100, 36
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
 STEP = 1 << 20
+#: Text of a part. A task holds it and at worst some 10 times as much in surroundings and their sort keys.
+PART_BYTES = 32 << 20
 PAD = 0xFF  # in no UTF-8 text
 
 DOCS = "part int, doc_id long, h1 long, text string"
@@ -341,18 +343,30 @@ def _one(raw: bytes, spans: np.ndarray | None, copy: bool) -> tuple:
     return len(raw), int((hi - lo).sum()), len(lo), kept.hexdigest()
 
 
+def _parts(spark, size: int | None) -> int:
+    return max(2 * shuffle_partitions(spark), -(-(size or 0) // PART_BYTES))
+
+
+def parts_for(docs: DataFrame) -> int:
+    """The number of parts and buckets for a table with a column text: at least twice the shuffle partitions, and of PART_BYTES bytes of text each."""
+    return _parts(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spark = docs.sparkSession
-    parts = buckets = 2 * shuffle_partitions(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = F.coalesce("doc_id", F.lit(_NO_ID))
-    keyed = docs.withColumn("h1", F.xxhash64("text")).withColumn("part", F.pmod(F.xxhash64(order, "h1"), F.lit(parts)).cast("int"))
-    light = keyed.select("part", order.alias("copy_id"), F.col("h1").alias("copy_h1"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.length("text").alias("n"))
-    light = cut(light)
+    hashed = docs.withColumn("h1", F.xxhash64("text"))
+    light = cut(hashed.select(order.alias("copy_id"), F.col("h1").alias("copy_h1"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.octet_length("text").alias("n")))
+    parts = buckets = _parts(docs.sparkSession, light.agg(F.sum("n")).first()[0])
+
+    def part(i, h):
+        return F.pmod(F.xxhash64(i, h), F.lit(parts)).cast("int").alias("part")
+
+    keyed = hashed.withColumn("part", part(order, "h1"))
     same = ["copy_h1", "crc", "n"]
     first = light.groupBy(*same).agg(F.min("copy_id").alias("first"), F.max("copy_id").alias("last")).where("first < last")
-    copies = cut(light.join(first, same).where("copy_id > first").select("part", F.lit(None).cast("binary").alias("hashes"), "copy_id", "copy_h1").distinct())
+    copies = cut(light.join(first, same).where("copy_id > first").select(part("copy_id", "copy_h1"), F.lit(None).cast("binary").alias("hashes"), "copy_id", "copy_h1").distinct())
     texts = keyed.select("part", "doc_id", "h1", "text").groupBy("part")
     hashes = texts.cogroup(copies.groupBy("part")).applyInArrow(_send_hashes(buckets), BY_BUCKET)
     notes = hashes.groupBy("bucket").applyInArrow(_repeated, NOTES).unionByName(copies)
