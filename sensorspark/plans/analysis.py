@@ -147,12 +147,23 @@ def _(v):
     return st.kendall(p.join(med, "item"), "config", "item", "doy", "med").select("config", R6("tau").alias("tau"))
 
 
-@query("C10_dense_report")
-def _(v):
-    """Every year's season, 1 May to 31 October, of every variable. Gaps up to 40 per cent: at the smallest scale factors a day often has no order of a kind."""
+def dense_report(v, max_gap: float):
+    """Every year's season, 1 May to 31 October, of every variable."""
     season = years(v).select("variable", "d", "value")
     spans = season.select(F.year("d").alias("yr")).distinct().select("yr", F.make_date("yr", F.lit(5), F.lit(1)).alias("start"), F.make_date("yr", F.lit(10), F.lit(31)).alias("end"))
-    return cp.season_breaks(season.withColumn("yr", F.year("d")).join(spans, "yr"), SERIES, "d", "value", "start", "end", [14, 21, 30], max_gap=0.4)
+    return cp.season_breaks(season.withColumn("yr", F.year("d")).join(spans, "yr"), SERIES, "d", "value", "start", "end", [14, 21, 30], max_gap=max_gap)
+
+
+@query("C10_dense_report")
+def _(v):
+    """Gaps up to 40 per cent: at the smallest scale factors a day often has no order of a kind."""
+    return dense_report(v, 0.4)
+
+
+@query("C10_dense_report_strict")
+def _(v):
+    """Gaps up to 10 per cent; seasons with more of them keep their row, with the reason."""
+    return dense_report(v, 0.1)
 
 
 WEEKLY = "wk AS (SELECT variable, CAST(date_diff('day', DATE '1970-01-01', d) // 7 AS BIGINT) AS w, avg(value) AS m FROM panel GROUP BY 1, 2), bs AS (SELECT variable, avg(m) AS mu, stddev_samp(m) AS sd FROM wk WHERE w < 1400 GROUP BY 1), z AS (SELECT variable, w, (m - mu) / sd AS z FROM wk JOIN bs USING (variable) WHERE w >= 1400)"
@@ -698,7 +709,7 @@ def _(v):
 
 #: First hours, last hours, rolling days and lags of the search, in every combination.
 FIRST, LAST, ROLLS, LAGS = range(1, 13), range(14, 23), [1, 2, 3, 5, 7, 10, 14], range(-2, 2)
-STREAMS = ["view", "purchase", "error"]
+STREAMS = ["view", "purchase", "error", "signup"]
 C35 = (
     f"+h AS (SELECT stream, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS d, hour(ts) AS h, sum(value) AS s, count(*) AS n FROM obs WHERE stream IN {tuple(STREAMS)} GROUP BY 1, 2, 3), "
     f"w AS (SELECT stream, a AS h0, b AS h1, d, sum(s) / sum(n) AS m FROM h, range({FIRST[0]}, {FIRST[-1] + 1}) x(a), range({LAST[0]}, {LAST[-1] + 1}) y(b) WHERE b - a >= 4 AND h >= a AND h < b GROUP BY 1, 2, 3, 4), "
