@@ -130,3 +130,34 @@ def test_the_strict_report_leaves_out_seasons_with_gaps(spark, tiny):
 
 def test_the_tail_by_integration():
     assert abs(two_sided(2.228139, 10) - 0.05) < 1e-6 and abs(two_sided(1.0, 2) - (1 - 1 / 3**0.5)) < 1e-6
+
+
+def test_breaks_of_each_year_are_the_best(spark, tiny, panel):
+    found = {}
+    for r in catalog.queries()["V04_series_program"](spark, tiny).collect():
+        found.setdefault((r.variable, r.y), []).append(r)
+    series = {}
+    for (variable, d), x in panel.items():
+        series.setdefault((variable, d.year), []).append((d, x))
+    assert found and set(found) <= set(series)
+    for key, s in series.items():
+        days, y = [d for d, _ in s], np.array([x for _, x in s])
+        rows = sorted(found.get(key, []), key=lambda r: r.break_first)
+        if len(y) < 4:
+            assert not rows
+            continue
+        penalty = max(y.var(), 1e-9) * np.log(len(y))
+        edges = [0, *[days.index(r.break_first) for r in rows], len(y)]
+        for r, a, b, c in zip(rows, edges, edges[1:], edges[2:]):
+            assert r.break_last == days[b - 1] and np.isclose(r.jump, y[b:c].mean() - y[a:b].mean())
+        cost = sum(((y[a:b] - y[a:b].mean()) ** 2).sum() for a, b in zip(edges, edges[1:])) + penalty * len(rows)
+        assert all(b - a >= 2 for a, b in zip(edges, edges[1:])) and cost <= plain_breaks(y, penalty, 2) * (1 + 1e-9)
+
+
+def test_tails_of_regimes(spark, tiny, drivers):
+    got = by_year(spark, tiny, "V05_tails")
+    assert set(got) == set(drivers.yr)
+    for yr, g in drivers.groupby("yr"):
+        a, b = g.y[g.x1 > 25], g.y[g.x1 <= 25]
+        t = (a.mean() - b.mean()) / (a.var() / len(a) + b.var() / len(b)) ** 0.5
+        assert abs(got[yr].t - t) < 1e-5 and abs(got[yr].p - two_sided(t, len(g) - 2)) < 1e-7
