@@ -1,4 +1,4 @@
-"""Window operators: gaps, smoothing, runs, trailing sums, ranks."""
+"""Window operators: gaps, smoothing, runs, ranks."""
 
 from __future__ import annotations
 
@@ -7,22 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def trailing(rows: DataFrame, ts: str, wanted: dict[str, tuple[str, str, int]], keys: list[str] | None = None, half_open: bool = True) -> DataFrame:
-    """name -> (sum, avg, max or min; column; seconds): over (t - seconds, t], or [t - seconds, t] if not half open, peers included.
-
-    Without keys a series is cut into buckets as long as its longest window; rows are copied into the next bucket as context, so
-    no task holds more than two buckets at a time and the result is that of one global window.
-    """
-    keys = keys or []
-    longest = max(s for *_, s in wanted.values())
-    k = F.floor(F.unix_seconds(ts) / longest)
-    rows = rows.withColumn("_c", F.explode(F.array(F.struct(k.alias("k"), F.lit(False).alias("again")), F.struct((k + 1).alias("k"), F.lit(True).alias("again")))))
-    rows = rows.withColumn("_t", F.unix_micros(ts))
-    over = lambda s: Window.partitionBy(*keys, "_c.k").orderBy("_t").rangeBetween(-(s * 1_000_000 - (1 if half_open else 0)), 0)
-    out = rows.withColumns({name: getattr(F, how)(col).over(over(s)) for name, (how, col, s) in wanted.items()})
-    return out.where("NOT _c.again").drop("_c", "_t")
-
-
 def interpolate(df: DataFrame, keys: list[str], day: str, value: str, limit: int | None = None) -> DataFrame:
     """Nulls between values filled linearly in time, the first limit of a run only; trailing ones carry the last value."""
     w = Window.partitionBy(*keys).orderBy(day)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sensorspark.operators import joins
 from sensorspark.plans import catalog
@@ -14,7 +15,7 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["G19_weather_filter", "G20_scene_filter"])
+@pytest.mark.parametrize("name", ["G04_rain_lockout", "G19_weather_filter", "G20_scene_filter"])
 def test_frames_only_grow(spark, tiny, name):
     """A frame that looks ahead, or slides over a maximum, is read anew for every row."""
     starts = re.findall(r"specifiedwindowframe\(\w+, ([^,]*),", optimized(catalog.queries()[name](spark, tiny)))
@@ -38,3 +39,12 @@ def test_windows_around_a_time_match_brute_force(spark):
     for i, s in enumerate(at):
         met = v[(at >= s - 600) & (at <= s + 60)]
         assert got[i].n == len(met) and got[i].total == pytest.approx(met.sum())
+
+
+def test_time_since_the_last_flag_matches_brute_force(spark):
+    at, v, df = crowded(spark)
+    got = {x.id: x.since for x in joins.since_last(df, "ts", F.col("v") > 9.5).collect()}
+    assert len(got) == len(at) + 1 and got[len(at)] is None
+    for i, s in enumerate(at):
+        flagged = at[(v > 9.5) & (at <= s)]
+        assert got[i] == (1_000_000 * int(s - flagged.max()) if len(flagged) else None)
