@@ -15,7 +15,7 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["G04_rain_lockout", "G19_weather_filter", "G20_scene_filter", "J06_nearest_without_tolerance"])
+@pytest.mark.parametrize("name", ["G04_rain_lockout", "G19_weather_filter", "G20_scene_filter", "J06_nearest_without_tolerance", "J06_nearest_asof"])
 def test_frames_only_grow(spark, tiny, name):
     """A frame that looks ahead, or slides over a maximum, is read anew for every row."""
     starts = re.findall(r"specifiedwindowframe\(\w+, ([^,]*),", optimized(catalog.queries()[name](spark, tiny)))
