@@ -80,9 +80,9 @@ def _(v):
 
 @query("J09_interval_context", "SELECT s.event_id, count(r.ts) AS n, round(coalesce(sum(r.mm), 0), 6) AS mm FROM scenes s LEFT JOIN rain r ON r.ts BETWEEN s.ts - INTERVAL 3 HOUR AND s.ts + INTERVAL 30 MINUTE GROUP BY 1", "scenes rain")
 def _(v):
-    s, r = v.scenes.select("event_id", c("ts").alias("scan")), v.rain.select("ts", "mm")
-    met = joins.interval_join(s, r, c("scan") - F.expr("INTERVAL 3 HOURS"), c("scan") + F.expr("INTERVAL 30 MINUTES"), "ts", 4 * 3600, "inner").groupBy("event_id").agg(F.count("*").alias("n"), F.sum("mm").alias("mm"))
-    return s.join(met, "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"), R6(F.coalesce("mm", F.lit(0.0))).alias("mm"))
+    """Counts and sums as differences of running sums: no pair is formed."""
+    met = joins.trailing_at(v.scenes, v.rain, "event_id", "ts", {"n": ("count", "mm", 3 * 3600), "mm": ("sum", "mm", 3 * 3600)}, after_s=30 * 60, half_open=False)
+    return met.select("event_id", "n", R6(F.coalesce("mm", F.lit(0.0))).alias("mm"))
 
 
 @query(

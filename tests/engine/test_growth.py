@@ -48,3 +48,7 @@ def test_time_since_the_last_flag_matches_brute_force(spark):
     for i, s in enumerate(at):
         flagged = at[(v > 9.5) & (at <= s)]
         assert got[i] == (1_000_000 * int(s - flagged.max()) if len(flagged) else None)
+
+
+def test_interval_context_forms_no_pairs(spark, tiny):
+    assert "sequence(" not in optimized(catalog.queries()["J09_interval_context"](spark, tiny))
