@@ -152,11 +152,11 @@ def file_states(spark: SparkSession, source: str) -> DataFrame:
     return files.select("path", "length", "content").mapInPandas(tried, "file string, length long, n_rows long, error string")
 
 
-def compact(spark: SparkSession, source: str, path: str, group: str, order: str, target_bytes: int = 128 << 20, max_bad: float = 0.1) -> DataFrame:
+def compact(spark: SparkSession, source: str, path: str, group: str, order: str, target_bytes: int = 128 << 20, max_bad: float = 0.1, least_files: int = 1) -> DataFrame:
     """Many small files of source into few sorted ones below path/group/bin; returns a row for each file: file, group, bin, length, n_rows, error.
 
     group is a pattern with one part, matched against a file's path. A group's good files, by name, fill bins up to target_bytes one after the other; a bin becomes
-    one file, sorted by order. Bad files are left out and listed; more than the share max_bad of them is an error. Only the small files' sizes are
+    one file, sorted by order. Where files are nearly as large as the target, or larger, bins grow with them, to hold at least least_files each (but for a group's last one). Bad files are left out and listed; more than the share max_bad of them is an error. Only the small files' sizes are
     ordered by group; rows meet their bin by the file's path.
     """
     named = F.regexp_extract("file", group, 1)
@@ -165,7 +165,8 @@ def compact(spark: SparkSession, source: str, path: str, group: str, order: str,
     if wrong > max_bad * n:
         raise ValueError(f"{wrong} of {n} files in {source} can't be read")
     before = F.sum("length").over(Window.partitionBy("group").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    packed = files.where("error IS NULL").withColumn("bin", F.floor(F.coalesce(before, F.lit(0)) / target_bytes).cast("long"))
+    target = F.greatest(F.lit(target_bytes), least_files * F.max("length").over(Window.partitionBy("group"))) if least_files > 1 else F.lit(target_bytes)
+    packed = files.where("error IS NULL").withColumn("bin", F.floor(F.coalesce(before, F.lit(0)) / target).cast("long"))
     report = written(packed.unionByName(files.where("error IS NOT NULL").withColumn("bin", F.lit(None).cast("long"))))
     sound = report.where("error IS NULL").agg(F.max_by("file", "n_rows")).first()[0]
     if sound is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorspark.operators import joins
 from sensorspark.plans import catalog
+from sensorspark.sources import readers
 
 
 def optimized(df):
@@ -52,3 +53,13 @@ def test_time_since_the_last_flag_matches_brute_force(spark):
 
 def test_interval_context_forms_no_pairs(spark, tiny):
     assert "sequence(" not in optimized(catalog.queries()["J09_interval_context"](spark, tiny))
+
+
+def test_compaction_of_files_beyond_the_target(spark, tmp_path):
+    for day in range(5):
+        (tmp_path / "in" / "a").mkdir(parents=True, exist_ok=True)
+        pd.DataFrame({"t": np.arange(500) + 1000 * day}).to_parquet(tmp_path / "in" / "a" / f"{day}.parquet")
+    report = readers.compact(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", "/(a)/", "t", target_bytes=64, least_files=2).toPandas()
+    assert report["length"].min() > 64 and sorted(report.groupby("bin").size()) == [1, 2, 2]
+    files = list((tmp_path / "out").rglob("*.parquet"))
+    assert len(files) == 3 and sum(len(pd.read_parquet(f)) for f in files) == 2500
