@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timefns as t
 from ..operators import joins, profiles, rowwise
+from ..operators import statistics as st
 from .registry import query
 
 c = F.col
@@ -183,7 +184,8 @@ def _(v):
 
 @query("A25_stack_scalars", "SELECT round(quantile_cont(abs(N - R), 0.5), 6) AS sigma, round(max(N), 6) AS top, round(avg(R), 6) AS mean FROM refl", "refl")
 def _(v):
-    return v.refl.agg(R6(F.percentile(F.abs(c("N") - c("R")), F.lit(0.5))).alias("sigma"), R6(F.max("N")).alias("top"), R6(F.avg("R")).alias("mean"))
+    sigma = st.quantile(v.refl, F.abs(c("N") - c("R")), 0.5)
+    return v.refl.agg(R6(F.lit(sigma).cast("double")).alias("sigma"), R6(F.max("N")).alias("top"), R6(F.avg("R")).alias("mean"))
 
 
 @query("A26_colour_ratio", "SELECT scene, round(avg(G) / nullif(avg(R) + avg(G) + avg(B), 0), 3) AS gcc FROM refl GROUP BY 1", "refl")
