@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indices as ix
 from ..operators import profiles, rasters
+from ..operators import statistics as st
 from .registry import query
 
 c = F.col
@@ -32,8 +33,8 @@ def _(v):
 
 @query("X04_kernel_ndvi", f"+s AS (SELECT quantile_cont(abs(N - R), 0.5) AS sigma FROM refl), k AS (SELECT *, exp(-((N - R) ** 2) / (2 * sigma * sigma)) AS k FROM refl, s) {PIX}round(tanh(pow({RATIO('N', 'R')}, 2)), 6) AS kndvi, round((1 - k) / (1 + k), 6) AS kernel FROM k", "refl")
 def _(v):
-    s = v.refl.agg(F.percentile(F.abs(c("N") - c("R")), F.lit(0.5)).alias("sigma"))  # one row
-    return v.refl.join(F.broadcast(s)).select(*ID, R6(ix.kndvi("N", "R")).alias("kndvi"), R6(ix.kernel_ndvi("N", "R", c("sigma"))).alias("kernel"))
+    sigma = F.lit(st.quantile(v.refl, F.abs(c("N") - c("R")), 0.5)).cast("double")
+    return v.refl.select(*ID, R6(ix.kndvi("N", "R")).alias("kndvi"), R6(ix.kernel_ndvi("N", "R", sigma)).alias("kernel"))
 
 
 @query("X05_scale", "+m AS (SELECT max(N) AS top FROM refl) SELECT l_orderkey, l_linenumber, round(CASE WHEN top > 0.5 THEN N / 10000 ELSE N END, 9) AS scaled FROM refl, m", "refl")

@@ -75,6 +75,6 @@ def test_quantiles_of_a_whole_table_are_exact(spark, n):
         assert st.quantile(df, F.col("x"), q) == (pytest.approx(np.quantile(x, q)) if n else None)
 
 
-@pytest.mark.parametrize("name", ["A25_stack_scalars"])
+@pytest.mark.parametrize("name", ["A25_stack_scalars", "X04_kernel_ndvi"])
 def test_no_median_of_a_whole_table_in_one_task(spark, tiny, name):
     assert "percentile(" not in optimized(catalog.queries()[name](spark, tiny))
