@@ -12,6 +12,7 @@ from .registry import query
 
 c = F.col
 R6 = lambda x: F.round(x, 6)
+FILE_ROWS = 500_000
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM obs)"
 
@@ -22,13 +23,15 @@ def _out(v, name: str) -> str:
 
 
 def _late(v, name: str):
-    """The events as files of five days each, one file a trigger at least, where every other row comes up to a day too late."""
+    """The events as files of five days each, where every other row comes up to a day too late; a trigger takes the files of five days, so there are as many triggers however large the table."""
     folder, e = _out(v, name), v.spark.read.parquet(f"{v.path}/events.parquet")
     days = F.unix_date(F.to_date("ts")) + F.pmod(F.xxhash64("event_id"), F.lit(2))
-    e = e.withColumn("_slot", F.floor(days / 5))
-    for r in sorted(e.select("_slot").distinct().collect()):  # a number for every five days; one file after the other, as they would arrive
-        e.where(c("_slot") == r[0]).drop("_slot").write.mode("append").parquet(folder)
-    return jobs.events(v.spark, folder, "*.parquet", 1)
+    e = e.withColumn("_slot", F.floor(days / 5)).where("_slot IS NOT NULL")
+    slots = sorted(tuple(r) for r in e.groupBy("_slot").count().collect())  # a row for every five days
+    files = max([1, *[-(-n // FILE_ROWS) for _, n in slots]])
+    for slot, _ in slots:  # one after the other, as they would arrive
+        e.where(c("_slot") == slot).drop("_slot").repartition(files, "event_id").write.mode("append").parquet(folder)
+    return jobs.events(v.spark, folder, "*.parquet", files)
 
 
 LATE = "7 days"

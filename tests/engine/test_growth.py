@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sensorspark.operators import joins
 from sensorspark.operators import statistics as st
-from sensorspark.plans import catalog
+from sensorspark.plans import catalog, streams
 from sensorspark.sources import readers
+from sensorspark.sources.views import Views
 
 
 def optimized(df):
@@ -78,3 +79,13 @@ def test_quantiles_of_a_whole_table_are_exact(spark, n):
 @pytest.mark.parametrize("name", ["A25_stack_scalars", "X04_kernel_ndvi"])
 def test_no_median_of_a_whole_table_in_one_task(spark, tiny, name):
     assert "percentile(" not in optimized(catalog.queries()[name](spark, tiny))
+
+
+def test_late_files_come_in_a_set_number_of_triggers(spark, tiny, monkeypatch):
+    """A larger table has larger triggers, not more of them."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)  # several files for five days
+    df = streams._late(Views(spark, tiny), "late")
+    seen = []
+    q = df.writeStream.foreachBatch(lambda batch, i: seen.append(batch.count())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) <= 7 and sum(seen) == 1000
