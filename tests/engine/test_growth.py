@@ -12,6 +12,7 @@ from sensorspark.operators import statistics as st
 from sensorspark.plans import catalog, streams
 from sensorspark.sources import readers
 from sensorspark.sources.views import Views
+from sensorspark.streaming import jobs
 
 
 def optimized(df):
@@ -89,3 +90,22 @@ def test_late_files_come_in_a_set_number_of_triggers(spark, tiny, monkeypatch):
     q = df.writeStream.foreachBatch(lambda batch, i: seen.append(batch.count())).trigger(availableNow=True).start()
     q.awaitTermination()
     assert len(seen) <= 7 and sum(seen) == 1000
+
+
+def test_rows_wait_in_blocks(spark, tmp_path):
+    """Many rows at once give the alerts that few at a time give."""
+    at = np.arange(4000)
+    v = np.random.default_rng(2).choice([0.0, 10.0, 30.0, 70.0], len(at))
+    day = pd.Timestamp("2024-01-01")
+    rows = [(int(i), (day + pd.Timedelta(minutes=int(i))).to_pydatetime(), 1, "a", float(x), "{}") for i, x in zip(at, v)]
+    rows.append((9999, (day + pd.Timedelta(days=9)).to_pydatetime(), 1, "a", 30.0, "{}"))
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    got = []
+    for name, sizes in (("many", [2500, 1500, 1]), ("few", [900] * 4 + [400, 1])):
+        lo = 0
+        for n in sizes:
+            spark.createDataFrame(rows[lo : lo + n], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/{name}")
+            lo += n
+        out = jobs.run(jobs.departures(jobs.events(spark, f"file://{tmp_path}/{name}", "*.parquet", 1), 60, 20, late="10 hours"), f"file://{tmp_path}/{name}-out")
+        got.append(sorted(map(tuple, out.collect())))
+    assert got[0] == got[1] and len(got[0]) > 100
