@@ -109,3 +109,28 @@ def test_rows_wait_in_blocks(spark, tmp_path):
         out = jobs.run(jobs.departures(jobs.events(spark, f"file://{tmp_path}/{name}", "*.parquet", 1), 60, 20, late="10 hours"), f"file://{tmp_path}/{name}-out")
         got.append(sorted(map(tuple, out.collect())))
     assert got[0] == got[1] and len(got[0]) > 100
+
+
+@pytest.mark.parametrize("size", [1, 7, 2048])
+def test_interval_join_writes_blocks_and_loses_no_pair(spark, tmp_path, size):
+    """Three triggers of crowded rows, with ones exactly at both ends of the hours, of one time, without time and without id."""
+    r = np.random.default_rng(size)
+    day = pd.Timestamp("2024-01-01")
+    at = [0, 43_200, 43_201, 86_400, 86_400, *map(int, r.choice(np.r_[np.full(60, 50_000), r.integers(0, 172_800, 60)], 175))]
+    rows = [(i, (day + pd.Timedelta(seconds=s)).to_pydatetime(), 1, "purchase" if r.random() < 0.5 else "error", float(i), "{}") for i, s in enumerate(at)]
+    rows += [(None, day.to_pydatetime(), 1, "error", 1.0, "{}"), (998, None, 1, "purchase", 1.0, "{}"), (999, None, 1, "error", 1.0, "{}")]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    e = jobs.events(spark, f"file://{tmp_path}/in", "*.parquet", 1)
+    met = jobs.run(jobs.blocks_in_interval(e.where("stream = 'purchase'"), e.where("stream = 'error'"), late="5 days", size=size), f"file://{tmp_path}/out")
+    pick = lambda kind: [(i, t, v) for i, t, _, s, v, _ in rows if s == kind and t is not None]
+    want = [(s, w, v) for s, t, _ in pick("purchase") for w, u, v in pick("error") if t - pd.Timedelta(hours=12) < u <= t]
+    key = lambda x: tuple(-1 if y is None else y for y in x)
+    assert sorted((tuple(x) for x in jobs.pairs(met).select("scene", "weather", "value").collect()), key=key) == sorted(want, key=key)
+    sizes = met.selectExpr("size(scenes) AS s", "size(weathers) AS w").toPandas()
+    assert sizes.to_numpy().max() <= size and (size == 1 or len(sizes) < len(want) / 2)
+
+
+def test_interval_join_stores_no_pairs(spark, tiny):
+    """Pairs of rows grow with the square of the rows an hour: they are made where they are read."""
+    assert optimized(catalog.queries()["R08_interval_join"](spark, tiny)).count("explode(") == 2
