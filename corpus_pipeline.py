@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorspark.llm import decontaminate, mixing, near_dedup, quality, token_files
-from sensorspark.llm.common import cut
+from sensorspark.llm.common import cut, small_batches
 
 THRESHOLD = 0.3
 #: Trees don't go to SQL; tests hold the stages against plain Python.
@@ -24,12 +24,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     trees = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs, trees, into="_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    with small_batches(spark):  # so it is written here
+        return cut(quality.score(docs, trees, into="_score").where(F.col("_score") >= THRESHOLD).drop("_score"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_dedup.drop_near_duplicates(docs)
+    with small_batches(spark):
+        return near_dedup.drop_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

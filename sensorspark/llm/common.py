@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,9 @@ from ..sources.shared import shared_dir
 
 #: Texts are hashed in runs of rows of about this many bytes, so a worker's memory doesn't follow the Arrow batch.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch that carries whole texts; Spark's 10,000 make buffers of tens of MB in the JVM and in each worker, which both keep.
+BATCH_ROWS = 500
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -98,6 +103,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands rows to Python in batches of at most BATCH_ROWS; the session's own setting holds again afterwards."""
+    before = spark.conf.get(BATCHES)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCHES, before)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df (cheap to count, so written before) marked for broadcast if it has at most so many rows, else left to a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

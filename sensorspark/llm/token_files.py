@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh_path, prefix_hashes, shuffle_partitions, span_hashes
+from .common import chunks, cut, fresh_path, prefix_hashes, shuffle_partitions, small_batches, span_hashes
 
 END = 0
 TABLE_BYTES = 64 << 20  # of a worker's known words; beyond it the worker begins anew
@@ -252,6 +252,7 @@ def _encode(path: str):
                 more = [x.slice(lo, m) for x in b.columns[2:]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, shard, np.int32)), pa.array(np.arange(seq, seq + m)), b.column(0).slice(lo, m), pa.array(n.astype(np.int32)), rows, *more], names=["shard", "seq", "doc_id", "n_tokens", "ids", "weight"][: 5 + len(more)])
                 seq += m
+        pa.default_memory_pool().release_unused()  # the worker stays, and so would what its pool holds
 
     return run
 
@@ -261,7 +262,8 @@ def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, id_col
     weighted = "weight" in docs.columns
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col("weight").cast("double")] if weighted else []))
     dealt = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", F.length("text")).sortWithinPartitions("doc_id", F.length("text"), "text")
-    dealt.mapInArrow(_encode(vocabulary_path or vocabulary()), COLUMNS + WEIGHT * weighted).write.options(**OPTIONS).orc(path)
+    with small_batches(docs.sparkSession):
+        dealt.mapInArrow(_encode(vocabulary_path or vocabulary()), COLUMNS + WEIGHT * weighted).write.options(**OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
@@ -299,4 +301,5 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     path = fresh_path(docs.sparkSession, "token-ids") + ".orc"
     write(docs, path, vocabulary_path)
-    return summary(docs.sparkSession, path)
+    with small_batches(docs.sparkSession):
+        return cut(summary(docs.sparkSession, path))

@@ -70,3 +70,10 @@ def test_null_empty_and_repeated_documents_go_through_all_stages(spark, tiny):
     for name, stage in corpus_pipeline.STAGES[1:]:
         empty = stage(spark, empty, tiny)
         assert empty.count() == 0
+
+
+def test_no_stage_leaves_texts_to_batches_of_the_sessions_size(spark, tiny):
+    rows = spark.read.parquet(f"{tiny}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, tiny)
+        assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString(), name

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sensorspark.llm import token_files as t
-from sensorspark.llm.common import chunks
+from sensorspark.llm.common import BATCH_ROWS, BATCHES, chunks, small_batches
 
 SCHEMA = "doc_id long, text string, shard int, ids string"
 ODD = ["a  b", "a   b", " a", "a ", "a  ", "a \n b", "\n\na", "b \n", "x\n\n", "\ny", "\n\n\nz \n q", "\t\ta", "a\t b\tc", "it's  we'll\t x", "a b c", "<|endoftext|> x", "ab <|endoftext|> cd", "ab  <|endoftext|><|endoftext|>", "é è\nñ", "x\n", "'s 's\n's"]
@@ -122,3 +122,32 @@ def test_lookup_of_nothing(spark, tmp_path, ids):
     path = f"file://{tmp_path}/x.orc"
     t.write(spark.createDataFrame([(1, "a")], "doc_id long, text string"), path)
     assert t.lookup(spark, path, ids).count() == 0
+
+
+def test_texts_reach_workers_in_small_batches(spark, tmp_path, monkeypatch):
+    def sizes(path):
+        def run(batches):
+            for b in batches:
+                m = b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array(range(m), pa.int64()), b.column(0), pa.array([m] * m, pa.int32()), pa.array([[0]] * m, pa.list_(pa.int32()))], names=["shard", "seq", "doc_id", "n_tokens", "ids"])
+
+        return run
+
+    before = spark.conf.get(BATCHES)
+    monkeypatch.setattr(t, "_encode", sizes)
+    t.write(spark.range(20_000).selectExpr("id AS doc_id", "'x' AS text"), path := f"file://{tmp_path}/x.orc")
+    assert t.read(spark, path).agg(F.count("*"), F.max("n_tokens")).first() == (20_000, BATCH_ROWS)
+    assert spark.conf.get(BATCHES) == before
+
+
+def test_small_batches_leave_the_session_as_it_was(spark):
+    own = spark.conf.get(BATCHES)
+    try:
+        for before, meanwhile in (("10000", str(BATCH_ROWS)), ("7", "7"), ("0", str(BATCH_ROWS))):  # 0: no limit
+            spark.conf.set(BATCHES, before)
+            with pytest.raises(KeyError), small_batches(spark):
+                assert spark.conf.get(BATCHES) == meanwhile
+                raise KeyError
+            assert spark.conf.get(BATCHES) == before
+    finally:
+        spark.conf.set(BATCHES, own)
