@@ -134,3 +134,30 @@ def test_interval_join_writes_blocks_and_loses_no_pair(spark, tmp_path, size):
 def test_interval_join_stores_no_pairs(spark, tiny):
     """Pairs of rows grow with the square of the rows an hour: they are made where they are read."""
     assert optimized(catalog.queries()["R08_interval_join"](spark, tiny)).count("explode(") == 2
+
+
+def test_interval_join_compares_times_only_at_the_ends(spark):
+    """Blocks wholly within the hours, at either end of them (a weather row of the scene's time fits, one 12 hours before it doesn't), around a scene, and without any pair."""
+    h = jobs.HOUR
+    scenes, weather = [(1, 13 * h), (2, 13 * h + 5), (None, 14 * h)], [[2 * h, 9 * h], [h - 1, h, h + 1, h + 5, h + 6], [13 * h, 13 * h + 1, 13 * h + 5, 14 * h], [0, 20 * h], [14 * h + 1], [h]]
+    rows, want = [], []
+    for k, at in enumerate(weather):
+        ids = [100 * k + i for i in range(len(at))]
+        rows.append(([s for s, _ in scenes], [t for _, t in scenes], ids, at, [float(i) for i in ids]))
+        want += [(s, t, w, u, float(w)) for s, t in scenes for w, u in zip(ids, at) if t - 12 * h < u <= t]
+    blocks = spark.createDataFrame(rows, "scenes array<long>, scene_times array<long>, weathers array<long>, weather_times array<long>, values array<double>")
+    got = jobs.pairs(blocks).select("scene", F.unix_micros("scene_ts"), "weather", F.unix_micros("weather_ts"), "value")
+    key = lambda x: tuple(-1 if y is None else y for y in x)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    # a block whose pairs all fit carries no times to the loop over pairs
+    assert "isnull(checked" in optimized(jobs.pairs(blocks).select("scene", "weather"))
+
+
+def test_interval_join_writes_few_pairs_of_blocks(spark, tmp_path):
+    """What the stream writes of a crowded slot grows with the square of its blocks: 3,000 rows of each kind are one block each."""
+    at = pd.Timestamp("2024-01-01 01:00").to_pydatetime()
+    rows = [(i, at, 1, "purchase" if i % 2 else "error", 1.0, "{}") for i in range(6000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    e = jobs.events(spark, f"file://{tmp_path}/in", "*.parquet", 1)
+    met = jobs.run(jobs.blocks_in_interval(e.where("stream = 'purchase'"), e.where("stream = 'error'")), f"file://{tmp_path}/out")
+    assert met.count() == 1 and jobs.pairs(met).count() == 9_000_000
