@@ -161,3 +161,10 @@ def test_interval_join_writes_few_pairs_of_blocks(spark, tmp_path):
     e = jobs.events(spark, f"file://{tmp_path}/in", "*.parquet", 1)
     met = jobs.run(jobs.blocks_in_interval(e.where("stream = 'purchase'"), e.where("stream = 'error'")), f"file://{tmp_path}/out")
     assert met.count() == 1 and jobs.pairs(met).count() == 9_000_000
+
+
+def test_interval_join_reads_few_blocks_at_once(spark, tiny):
+    """Spark decodes up to 4,096 rows of a file at once, and a row holds two blocks."""
+    files = catalog.queries()["R08_interval_join"](spark, tiny.replace("sf0.001", "sf0.01")).inputFiles()
+    rows = [spark.read.parquet(f).count() for f in files]
+    assert sum(rows) > 1000 and max(rows) <= 64
